@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.merge import merge_sources
 from rosterline.functions.normalize import normalize_domain, normalize_linkedin_url
+from rosterline.session import materialize
 from rosterline.schema import (ADVANCE_COLS, CONTACT_SCHEMA, COMPANY_SCHEMA, STAGE_TIMESTAMP,
                                STAGES, conform)
 
@@ -67,6 +68,9 @@ def assign_ids(df: DataFrame, order: list, partition_col: str | None = "list_id"
     ranged = (src.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
+    # Written once to the shared checkpoint folder: positions are then fixed
+    # facts (stable under executor loss) and the count branch reads 3 columns.
+    ranged = materialize(ranged, "ids")
     # One row per (partition, list): bounded by partitions + lists.
     counts = ranged.groupBy("_pid", grp).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy(grp).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
