@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterline.schema import STAGES
 
-__all__ = ["query_by_stage", "query_companies", "contacts_detail", "list_summary"]
+__all__ = ["query_by_stage", "query_companies", "contacts_detail", "list_summary", "intel_report"]
 
 
 def query_by_stage(contacts: DataFrame, stage: str, list_id=None) -> DataFrame:
@@ -44,3 +44,13 @@ def list_summary(lists: DataFrame, contacts: DataFrame) -> DataFrame:
     out = out.select(*cols, *[F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(s) for s in STAGES],
                      F.coalesce("total_contacts", F.lit(0)).cast("bigint").alias("total_contacts"))
     return out.orderBy(F.desc("created_at"), "list_id")
+
+
+def intel_report(companies: DataFrame, thin_below: int = 3) -> DataFrame:
+    """Per list — companies, enriched, verified, thin (fewer than ``thin_below`` intel facts)."""
+    n_intel = F.coalesce(F.size(F.map_filter("intel", lambda k, v: v.isNotNull())), F.lit(0))
+    return companies.groupBy("list_id").agg(
+        F.count(F.lit(1)).alias("companies"),
+        F.count_if(F.coalesce("enriched", F.lit(False))).alias("enriched"),
+        F.count_if(F.coalesce("verified", F.lit(False))).alias("verified"),
+        F.count_if(n_intel < F.lit(thin_below)).alias("thin"))

@@ -194,3 +194,157 @@ WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE c.list_id = h.list_id AND c.id
 def q_u1(spark, d):
     ids = hits(spark, d).select("list_id", (F.col("user_id") * 25).alias("id"))
     return not_found(ids, contacts(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# Companies: N2, N3, J2, N20, N21, A5, F2, A12
+# ---------------------------------------------------------------------------
+from rosterline.functions.merge import merge_intel, merge_sources  # noqa: E402
+from rosterline.functions.normalize import normalize_company_name, normalize_domain  # noqa: E402
+from rosterline.operators.report import intel_report, query_companies  # noqa: E402
+from rosterline.operators.upsert import company_counters, upsert_companies  # noqa: E402
+from rosterline.sources.bindings import V_COMPANIES, companies_src  # noqa: E402
+
+N2_SQL = (r"nullif(regexp_replace(regexp_replace(split_part(regexp_replace(lower(regexp_replace({u}, "
+          r"'^\s+|\s+$', '', 'g')), '^https?://', ''), '/', 1), '^www\.', ''), '\.+$', ''), '')")
+N3_SQL = r"lower(trim(regexp_replace(nullif({n}, ''), '\s+', ' ', 'g')))"
+INTEL_TYPES = ["view", "click", "purchase", "signup", "error"]
+
+
+@register("n2_domain_key", f"""SELECT page_id, url, {N2_SQL.format(u='url')} AS domain_key FROM pages""")
+def q_n2(spark, d):
+    from rosterline.session import read_table
+    return read_table(spark, d, "pages").select("page_id", "url", normalize_domain("url").alias("domain_key"))
+
+
+@register("n2_company_domain_key", f"""WITH v AS ({duck(V_COMPANIES)})
+SELECT ord, company_domain, {N2_SQL.format(u='company_domain')} AS domain_key FROM v""")
+def q_n2b(spark, d):
+    return companies_src(spark, d).select("ord", "company_domain", normalize_domain("company_domain").alias("domain_key"))
+
+
+@register("n3_company_name_key", f"""WITH {HITS_CTE}
+SELECT ord, company_name || '  ' || source || chr(9) || ' Ltd ' AS raw_name,
+  {N3_SQL.format(n="company_name || '  ' || source || chr(9) || ' Ltd '")} AS name_key FROM h""")
+def q_n3(spark, d):
+    raw = F.concat(F.col("company_name"), F.lit("  "), F.col("source"), F.lit("\t Ltd "))
+    return hits(spark, d).select("ord", raw.alias("raw_name"), normalize_company_name(raw).alias("name_key"))
+
+
+def _company_batches(spark, d):
+    h = hits(spark, d)
+    intel = F.create_map(F.col("source"), F.round(F.col("value") * 100).cast("bigint").cast("string"))
+    rows = h.select("list_id", "ord", "seen_at", "company_name", "company_domain", "source",
+                    intel.alias("intel"),
+                    F.array(F.concat(F.lit("https://evidence.example/"), F.col("source"))).alias("sources"),
+                    (F.col("source") == "purchase").alias("verified"),
+                    (F.col("value") > 250).alias("enriched"))
+    split = F.lit(BATCH_SPLIT).cast("timestamp_ntz")
+    return rows.where(F.col("seen_at") < split).drop("seen_at"), rows.where(F.col("seen_at") >= split).drop("seen_at")
+
+
+def companies(spark, d):
+    b1, b2 = _company_batches(spark, d)
+    first = upsert_companies(None, b1, NOW).drop("_status", "_n_new")
+    return upsert_companies(first, b2, NOW)
+
+
+COMPANIES_CTE = HITS_CTE + f""",
+cr AS (SELECT list_id, ord, seen_at, company_name, company_domain, source,
+  CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS ival,
+  'https://evidence.example/' || source AS url, source = 'purchase' AS verified, value > 250 AS enriched,
+  {N2_SQL.format(u='company_domain')} AS company_domain_normalized FROM h),
+cg AS (SELECT list_id, company_domain_normalized, min(ord) AS first_ord,
+  arg_max(company_name, ord) FILTER (WHERE company_name IS NOT NULL) AS company_name,
+  arg_min(company_domain, ord) FILTER (WHERE company_domain IS NOT NULL) AS company_domain,
+  arg_max(source, ord) FILTER (WHERE source IS NOT NULL) AS source,
+  bool_or(verified) AS verified, bool_or(enriched) AS enriched,
+  {", ".join(f"arg_max(ival, ord) FILTER (WHERE source = '{t}') AS intel_{t}" for t in INTEL_TYPES)},
+  count(*) FILTER (WHERE seen_at >= TIMESTAMP '{BATCH_SPLIT}') AS n_new,
+  bool_or(seen_at < TIMESTAMP '{BATCH_SPLIT}') AS had_old
+  FROM cr WHERE company_domain_normalized IS NOT NULL GROUP BY ALL),
+cs AS (SELECT list_id, company_domain_normalized, string_agg(url, ',' ORDER BY fo) AS sources_joined
+  FROM (SELECT list_id, company_domain_normalized, url, min(ord) AS fo FROM cr
+        WHERE company_domain_normalized IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+cn AS (SELECT list_id, company_domain_normalized, ord AS first_ord, company_name, company_domain, source,
+  verified, enriched,
+  {", ".join(f"CASE WHEN source = '{t}' THEN ival END AS intel_{t}" for t in INTEL_TYPES)},
+  url AS sources_joined, CASE WHEN seen_at >= TIMESTAMP '{BATCH_SPLIT}' THEN 1 ELSE 0 END AS n_new,
+  seen_at < TIMESTAMP '{BATCH_SPLIT}' AS had_old
+  FROM cr WHERE company_domain_normalized IS NULL),
+call AS (SELECT cg.*, cs.sources_joined FROM cg JOIN cs USING (list_id, company_domain_normalized)
+  UNION ALL BY NAME SELECT * FROM cn),
+companies AS (SELECT *, CAST(row_number() OVER (PARTITION BY list_id ORDER BY first_ord) AS BIGINT) AS id FROM call)"""
+
+
+def _company_view(df):
+    return df.select(
+        "list_id", "id", "company_domain_normalized", "company_name", "company_domain", "source",
+        "verified", "enriched",
+        *[F.try_element_at("intel", F.lit(t)).alias(f"intel_{t}") for t in INTEL_TYPES],
+        F.array_join("sources", ",").alias("sources_joined"))
+
+
+@register("j2_upsert_companies", f"""WITH {COMPANIES_CTE}
+SELECT list_id, id, company_domain_normalized, company_name, company_domain, source, verified, enriched,
+  {", ".join(f"intel_{t}" for t in INTEL_TYPES)}, sources_joined FROM companies""")
+def q_j2(spark, d):
+    return _company_view(companies(spark, d))
+
+
+@register("a5_company_counters", f"""WITH {COMPANIES_CTE}
+SELECT list_id, CAST(count(*) FILTER (WHERE NOT had_old) AS BIGINT) AS inserted,
+  CAST(sum(n_new) - count(*) FILTER (WHERE NOT had_old) AS BIGINT) AS updated,
+  CAST(count(*) AS BIGINT) AS total FROM companies GROUP BY list_id""")
+def q_a5c(spark, d):
+    return company_counters(companies(spark, d))
+
+
+@register("f2_query_companies", f"""WITH {COMPANIES_CTE}
+SELECT list_id, id, company_domain_normalized, company_name FROM companies WHERE list_id = 2""")
+def q_f2(spark, d):
+    return query_companies(companies(spark, d).drop("_status", "_n_new"), 2).select(
+        "list_id", "id", "company_domain_normalized", "company_name")
+
+
+@register("a12_intel_report", f"""WITH {COMPANIES_CTE}
+SELECT list_id, CAST(count(*) AS BIGINT) AS companies, CAST(count(*) FILTER (WHERE enriched) AS BIGINT) AS enriched,
+  CAST(count(*) FILTER (WHERE verified) AS BIGINT) AS verified,
+  CAST(count(*) FILTER (WHERE ({" + ".join(f"(intel_{t} IS NOT NULL)::INT" for t in INTEL_TYPES)}) < 3) AS BIGINT) AS thin
+FROM companies GROUP BY list_id""")
+def q_a12(spark, d):
+    return intel_report(companies(spark, d))
+
+
+@register("n20_merge_intel", f"""WITH {HITS_CTE}
+SELECT ord, source AS m_type,
+  CASE WHEN value > 200 THEN NULL ELSE CAST(user_id % 7 AS VARCHAR) END AS m_bucket,
+  CASE WHEN value > 200 THEN 'yes' END AS m_hot,
+  CASE WHEN value > 200 THEN 3 ELSE 2 END AS m_size,
+  CASE WHEN value > 200 THEN 'cold' ELSE source END AS m_type2
+FROM h""")
+def q_n20(spark, d):
+    h = hits(spark, d)
+    left = F.create_map(F.lit("type"), F.col("source"), F.lit("bucket"), (F.col("user_id") % 7).cast("string"))
+    hot = F.create_map(F.lit("bucket"), F.lit(None).cast("string"), F.lit("hot"), F.lit("yes"))
+    m = merge_intel(left, F.when(F.col("value") > 200, hot))
+    m2 = merge_intel(left, F.when(F.col("value") > 200, F.create_map(F.lit("type"), F.lit("cold"))))
+    return h.select("ord", F.try_element_at(m, F.lit("type")).alias("m_type"),
+                    F.try_element_at(m, F.lit("bucket")).alias("m_bucket"),
+                    F.try_element_at(m, F.lit("hot")).alias("m_hot"), F.size(m).alias("m_size"),
+                    F.try_element_at(m2, F.lit("type")).alias("m_type2"))
+
+
+@register("n21_merge_sources", f"""WITH {HITS_CTE}
+SELECT ord, CASE WHEN value > 100 THEN 'https://a.example/' || source || ',https://b.example/' || CAST(user_id AS VARCHAR)
+  ELSE 'https://a.example/' || source END AS merged,
+  CASE WHEN value > 100 THEN 2 ELSE 1 END AS n
+FROM h""")
+def q_n21(spark, d):
+    h = hits(spark, d)
+    a = F.concat(F.lit("https://a.example/"), F.col("source"))
+    left = F.when(F.col("value") > 100, F.array(a)).otherwise(F.lit(None).cast("array<string>"))
+    right = F.when(F.col("value") > 100, F.array(a, F.concat(F.lit("https://b.example/"), F.col("user_id").cast("string")))
+                   ).otherwise(F.array(a, a))
+    m = merge_sources(left, right)
+    return h.select("ord", F.array_join(m, ",").alias("merged"), F.size(m).alias("n"))
