@@ -348,3 +348,108 @@ def q_n21(spark, d):
                    ).otherwise(F.array(a, a))
     m = merge_sources(left, right)
     return h.select("ord", F.array_join(m, ",").alias("merged"), F.size(m).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks: S1, S2, S4, S5, S6 (round trips through files Spark writes
+# from the driver tables into the shared checkpoint folder)
+# ---------------------------------------------------------------------------
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from rosterline.schema import COMPANY_SCHEMA, EXPORT_COLUMNS  # noqa: E402
+from rosterline.session import checkpoint_dir  # noqa: E402
+from rosterline.sources.files import (read_companies_csv, read_export_csv, read_jsonl, to_json_rows,  # noqa: E402
+                                      write_export_csv, write_snapshot)
+
+
+def _scratch(spark, tag):
+    return _os.path.join(checkpoint_dir(spark), "rosterline", f"{tag}-{_uuid.uuid4().hex}")
+
+
+S1_SRC = f"""v AS ({duck(V_COMPANIES)}),
+s AS (SELECT ord, CASE WHEN ord % 50 = 0 THEN '' ELSE company_name END AS name_col,
+  CASE WHEN ord % 50 = 0 THEN '' ELSE company_domain END AS web_col,
+  CASE WHEN ord % 7 = 0 THEN 'https://www.linkedin.com/company/' || lower(replace(company_name, '#', '-')) ELSE '' END AS li_col,
+  industry AS segment_col, CASE WHEN ord % 3 = 0 THEN ' ' ELSE region END AS region_col FROM v)"""
+
+
+@register("s1_companies_csv", f"""WITH {S1_SRC}
+SELECT name_col AS company_name, web_col AS company_domain, nullif(li_col, '') AS linkedin_url,
+  segment_col AS extras_segment, nullif(trim(region_col), '') AS extras_region,
+  CASE WHEN nullif(trim(region_col), '') IS NULL THEN 1 ELSE 2 END AS n_extras
+FROM s WHERE name_col <> '' OR web_col <> ''""")
+def q_s1(spark, d):
+    src = companies_src(spark, d)
+    blank = (F.col("ord") % 50) == 0
+    csv_rows = src.select(
+        F.when(blank, "").otherwise(F.col("company_name")).alias(" Company "),
+        F.when(blank, "").otherwise(F.col("company_domain")).alias("Website"),
+        F.when(F.col("ord") % 7 == 0, F.concat(F.lit("https://www.linkedin.com/company/"),
+                                                F.lower(F.replace("company_name", F.lit("#"), F.lit("-")))))
+        .otherwise("").alias("LinkedIn"),
+        F.col("industry").alias("Segment"),
+        F.when(F.col("ord") % 3 == 0, " ").otherwise(F.col("region")).alias("Region"))
+    path = _scratch(spark, "csv")
+    csv_rows.write.option("header", "true").option("escape", '"').csv(path)
+    comp, _ = read_companies_csv(spark, path)
+    return comp.select("company_name", "company_domain", "linkedin_url",
+                       F.try_element_at("extras", F.lit("segment")).alias("extras_segment"),
+                       F.try_element_at("extras", F.lit("region")).alias("extras_region"),
+                       F.size("extras").alias("n_extras"))
+
+
+@register("s1_csv_skipped", f"""WITH {S1_SRC}
+SELECT CAST(count(*) FILTER (WHERE name_col = '' AND web_col = '') AS BIGINT) AS skipped FROM s""")
+def q_s1b(spark, d):
+    src = companies_src(spark, d)
+    blank = (F.col("ord") % 50) == 0
+    csv_rows = src.select(F.when(blank, "").otherwise(F.col("company_name")).alias("name"),
+                          F.when(blank, "").otherwise(F.col("company_domain")).alias("url"),
+                          F.col("industry").alias("segment"))
+    path = _scratch(spark, "csv")
+    csv_rows.write.option("header", "true").option("escape", '"').csv(path)
+    _, skipped = read_companies_csv(spark, path)
+    return skipped.agg(F.coalesce(F.sum("skipped"), F.lit(0)).cast("bigint").alias("skipped"))
+
+
+@register("s2_jsonl_roundtrip", f"""WITH {COMPANIES_CTE}
+SELECT list_id, id, company_domain_normalized, company_name, verified, intel_view
+FROM companies""")
+def q_s2(spark, d):
+    path = _scratch(spark, "jsonl")
+    companies(spark, d).drop("_status", "_n_new").write.json(path)
+    back = read_jsonl(spark, path, COMPANY_SCHEMA)
+    return back.select("list_id", "id", "company_domain_normalized", "company_name", "verified",
+                       F.try_element_at("intel", F.lit("view")).alias("intel_view"))
+
+
+@register("s4_export_csv", f"""WITH {CONTACTS_CTE}
+SELECT CAST(list_id AS VARCHAR) AS list_id, {", ".join(
+    f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" if c in ("first_name", "last_name", "company_name",
+    "company_domain", "linkedin_url", "source", "qualification_score") else f"'' AS {c}" for c in EXPORT_COLUMNS)}
+FROM contacts WHERE stage IN ('qualified', 'email_enriched', 'phone_enriched')""")
+def q_s4(spark, d):
+    path = _scratch(spark, "export")
+    write_export_csv(export(contacts(spark, d), "qualified"), path)
+    back = read_export_csv(spark, path)
+    return back.select(F.col("list_id").cast("string").alias("list_id"),
+                       *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in EXPORT_COLUMNS])
+
+
+@register("s5_snapshot", f"""WITH {CONTACTS_CTE}
+SELECT list_id, CAST(count(*) AS BIGINT) AS n, CAST(max(id) AS BIGINT) AS max_id FROM contacts GROUP BY list_id""")
+def q_s5(spark, d):
+    path = _scratch(spark, "snapshot")
+    c = contacts(spark, d)
+    write_snapshot(c, path)
+    write_snapshot(c.where(F.col("list_id") == 2), path)   # replaces list 2 only
+    back = spark.read.parquet(path)
+    return back.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("max_id"))
+
+
+@register("s6_json_rows", f"""WITH {CONTACTS_CTE}
+SELECT '{{"list_id":' || CAST(list_id AS VARCHAR) || ',"id":' || CAST(id AS VARCHAR) || ',"stage":"' || stage || '"}}' AS json
+FROM contacts""")
+def q_s6(spark, d):
+    return to_json_rows(contacts(spark, d).select("list_id", "id", "stage"))
