@@ -453,3 +453,258 @@ SELECT '{{"list_id":' || CAST(list_id AS VARCHAR) || ',"id":' || CAST(id AS VARC
 FROM contacts""")
 def q_s6(spark, d):
     return to_json_rows(contacts(spark, d).select("list_id", "id", "stage"))
+
+
+# ---------------------------------------------------------------------------
+# Payloads: S3, N15–N19 (payload text is built by Spark from the hits)
+# ---------------------------------------------------------------------------
+from rosterline.functions.payload import (apply_field_map, contact_phone, explode_response,  # noqa: E402
+                                          first_nested_phone, parse_payload, profile_to_contact)
+
+
+def _match_payloads(spark, d):
+    h = hits(spark, d)
+    item = lambda tag, status: F.struct(
+        F.concat(F.lit(tag), F.col("ord").cast("string"), F.lit("@x.example")).alias("email"),
+        status.alias("email_status"),
+        F.struct(F.col("linkedin_url").alias("url")).alias("person"),
+        F.struct(F.col("company_domain").alias("domain")).alias("org"),
+        F.concat(F.lit("ap"), F.col("user_id").cast("string")).alias("id"))
+    second = F.when(F.col("source") == "click", "guessed").otherwise("unavailable")
+    payload = F.when(F.col("source") != "error",
+                     F.to_json(F.struct(F.array(item("a", F.lit("verified")), item("b", second)).alias("matches")))
+                     ).otherwise(F.to_json(F.struct(F.lit("none").alias("note"))))
+    return h.select("ord", payload.alias("payload"))
+
+
+S3_EXPECTED = f"""WITH {HITS_CTE},
+e AS (SELECT ord, 0 AS pos, 'a' || CAST(ord AS VARCHAR) || '@x.example' AS email, 'verified' AS email_status,
+        linkedin_url, company_domain, 'ap' || CAST(user_id AS VARCHAR) AS apollo_id FROM h WHERE source <> 'error'
+      UNION ALL
+      SELECT ord, 1, 'b' || CAST(ord AS VARCHAR) || '@x.example',
+        CASE WHEN source = 'click' THEN 'guessed' ELSE 'unavailable' END, linkedin_url, company_domain,
+        'ap' || CAST(user_id AS VARCHAR) FROM h WHERE source <> 'error')"""
+
+
+@register("s3_explode_response", S3_EXPECTED + "\nSELECT ord, pos, email FROM e")
+def q_s3(spark, d):
+    ex = explode_response(_match_payloads(spark, d), "payload", "matches")
+    return ex.select("ord", "pos", F.get_json_object("item", "$.email").alias("email"))
+
+
+@register("n15_field_map", S3_EXPECTED + """
+SELECT ord, pos, email, email_status, linkedin_url, nullif(company_domain, '') AS intel_domain, apollo_id,
+  'apollo' AS source, CAST(NULL AS VARCHAR) AS title FROM e""")
+def q_n15(spark, d):
+    ex = explode_response(_match_payloads(spark, d), "payload", "matches")
+    mapped = apply_field_map(ex, "item", {"email": "email", "email_status": "email_status",
+                                          "person.url": "linkedin_url", "org.domain": "intel.domain",
+                                          "id": "provider_ids.apollo"}, "apollo",
+                             canonical=["email", "email_status", "linkedin_url", "title"])
+    return mapped.select("ord", "pos", "email", "email_status", "linkedin_url",
+                         F.nullif(F.try_element_at("intel", F.lit("domain")), F.lit("")).alias("intel_domain"),
+                         F.try_element_at("provider_ids", F.lit("apollo")).alias("apollo_id"), "source", "title")
+
+
+@register("n16_profile_to_contact", f"""WITH {HITS_CTE}
+SELECT ord, first_name, CASE WHEN user_id % 3 = 0 THEN NULL ELSE last_name END AS last_name,
+  CASE WHEN user_id % 3 = 0 THEN first_name ELSE first_name || ' ' || last_name END AS full_name,
+  CASE WHEN user_id % 4 = 0 OR ord % 2 = 0 THEN 'Headline ' || source ELSE 'Title ' || source END AS title,
+  CASE WHEN user_id % 4 = 0 THEN NULL ELSE company_name END AS company_name,
+  linkedin_url, 'City ' || CAST(user_id % 9 AS VARCHAR) AS location, 'apify' AS source
+FROM h""")
+def q_n16(spark, d):
+    h = hits(spark, d)
+    pos = F.struct(F.when(F.col("ord") % 2 == 0, "").otherwise(F.concat(F.lit("Title "), F.col("source"))).alias("title"),
+                   F.col("company_name").alias("companyName"))
+    prof = F.to_json(F.struct(
+        F.col("first_name").alias("firstName"),
+        F.when(F.col("user_id") % 3 != 0, F.col("last_name")).alias("lastName"),
+        F.concat(F.lit("Full "), F.col("user_id").cast("string")).alias("name"),
+        F.concat(F.lit("Headline "), F.col("source")).alias("headline"),
+        F.col("linkedin_url").alias("linkedinUrl"),
+        F.struct(F.concat(F.lit("City "), (F.col("user_id") % 9).cast("string")).alias("linkedinText")).alias("location"),
+        F.when(F.col("user_id") % 4 == 0, F.array().cast("array<struct<title:string,companyName:string>>"))
+        .otherwise(F.array(pos)).alias("currentPositions")))
+    out = profile_to_contact(h.select("ord", prof.alias("p")), "p")
+    return out.select("ord", "first_name", "last_name", "full_name", "title", "company_name", "linkedin_url",
+                      "location", "source")
+
+
+@register("n17_nested_phone", f"""WITH {HITS_CTE}
+SELECT ord, CASE ord % 3 WHEN 0 THEN '+1' || CAST(user_id AS VARCHAR) WHEN 1 THEN '+3' || CAST(user_id AS VARCHAR)
+  END AS phone FROM h""")
+def q_n17(spark, d):
+    h = hits(spark, d)
+    u = F.col("user_id").cast("string")
+    payload = (F.when(F.col("ord") % 3 == 0, F.concat(F.lit('{"data":[[""],["+1 '), u, F.lit('"]]}')))
+               .when(F.col("ord") % 3 == 1, F.concat(F.lit('{"data":["+3 '), u, F.lit('"]}')))
+               .otherwise(F.lit('{"data":[]}')))
+    return h.select("ord", first_nested_phone(F.get_json_object(payload, "$.data")).alias("phone"))
+
+
+@register("n18_contact_phone", f"""WITH {HITS_CTE}
+SELECT ord, CASE ord % 3 WHEN 0 THEN '+491' || CAST(user_id AS VARCHAR) WHEN 2 THEN '+447' || CAST(user_id AS VARCHAR)
+  END AS phone FROM h""")
+def q_n18(spark, d):
+    h = hits(spark, d)
+    u = F.col("user_id").cast("string")
+    ci = (F.when(F.col("ord") % 3 == 0, F.concat(F.lit('{"most_probable_phone":{"number":"+49 1 '), u,
+                                                  F.lit('","region":"DE"}}')))
+          .when(F.col("ord") % 3 == 1, F.lit('{"most_probable_phone":{"number":""},"phones":[{"number":"+1 5"}]}'))
+          .otherwise(F.concat(F.lit('{"phones":[{"number":"+44 7 '), u, F.lit('"}]}'))))
+    return h.select("ord", contact_phone(ci).alias("phone"))
+
+
+@register("n19_tolerant_json", f"""WITH {HITS_CTE}
+SELECT ord, user_id AS k, 11 AS note_len FROM h""")
+def q_n19(spark, d):
+    h = hits(spark, d)
+    raw = F.concat(F.lit('{"note":"line1\nline2","k":'), F.col("user_id").cast("string"), F.lit("}"))
+    p = parse_payload(raw, "note string, k bigint")
+    return h.select("ord", p["k"].alias("k"), F.length(p["note"]).alias("note_len"))
+
+
+# ---------------------------------------------------------------------------
+# Scalar vocabularies and helpers: N5–N14, N22
+# ---------------------------------------------------------------------------
+from rosterline.functions.merge import discovery_reason  # noqa: E402
+from rosterline.functions.normalize import (clean_phone, company_slug, email_domain, full_name,  # noqa: E402
+                                            slug_candidates, split_name)
+from rosterline.functions.vocab import (map_phone_type, map_seniority, normalize_email_status,  # noqa: E402
+                                        phone_country)
+from rosterline.sources.bindings import V_RESULTS, results_src  # noqa: E402
+
+
+@register("n5_full_name", f"""WITH {HITS_CTE}
+SELECT ord,
+  CASE WHEN user_id % 5 = 0 THEN 'Full ' || CAST(user_id AS VARCHAR)
+       WHEN user_id % 7 = 0 THEN first_name ELSE first_name || ' ' || last_name END AS full_name,
+  CASE WHEN user_id % 7 = 0 THEN first_name ELSE first_name || ' ' || last_name END AS profile_name
+FROM h""")
+def q_n5(spark, d):
+    h = hits(spark, d)
+    full = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("  Full "), F.col("user_id").cast("string"), F.lit("\t")))
+    last = F.when(F.col("user_id") % 7 == 0, F.lit(" ")).otherwise(F.col("last_name"))
+    last2 = F.when(F.col("user_id") % 7 == 0, F.lit("")).otherwise(F.col("last_name"))
+    return h.select("ord", full_name("first_name", last, full).alias("full_name"),
+                    full_name("first_name", last2, name=F.lit("raw name")).alias("profile_name"))
+
+
+@register("n6_split_name", f"""WITH {HITS_CTE}
+SELECT ord, first_name AS part1, last_name || ' Jr' AS part2 FROM h""")
+def q_n6(spark, d):
+    h = hits(spark, d)
+    a, b = split_name(F.concat(F.lit(" "), F.col("first_name"), F.lit(" "), F.col("last_name"), F.lit(" Jr ")))
+    return h.select("ord", a.alias("part1"), b.alias("part2"))
+
+
+@register("n7_company_slug", f"""WITH {HITS_CTE}
+SELECT ord, CASE WHEN ord % 2 = 0 THEN 'c' || CAST(user_id % 40 AS VARCHAR) || '_x' END AS slug FROM h""")
+def q_n7(spark, d):
+    h = hits(spark, d)
+    url = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("https://www.linkedin.com/company/c"),
+                                                  (F.col("user_id") % 40).cast("string"), F.lit("_x/"))
+                 ).otherwise(F.col("company_domain"))
+    return h.select("ord", company_slug(url).alias("slug"))
+
+
+@register("n8_slug_candidates", f"""WITH {HITS_CTE},
+s AS (SELECT ord, 'company-' || CAST(user_id % 40 AS VARCHAR) AS b, ord % 5 AS v FROM h)
+SELECT ord, CASE v WHEN 0 THEN b || '-gmbh|' || b WHEN 1 THEN b || '-ag|' || b WHEN 2 THEN b || '|' || b || '-gmbh'
+  WHEN 3 THEN b || '-group|' || b || '|' || b || '-group-gmbh' ELSE 'www' END AS candidates FROM s""")
+def q_n8(spark, d):
+    h = hits(spark, d)
+    v = F.col("ord") % 5
+    name = (F.when(v == 0, F.concat(F.col("company_name"), F.lit(" GmbH")))
+            .when(v == 1, F.concat(F.col("company_name"), F.lit(" AG")))
+            .when(v == 2, F.col("company_name"))
+            .when(v == 3, F.concat(F.col("company_name"), F.lit(" Group")))
+            .otherwise(F.concat(F.lit("https://www.c"), (F.col("user_id") % 40).cast("string"), F.lit(".example/x"))))
+    return h.select("ord", F.array_join(slug_candidates(name), "|").alias("candidates"))
+
+
+@register("n9_clean_phone", f"""WITH {HITS_CTE}
+SELECT ord, CASE WHEN ord % 6 = 0 THEN NULL ELSE '+49' || CAST(user_id AS VARCHAR) || '00' END AS phone FROM h""")
+def q_n9(spark, d):
+    h = hits(spark, d)
+    raw = F.when(F.col("ord") % 6 == 0, F.lit("   ")).otherwise(
+        F.concat(F.lit(" +49 "), F.col("user_id").cast("string"), F.lit(" 00 ")))
+    return h.select("ord", clean_phone(raw).alias("phone"))
+
+
+@register("n10_phone_type", f"""WITH {HITS_CTE}
+SELECT ord, CASE ord % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'direct_dial' WHEN 2 THEN 'switchboard' END AS phone_type
+FROM h""")
+def q_n10(spark, d):
+    h = hits(spark, d)
+    raw = (F.when(F.col("ord") % 4 == 0, "Mobile").when(F.col("ord") % 4 == 1, "work_direct")
+           .when(F.col("ord") % 4 == 2, "work_hq").otherwise("personal"))
+    return h.select("ord", map_phone_type(raw).alias("phone_type"))
+
+
+N11_INPUT = """SELECT ord, CASE rank WHEN 1 THEN 'fullenrich' WHEN 2 THEN 'ai-ark' WHEN 3 THEN 'leadmagic'
+  WHEN 4 THEN 'apollo' ELSE 'FullEnrich' END AS prov,
+  CASE ord % 6 WHEN 0 THEN 'DELIVERABLE' WHEN 1 THEN 'high_probability' WHEN 2 THEN 'CATCH_ALL'
+  WHEN 3 THEN 'valid' WHEN 4 THEN 'invalid' END AS raw,
+  CASE WHEN ord % 7 = 0 THEN NULL ELSE email END AS mail, ord % 2 = 0 AS flag FROM {r}"""
+
+
+@register("n11_email_status", f"""WITH r AS ({duck(V_RESULTS)}), x AS ({N11_INPUT.format(r='r')})
+SELECT ord, CASE lower(prov)
+  WHEN 'fullenrich' THEN CASE WHEN mail IS NULL THEN 'invalid'
+    WHEN upper(coalesce(raw, '')) IN ('DELIVERABLE', 'HIGH_PROBABILITY') THEN 'deliverable'
+    WHEN upper(coalesce(raw, '')) = 'CATCH_ALL' THEN 'catch_all' ELSE 'invalid' END
+  WHEN 'ai-ark' THEN CASE WHEN upper(coalesce(raw, '')) = 'CATCH_ALL' THEN 'catch_all'
+    WHEN mail IS NOT NULL THEN 'deliverable' ELSE 'invalid' END
+  WHEN 'leadmagic' THEN CASE WHEN upper(coalesce(raw, '')) = 'VALID' AND flag THEN 'catch_all'
+    WHEN upper(coalesce(raw, '')) = 'VALID' THEN 'deliverable' WHEN upper(coalesce(raw, '')) = 'INVALID' THEN 'invalid'
+    ELSE 'unknown' END END AS email_status FROM x""")
+def q_n11(spark, d):
+    r = results_src(spark, d)
+    x = spark.sql(N11_INPUT.format(r="{r}"), r=r)
+    return x.select("ord", normalize_email_status("prov", "raw", "mail", "flag").alias("email_status"))
+
+
+@register("n12_seniority", f"""WITH {HITS_CTE}
+SELECT ord, CASE ord % 3 WHEN 0 THEN '220|300|210' WHEN 1 THEN '310|300|210' ELSE '300|210' END AS levels FROM h""")
+def q_n12(spark, d):
+    h = hits(spark, d)
+    first = (F.when(F.col("ord") % 3 == 0, "Director").when(F.col("ord") % 3 == 1, "C-Level").otherwise("intern"))
+    return h.select("ord", F.array_join(map_seniority(F.array(first, F.lit("VP"), F.lit("manager"))), "|").alias("levels"))
+
+
+@register("n13_email_domain", f"""WITH {HITS_CTE}
+SELECT ord, CASE ord % 3 WHEN 1 THEN 'c' || CAST(user_id % 40 AS VARCHAR) || '.example' END AS email_domain FROM h""")
+def q_n13(spark, d):
+    h = hits(spark, d)
+    e = (F.when(F.col("ord") % 3 == 0, F.lit("x@Gmail.com"))
+         .when(F.col("ord") % 3 == 1, F.concat(F.col("first_name"), F.lit("@C"), (F.col("user_id") % 40).cast("string"),
+                                                F.lit(".Example")))
+         .otherwise(F.lit("nomail")))
+    return h.select("ord", email_domain(e).alias("email_domain"))
+
+
+@register("n14_phone_country", f"""WITH {HITS_CTE}
+SELECT ord, CASE ord % 5 WHEN 0 THEN 'DE' WHEN 1 THEN 'GB' WHEN 2 THEN 'LU' WHEN 3 THEN 'DE'
+  ELSE CASE user_id % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'AT' END END AS iso2 FROM h""")
+def q_n14(spark, d):
+    h = hits(spark, d)
+    v = F.col("ord") % 5
+    u = F.col("user_id").cast("string")
+    phone = (F.when(v == 0, F.concat(F.lit("+49 "), u)).when(v == 1, F.concat(F.lit("+44 7"), u))
+             .when(v == 2, F.concat(F.lit("+352 "), u)).when(v == 3, F.concat(F.lit("0049 "), u))
+             .otherwise(F.concat(F.lit("+999 "), u)))
+    country = (F.when(F.col("user_id") % 3 == 0, "Germany").when(F.col("user_id") % 3 == 1, "Austria")
+               .otherwise("Atlantis"))
+    return h.select("ord", phone_country(phone, country).alias("iso2"))
+
+
+@register("n22_discovery_reason", f"""WITH v AS ({duck(V_COMPANIES)})
+SELECT ord, 'lookalike of seed' || CAST(nationkey AS VARCHAR) || '.example (similarity '
+  || CAST(CAST(round(abs(acctbal) / 10000, 2) AS DECIMAL(4, 2)) AS VARCHAR) || ')' AS discovery_reason FROM v""")
+def q_n22(spark, d):
+    v = companies_src(spark, d)
+    seed = F.concat(F.lit("seed"), F.col("nationkey").cast("string"), F.lit(".example"))
+    sim = F.round(F.abs(F.col("acctbal")) / 10000, 2).cast("decimal(4,2)")
+    return v.select("ord", discovery_reason(seed, sim).alias("discovery_reason"))
