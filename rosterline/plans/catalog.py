@@ -708,3 +708,277 @@ def q_n22(spark, d):
     seed = F.concat(F.lit("seed"), F.col("nationkey").cast("string"), F.lit(".example"))
     sim = F.round(F.abs(F.col("acctbal")) / 10000, 2).cast("decimal(4,2)")
     return v.select("ord", discovery_reason(seed, sim).alias("discovery_reason"))
+
+
+# ---------------------------------------------------------------------------
+# Joins, lookups, filters: A13, J3, F11, J4, J5, J6, J7, J8, J12, F10, J13, J14, J15, F4, F9
+# ---------------------------------------------------------------------------
+from rosterline.functions.vocab import REGIONS  # noqa: E402
+from rosterline.operators.match import (apply_exclusions, backfill_domain, crm_dedupe,  # noqa: E402
+                                        crossref_master, expand_regions, fresh, icp_filter, lookup_linkedin,
+                                        match_roles, resolve_companies, reverse_lookup, rollup_master,
+                                        suppress_master, valid_track, with_intel)
+from rosterline.session import read_table  # noqa: E402
+
+TOUCH_STATUS = ("CASE WHEN value > 450 THEN 'unsubscribed' ELSE CASE source WHEN 'view' THEN 'contacted' "
+                "WHEN 'click' THEN 'engaged' WHEN 'purchase' THEN 'interested' WHEN 'signup' THEN 'replied' "
+                "WHEN 'error' THEN 'bounced' END END")
+MASTER_CTE = HITS_CTE + f""",
+t AS (SELECT *, {TOUCH_STATUS} AS status, {N1_SQL.format(u='linkedin_url')} AS k FROM h),
+master_all AS (SELECT k AS linkedin_url_normalized, arg_min(linkedin_url, seen_at) AS linkedin_url,
+  arg_max(first_name, seen_at) FILTER (WHERE first_name IS NOT NULL) AS first_name,
+  arg_max(last_name, seen_at) FILTER (WHERE last_name IS NOT NULL) AS last_name,
+  arg_max(company_name, seen_at) FILTER (WHERE company_name IS NOT NULL) AS company_name,
+  coalesce(arg_max(status, CASE status WHEN 'contacted' THEN 1 WHEN 'engaged' THEN 2 WHEN 'interested' THEN 3
+    WHEN 'replied' THEN 4 END), 'contacted') AS overall_status,
+  CAST(count(DISTINCT list_id) AS INTEGER) AS total_campaigns,
+  bool_or(status = 'replied') AS has_replied, bool_or(status = 'bounced') AS has_bounced,
+  bool_or(status = 'unsubscribed') AS has_unsubscribed,
+  min(seen_at) AS first_contacted_at, max(seen_at) AS last_contacted_at
+  FROM t WHERE k IS NOT NULL GROUP BY k),
+master AS (SELECT k AS linkedin_url_normalized, arg_max(first_name, seen_at) AS first_name,
+  arg_max(last_name, seen_at) AS last_name, arg_max(company_name, seen_at) AS company_name,
+  coalesce(arg_max(status, CASE status WHEN 'contacted' THEN 1 WHEN 'engaged' THEN 2 WHEN 'interested' THEN 3
+    WHEN 'replied' THEN 4 END), 'contacted') AS overall_status,
+  bool_or(status = 'replied') AS has_replied, bool_or(status = 'bounced') AS has_bounced,
+  bool_or(status = 'unsubscribed') AS has_unsubscribed
+  FROM t WHERE k IS NOT NULL AND seen_at < TIMESTAMP '{BATCH_SPLIT}' GROUP BY k),
+xr AS (SELECT u.url, m.linkedin_url_normalized IS NOT NULL AS found,
+  CASE WHEN m.linkedin_url_normalized IS NULL THEN 'new' WHEN m.has_unsubscribed THEN 'unsubscribed'
+    WHEN m.has_bounced AND NOT m.has_replied THEN 'bounced' WHEN m.overall_status = 'interested' THEN 'interested'
+    WHEN m.has_replied THEN 'replied' ELSE 'previously_contacted' END AS status,
+  m.first_name AS master_first_name, m.last_name AS master_last_name, m.company_name AS master_company_name
+  FROM (SELECT DISTINCT linkedin_url AS url FROM h WHERE seen_at >= TIMESTAMP '{BATCH_SPLIT}') u
+  LEFT JOIN master m ON {N1_SQL.format(u='u.url')} = m.linkedin_url_normalized)"""
+
+
+def _touches(spark, d):
+    return hits(spark, d).select("linkedin_url", "first_name", "last_name", "company_name",
+                                 F.expr(TOUCH_STATUS).alias("status"), F.col("seen_at").alias("ts"),
+                                 F.col("list_id").alias("campaign_id"))
+
+
+def _crossref(spark, d):
+    t = _touches(spark, d)
+    master = rollup_master(t.where(F.col("ts") < F.lit(BATCH_SPLIT).cast("timestamp_ntz")))
+    urls = hits(spark, d).where(F.col("seen_at") >= F.lit(BATCH_SPLIT).cast("timestamp_ntz")) \
+        .select(F.col("linkedin_url").alias("url")).distinct()
+    return crossref_master(urls, master, "url")
+
+
+@register("a13_rollup_master", f"WITH {MASTER_CTE} SELECT * FROM master_all")
+def q_a13(spark, d):
+    return rollup_master(_touches(spark, d)).select(
+        "linkedin_url_normalized", "linkedin_url", "first_name", "last_name", "company_name", "overall_status",
+        "total_campaigns", "has_replied", "has_bounced", "has_unsubscribed", "first_contacted_at", "last_contacted_at")
+
+
+@register("j3_crossref_master", f"WITH {MASTER_CTE} SELECT * FROM xr")
+def q_j3(spark, d):
+    return _crossref(spark, d)
+
+
+@register("f11_suppress_master", f"""WITH {MASTER_CTE}
+SELECT url, status, status IN ('replied', 'interested') AS warm FROM xr WHERE status NOT IN ('bounced', 'unsubscribed')""")
+def q_f11(spark, d):
+    return suppress_master(_crossref(spark, d)).select("url", "status", "warm")
+
+
+CRM_CTE = f"""v AS ({duck(V_COMPANIES)}),
+crm AS (SELECT 'Customer' || lpad(CAST(s_suppkey * 13 AS VARCHAR), 9, '0') || '.EXAMPLE ' AS key,
+   'crm-' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_suppkey AS ord FROM supplier
+  UNION ALL SELECT ' customer' || lpad(CAST(s_suppkey * 13 AS VARCHAR), 9, '0') || '.example', 'crm-dup-' || CAST(s_suppkey AS VARCHAR),
+   'dup', s_suppkey + 100000 FROM supplier WHERE s_suppkey % 2 = 0),
+vals AS (SELECT DISTINCT lower(trim({N2_SQL.format(u='company_domain')})) AS value FROM v),
+crm1 AS (SELECT lower(trim(key)) AS value, arg_min(id, ord) AS id, arg_min(name, ord) AS name FROM crm GROUP BY 1),
+j4 AS (SELECT vals.value, crm1.value IS NOT NULL AS exists, crm1.id, crm1.name FROM vals LEFT JOIN crm1 USING (value))"""
+
+
+def _crm(spark, d):
+    s = read_table(spark, d, "supplier")
+    key = F.concat(F.lit("Customer"), F.lpad((F.col("s_suppkey") * 13).cast("string"), 9, "0"))
+    a = s.select(F.concat(key, F.lit(".EXAMPLE ")).alias("key"),
+                 F.concat(F.lit("crm-"), F.col("s_suppkey").cast("string")).alias("id"),
+                 F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
+    b = s.where(F.col("s_suppkey") % 2 == 0).select(
+        F.concat(F.lit(" "), F.lower(key), F.lit(".example")).alias("key"),
+        F.concat(F.lit("crm-dup-"), F.col("s_suppkey").cast("string")).alias("id"),
+        F.lit("dup").alias("name"), (F.col("s_suppkey") + 100000).alias("ord"))
+    return a.unionByName(b)
+
+
+def _j4(spark, d):
+    vals = companies_src(spark, d).select(normalize_domain("company_domain").alias("value"))
+    return crm_dedupe(vals, _crm(spark, d))
+
+
+@register("j4_crm_dedupe", f"WITH {CRM_CTE} SELECT * FROM j4")
+def q_j4(spark, d):
+    return _j4(spark, d)
+
+
+@register("j4_crm_counts", f"""WITH {CRM_CTE}
+SELECT CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (WHERE exists) AS BIGINT) AS found FROM j4""")
+def q_j4c(spark, d):
+    return _j4(spark, d).agg(F.count(F.lit(1)).alias("checked"), F.count_if("exists").alias("found"))
+
+
+@register("j5_with_intel", f"""WITH {CONTACTS_CTE}, {COMPANIES_CTE.split(HITS_CTE + ",", 1)[1]}
+SELECT c.list_id, c.id, co.id AS account_id, co.intel_view AS account_intel_view
+FROM contacts c LEFT JOIN companies co ON c.list_id = co.list_id
+  AND {N2_SQL.format(u='c.company_domain')} = co.company_domain_normalized""")
+def q_j5(spark, d):
+    j = with_intel(contacts(spark, d), companies(spark, d))
+    return j.select("list_id", "id", F.col("account_id"),
+                    F.try_element_at("account_intel", F.lit("view")).alias("account_intel_view"))
+
+
+REGIONS_VALUES = ", ".join(f"('{r}', '{c}')" for r, cs in REGIONS.items() for c in cs)
+CAP_SQL = "upper(left({x}, 1)) || lower(substr({x}, 2))"
+
+
+@register("j6_expand_regions", f"""WITH rg(region, country) AS (VALUES {REGIONS_VALUES}),
+g AS (SELECT {CAP_SQL.format(x='r_name')} AS geography FROM region
+      UNION ALL SELECT {CAP_SQL.format(x='n_name')} FROM nation)
+SELECT DISTINCT coalesce(rg.country, g.geography) AS geography FROM g LEFT JOIN rg ON g.geography = rg.region""")
+def q_j6(spark, d):
+    cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 10_000)))
+    g = (read_table(spark, d, "region").select(cap(F.col("r_name")).alias("geography"))
+         .unionByName(read_table(spark, d, "nation").select(cap(F.col("n_name")).alias("geography"))))
+    return expand_regions(g, "geography")
+
+
+ROLE_TITLES = [("Economic Buyer", "red widget", "persona"), ("Economic Buyer", "Blue  Bolt", "persona"),
+               ("Economic Buyer", "hot gear", "expansion"), ("Compliance Champion", "small ring", "persona"),
+               ("Compliance Champion", "old bolt", "expansion"), ("Compliance Champion", "red widget", "expansion")]
+
+
+@register("j7_match_roles", """SELECT p_partkey, p_name AS title,
+  CASE WHEN p_name IN ('red widget', 'small ring', 'old bolt') THEN 'Compliance Champion'
+       WHEN p_name IN ('blue bolt', 'hot gear') THEN 'Economic Buyer' END AS matched_role,
+  regexp_matches(p_name, '(^|[^a-z0-9])gizmo([^a-z0-9]|$)') AS sense_excluded
+FROM part""")
+def q_j7(spark, d):
+    rt = spark.createDataFrame(ROLE_TITLES, "role string, title string, provenance string")
+    p = read_table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"))
+    return match_roles(p, rt, senses=["gizmo"]).select("p_partkey", "title", "matched_role", "sense_excluded")
+
+
+J8_INPUT = ("SELECT ord, list_id, company_name, company_domain, user_id, "
+            "CASE ord % 3 WHEN 0 THEN 'x@gmail.com' WHEN 1 THEN first_name || '@Mail' || CAST(user_id % 40 AS STRING) "
+            "|| '.example' END AS email FROM h")
+
+
+@register("j8_backfill_domain", f"""WITH {HITS_CTE}, x AS ({J8_INPUT}),
+b AS (SELECT DISTINCT company_name, 'brief' || CAST(user_id % 40 AS VARCHAR) || '.example' AS domain FROM h WHERE user_id % 40 < 5),
+p AS (SELECT list_id, company_name, arg_min(company_domain, ord) AS peer FROM x WHERE company_domain <> '' GROUP BY ALL)
+SELECT x.ord,
+  CASE WHEN x.company_domain <> '' THEN x.company_domain WHEN b.domain IS NOT NULL THEN b.domain
+       WHEN p.peer IS NOT NULL THEN p.peer WHEN x.ord % 3 = 1 THEN 'mail' || CAST(x.user_id % 40 AS VARCHAR) || '.example' END
+    AS company_domain,
+  CASE WHEN x.company_domain <> '' THEN 'given' WHEN b.domain IS NOT NULL THEN 'brief'
+       WHEN p.peer IS NOT NULL THEN 'batch' WHEN x.ord % 3 = 1 THEN 'email' END AS domain_source
+FROM x LEFT JOIN b USING (company_name) LEFT JOIN p USING (list_id, company_name)""")
+def q_j8(spark, d):
+    h = hits(spark, d)
+    x = spark.sql(J8_INPUT.replace("FROM h", "FROM {h}"), h=h)
+    brief = (h.where(F.col("user_id") % 40 < 5)
+             .select("company_name", F.concat(F.lit("brief"), (F.col("user_id") % 40).cast("string"),
+                                              F.lit(".example")).alias("domain")).distinct())
+    return backfill_domain(x, brief).select("ord", "company_domain", "domain_source")
+
+
+@register("j12_valid_track", """WITH s AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type = 'view'),
+r AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type = 'click'),
+m AS (SELECT r.id AS request_id, r.ts, (SELECT s.id FROM s WHERE s.user_id = r.user_id AND s.ts <= r.ts
+  AND s.ts >= r.ts - INTERVAL 6 HOUR ORDER BY s.ts DESC, s.id DESC LIMIT 1) AS track_id FROM r)
+SELECT request_id, ts, track_id,
+  coalesce(track_id IS NOT NULL AND row_number() OVER (PARTITION BY track_id ORDER BY ts, request_id) = 1, false) AS valid
+FROM m""")
+def q_j12(spark, d):
+    ev = read_table(spark, d, "events")
+    s = ev.where(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("id"), "ts")
+    r = ev.where(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("id"), "ts")
+    return valid_track(r, s, 6)
+
+
+@register("f10_fresh", """SELECT o_orderkey, o_orderdate FROM orders
+WHERE o_orderdate >= TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 90 DAY""")
+def q_f10(spark, d):
+    return fresh(read_table(spark, d, "orders"), "o_orderdate", "1998-08-02 00:00:00", "90 DAYS").select(
+        "o_orderkey", "o_orderdate")
+
+
+@register("j13_lookup_linkedin", f"""WITH {HITS_CTE},
+k AS (SELECT *, 'Co' || CAST(user_id % 4 AS VARCHAR) AS co, {N1_SQL.format(u='linkedin_url')} AS u FROM h),
+p AS (SELECT last_name, co, min(u) AS found_url FROM k WHERE u IS NOT NULL GROUP BY ALL HAVING count(DISTINCT u) = 1)
+SELECT k.ord, p.found_url FROM k LEFT JOIN p USING (last_name, co) WHERE k.linkedin_url IS NULL""")
+def q_j13(spark, d):
+    k = hits(spark, d).withColumn("co", F.concat(F.lit("Co"), (F.col("user_id") % 4).cast("string")))
+    return lookup_linkedin(k.where(F.col("linkedin_url").isNull()).select("ord", "last_name", "co"),
+                           k.select("last_name", "co", "linkedin_url"), ["last_name", "co"]).select("ord", "found_url")
+
+
+@register("j14_reverse_lookup", """WITH keys AS (SELECT CASE WHEN o_orderkey % 2 = 0
+    THEN 'u' || CAST(o_custkey AS VARCHAR) || '@people.example' ELSE '+1555' || CAST(o_custkey AS VARCHAR) END AS key FROM orders),
+ppl AS (SELECT c_custkey, c_name, 'u' || CAST(c_custkey AS VARCHAR) || '@people.example' AS email,
+  '+1555' || CAST(c_custkey AS VARCHAR) AS phone FROM customer)
+SELECT key, 'email' AS kind, c_custkey, c_name FROM keys JOIN ppl ON key = email
+UNION ALL SELECT key, 'phone', c_custkey, c_name FROM keys JOIN ppl ON key = phone""")
+def q_j14(spark, d):
+    o = read_table(spark, d, "orders")
+    keys = o.select(F.when(F.col("o_orderkey") % 2 == 0,
+                           F.concat(F.lit("u"), F.col("o_custkey").cast("string"), F.lit("@people.example")))
+                    .otherwise(F.concat(F.lit("+1555"), F.col("o_custkey").cast("string"))).alias("key"))
+    c = read_table(spark, d, "customer")
+    ppl = c.select("c_custkey", "c_name",
+                   F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@people.example")).alias("email"),
+                   F.concat(F.lit("+1555"), F.col("c_custkey").cast("string")).alias("phone"))
+    return reverse_lookup(keys, ppl).select("key", "kind", "c_custkey", "c_name")
+
+
+@register("j15_resolve_companies", r"""WITH c AS (SELECT c_custkey, c_name,
+  regexp_replace(lower(replace(c_name, ' ', '-')), '[^a-z0-9-]', '', 'g') AS direct FROM customer)
+SELECT c_name AS company,
+  CASE c_custkey % 3 WHEN 0 THEN 'https://www.linkedin.com/company/' || direct
+    WHEN 1 THEN 'https://www.linkedin.com/company/' || direct || '-gmbh' END AS url,
+  CASE c_custkey % 3 WHEN 0 THEN 'slug:' || direct WHEN 1 THEN 'slug:' || direct || '-gmbh' END AS method,
+  CASE WHEN c_custkey % 3 = 2 THEN 'could not resolve ' || c_name END AS reason
+FROM c""")
+def q_j15(spark, d):
+    c = read_table(spark, d, "customer")
+    direct = F.regexp_replace(F.lower(F.replace("c_name", F.lit(" "), F.lit("-"))), "[^a-z0-9-]", "")
+    pages = c.select(F.when(F.col("c_custkey") % 3 == 1, F.concat(direct, F.lit("-gmbh"))).otherwise(direct).alias("slug"),
+                     F.when(F.col("c_custkey") % 3 == 0, "valid").when(F.col("c_custkey") % 3 == 1, "uncertain")
+                     .otherwise("invalid").alias("status"))
+    return resolve_companies(c.select(F.col("c_name").alias("company")), pages, "company")
+
+
+F4_TITLES = ["gizmo", "old bolt", "Ring"]
+F4_TYPES = ["promo"]
+
+
+@register("f4_exclusions", """WITH x AS (SELECT p_partkey, p_name, p_type || ' ' || p_brand AS ctype,
+  'b' || substr(p_brand, 7) || '.example' AS dom FROM part),
+ex AS (SELECT 'b' || CAST(s_suppkey AS VARCHAR) || '.example' AS d FROM supplier WHERE s_suppkey % 10 = 3)
+SELECT p_partkey, CASE WHEN dom IN (SELECT d FROM ex) THEN 'excluded_domain'
+  WHEN regexp_matches(lower(ctype), '(^|[^a-z0-9])promo([^a-z0-9]|$)') THEN 'excluded_company_type'
+  WHEN regexp_matches(lower(p_name), '(^|[^a-z0-9])(gizmo|old bolt|ring)([^a-z0-9]|$)') THEN 'excluded_title' END
+  AS exclusion_reason FROM x""")
+def q_f4(spark, d):
+    p = read_table(spark, d, "part").select(
+        "p_partkey", F.col("p_name").alias("title"),
+        F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("company_type"),
+        F.concat(F.lit("b"), F.substring("p_brand", 7, 10), F.lit(".example")).alias("company_domain"))
+    dom = read_table(spark, d, "supplier").where(F.col("s_suppkey") % 10 == 3).select(
+        F.concat(F.lit("b"), F.col("s_suppkey").cast("string"), F.lit(".example")).alias("domain"))
+    kept, skipped = apply_exclusions(p, F4_TITLES, F4_TYPES, dom)
+    return kept.unionByName(skipped).select("p_partkey", "exclusion_reason")
+
+
+@register("f9_icp_filter", f"""WITH v AS ({duck(V_COMPANIES)})
+SELECT ord, company_name FROM v WHERE employees BETWEEN 200 AND 2000 AND country <> 'GERMANY'
+  AND industry IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')""")
+def q_f9(spark, d):
+    return icp_filter(companies_src(spark, d), 200, 2000, countries_out=["GERMANY"],
+                      industries=["BUILDING", "MACHINERY", "AUTOMOBILE"]).select("ord", "company_name")
