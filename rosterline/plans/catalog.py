@@ -982,3 +982,237 @@ SELECT ord, company_name FROM v WHERE employees BETWEEN 200 AND 2000 AND country
 def q_f9(spark, d):
     return icp_filter(companies_src(spark, d), 200, 2000, countries_out=["GERMANY"],
                       industries=["BUILDING", "MACHINERY", "AUTOMOBILE"]).select("ord", "company_name")
+
+
+# ---------------------------------------------------------------------------
+# Enrichment: W3, J11, N23, T2, W4, A10, W5, W6, W9, F5, F6, J10, A6, A7, A14
+# ---------------------------------------------------------------------------
+from rosterline.operators.activate import assign_batches, assign_senders  # noqa: E402
+from rosterline.operators.waterfall import (align_results, best_contact, choose_match_key,  # noqa: E402
+                                            classify_answers, coverage_report, email_waterfall, estimate_cost,
+                                            gate, phone_waterfall, reverify, split_submittable, waterfall_report)
+
+RES_CTE = f"""r AS ({duck(V_RESULTS)}),
+val AS (SELECT email, CASE CAST(floor(totalprice) AS BIGINT) % 3 WHEN 0 THEN 'invalid' WHEN 1 THEN 'valid'
+  ELSE 'catch_all' END AS status FROM r WHERE raw_status = 'guessed'),
+cl AS (SELECT r.*, CASE r.raw_status WHEN 'verified' THEN 'accept' WHEN 'guessed' THEN CASE val.status
+    WHEN 'valid' THEN 'reverified' WHEN 'catch_all' THEN 'flag' ELSE 'miss' END ELSE 'miss' END AS verdict,
+  rank * 1000000000000 + ord AS rk FROM r LEFT JOIN val USING (email)),
+win AS (SELECT contact_id, min(rk) AS wrk FROM cl WHERE verdict IN ('accept', 'flag', 'reverified') GROUP BY 1),
+w2 AS (SELECT cl.contact_id, cl.email, cl.provider, cl.verdict FROM cl JOIN win ON cl.contact_id = win.contact_id AND cl.rk = win.wrk),
+lg AS (SELECT cl.contact_id, string_agg(cl.provider || ':' || cl.raw_status, '→' ORDER BY cl.rk) AS log
+  FROM cl LEFT JOIN win USING (contact_id) WHERE win.wrk IS NULL OR cl.rk <= win.wrk GROUP BY 1),
+ew AS (SELECT c.c_custkey AS contact_id, w2.email, coalesce(w2.provider, 'not_found') AS email_source,
+  CASE w2.verdict WHEN 'accept' THEN 'accepted' WHEN 'flag' THEN 'accepted_catch_all' WHEN 'reverified' THEN 'reverified'
+    ELSE 'not_found' END AS email_validation,
+  CASE WHEN lg.log IS NULL THEN '' ELSE lg.log || '→' END
+    || CASE WHEN w2.email IS NULL THEN 'not_found' ELSE 'accepted' END AS email_waterfall_log
+  FROM customer c LEFT JOIN w2 ON c.c_custkey = w2.contact_id LEFT JOIN lg ON c.c_custkey = lg.contact_id)"""
+
+
+def _answers(spark, d):
+    r = results_src(spark, d)
+    sem = (r.select("provider").distinct()
+           .select("provider", F.explode(F.array(
+               *[F.struct(F.lit(a).alias("raw_status"), F.lit(b).alias("verdict"))
+                 for a, b in (("verified", "accept"), ("guessed", "reverify"), ("unavailable", "miss"))])).alias("_s"))
+           .select("provider", "_s.raw_status", "_s.verdict"))
+    fl = F.floor("totalprice").cast("bigint") % 3
+    val = r.where(F.col("raw_status") == "guessed").select(
+        "email", F.when(fl == 0, "invalid").when(fl == 1, "valid").otherwise("catch_all").alias("status"))
+    return reverify(classify_answers(r, sem), val)
+
+
+def _email_wf(spark, d):
+    cust = read_table(spark, d, "customer").select(F.col("c_custkey").alias("contact_id"))
+    return email_waterfall(cust, _answers(spark, d))
+
+
+@register("w3_email_waterfall", f"WITH {RES_CTE} SELECT * FROM ew")
+def q_w3(spark, d):
+    return _email_wf(spark, d)
+
+
+@register("j11_reverify", f"WITH {RES_CTE} SELECT ord, contact_id, verdict FROM cl")
+def q_j11(spark, d):
+    return _answers(spark, d).select("ord", "contact_id", "verdict")
+
+
+@register("t2_advance_not_found", f"""WITH {RES_CTE}
+SELECT contact_id AS id, 'email_enriched' AS stage, email, email_source,
+  TIMESTAMP '{NOW}' AS email_enriched_at FROM ew""")
+def q_t2(spark, d):
+    cust = read_table(spark, d, "customer").select(
+        F.lit(1).cast("bigint").alias("list_id"), F.col("c_custkey").alias("id"), F.lit("qualified").alias("stage"),
+        F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("email_source"),
+        F.lit(None).cast("timestamp_ntz").alias("email_enriched_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    upd = _email_wf(spark, d).select(F.lit(1).cast("bigint").alias("list_id"), F.col("contact_id").alias("id"),
+                                     F.lit("email_enriched").alias("stage"), "email", "email_source")
+    return advance_stage(cust, upd, NOW).select("id", "stage", "email", "email_source", "email_enriched_at")
+
+
+@register("a10_waterfall_report", f"""WITH {RES_CTE},
+a AS (SELECT provider, count(*) FILTER (WHERE email IS NOT NULL) AS found, count(*) FILTER (WHERE verdict = 'miss') AS rejected
+  FROM cl GROUP BY 1),
+w AS (SELECT email_source AS provider, count(*) AS accepted, count(*) FILTER (WHERE email_validation = 'reverified') AS reverified
+  FROM ew WHERE email_source <> 'not_found' GROUP BY 1)
+SELECT provider, CAST(coalesce(found, 0) AS BIGINT) AS found, CAST(coalesce(rejected, 0) AS BIGINT) AS rejected,
+  CAST(coalesce(accepted, 0) AS BIGINT) AS accepted, CAST(coalesce(reverified, 0) AS BIGINT) AS reverified
+FROM a FULL JOIN w USING (provider)""")
+def q_a10(spark, d):
+    return waterfall_report(_answers(spark, d), _email_wf(spark, d))
+
+
+PHONE_CTE = f"""r AS ({duck(V_RESULTS)}),
+pa AS (SELECT ord, contact_id, provider, rank,
+  '+49' || CAST(contact_id AS VARCHAR) || lpad(CAST(ord % 1000 AS VARCHAR), 3, '0') AS phone,
+  CASE ord % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'direct_dial' ELSE 'switchboard' END AS phone_type,
+  CASE raw_status WHEN 'verified' THEN 'valid' WHEN 'guessed' THEN 'invalid' END AS validation FROM r),
+pk AS (SELECT *, (CASE phone_type WHEN 'mobile' THEN 1 WHEN 'direct_dial' THEN 2 ELSE 3 END) * 1000000000000000
+  + rank * 1000000000000 + ord AS k FROM pa WHERE validation = 'valid' OR validation IS NULL),
+pw AS (SELECT contact_id, arg_min(phone, k) AS phone, arg_min(phone_type, k) AS phone_type,
+  arg_min(provider, k) AS provider, arg_min(coalesce(validation, 'unvalidated'), k) AS validation FROM pk GROUP BY 1)"""
+
+
+def _phone_answers(spark, d):
+    r = results_src(spark, d)
+    t = F.col("ord") % 3
+    return r.select("ord", "contact_id", "provider", "rank",
+                    F.concat(F.lit("+49"), F.col("contact_id").cast("string"),
+                             F.lpad((F.col("ord") % 1000).cast("string"), 3, "0")).alias("phone"),
+                    F.when(t == 0, "mobile").when(t == 1, "direct_dial").otherwise("switchboard").alias("phone_type"),
+                    F.when(F.col("raw_status") == "verified", "valid").when(F.col("raw_status") == "guessed", "invalid")
+                    .alias("validation"))
+
+
+@register("w4_phone_waterfall", f"""WITH {PHONE_CTE}
+SELECT c.c_custkey AS contact_id, pw.phone, pw.phone_type, coalesce(pw.provider, 'not_found') AS phone_source,
+  coalesce(pw.validation, 'not_found') AS phone_validation,
+  coalesce(pw.validation = 'unvalidated' OR pw.phone_type = 'switchboard', false) AS flagged
+FROM customer c LEFT JOIN pw ON c.c_custkey = pw.contact_id""")
+def q_w4(spark, d):
+    cust = read_table(spark, d, "customer").select(F.col("c_custkey").alias("contact_id"))
+    return phone_waterfall(cust, _phone_answers(spark, d))
+
+
+@register("w5_assign_batches", f"""WITH {CONTACTS_CTE}
+SELECT list_id, id, CAST((row_number() OVER (PARTITION BY list_id ORDER BY ord) - 1) // 100 AS BIGINT) AS batch_no,
+  CAST((row_number() OVER (PARTITION BY list_id ORDER BY ord) - 1) % 100 AS BIGINT) AS batch_pos FROM contacts""")
+def q_w5(spark, d):
+    return assign_batches(contacts(spark, d), 100).select("list_id", "id", "batch_no", "batch_pos")
+
+
+@register("w6_assign_senders", f"""WITH {CONTACTS_CTE},
+acc AS (SELECT n_name AS account_id, row_number() OVER (ORDER BY n_nationkey) AS slot
+  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'),
+l AS (SELECT list_id, id, (row_number() OVER (PARTITION BY list_id ORDER BY ord) - 1) % (SELECT count(*) FROM acc) + 1 AS slot
+  FROM contacts)
+SELECT l.list_id, l.id, acc.account_id FROM l LEFT JOIN acc USING (slot)""")
+def q_w6(spark, d):
+    n = read_table(spark, d, "nation")
+    r = read_table(spark, d, "region").where(F.col("r_name") == "EUROPE")
+    acc = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("account_id"),
+                                                           F.col("n_nationkey").alias("account_ord"))
+    return assign_senders(contacts(spark, d), acc).select("list_id", "id", "account_id")
+
+
+@register("w9_best_contact", f"""WITH {CONTACTS_CTE}
+SELECT list_id, company_name, id FROM contacts
+QUALIFY row_number() OVER (PARTITION BY list_id, company_name ORDER BY qualification_score DESC, ord) = 1""")
+def q_w9(spark, d):
+    return best_contact(contacts(spark, d), "qualification_score", ["list_id", "company_name"]).select(
+        "list_id", "company_name", "id")
+
+
+@register("f5_split_submittable", f"""WITH {CONTACTS_CTE}
+SELECT list_id, id, ord, CASE WHEN company_domain = '' OR company_domain IS NULL THEN 'empty_domain' END AS reason
+FROM contacts""")
+def q_f5(spark, d):
+    sub, exc = split_submittable(contacts(spark, d))
+    return sub.withColumn("reason", F.lit(None).cast("string")).unionByName(exc).select("list_id", "id", "ord", "reason")
+
+
+F6_INPUT = ("SELECT ord, first_name, last_name, linkedin_url, company_domain, user_id, "
+            "CASE WHEN ord % 2 = 0 THEN 'e' || CAST(ord AS STRING) || '@x.example' END AS email FROM h")
+
+
+@register("f6_match_key", f"""WITH {HITS_CTE}, x AS ({F6_INPUT}),
+y AS (SELECT *, coalesce(linkedin_url <> '' AND NOT contains(lower(linkedin_url), '/in/acw'), false) AS vanity,
+  coalesce(company_domain, '') <> '' AS dom FROM x)
+SELECT ord,
+  CASE WHEN user_id % 6 = 0 THEN 'id' WHEN vanity THEN 'linkedin_url' ELSE 'name+domain' END AS apollo_key,
+  CASE WHEN vanity THEN 'linkedin_url' WHEN dom THEN 'domain+full_name' END AS aiark_phone_key,
+  CASE WHEN NOT vanity AND NOT dom THEN 'no_phone_key' END AS aiark_excluded,
+  CASE WHEN dom THEN 'name+domain' ELSE 'full_name+company_name' END AS lm_email_key,
+  CASE WHEN vanity THEN 'profile_url' WHEN email IS NOT NULL THEN 'work_email' END AS lm_phone_key
+FROM y""")
+def q_f6(spark, d):
+    h = hits(spark, d)
+    x = spark.sql(F6_INPUT.replace("FROM h", "FROM {h}"), h=h).withColumn(
+        "provider_ids", F.when(F.col("user_id") % 6 == 0, F.create_map(F.lit("apollo"),
+                                                                       F.concat(F.lit("ap"), F.col("user_id").cast("string")))))
+    a = choose_match_key(x, "apollo").select("ord", F.col("match_key").alias("apollo_key"))
+    b = choose_match_key(x, "ai-ark", "phone_enrich").select("ord", F.col("match_key").alias("aiark_phone_key"),
+                                                              F.col("excluded").alias("aiark_excluded"))
+    c = choose_match_key(x, "leadmagic").select("ord", F.col("match_key").alias("lm_email_key"))
+    e = choose_match_key(x, "leadmagic", "phone_enrich").select("ord", F.col("match_key").alias("lm_phone_key"))
+    return a.join(b, "ord").join(c, "ord").join(e, "ord")
+
+
+@register("j10_align_results", f"""WITH {CONTACTS_CTE},
+b AS (SELECT list_id, id, ord, (row_number() OVER (PARTITION BY list_id ORDER BY ord) - 1) // 100 AS batch_no,
+  (row_number() OVER (PARTITION BY list_id ORDER BY ord) - 1) % 100 AS batch_pos FROM contacts),
+n AS (SELECT *, count(*) OVER (PARTITION BY list_id, batch_no) AS n FROM b)
+SELECT list_id, id, CAST(batch_no AS BIGINT) AS batch_no, CAST(batch_pos AS BIGINT) AS batch_pos,
+  CASE WHEN batch_pos < n - 3 THEN 'ans' || CAST(ord AS VARCHAR) END AS answer FROM n""")
+def q_j10(spark, d):
+    from pyspark.sql import Window
+    sub = assign_batches(contacts(spark, d), 100).select("list_id", "id", "ord", "batch_no", "batch_pos")
+    n = sub.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("list_id", "batch_no")))
+    ans = (n.where(F.col("batch_pos") < F.col("_n") - 3)
+           .groupBy("list_id", "batch_no")
+           .agg(F.array_sort(F.collect_list(F.struct("batch_pos", F.concat(F.lit("ans"), F.col("ord").cast("string")).alias("a"))))
+                .alias("_s"))
+           .select("list_id", "batch_no", F.to_json(F.transform("_s", lambda x: x["a"])).alias("items")))
+    return align_results(sub, ans).select("list_id", "id", "batch_no", "batch_pos", "answer")
+
+
+COST_SQL = f"""WITH {CONTACTS_CTE},
+kk AS (SELECT *, coalesce(company_domain, '') <> '' AS sub,
+  coalesce(linkedin_url <> '' AND NOT contains(lower(linkedin_url), '/in/acw'), false) AS vanity FROM contacts),
+cost AS (SELECT list_id, count(*) FILTER (WHERE sub) AS fullenrich_submittable,
+  count(*) FILTER (WHERE NOT sub) AS fullenrich_excluded_empty_domain,
+  CAST(count(*) FILTER (WHERE sub) AS BIGINT) AS fullenrich_email_credits,
+  CAST(count(*) FILTER (WHERE sub) * 10 AS BIGINT) AS fullenrich_phone_credits,
+  CAST(count(*) AS BIGINT) AS aiark_email_credits,
+  CAST(count(*) FILTER (WHERE vanity OR sub) AS BIGINT) AS aiark_phone_credits,
+  CAST(count(*) FILTER (WHERE NOT (vanity OR sub)) AS BIGINT) AS aiark_phone_excluded,
+  CAST(0.02 + count(*) * 0.004 AS DECIMAL(10, 2)) AS apify_usd FROM kk GROUP BY list_id)"""
+
+
+@register("a6_estimate_cost", COST_SQL + " SELECT * FROM cost")
+def q_a6(spark, d):
+    return estimate_cost(contacts(spark, d))
+
+
+@register("a7_spend_gate", COST_SQL + """
+SELECT list_id, CAST(fullenrich_submittable AS BIGINT) AS contacts, fullenrich_phone_credits AS credits,
+  CASE WHEN fullenrich_phone_credits > 3000 THEN 'blocked'
+       WHEN fullenrich_submittable > 50 OR fullenrich_phone_credits > 500 THEN 'confirm' ELSE 'proceed' END AS decision
+FROM cost""")
+def q_a7(spark, d):
+    c = estimate_cost(contacts(spark, d)).select(
+        "list_id", F.col("fullenrich_submittable").cast("bigint").alias("contacts"),
+        F.col("fullenrich_phone_credits").alias("credits"))
+    return gate(c, 50, 500, 3000)
+
+
+@register("a14_coverage_report", f"""WITH {CONTACTS_CTE},
+kk AS (SELECT *, coalesce(linkedin_url <> '' AND NOT contains(lower(linkedin_url), '/in/acw'), false) AS vanity,
+  coalesce(company_domain, '') <> '' AS dom FROM contacts)
+SELECT list_id, count(*) AS rows, count(*) FILTER (WHERE vanity) AS with_linkedin,
+  count(*) FILTER (WHERE coalesce(contains(lower(linkedin_url), '/in/acw'), false)) AS member_id_urls,
+  count(*) FILTER (WHERE NOT vanity AND dom) AS name_domain_only,
+  count(*) FILTER (WHERE NOT vanity AND NOT dom) AS no_key FROM kk GROUP BY list_id""")
+def q_a14(spark, d):
+    return coverage_report(contacts(spark, d))
