@@ -1216,3 +1216,376 @@ SELECT list_id, count(*) AS rows, count(*) FILTER (WHERE vanity) AS with_linkedi
   count(*) FILTER (WHERE NOT vanity AND NOT dom) AS no_key FROM kk GROUP BY list_id""")
 def q_a14(spark, d):
     return coverage_report(contacts(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# Qualification: Q1–Q5, T3, U2, A9 (titles from part, firmographics from v_companies)
+# ---------------------------------------------------------------------------
+from rosterline.operators.qualify import (apply_qualification, qualify, qualify_report, score_company,  # noqa: E402
+                                          score_completeness, score_novelty, score_persona, union_titles)
+
+PERSONA_SENIORITY = [("Economic Buyer", "ECONOMY"), ("Economic Buyer", "PROMO"),
+                     ("Compliance Champion", "SMALL"), ("Compliance Champion", "MEDIUM")]
+Q_EXCLUDE_TITLES = ["old"]
+
+
+def _prospects(spark, d):
+    h = hits(spark, d)
+    part = read_table(spark, d, "part").select(F.col("p_partkey").alias("user_id"), F.col("p_name").alias("title"),
+                                               F.col("p_type").alias("seniority"))
+    comp = companies_src(spark, d).select(F.col("ord").alias("_cord"), "employees", "region")
+    t = _touches(spark, d)
+    master = rollup_master(t.where(F.col("ts") < F.lit(BATCH_SPLIT).cast("timestamp_ntz")))
+    x = (h.join(part, "user_id", "left").join(comp, (h.user_id % 40) == F.col("_cord"), "left").drop("_cord"))
+    x = crossref_master(x, master, "linkedin_url").withColumnRenamed("status", "db_status")
+    rt = spark.createDataFrame(ROLE_TITLES, "role string, title string, provenance string")
+    ps = spark.createDataFrame(PERSONA_SENIORITY, "role string, seniority string")
+    x = score_persona(x, rt, ps, senses=["gizmo"])
+    x = score_completeness(score_company(x, a_region="EUROPE"))
+    x = score_novelty(x)
+    kept, skipped = apply_exclusions(x, Q_EXCLUDE_TITLES)
+    return qualify(kept.unionByName(skipped))
+
+
+PROSPECTS_CTE = MASTER_CTE + f""",
+pv AS (SELECT ord AS cord, employees, region FROM ({duck(V_COMPANIES)})),
+pr AS (SELECT h.* EXCLUDE (qualification_score), p.p_name AS title, p.p_type AS seniority, pv.employees, pv.region,
+  CASE WHEN m.linkedin_url_normalized IS NULL THEN 'new' WHEN m.has_unsubscribed THEN 'unsubscribed'
+    WHEN m.has_bounced AND NOT m.has_replied THEN 'bounced' WHEN m.overall_status = 'interested' THEN 'interested'
+    WHEN m.has_replied THEN 'replied' ELSE 'previously_contacted' END AS db_status
+  FROM h LEFT JOIN part p ON h.user_id = p.p_partkey LEFT JOIN pv ON h.user_id % 40 = pv.cord
+  LEFT JOIN master m ON {N1_SQL.format(u='h.linkedin_url')} = m.linkedin_url_normalized),
+sc AS (SELECT *,
+  CASE WHEN regexp_matches(title, '(^|[^a-z0-9])gizmo([^a-z0-9]|$)') THEN 0
+       WHEN title IN ('red widget', 'small ring', 'old bolt') AND
+            (seniority IN ('SMALL', 'MEDIUM') OR (title = 'red widget' AND seniority IN ('ECONOMY', 'PROMO'))) THEN 4
+       WHEN title IN ('blue bolt', 'hot gear') AND seniority IN ('ECONOMY', 'PROMO') THEN 4
+       WHEN title IN ('red widget', 'small ring', 'old bolt', 'blue bolt', 'hot gear') THEN 2 ELSE 0 END AS persona_points,
+  CASE WHEN title IN ('red widget', 'small ring', 'old bolt') AND seniority IN ('SMALL', 'MEDIUM') THEN 'Compliance Champion'
+       WHEN title = 'red widget' AND seniority IN ('ECONOMY', 'PROMO') THEN 'Economic Buyer'
+       WHEN title IN ('red widget', 'small ring', 'old bolt') THEN 'Compliance Champion'
+       WHEN title IN ('blue bolt', 'hot gear') THEN 'Economic Buyer' END AS matched_persona,
+  CASE WHEN employees BETWEEN 200 AND 2000 AND region = 'EUROPE' THEN 'A' WHEN employees >= 50 AND employees < 200 THEN 'B'
+       ELSE 'C' END AS company_segment,
+  (coalesce(linkedin_url <> '', false))::INT + (coalesce(company_domain <> '', false))::INT AS completeness_points,
+  CASE WHEN db_status = 'new' THEN 1 ELSE 0 END AS novelty_points,
+  CASE WHEN regexp_matches(title, '(^|[^a-z0-9])old([^a-z0-9]|$)') THEN 'excluded_title' END AS exclusion_reason
+  FROM pr),
+q AS (SELECT *, CASE company_segment WHEN 'A' THEN 3 WHEN 'B' THEN 2 ELSE 0 END AS company_points FROM sc),
+qs AS (SELECT *, CASE WHEN exclusion_reason IS NULL THEN persona_points + company_points + completeness_points + novelty_points END
+    AS qualification_score,
+  CASE WHEN exclusion_reason IS NOT NULL THEN 'SKIP'
+       WHEN persona_points + company_points + completeness_points + novelty_points >= 7 THEN 'QUALIFY'
+       WHEN persona_points + company_points + completeness_points + novelty_points >= 4 THEN 'MAYBE' ELSE 'SKIP' END
+    AS qualification_status FROM q),
+t3 AS (SELECT *, qualification_status = 'QUALIFY' OR (qualification_status = 'MAYBE' AND qualification_score >= 5) AS ok FROM qs),
+t3o AS (SELECT *, CASE WHEN ok THEN 'qualified' ELSE 'skipped' END AS stage, CASE WHEN ok THEN 'yes' ELSE 'no' END AS enrich_recommended,
+  CASE WHEN ok THEN NULL WHEN exclusion_reason IS NOT NULL THEN exclusion_reason
+       WHEN qualification_status = 'MAYBE' THEN 'maybe_rejected' ELSE 'low_score' END AS qualification_notes FROM t3)"""
+
+
+@register("q1_score_persona", f"WITH {PROSPECTS_CTE} SELECT ord, persona_points, matched_persona FROM sc")
+def q_q1(spark, d):
+    return _prospects(spark, d).select("ord", "persona_points", "matched_persona")
+
+
+@register("q2_score_company", f"WITH {PROSPECTS_CTE} SELECT ord, company_segment, company_points FROM q")
+def q_q2(spark, d):
+    return _prospects(spark, d).select("ord", "company_segment", "company_points")
+
+
+@register("q3_score_completeness", f"WITH {PROSPECTS_CTE} SELECT ord, completeness_points FROM sc")
+def q_q3(spark, d):
+    return _prospects(spark, d).select("ord", "completeness_points")
+
+
+@register("q4_score_novelty", f"WITH {PROSPECTS_CTE} SELECT ord, db_status, novelty_points FROM sc")
+def q_q4(spark, d):
+    return _prospects(spark, d).select("ord", "db_status", "novelty_points")
+
+
+@register("q5_qualify", f"WITH {PROSPECTS_CTE} SELECT ord, qualification_score, qualification_status FROM qs")
+def q_q5(spark, d):
+    return _prospects(spark, d).select("ord", "qualification_score", "qualification_status")
+
+
+@register("t3_apply_qualification", f"WITH {PROSPECTS_CTE} SELECT ord, stage, enrich_recommended, qualification_notes FROM t3o")
+def q_t3(spark, d):
+    p = _prospects(spark, d)
+    return apply_qualification(p, F.col("qualification_score") >= 5).select(
+        "ord", "stage", "enrich_recommended", "qualification_notes")
+
+
+@register("a9_qualify_report", f"""WITH {PROSPECTS_CTE}
+SELECT 'tier' AS dim, qualification_status AS value, CAST(count(*) AS BIGINT) AS n FROM t3o GROUP BY 2
+UNION ALL SELECT 'segment', company_segment, count(*) FROM t3o GROUP BY 2
+UNION ALL SELECT 'persona', coalesce(matched_persona, '(none)'), count(*) FROM t3o GROUP BY 2""")
+def q_a9(spark, d):
+    p = _prospects(spark, d)
+    sets, _ = qualify_report(apply_qualification(p, F.col("qualification_score") >= 5))
+    return sets
+
+
+@register("a9_top_skip_reasons", f"""WITH {PROSPECTS_CTE}
+SELECT qualification_notes, CAST(count(*) AS BIGINT) AS n FROM t3o WHERE qualification_notes IS NOT NULL
+GROUP BY 1 ORDER BY n DESC, qualification_notes LIMIT 3""")
+def q_a9b(spark, d):
+    p = _prospects(spark, d)
+    _, reasons = qualify_report(apply_qualification(p, F.col("qualification_score") >= 5))
+    return reasons
+
+
+@register("u2_union_titles", f"""WITH pt(title) AS (VALUES {", ".join(f"('{t}')" for _, t, _ in ROLE_TITLES)}),
+u AS (SELECT lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS title, 'persona' AS provenance FROM pt
+  UNION ALL SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))), 'profile' FROM part WHERE p_type = 'LARGE')
+SELECT title, min(provenance) AS provenance FROM u GROUP BY title""")
+def q_u2(spark, d):
+    rt = spark.createDataFrame(ROLE_TITLES, "role string, title string, provenance string")
+    prof = read_table(spark, d, "part").where(F.col("p_type") == "LARGE").select(F.col("p_name").alias("title"))
+    return union_titles(rt, prof)
+
+
+# ---------------------------------------------------------------------------
+# Pooling and dedup: W7, A8, A2, A3, A4
+# ---------------------------------------------------------------------------
+from rosterline.operators.dedupe import (companies_from_people, dedupe_companies, dedupe_contacts,  # noqa: E402
+                                         source_report)
+from rosterline.operators.waterfall import union_search  # noqa: E402
+
+SOURCES = ["view", "click", "purchase", "signup", "error"]
+
+
+def _pooled(spark, d):
+    h = hits(spark, d).withColumn("linkedin_url_normalized", normalize_linkedin_url("linkedin_url"))
+    frames = [h.where(F.col("source") == s) for s in SOURCES]
+    wf = spark.createDataFrame([(s, i + 1) for i, s in enumerate(SOURCES)], "provider string, rank int")
+    return union_search(frames, wf)
+
+
+POOL_CTE = f"""WITH {HITS_CTE},
+k AS (SELECT *, {N1_SQL.format(u='linkedin_url')} AS u,
+  CASE source WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS wr FROM h),
+f AS (SELECT u, arg_min(ord, wr * 1000000000000 + ord) AS ford FROM k WHERE u IS NOT NULL GROUP BY u),
+pool AS (SELECT k.*, (k.u IS NULL OR k.ord = f.ford) AS net_new FROM k LEFT JOIN f USING (u))"""
+
+
+@register("w7_union_search", POOL_CTE + " SELECT ord, source, net_new FROM pool")
+def q_w7(spark, d):
+    return _pooled(spark, d).select("ord", "source", "net_new")
+
+
+@register("a8_source_report", POOL_CTE + """
+SELECT source, CAST(count(*) AS BIGINT) AS found, CAST(count(*) FILTER (WHERE net_new) AS BIGINT) AS net_new
+FROM pool GROUP BY source""")
+def q_a8(spark, d):
+    return source_report(_pooled(spark, d))
+
+
+A2_FIELDS = ["company_name", "company_domain", "industry", "country"]
+A2_INPUT = ("SELECT list_id, ord, CASE WHEN ord % 4 = 0 THEN upper(company_name) ELSE company_name END AS company_name, "
+            "company_domain, CASE WHEN ord % 3 = 0 THEN NULL ELSE source END AS industry, "
+            "CASE WHEN ord % 7 = 0 THEN 'DE' END AS country FROM h")
+
+
+@register("a2_dedupe_companies", f"""WITH {HITS_CTE}, x AS ({A2_INPUT}),
+y AS (SELECT *, {N2_SQL.format(u='company_domain')} AS dk, {N3_SQL.format(n='company_name')} AS nk,
+  (company_name IS NOT NULL AND trim(company_name) <> '')::INT + (company_domain IS NOT NULL AND trim(company_domain) <> '')::INT
+  + (industry IS NOT NULL AND trim(industry) <> '')::INT + (country IS NOT NULL AND trim(country) <> '')::INT AS filled FROM x),
+p1 AS (SELECT * FROM y WHERE dk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY list_id, dk ORDER BY filled DESC, ord) = 1
+  UNION ALL SELECT * FROM y WHERE dk IS NULL)
+SELECT list_id, nk AS name_key, ord, company_domain, filled FROM p1
+QUALIFY row_number() OVER (PARTITION BY list_id, nk ORDER BY filled DESC, ord) = 1""")
+def q_a2(spark, d):
+    x = spark.sql(A2_INPUT.replace("FROM h", "FROM {h}"), h=hits(spark, d))
+    return dedupe_companies(x, A2_FIELDS, ["list_id"]).select("list_id", "name_key", "ord", "company_domain", "filled")
+
+
+A3_FIELDS = ["first_name", "last_name", "company_name", "company_domain", "title"]
+
+
+@register("a3_dedupe_contacts", f"""WITH {HITS_CTE},
+x AS (SELECT list_id, ord, first_name, CASE WHEN ord % 3 = 0 THEN NULL ELSE last_name END AS last_name, company_name,
+  company_domain, source AS title, source AS prov, 'id' || CAST(ord AS VARCHAR) AS pid,
+  coalesce({N1_SQL.format(u='linkedin_url')}, 'name:' || concat_ws('|', first_name, CASE WHEN ord % 3 = 0 THEN NULL ELSE last_name END,
+    company_name, source)) AS dedup_key FROM h),
+y AS (SELECT *, (first_name IS NOT NULL AND trim(first_name) <> '')::INT + (last_name IS NOT NULL AND trim(last_name) <> '')::INT
+  + (company_name IS NOT NULL AND trim(company_name) <> '')::INT + (company_domain IS NOT NULL AND trim(company_domain) <> '')::INT
+  + (title IS NOT NULL AND trim(title) <> '')::INT AS filled FROM x),
+ids AS (SELECT list_id, dedup_key, count(DISTINCT prov) AS n_ids, arg_min(pid, ord) FILTER (WHERE prov = 'view') AS view_id
+  FROM y GROUP BY ALL)
+SELECT y.list_id, y.dedup_key, y.ord, y.filled, CAST(ids.n_ids AS INTEGER) AS n_ids, ids.view_id FROM y JOIN ids USING (list_id, dedup_key)
+QUALIFY row_number() OVER (PARTITION BY y.list_id, y.dedup_key ORDER BY y.filled DESC, y.ord) = 1""")
+def q_a3(spark, d):
+    h = hits(spark, d)
+    x = h.select("list_id", "ord", "first_name",
+                 F.when(F.col("ord") % 3 != 0, F.col("last_name")).alias("last_name"), "company_name", "company_domain",
+                 F.col("source").alias("title"), "linkedin_url",
+                 F.create_map(F.col("source"), F.concat(F.lit("id"), F.col("ord").cast("string"))).alias("provider_ids"))
+    out = dedupe_contacts(x, A3_FIELDS, ["list_id"])
+    return out.select("list_id", "dedup_key", "ord", "filled", F.size("provider_ids").alias("n_ids"),
+                      F.try_element_at("provider_ids", F.lit("view")).alias("view_id"))
+
+
+@register("a4_companies_from_people", f"""WITH {HITS_CTE},
+x AS (SELECT *, coalesce({N2_SQL.format(u='company_domain')}, {N3_SQL.format(n='company_name')}) AS company_key FROM h
+  WHERE source IN ('view', 'click', 'purchase') AND company_name IN ('Company 1', 'Company 2'))
+SELECT list_id, company_key, CAST(count(*) AS BIGINT) AS people, arg_min(company_name, ord) AS company_name,
+  min(ord) AS first_ord FROM x GROUP BY ALL""")
+def q_a4(spark, d):
+    return companies_from_people(hits(spark, d), ["view", "click", "purchase"], ["company 1", "company 2"],
+                                 industry_col="source", group=["list_id"])
+
+
+# ---------------------------------------------------------------------------
+# Activation: F7, F8, A11
+# ---------------------------------------------------------------------------
+from rosterline.operators.activate import push_report, to_lead, usable_leads  # noqa: E402
+
+LEAD_INPUT = ("SELECT list_id, ord, first_name, last_name, company_name, company_domain, linkedin_url, "
+              "CASE WHEN ord % 3 = 0 THEN NULL WHEN ord % 3 = 1 THEN '' ELSE first_name || '@x.example' END AS email, "
+              "source AS title, CAST(NULL AS STRING) AS phone FROM h")
+
+
+def _leads(spark, d):
+    return spark.sql(LEAD_INPUT.replace("FROM h", "FROM {h}"), h=hits(spark, d))
+
+
+@register("f7_usable_leads", f"""WITH {HITS_CTE}, x AS ({LEAD_INPUT.replace('STRING', 'VARCHAR')})
+SELECT ord, 'email' AS channel FROM x WHERE coalesce(email <> '', false) OR coalesce(linkedin_url <> '', false)
+UNION ALL SELECT ord, 'linkedin' FROM x WHERE coalesce(linkedin_url <> '', false)""")
+def q_f7(spark, d):
+    x = _leads(spark, d)
+    return (usable_leads(x, "email").select("ord", F.lit("email").alias("channel"))
+            .unionByName(usable_leads(x, "linkedin").select("ord", F.lit("linkedin").alias("channel"))))
+
+
+def _json_field(name, expr):
+    return f"""CASE WHEN coalesce({expr}, '') <> '' THEN '"{name}":' || to_json({expr}) END"""
+
+
+@register("f8_to_lead", f"""WITH {HITS_CTE}, x AS ({LEAD_INPUT.replace('STRING', 'VARCHAR')})
+SELECT ord, '{{' || concat_ws(',', {_json_field('email', 'email')}, {_json_field('firstName', 'first_name')},
+  {_json_field('lastName', 'last_name')}, {_json_field('companyName', 'company_name')}, {_json_field('jobTitle', 'title')},
+  {_json_field('linkedinUrl', 'linkedin_url')}, {_json_field('phone', 'phone')},
+  {_json_field('companyDomain', 'company_domain')}) || '}}' AS lead FROM x""")
+def q_f8(spark, d):
+    return to_lead(_leads(spark, d), "lemlist").select("ord", "lead")
+
+
+RESP_INPUT = ("SELECT list_id, ord AS pos, coalesce(linkedin_url, first_name) AS lead_key, "
+              "CASE source WHEN 'error' THEN 500 WHEN 'signup' THEN 200 ELSE 201 END AS code, "
+              "CASE source WHEN 'error' THEN 'server error ' || CAST(ord AS STRING) WHEN 'signup' THEN "
+              "'Lead already in the campaign' ELSE 'ok' END AS body FROM h")
+
+
+@register("a11_push_report", f"""WITH {HITS_CTE}, x AS ({RESP_INPUT.replace('STRING', 'VARCHAR')})
+SELECT list_id, CAST(count(*) FILTER (WHERE code IN (200, 201) AND NOT contains(lower(body), 'already in the campaign')) AS BIGINT) AS imported,
+  CAST(count(*) FILTER (WHERE contains(lower(body), 'already in the campaign')) AS BIGINT) AS skipped_existing,
+  CAST(count(*) FILTER (WHERE NOT (code IN (200, 201) OR contains(lower(body), 'already in the campaign'))) AS BIGINT) AS failed
+FROM x GROUP BY list_id""")
+def q_a11(spark, d):
+    x = spark.sql(RESP_INPUT.replace("FROM h", "FROM {h}"), h=hits(spark, d))
+    counts, _ = push_report(x)
+    return counts
+
+
+@register("a11_push_errors", f"""WITH {HITS_CTE}, x AS ({RESP_INPUT.replace('STRING', 'VARCHAR')})
+SELECT list_id, pos, lead_key, code, substr(body, 1, 150) AS body FROM x
+WHERE NOT (code IN (200, 201) OR contains(lower(body), 'already in the campaign'))
+QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY pos) <= 20""")
+def q_a11b(spark, d):
+    x = spark.sql(RESP_INPUT.replace("FROM h", "FROM {h}"), h=hits(spark, d))
+    _, errors = push_report(x)
+    return errors
+
+
+# ---------------------------------------------------------------------------
+# Text scan and look-alikes: F12, O3, N22 (seed reasons)
+# ---------------------------------------------------------------------------
+from rosterline.operators.similar import lookalikes  # noqa: E402
+from rosterline.operators.text import PLACEHOLDER_RE, SCAN_RULES, scan_text  # noqa: E402
+
+F12_DENY = ["lorem", "password"]
+
+
+def _f12_sql(table, id_col):
+    parts = []
+    for name, pat, ci in SCAN_RULES + [("deny_term", t, True) for t in F12_DENY]:
+        ci = ci or name == "credential"
+        cond = f"regexp_matches(line, '{('(?i)' if ci else '') + pat.replace(chr(39), chr(39) * 2)}')"
+        if name == "credential":
+            cond += f" AND NOT regexp_matches(line, '(?i){PLACEHOLDER_RE}')"
+        parts.append(f"SELECT {id_col}, '{name}' AS rule, line_no, line FROM l WHERE {cond}")
+    return (f"""WITH s AS (SELECT {id_col}, string_split(text, chr(10)) AS arr FROM {table}),
+l AS (SELECT {id_col}, generate_subscripts(arr, 1) AS line_no, unnest(arr) AS line FROM s)
+SELECT DISTINCT * FROM (""" + "\nUNION ALL ".join(parts) + ")")
+
+
+@register("f12_scan_documents", _f12_sql("documents", "doc_id"))
+def q_f12(spark, d):
+    return scan_text(read_table(spark, d, "documents"), "doc_id", deny_terms=F12_DENY, ci_credentials=True)
+
+
+@register("f12_scan_conversations", _f12_sql("conversations", "conv_id").replace(
+    "SELECT conv_id, string_split", "SELECT conv_id * 1000 + turn AS conv_id, string_split"))
+def q_f12b(spark, d):
+    c = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), "text")
+    return scan_text(c, "conv_id", deny_terms=F12_DENY, ci_credentials=True)
+
+
+@register("o3_lookalikes", """WITH seeds AS (SELECT e.vec_id AS seed_id, e.embedding AS sv FROM embeddings e
+  JOIN (SELECT min(vec_id) AS vec_id FROM embeddings WHERE label < 5 GROUP BY label) m USING (vec_id)),
+p AS (SELECT s.seed_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(s.sv AS DOUBLE[])) AS sim
+  FROM embeddings e, seeds s WHERE e.vec_id <> s.seed_id)
+SELECT vec_id, seed_id, CAST(rank AS INTEGER) AS rank, round(sim, 4) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY sim DESC, vec_id) AS rank FROM p) WHERE rank <= 10""")
+def q_o3(spark, d):
+    e = read_table(spark, d, "embeddings")
+    seeds = e.join(e.where(F.col("label") < 5).groupBy("label").agg(F.min("vec_id").alias("vec_id")), ["vec_id", "label"])
+    return lookalikes(e, seeds, 10).select("vec_id", "seed_id", "rank", "similarity")
+
+
+# ---------------------------------------------------------------------------
+# SQL surface: V1 (inlined SQL functions), V2 (export table function), V4 (views), F13
+# ---------------------------------------------------------------------------
+from rosterline.functions.normalize import register_sql_functions  # noqa: E402
+from rosterline.operators.upsert import by_provider_id  # noqa: E402
+
+
+@register("v1_sql_functions", f"""SELECT page_id, {N2_SQL.format(u='url')} AS domain_key,
+  {N1_SQL.format(u="'https://www.LinkedIn.com/in/P' || CAST(page_id AS VARCHAR) || '/?x=1'")} AS li_key,
+  {N3_SQL.format(n="'  Page  ' || CAST(page_id AS VARCHAR)")} AS name_key FROM pages""")
+def q_v1(spark, d):
+    register_sql_functions(spark)
+    return spark.sql("""SELECT page_id, normalize_domain(url) AS domain_key,
+        normalize_linkedin_url('https://www.LinkedIn.com/in/P' || CAST(page_id AS STRING) || '/?x=1') AS li_key,
+        normalize_company_name('  Page  ' || CAST(page_id AS STRING)) AS name_key FROM {pages}""",
+                     pages=read_table(spark, d, "pages"))
+
+
+@register("v2_pipeline_export", f"""WITH {CONTACTS_CTE}
+SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY qualification_score DESC NULLS LAST,
+  coalesce(company_name, '') ASC, id ASC) AS BIGINT) AS export_pos, {EXPORT_SQL_COLS}
+FROM contacts WHERE list_id = 2 AND stage IN ('email_enriched', 'phone_enriched')""")
+def q_v2(spark, d):
+    return export(contacts(spark, d), "email_enriched", list_id=2)
+
+
+@register("v4_summary_view", f"""WITH {CONTACTS_CTE}, {LISTS_CTE}
+SELECT l.list_id, l.list_name, CAST(count(c.id) AS BIGINT) AS total_contacts,
+  CAST(count(c.id) FILTER (WHERE c.stage = 'skipped') AS BIGINT) AS skipped
+FROM lists l LEFT JOIN contacts c USING (list_id) GROUP BY ALL""")
+def q_v4(spark, d):
+    list_summary(lists(spark, d), contacts(spark, d)).createOrReplaceTempView("pipeline_list_summary")
+    return spark.sql("SELECT list_id, list_name, total_contacts, skipped FROM pipeline_list_summary")
+
+
+@register("f13_by_provider_id", f"""WITH {HITS_CTE}
+SELECT ord FROM h WHERE user_id % 6 = 0 AND 'ap' || CAST(user_id AS VARCHAR) IN
+  (SELECT 'ap' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey < 12)""")
+def q_f13(spark, d):
+    h = hits(spark, d).withColumn("provider_ids", F.when(
+        F.col("user_id") % 6 == 0, F.create_map(F.lit("apollo"), F.concat(F.lit("ap"), F.col("user_id").cast("string")))))
+    ids = read_table(spark, d, "customer").where(F.col("c_nationkey") < 12).select(
+        F.concat(F.lit("ap"), F.col("c_custkey").cast("string")).alias("provider_id"))
+    return by_provider_id(h, "apollo", ids).select("ord")
