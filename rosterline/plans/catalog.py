@@ -1589,3 +1589,76 @@ def q_f13(spark, d):
     ids = read_table(spark, d, "customer").where(F.col("c_nationkey") < 12).select(
         F.concat(F.lit("ap"), F.col("c_custkey").cast("string")).alias("provider_id"))
     return by_provider_id(h, "apollo", ids).select("ord")
+
+
+# ---------------------------------------------------------------------------
+# Streaming: X1–X5 (events read as a file stream, availableNow trigger; each
+# result must equal the batch oracle on the same input)
+# ---------------------------------------------------------------------------
+from rosterline.streaming.streams import (file_stream, latest_snapshot, run_available_now,  # noqa: E402
+                                          stream_checkpoint, stream_dedupe, stream_funnel, stream_master,
+                                          stream_upsert, stream_valid_track)
+
+
+def _stream_hits(spark, d):
+    return spark.sql(V_HITS, events=file_stream(spark, _os.path.join(d, "events.parquet")))
+
+
+def _memory(spark, df, mode="append"):
+    name = "rl_" + _uuid.uuid4().hex[:12]
+    q = run_available_now(df.writeStream.format("memory").queryName(name).outputMode(mode)
+                          .option("checkpointLocation", stream_checkpoint(spark, name)))
+    q.stop()
+    return spark.table(name)
+
+
+@register("x1_stream_upsert", f"""WITH {CONTACTS_CTE}
+SELECT list_id, id, ord, linkedin_url_normalized, 'sourced' AS stage FROM contacts""")
+def q_x1(spark, d):
+    path = _scratch(spark, "stream-upsert")
+    q = run_available_now(stream_upsert(_stream_hits(spark, d), path, NOW))
+    q.stop()
+    return latest_snapshot(spark, path).select("list_id", "id", "ord", "linkedin_url_normalized", "stage")
+
+
+@register("x2_stream_dedupe", f"""WITH {HITS_CTE},
+k AS (SELECT list_id, {N1_SQL.format(u='linkedin_url')} AS linkedin_url_normalized, ord FROM h)
+SELECT DISTINCT list_id, linkedin_url_normalized, CAST(NULL AS BIGINT) AS null_ord FROM k WHERE linkedin_url_normalized IS NOT NULL
+UNION ALL SELECT list_id, NULL, ord FROM k WHERE linkedin_url_normalized IS NULL""")
+def q_x2(spark, d):
+    out = _memory(spark, stream_dedupe(_stream_hits(spark, d), "30 days"))
+    return out.select("list_id", "linkedin_url_normalized",
+                      F.when(F.col("linkedin_url_normalized").isNull(), F.col("ord")).alias("null_ord"))
+
+
+@register("x3_stream_valid_track", """WITH s AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type = 'view'),
+r AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type = 'click')
+SELECT r.id AS request_id, s.id AS track_id, r.ts AS r_ts, s.ts AS s_ts FROM r JOIN s
+  ON r.user_id = s.user_id AND s.ts <= r.ts AND s.ts >= r.ts - INTERVAL 6 HOUR""")
+def q_x3(spark, d):
+    ev = file_stream(spark, _os.path.join(d, "events.parquet"))
+    s = ev.where(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("id"), "ts")
+    r = ev.where(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("id"), "ts")
+    out = _memory(spark, stream_valid_track(r, s, 6))
+    return out.select("request_id", "track_id", "r_ts", "s_ts")
+
+
+@register("x4_stream_funnel", """SELECT date_trunc('hour', ts) AS window_start, event_type AS stage,
+  CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""")
+def q_x4(spark, d):
+    ev = file_stream(spark, _os.path.join(d, "events.parquet")).withColumnRenamed("event_type", "stage")
+    return _memory(spark, stream_funnel(ev, "ts", "stage"), "complete")
+
+
+@register("x5_stream_master", f"""WITH {MASTER_CTE}
+SELECT linkedin_url_normalized, overall_status, total_campaigns, has_replied, has_bounced, has_unsubscribed,
+  first_contacted_at, last_contacted_at FROM master_all""")
+def q_x5(spark, d):
+    h = _stream_hits(spark, d)
+    t = h.select("linkedin_url", F.expr(TOUCH_STATUS).alias("status"), F.col("seen_at").alias("ts"),
+                 F.col("list_id").alias("campaign_id"))
+    out = _memory(spark, stream_master(t), "complete")
+    return out.select("linkedin_url_normalized",
+                      F.coalesce(F.col("_best.s"), F.lit("contacted")).alias("overall_status"),
+                      "total_campaigns", "has_replied", "has_bounced", "has_unsubscribed",
+                      "first_contacted_at", "last_contacted_at")

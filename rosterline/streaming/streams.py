@@ -32,6 +32,11 @@ __all__ = ["file_stream", "stream_checkpoint", "stream_upsert", "latest_snapshot
            "stream_valid_track", "stream_funnel", "stream_master", "run_available_now"]
 
 
+def _event_time(c: str):
+    """Watermarks need TIMESTAMP; data at rest is TIMESTAMP_NTZ (session time zone UTC)."""
+    return F.col(c).cast("timestamp")
+
+
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "rosterline-streams", f"{name}-{uuid.uuid4().hex}")
 
@@ -93,10 +98,10 @@ def stream_upsert(stream: DataFrame, path: str, now, checkpoint: str | None = No
 def stream_dedupe(stream: DataFrame, delay: str, ts_col: str = "seen_at",
                   keys: tuple = ("list_id", "linkedin_url_normalized")) -> DataFrame:
     """First arrival per key within the watermark delay; NULL keys pass through."""
-    s = stream.withColumn("linkedin_url_normalized", normalize_linkedin_url("linkedin_url")) \
-        .withWatermark(ts_col, delay)
+    s = (stream.withColumn("linkedin_url_normalized", normalize_linkedin_url("linkedin_url"))
+         .withColumn("_et", _event_time(ts_col)).withWatermark("_et", delay))
     keyed = s.where(F.col("linkedin_url_normalized").isNotNull()).dropDuplicatesWithinWatermark(list(keys))
-    return keyed.unionByName(s.where(F.col("linkedin_url_normalized").isNull()))
+    return keyed.unionByName(s.where(F.col("linkedin_url_normalized").isNull())).drop("_et")
 
 
 # --- X3 ---------------------------------------------------------------------
@@ -105,13 +110,13 @@ def stream_valid_track(requests: DataFrame, searches: DataFrame, ttl_hours: int
                        key: str = "user_id") -> DataFrame:
     """Requests joined to searches of the same key issued at most ``ttl_hours``
     earlier; both sides carry watermarks so state older than the TTL is dropped."""
-    r = requests.select(F.col(key).alias("r_key"), F.col("id").alias("request_id"), F.col("ts").alias("r_ts")) \
-        .withWatermark("r_ts", f"{ttl_hours} hours")
-    s = searches.select(F.col(key).alias("s_key"), F.col("id").alias("track_id"), F.col("ts").alias("s_ts")) \
-        .withWatermark("s_ts", f"{ttl_hours} hours")
-    cond = ((F.col("r_key") == F.col("s_key")) & (F.col("s_ts") <= F.col("r_ts")) &
-            (F.col("s_ts") >= F.col("r_ts") - F.expr(f"INTERVAL {ttl_hours} HOURS")))
-    return r.join(s, cond, "inner")
+    r = (requests.select(F.col(key).alias("r_key"), F.col("id").alias("request_id"), F.col("ts").alias("r_ts"))
+         .withColumn("r_et", _event_time("r_ts")).withWatermark("r_et", f"{ttl_hours} hours"))
+    s = (searches.select(F.col(key).alias("s_key"), F.col("id").alias("track_id"), F.col("ts").alias("s_ts"))
+         .withColumn("s_et", _event_time("s_ts")).withWatermark("s_et", f"{ttl_hours} hours"))
+    cond = ((F.col("r_key") == F.col("s_key")) & (F.col("s_et") <= F.col("r_et")) &
+            (F.col("s_et") >= F.col("r_et") - F.expr(f"INTERVAL {ttl_hours} HOURS")))
+    return r.join(s, cond, "inner").drop("r_et", "s_et")
 
 
 # --- X4 ---------------------------------------------------------------------
@@ -119,9 +124,10 @@ def stream_valid_track(requests: DataFrame, searches: DataFrame, ttl_hours: int
 def stream_funnel(stream: DataFrame, ts_col: str, stage_col: str, window: str = "1 hour",
                   delay: str = "1 hour") -> DataFrame:
     """Transitions per stage per tumbling window; rows later than the watermark are dropped."""
-    w = stream.withWatermark(ts_col, delay).groupBy(F.window(ts_col, window).alias("w"), F.col(stage_col))
+    w = (stream.withColumn("_et", _event_time(ts_col)).withWatermark("_et", delay)
+         .groupBy(F.window("_et", window).alias("w"), F.col(stage_col)))
     return w.agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("w.start").alias("window_start"), F.col(stage_col), "n")
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col(stage_col), "n")
 
 
 # --- X5 ---------------------------------------------------------------------
