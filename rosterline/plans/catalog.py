@@ -1662,3 +1662,11 @@ def q_x5(spark, d):
                       F.coalesce(F.col("_best.s"), F.lit("contacted")).alias("overall_status"),
                       "total_campaigns", "has_replied", "has_bounced", "has_unsubscribed",
                       "first_contacted_at", "last_contacted_at")
+
+
+@register("w2_assign_ids", f"""WITH v AS ({duck(V_COMPANIES)})
+SELECT ord, region, CAST(row_number() OVER (PARTITION BY region ORDER BY employees DESC, ord) AS BIGINT) AS id FROM v""")
+def q_w2(spark, d):
+    from rosterline.operators.upsert import assign_ids
+    v = companies_src(spark, d).select("ord", "region", "employees")
+    return assign_ids(v, [F.desc("employees"), F.col("ord")], "region").select("ord", "region", "id")
