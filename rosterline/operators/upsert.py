@@ -204,6 +204,8 @@ def upsert_companies(existing: DataFrame | None, incoming: DataFrame, now) -> Da
     merged = merged.withColumn(
         "updated_at", F.when(F.col("_n_new") > 0, now).otherwise(F.col("updated_at")))
     merged = merged.withColumn("created_at", F.coalesce("created_at", now))
+    # Both the kept and the new rows come from this fold: compute it once.
+    merged = materialize(merged, "companies-fold")
 
     nullkey_new = (inc.where(F.col("company_domain_normalized").isNull())
                    .withColumn("intel", F.coalesce("intel", F.create_map().cast("map<string,string>")))
