@@ -244,10 +244,17 @@ def advance_stage(contacts: DataFrame, updates: DataFrame, now, stage_col: str =
     ``updates`` carries ``list_id``, ``id``, ``stage`` and any allow-listed
     field columns (others are ignored, D4).  The stage timestamp is stamped
     only when empty; ``updated_at`` is bumped; moving backwards is allowed.
-    An unknown stage raises (D5).  Adds ``_updated``.
+    An unknown stage raises (D5).  Adds ``_updated``.  ``updates`` holds at
+    most one row per (list_id, id).
+
+    A changed ``linkedin_url`` recomputes the key (D6); a row whose new key
+    would collide with another row of its list keeps its old URL and is
+    reported in ``_key_conflict``.
     """
     now = F.lit(now).cast("timestamp_ntz") if not isinstance(now, Column) else now
     fields = [c for c in updates.columns if c in ADVANCE_COLS]
+    if "linkedin_url" in fields and "linkedin_url" in contacts.columns:
+        contacts = contacts.withColumn("_old_url", F.col("linkedin_url"))
     u = updates.select("list_id", "id", F.col(stage_col).alias("_new_stage"),
                        *[F.col(c).alias("_u_" + c) for c in fields], F.lit(True).alias("_hit"))
     u = u.withColumn("_new_stage", F.when(F.col("_new_stage").isin(*STAGES), F.col("_new_stage"))
@@ -266,10 +273,27 @@ def advance_stage(contacts: DataFrame, updates: DataFrame, now, stage_col: str =
                                  .otherwise(F.col(ts)))
     out = out.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at")))
     if "linkedin_url" in fields:
-        out = out.withColumn("linkedin_url_normalized", normalize_linkedin_url("linkedin_url"))
+        out = _rekey(out, hit)
     return out.withColumn("_updated", hit).drop("_new_stage", "_hit", *["_u_" + c for c in fields])
 
 
+def _rekey(out: DataFrame, hit: Column) -> DataFrame:
+    """Recompute the URL key; changed rows whose new key is taken revert."""
+    new_key = normalize_linkedin_url("linkedin_url")
+    old_key = F.col("linkedin_url_normalized") if "linkedin_url_normalized" in out.columns \
+        else normalize_linkedin_url("_old_url")
+    out = (out.withColumn("_nk", new_key).withColumn("_ok", old_key)
+           .withColumn("_chg", hit & ~F.col("_nk").eqNullSafe(F.col("_ok"))))
+    taken = (out.where(F.col("_nk").isNotNull()).groupBy("list_id", "_nk")
+             .agg(F.count(F.lit(1)).alias("_cnt")))
+    out = out.join(taken, ["list_id", "_nk"], "left")
+    conflict = F.col("_chg") & F.col("_nk").isNotNull() & (F.coalesce("_cnt", F.lit(0)) > 1)
+    return (out.withColumn("_key_conflict", conflict)
+            .withColumn("linkedin_url", F.when(conflict, F.col("_old_url")).otherwise(F.col("linkedin_url")))
+            .withColumn("linkedin_url_normalized", F.when(conflict, F.col("_ok")).otherwise(F.col("_nk")))
+            .drop("_nk", "_ok", "_chg", "_cnt", "_old_url"))
+
+
 def not_found(ids: DataFrame, contacts: DataFrame) -> DataFrame:
     """Requested (list_id, id) pairs that do not exist, distinct and sorted."""
     return (ids.select("list_id", "id").distinct()

@@ -73,9 +73,14 @@ def email_waterfall(contacts: DataFrame, answers: DataFrame, key: str = "contact
         .alias("_log"))
     label = literal_map(_LABEL)
     out = contacts.join(win, key, "left").join(logs, key, "left")
+    # Bonus data: resolved URL / full last name from any answer, winner or not.
+    bonus = [c for c in ("resolved_linkedin_url", "resolved_last_name") if c in answers.columns]
+    if bonus:
+        b = a.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_rk"))).alias(c) for c in bonus])
+        out = out.join(b, key, "left")
     found = F.col("_w").isNotNull()
     return out.select(
-        *contacts.columns,
+        *contacts.columns, *bonus,
         F.col("_w.email").alias("email"),
         F.when(found, F.col("_w.provider")).otherwise("not_found").alias("email_source"),
         F.when(found, F.try_element_at(label, F.col("_w.verdict"))).otherwise("not_found").alias("email_validation"),

@@ -101,12 +101,15 @@ def to_json_pages(df: DataFrame, page_size: int = 1000, partition_col: str = "li
             .withColumnRenamed("_page", "page"))
 
 
-def to_json_map(df: DataFrame, key: str, value: str, buckets: int = 64) -> DataFrame:
-    """``{key: value}`` objects; duplicate keys are folded first (max value).
+def to_json_map(df: DataFrame, key: str, value: str, page_size: int = 1000) -> DataFrame:
+    """``{key: value}`` objects of at most ``page_size`` keys each.
 
-    Keys are spread over ``buckets`` objects by hash, so no single group holds
-    every key; a reader merges the objects.
+    Duplicate keys are folded first (max value); keys are paged in key order,
+    so no object (and no group) grows with the data.  A reader merges pages.
     """
+    from rosterline.operators.upsert import assign_ids
     kv = df.groupBy(key).agg(F.max(value).alias(value))
-    return (kv.groupBy((F.abs(F.xxhash64(key)) % buckets).alias("bucket"))
+    paged = assign_ids(kv, [key], None, id_col="_pos").withColumn(
+        "page", F.floor((F.col("_pos") - 1) / page_size))
+    return (paged.groupBy("page")
             .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))).alias("json")))

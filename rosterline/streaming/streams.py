@@ -28,7 +28,7 @@ from rosterline.operators.match import MASTER_STATUS_RANK
 from rosterline.operators.upsert import upsert_contacts
 from rosterline.session import checkpoint_dir
 
-__all__ = ["file_stream", "stream_checkpoint", "stream_upsert", "latest_snapshot", "stream_dedupe",
+__all__ = ["file_stream", "stream_checkpoint", "stream_upsert", "upsert_batch_fn", "latest_snapshot", "stream_dedupe",
            "stream_valid_track", "stream_funnel", "stream_master", "run_available_now"]
 
 
@@ -75,9 +75,9 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(os.path.join(path, newest))
 
 
-def stream_upsert(stream: DataFrame, path: str, now, checkpoint: str | None = None):
-    """Continuous J1 upsert into versioned snapshots; replay-safe."""
-    spark = stream.sparkSession
+def upsert_batch_fn(spark: SparkSession, path: str, now):
+    """The ``foreachBatch`` body of X1: J1 against the newest snapshot, written as
+    version ``v=<batch id>``; a batch id that is already committed is skipped."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         target = os.path.join(path, f"v={batch_id}")
@@ -89,6 +89,13 @@ def stream_upsert(stream: DataFrame, path: str, now, checkpoint: str | None = No
         out = upsert_contacts(current, df, now).drop("_inserted")
         out.write.mode("overwrite").parquet(target)
 
+    return batch
+
+
+def stream_upsert(stream: DataFrame, path: str, now, checkpoint: str | None = None):
+    """Continuous J1 upsert into versioned snapshots; replay-safe."""
+    spark = stream.sparkSession
+    batch = upsert_batch_fn(spark, path, now)
     return (stream.writeStream.foreachBatch(batch)
             .option("checkpointLocation", checkpoint or stream_checkpoint(spark, "upsert")))
 

@@ -294,3 +294,59 @@ def test_w8_resolve_waterfall(spark):
 def test_d23_whole_word(spark):
     df = spark.createDataFrame([("Intern",), ("International Sales",)], "t string")
     assert col_values(df.select(F.col("t").rlike(keyword_regex(["intern"])).alias("x")), "x") == [True, False]
+
+
+def test_d6_url_change_collision(spark):
+    c = upsert_contacts(None, _fixture1(spark), NOW).drop("_inserted")
+    # id 3 takes Jane's URL (collision → keeps its old URL); id 4 gets a fresh URL.
+    u = spark.createDataFrame([(1, 3, "sourced", "https://LinkedIn.com/in/jane/"),
+                               (1, 4, "sourced", "https://linkedin.com/in/new")],
+                              "list_id bigint, id bigint, stage string, linkedin_url string")
+    out = {r["id"]: r for r in advance_stage(c, u, NOW).collect()}
+    assert out[3]["_key_conflict"] and out[3]["linkedin_url"] is None
+    assert not out[4]["_key_conflict"] and out[4]["linkedin_url_normalized"] == "https://linkedin.com/in/new"
+
+
+def test_d1_empty_key_is_a_key(spark):
+    rows = [(1, 0, "a", "?x"), (1, 1, "b", "/?y")]
+    df = spark.createDataFrame(rows, "list_id bigint, ord bigint, first_name string, linkedin_url string")
+    out = upsert_contacts(None, df, NOW).collect()
+    assert [r["first_name"] for r in out] == ["a"]
+
+
+def test_d8_null_stage_becomes_sourced(spark):
+    out = upsert_contacts(None, _fixture1(spark), NOW).collect()
+    assert {r["stage"] for r in out} == {"sourced"}
+
+
+def test_w3_bonus_data(spark):
+    contacts = spark.createDataFrame([(1,)], "contact_id bigint")
+    ans = spark.createDataFrame([
+        (1, "apollo", 1, 1, "unavailable", None, "miss", "https://linkedin.com/in/v", "Smith"),
+        (1, "fullenrich", 2, 2, "DELIVERABLE", "a@x", "accept", None, None)],
+        "contact_id bigint, provider string, rank int, ord bigint, raw_status string, email string, verdict string, "
+        "resolved_linkedin_url string, resolved_last_name string")
+    r = email_waterfall(contacts, ans).collect()[0]
+    assert r["email"] == "a@x" and r["resolved_last_name"] == "Smith"
+
+
+def test_json_envelopes_bounded(spark):
+    from rosterline.sources.files import to_json_map, to_json_pages
+    df = spark.range(25).select(F.lit(1).cast("bigint").alias("list_id"), F.col("id"),
+                                F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
+    pages = to_json_pages(df, page_size=10)
+    assert pages.count() == 3
+    m = to_json_map(df.withColumn("status", F.lit("new")), "url", "status", page_size=10)
+    assert m.count() == 3
+
+
+def test_stream_upsert_replay_is_idempotent(spark, tmp_path):
+    from rosterline.streaming.streams import latest_snapshot, upsert_batch_fn
+    path = str(tmp_path / "snap")
+    fn = upsert_batch_fn(spark, path, NOW)
+    batch = _fixture1(spark)
+    fn(batch, 0)
+    fn(batch, 0)                      # replay of batch 0: skipped
+    assert latest_snapshot(spark, path).count() == 4
+    fn(batch.where("linkedin_url is not null"), 1)   # same keys again: nothing new
+    assert latest_snapshot(spark, path).count() == 4
