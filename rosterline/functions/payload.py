@@ -6,8 +6,6 @@ expressions, so no Python touches a row.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +67,7 @@ def apply_field_map(df: DataFrame, payload: str, mapping: dict[str, str], provid
             nested.setdefault(root, []).append((key, v))
         else:
             flat[target] = v
-    cols = [c for c in df.columns]
-    out = [F.col(c) for c in cols]
+    out = [F.col(c) for c in df.columns]
     for name in (canonical or []):
         if name not in flat and name not in nested and name != "source":
             out.append(F.lit(None).cast("string").alias(name))
@@ -125,5 +122,3 @@ def contact_phone(c) -> Column:
                                F.lit(" "), F.lit("")), F.lit(""))
     return F.when(is_obj, own).otherwise(first)
 
-
-_ = re  # keep import for path helpers used by callers

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 __all__ = [
-    "PHONE_TYPE_MAP", "SENIORITY_IDS", "REGIONS", "WATERFALLS", "STATUS_SEMANTICS",
+    "PHONE_TYPE_MAP", "SENIORITY_IDS", "APOLLO_SENIORITIES", "DROPLEADS_SENIORITIES", "REGIONS", "WATERFALLS", "STATUS_SEMANTICS",
     "PRICES", "LEAD_MAPS", "DIAL_PREFIXES", "COUNTRY_ISO2", "PHONE_TYPE_RANK",
     "map_phone_type", "normalize_email_status", "map_seniority", "phone_country",
     "regions_df", "waterfall_df", "status_semantics_df", "prices_df", "lead_map_df",
@@ -30,6 +30,10 @@ SENIORITY_IDS = {
     "manager": "210", "senior": "120", "owner": "320", "partner": "320",
 }
 
+# Seniority vocabularies accepted by two people-search providers.
+APOLLO_SENIORITIES = ["c_suite", "vp", "director", "manager", "senior", "entry"]
+DROPLEADS_SENIORITIES = ["C-Level", "VP", "Director", "Manager", "Senior", "Entry", "Intern"]
+
 # Broad region -> countries, in the configured order.
 REGIONS = {
     "Europe": ["Austria", "Belgium", "Denmark", "Finland", "France", "Germany", "Ireland",
@@ -162,9 +166,17 @@ def normalize_email_status(provider, raw, email, catch_all_flag=None) -> Column:
             .when(p == "leadmagic", validator))
 
 
-def map_seniority(arr) -> Column:
-    """Array of canonical seniorities → level ids; unknown values dropped."""
-    m = literal_map(SENIORITY_IDS)
+# Canonical seniority (lower case) -> term of each provider vocabulary (ours).
+_CXO = ("cxo", "c-level", "c_suite", "c-suite")
+_TO_APOLLO = {**{k: "c_suite" for k in _CXO}, **{v: v for v in APOLLO_SENIORITIES}}
+_TO_DROPLEADS = {**{k: "C-Level" for k in _CXO}, **{v.lower(): v for v in DROPLEADS_SENIORITIES}}
+
+
+def map_seniority(arr, provider: str = "apify") -> Column:
+    """Array of canonical seniorities → the provider's vocabulary
+    (profile-search level ids by default); unknown values dropped, case-insensitive."""
+    table = {"apify": SENIORITY_IDS, "apollo": _TO_APOLLO, "dropleads": _TO_DROPLEADS}[provider]
+    m = literal_map(table)
     return F.filter(F.transform(_c(arr), lambda x: F.try_element_at(m, F.lower(x))),
                     lambda x: x.isNotNull())
 

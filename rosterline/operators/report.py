@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rosterline.schema import STAGES
 
-__all__ = ["query_by_stage", "query_companies", "contacts_detail", "list_summary", "intel_report"]
+__all__ = ["query_by_stage", "query_companies", "contacts_detail", "list_summary", "intel_report",
+           "master_breakdown", "backfill_report", "phone_report"]
 
 
 def query_by_stage(contacts: DataFrame, stage: str, list_id=None) -> DataFrame:
@@ -54,3 +55,23 @@ def intel_report(companies: DataFrame, thin_below: int = 3) -> DataFrame:
         F.count_if(F.coalesce("enriched", F.lit(False))).alias("enriched"),
         F.count_if(F.coalesce("verified", F.lit(False))).alias("verified"),
         F.count_if(n_intel < F.lit(thin_below)).alias("thin"))
+
+
+def master_breakdown(crossref: DataFrame) -> DataFrame:
+    """Master status breakdown — new / previously contacted / warm / removed."""
+    s = F.col("status")
+    bucket = (F.when(s == "new", "new").when(s.isin("replied", "interested"), "warm")
+              .when(s.isin("bounced", "unsubscribed"), "removed").otherwise("previously_contacted"))
+    return crossref.groupBy(bucket.alias("bucket"), s.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def backfill_report(backfilled: DataFrame) -> DataFrame:
+    """Domains by how they were resolved (given / brief / batch / email / unresolved)."""
+    return (backfilled.groupBy(F.coalesce("domain_source", F.lit("unresolved")).alias("domain_source"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def phone_report(winners: DataFrame) -> DataFrame:
+    """A10: phone type and source distribution of the phone waterfall's winners."""
+    return (winners.groupBy(F.coalesce("phone_type", F.lit("none")).alias("phone_type"), "phone_source")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("flagged")))

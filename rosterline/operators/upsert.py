@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline.functions.merge import merge_sources
 from rosterline.functions.normalize import normalize_domain, normalize_linkedin_url
 from rosterline.session import materialize
 from rosterline.schema import (ADVANCE_COLS, CONTACT_SCHEMA, COMPANY_SCHEMA, STAGE_TIMESTAMP,

@@ -1673,3 +1673,56 @@ def q_w2(spark, d):
     from rosterline.operators.upsert import assign_ids
     v = companies_src(spark, d).select("ord", "region", "employees")
     return assign_ids(v, [F.desc("employees"), F.col("ord")], "region").select("ord", "region", "id")
+
+
+# ---------------------------------------------------------------------------
+# Report breakdowns: A8 (master status, domain backfill), A10 (phones), N12 vocabularies
+# ---------------------------------------------------------------------------
+from rosterline.operators.report import backfill_report, master_breakdown, phone_report  # noqa: E402
+
+
+@register("a8_master_breakdown", f"""WITH {MASTER_CTE}
+SELECT CASE WHEN status = 'new' THEN 'new' WHEN status IN ('replied', 'interested') THEN 'warm'
+  WHEN status IN ('bounced', 'unsubscribed') THEN 'removed' ELSE 'previously_contacted' END AS bucket,
+  status, CAST(count(*) AS BIGINT) AS n FROM xr GROUP BY ALL""")
+def q_a8m(spark, d):
+    return master_breakdown(_crossref(spark, d))
+
+
+@register("a8_domains_backfilled", f"""WITH {HITS_CTE}, x AS ({J8_INPUT.replace('STRING', 'VARCHAR')}),
+b AS (SELECT DISTINCT company_name, 'brief' AS domain FROM h WHERE user_id % 40 < 5),
+p AS (SELECT list_id, company_name, arg_min(company_domain, ord) AS peer FROM x WHERE company_domain <> '' GROUP BY ALL)
+SELECT CASE WHEN x.company_domain <> '' THEN 'given' WHEN b.domain IS NOT NULL THEN 'brief'
+  WHEN p.peer IS NOT NULL THEN 'batch' WHEN x.ord % 3 = 1 THEN 'email' ELSE 'unresolved' END AS domain_source,
+  CAST(count(*) AS BIGINT) AS n
+FROM x LEFT JOIN b USING (company_name) LEFT JOIN p USING (list_id, company_name) GROUP BY 1""")
+def q_a8b(spark, d):
+    h = hits(spark, d)
+    x = spark.sql(J8_INPUT.replace("FROM h", "FROM {h}"), h=h)
+    brief = (h.where(F.col("user_id") % 40 < 5)
+             .select("company_name", F.concat(F.lit("brief"), (F.col("user_id") % 40).cast("string"),
+                                              F.lit(".example")).alias("domain")).distinct())
+    return backfill_report(backfill_domain(x, brief))
+
+
+@register("a10_phone_report", f"""WITH {PHONE_CTE},
+w AS (SELECT pw.phone_type, coalesce(pw.provider, 'not_found') AS phone_source,
+  coalesce(pw.validation = 'unvalidated' OR pw.phone_type = 'switchboard', false) AS flagged
+  FROM customer c LEFT JOIN pw ON c.c_custkey = pw.contact_id)
+SELECT coalesce(phone_type, 'none') AS phone_type, phone_source, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE flagged) AS BIGINT) AS flagged FROM w GROUP BY ALL""")
+def q_a10p(spark, d):
+    cust = read_table(spark, d, "customer").select(F.col("c_custkey").alias("contact_id"))
+    return phone_report(phone_waterfall(cust, _phone_answers(spark, d)))
+
+
+@register("n12_seniority_vocabularies", f"""WITH {HITS_CTE}
+SELECT ord, CASE ord % 3 WHEN 0 THEN 'director|vp|manager' WHEN 1 THEN 'c_suite|vp|manager' ELSE 'vp|manager' END AS apollo,
+  CASE ord % 3 WHEN 0 THEN 'Director|VP|Manager' WHEN 1 THEN 'C-Level|VP|Manager' ELSE 'Intern|VP|Manager' END AS dropleads
+FROM h""")
+def q_n12b(spark, d):
+    h = hits(spark, d)
+    first = (F.when(F.col("ord") % 3 == 0, "Director").when(F.col("ord") % 3 == 1, "CXO").otherwise("intern"))
+    arr = F.array(first, F.lit("VP"), F.lit("manager"))
+    return h.select("ord", F.array_join(map_seniority(arr, "apollo"), "|").alias("apollo"),
+                    F.array_join(map_seniority(arr, "dropleads"), "|").alias("dropleads"))
