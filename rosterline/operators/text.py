@@ -41,12 +41,16 @@ def scan_text(df: DataFrame, id_col: str, text_col: str = "text", deny_terms: li
     rules = list(SCAN_RULES)
     for t in deny_terms or []:
         rules.append(("deny_term", re.escape(t), True))
-    hits = None
+    # One pass: every rule is evaluated in the same projection, then only the
+    # rules that hit are exploded into rows.
+    flags = []
     for name, pat, ci in rules:
         ci = ci or (name == "credential" and ci_credentials)
         cond = F.col("line").rlike(("(?i)" if ci else "") + pat)
         if name == "credential":
             cond = cond & ~F.col("line").rlike("(?i)" + PLACEHOLDER_RE)
-        h = lines.where(cond).select(id_col, F.lit(name).alias("rule"), (F.col("_pos") + 1).alias("line_no"), "line")
-        hits = h if hits is None else hits.unionByName(h)
-    return hits.distinct()
+        flags.append(F.when(cond, F.lit(name)))
+    hit_rules = F.array_distinct(F.filter(F.array(*flags), lambda x: x.isNotNull()))
+    return (lines.select(id_col, (F.col("_pos") + 1).alias("line_no"), "line", hit_rules.alias("_r"))
+            .where(F.size("_r") > 0)
+            .select(id_col, F.explode("_r").alias("rule"), "line_no", "line"))

@@ -1154,12 +1154,14 @@ def q_f6(spark, d):
     x = spark.sql(F6_INPUT.replace("FROM h", "FROM {h}"), h=h).withColumn(
         "provider_ids", F.when(F.col("user_id") % 6 == 0, F.create_map(F.lit("apollo"),
                                                                        F.concat(F.lit("ap"), F.col("user_id").cast("string")))))
-    a = choose_match_key(x, "apollo").select("ord", F.col("match_key").alias("apollo_key"))
-    b = choose_match_key(x, "ai-ark", "phone_enrich").select("ord", F.col("match_key").alias("aiark_phone_key"),
-                                                              F.col("excluded").alias("aiark_excluded"))
-    c = choose_match_key(x, "leadmagic").select("ord", F.col("match_key").alias("lm_email_key"))
-    e = choose_match_key(x, "leadmagic", "phone_enrich").select("ord", F.col("match_key").alias("lm_phone_key"))
-    return a.join(b, "ord").join(c, "ord").join(e, "ord")
+    # One projection: each provider's rule adds its columns to the same rows.
+    for prov, cap, kcol, xcol in (("apollo", "email_enrich", "apollo_key", None),
+                                  ("ai-ark", "phone_enrich", "aiark_phone_key", "aiark_excluded"),
+                                  ("leadmagic", "email_enrich", "lm_email_key", None),
+                                  ("leadmagic", "phone_enrich", "lm_phone_key", None)):
+        x = choose_match_key(x, prov, cap).withColumnRenamed("match_key", kcol)
+        x = x.withColumnRenamed("excluded", xcol) if xcol else x.drop("excluded")
+    return x.select("ord", "apollo_key", "aiark_phone_key", "aiark_excluded", "lm_email_key", "lm_phone_key")
 
 
 @register("j10_align_results", f"""WITH {CONTACTS_CTE},
