@@ -1728,3 +1728,17 @@ def q_n12b(spark, d):
     arr = F.array(first, F.lit("VP"), F.lit("manager"))
     return h.select("ord", F.array_join(map_seniority(arr, "apollo"), "|").alias("apollo"),
                     F.array_join(map_seniority(arr, "dropleads"), "|").alias("dropleads"))
+
+
+# ---------------------------------------------------------------------------
+# V2 as a SQL table function
+# ---------------------------------------------------------------------------
+from rosterline.plans.sql_surface import register_sql_surface  # noqa: E402
+
+
+@register("v2_sql_table_function", f"""WITH {CONTACTS_CTE}
+SELECT {", ".join(c for c in EXPORT_SQL_COLS.split(", "))}
+FROM contacts WHERE list_id = 2 AND stage IN ('email_enriched', 'phone_enriched')""")
+def q_v2s(spark, d):
+    register_sql_surface(spark, contacts(spark, d), lists(spark, d), prefix="rl_v2")
+    return spark.sql("SELECT * FROM pipeline_export(2, 'email_enriched')")

@@ -350,3 +350,26 @@ def test_stream_upsert_replay_is_idempotent(spark, tmp_path):
     assert latest_snapshot(spark, path).count() == 4
     fn(batch.where("linkedin_url is not null"), 1)   # same keys again: nothing new
     assert latest_snapshot(spark, path).count() == 4
+
+
+def test_sql_surface(spark):
+    from rosterline.operators.match import rollup_master
+    from rosterline.plans.sql_surface import register_sql_surface
+    c = upsert_contacts(None, _fixture1(spark), NOW).drop("_inserted")
+    for col_ in ["last_name", "full_name", "title", "seniority", "company_name", "country", "location", "email",
+                 "phone", "phone_type", "source", "matched_persona"]:
+        if col_ not in c.columns:
+            c = c.withColumn(col_, F.lit(None).cast("string"))
+    touches = spark.createDataFrame([("https://linkedin.com/in/jane/", "bounced", dt.datetime(2024, 1, 1), 1, "Jane",
+                                      None, None)],
+                                    "linkedin_url string, status string, ts timestamp_ntz, campaign_id bigint, "
+                                    "first_name string, last_name string, company_name string")
+    lists = create_lists(None, spark.createDataFrame([(1,)], "ord bigint"), NOW)
+    register_sql_surface(spark, c, lists, rollup_master(touches), prefix="rl_t")
+    assert spark.sql("SELECT * FROM pipeline_export(1, 'sourced')").count() == 4
+    got = {r["input_url"]: r["status"] for r in
+           spark.sql("SELECT * FROM check_linkedin_urls(array('https://linkedin.com/in/jane', 'x'))").collect()}
+    assert got == {"https://linkedin.com/in/jane": "bounced", "x": "new"}
+    assert spark.sql("SELECT total_contacts FROM pipeline_list_summary").collect()[0][0] == 4
+    with pytest.raises(Exception):
+        spark.sql("SELECT * FROM pipeline_export(1, 'bogus')").collect()
