@@ -373,3 +373,28 @@ def test_sql_surface(spark):
     assert spark.sql("SELECT total_contacts FROM pipeline_list_summary").collect()[0][0] == 4
     with pytest.raises(Exception):
         spark.sql("SELECT * FROM pipeline_export(1, 'bogus')").collect()
+
+
+def test_d2_newline_in_url(spark):
+    df = spark.createDataFrame([("A?x\ny",), ("a/?q\n",)], "u string")
+    got = [r[0] for r in df.select(normalize_linkedin_url("u")).collect()]
+    assert got[0] == "a?x\ny"
+
+
+def test_d22_fullenrich_null_status_invalid(spark):
+    from rosterline.functions.vocab import normalize_email_status
+    df = spark.createDataFrame([("fullenrich", None, "a@b.c"), ("fullenrich", "DELIVERABLE", None),
+                                ("ai-ark", None, "a@b.c"), ("leadmagic", "valid", "a@b.c")],
+                               "p string, r string, e string")
+    got = [r[0] for r in df.select(normalize_email_status("p", "r", "e", F.lit(True))).collect()]
+    assert got == ["invalid", "invalid", "deliverable", "catch_all"]
+
+
+def test_d17_summary_order(spark):
+    lists = spark.createDataFrame([(1, "a", None, "u", "active", dt.datetime(2024, 1, 1)),
+                                   (2, "b", None, "u", "active", dt.datetime(2024, 2, 1)),
+                                   (3, "c", None, "u", "active", dt.datetime(2024, 2, 1))],
+                                  "list_id bigint, list_name string, description string, created_by string, "
+                                  "status string, created_at timestamp_ntz")
+    c = upsert_contacts(None, _fixture1(spark), NOW)
+    assert [r["list_id"] for r in list_summary(lists, c).collect()] == [2, 3, 1]
