@@ -14,7 +14,7 @@ from rosterline.functions.normalize import blank_to_null
 from rosterline.schema import EXPORT_COLUMNS
 
 __all__ = ["read_companies_csv", "read_jsonl", "write_export_csv", "read_export_csv",
-           "write_snapshot", "to_json_rows", "to_json_pages", "to_json_map",
+           "write_snapshot", "write_bucketed_snapshot", "to_json_rows", "to_json_pages", "to_json_map",
            "NAME_COLS", "DOMAIN_COLS", "LINKEDIN_COLS"]
 
 # ---------------------------------------------------------------------------
@@ -85,6 +85,16 @@ def write_snapshot(df: DataFrame, path: str, partition_col: str = "list_id") ->
      .partitionBy(partition_col).parquet(path))
 
 
+def write_bucketed_snapshot(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """S5 (co-located form): an external parquet table bucketed and sorted on
+    ``keys`` (e.g. ``list_id`` + a dedup key).  Later joins or aggregations on
+    the same keys against another table with the same bucket count read it
+    without a shuffle.  Returns the table."""
+    (df.write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def to_json_rows(df: DataFrame, out_col: str = "json") -> DataFrame:
     """One JSON object per row (JSON Lines form of the reference's row arrays)."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(out_col))

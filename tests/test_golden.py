@@ -398,3 +398,19 @@ def test_d17_summary_order(spark):
                                   "status string, created_at timestamp_ntz")
     c = upsert_contacts(None, _fixture1(spark), NOW)
     assert [r["list_id"] for r in list_summary(lists, c).collect()] == [2, 3, 1]
+
+
+def test_bucketed_snapshots_join_without_shuffle(spark, tmp_path):
+    from rosterline.sources.files import write_bucketed_snapshot
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = upsert_contacts(None, _fixture1(spark), NOW).drop("_inserted")
+        keys = ["list_id", "linkedin_url_normalized"]
+        a = write_bucketed_snapshot(c, "rl_bucket_a", str(tmp_path / "a"), keys, 8)
+        b = write_bucketed_snapshot(c.select(*keys), "rl_bucket_b", str(tmp_path / "b"), keys, 8)
+        j = a.join(b, keys, "left_anti")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert j.count() == 2   # the two NULL-key rows never match
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
