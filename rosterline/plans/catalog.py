@@ -791,7 +791,7 @@ CRM_CTE = f"""v AS ({duck(V_COMPANIES)}),
 crm AS (SELECT 'Customer' || lpad(CAST(s_suppkey * 13 AS VARCHAR), 9, '0') || '.EXAMPLE ' AS key,
    'crm-' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_suppkey AS ord FROM supplier
   UNION ALL SELECT ' customer' || lpad(CAST(s_suppkey * 13 AS VARCHAR), 9, '0') || '.example', 'crm-dup-' || CAST(s_suppkey AS VARCHAR),
-   'dup', s_suppkey + 100000 FROM supplier WHERE s_suppkey % 2 = 0),
+   'dup', s_suppkey + 100000 FROM supplier WHERE s_acctbal > 5000),
 vals AS (SELECT DISTINCT lower(trim({N2_SQL.format(u='company_domain')})) AS value FROM v),
 crm1 AS (SELECT lower(trim(key)) AS value, arg_min(id, ord) AS id, arg_min(name, ord) AS name FROM crm GROUP BY 1),
 j4 AS (SELECT vals.value, crm1.value IS NOT NULL AS exists, crm1.id, crm1.name FROM vals LEFT JOIN crm1 USING (value))"""
@@ -803,7 +803,7 @@ def _crm(spark, d):
     a = s.select(F.concat(key, F.lit(".EXAMPLE ")).alias("key"),
                  F.concat(F.lit("crm-"), F.col("s_suppkey").cast("string")).alias("id"),
                  F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
-    b = s.where(F.col("s_suppkey") % 2 == 0).select(
+    b = s.where(F.col("s_acctbal") > 5000).select(
         F.concat(F.lit(" "), F.lower(key), F.lit(".example")).alias("key"),
         F.concat(F.lit("crm-dup-"), F.col("s_suppkey").cast("string")).alias("id"),
         F.lit("dup").alias("name"), (F.col("s_suppkey") + 100000).alias("ord"))
@@ -963,7 +963,7 @@ F4_TYPES = ["promo"]
 
 @register("f4_exclusions", """WITH x AS (SELECT p_partkey, p_name, p_type || ' ' || p_brand AS ctype,
   'b' || substr(p_brand, 7) || '.example' AS dom FROM part),
-ex AS (SELECT 'b' || CAST(s_suppkey AS VARCHAR) || '.example' AS d FROM supplier WHERE s_suppkey % 10 = 3)
+ex AS (SELECT 'b' || CAST(s_suppkey AS VARCHAR) || '.example' AS d FROM supplier WHERE s_acctbal < 1000)
 SELECT p_partkey, CASE WHEN dom IN (SELECT d FROM ex) THEN 'excluded_domain'
   WHEN regexp_matches(lower(ctype), '(^|[^a-z0-9])promo([^a-z0-9]|$)') THEN 'excluded_company_type'
   WHEN regexp_matches(lower(p_name), '(^|[^a-z0-9])(gizmo|old bolt|ring)([^a-z0-9]|$)') THEN 'excluded_title' END
@@ -973,7 +973,7 @@ def q_f4(spark, d):
         "p_partkey", F.col("p_name").alias("title"),
         F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("company_type"),
         F.concat(F.lit("b"), F.substring("p_brand", 7, 10), F.lit(".example")).alias("company_domain"))
-    dom = read_table(spark, d, "supplier").where(F.col("s_suppkey") % 10 == 3).select(
+    dom = read_table(spark, d, "supplier").where(F.col("s_acctbal") < 1000).select(
         F.concat(F.lit("b"), F.col("s_suppkey").cast("string"), F.lit(".example")).alias("domain"))
     kept, skipped = apply_exclusions(p, F4_TITLES, F4_TYPES, dom)
     return kept.unionByName(skipped).select("p_partkey", "exclusion_reason")
