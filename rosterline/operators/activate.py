@@ -13,7 +13,7 @@ from rosterline.functions.vocab import LEAD_MAPS
 from rosterline.operators.upsert import assign_ids
 from rosterline.schema import EXPORT_COLUMNS, MIN_STAGES
 
-__all__ = ["min_stage", "export", "usable_leads", "to_lead", "assign_batches",
+__all__ = ["min_stage", "export", "usable_leads", "usable_lead_counts", "to_lead", "assign_batches",
            "assign_senders", "push_report", "EXPORT_ORDER"]
 
 
@@ -51,11 +51,21 @@ def export(contacts: DataFrame, stage: str = "sourced", list_id=None,
     return df.orderBy("list_id", *EXPORT_ORDER()).select("list_id", *EXPORT_COLUMNS)
 
 
-def usable_leads(df: DataFrame, channel: str = "email") -> DataFrame:
-    """rows with an email or a LinkedIn URL; the LinkedIn channel needs the URL."""
+def _usable(channel: str):
     has_url = F.coalesce(F.col("linkedin_url") != F.lit(""), F.lit(False))
     has_mail = F.coalesce(F.col("email") != F.lit(""), F.lit(False))
-    return df.where(has_url if channel == "linkedin" else (has_mail | has_url))
+    return has_url if channel == "linkedin" else (has_mail | has_url)
+
+
+def usable_leads(df: DataFrame, channel: str = "email") -> DataFrame:
+    """rows with an email or a LinkedIn URL; the LinkedIn channel needs the URL."""
+    return df.where(_usable(channel))
+
+
+def usable_lead_counts(df: DataFrame, channel: str = "email", group: str = "list_id") -> DataFrame:
+    """F7 counters: usable rows and ``skipped_no_identity`` per list."""
+    u = _usable(channel)
+    return df.groupBy(group).agg(F.count_if(u).alias("usable"), F.count_if(~u).alias("skipped_no_identity"))
 
 
 def to_lead(df: DataFrame, sequencer: str, out_col: str = "lead") -> DataFrame:

@@ -26,7 +26,7 @@ from rosterline.functions.vocab import REGIONS
 __all__ = [
     "rollup_master", "crossref_master", "suppress_master", "crm_dedupe", "with_intel",
     "expand_regions", "match_roles", "backfill_domain", "valid_track", "lookup_linkedin",
-    "reverse_lookup", "resolve_companies", "apply_exclusions", "icp_filter", "fresh",
+    "reverse_lookup", "resolve_companies", "resolved_urls", "apply_exclusions", "icp_filter", "fresh",
     "keyword_regex", "MASTER_STATUS_RANK",
 ]
 
@@ -259,6 +259,11 @@ def resolve_companies(df: DataFrame, known_pages: DataFrame, input_col: str = "c
     ).drop("slug")
 
 
+def resolved_urls(resolved: DataFrame) -> DataFrame:
+    """The distinct page URLs that were resolved (the list handed to the scraper)."""
+    return resolved.where(F.col("url").isNotNull()).select("url").distinct()
+
+
 # --- F4 / F9 ----------------------------------------------------------------
 
 def keyword_regex(words: list[str]) -> str:

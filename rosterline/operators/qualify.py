@@ -72,11 +72,19 @@ def score_novelty(df: DataFrame, status_col: str = "db_status") -> DataFrame:
                          F.when(F.coalesce(F.col(status_col), F.lit("new")) == "new", 1).otherwise(0).cast("int"))
 
 
-def qualify(df: DataFrame, excluded_col: str = "exclusion_reason") -> DataFrame:
-    """Q5: exclusions first (SKIP, unscored); else sum 0–10 → QUALIFY / MAYBE / SKIP."""
+def qualify(df: DataFrame, excluded_col: str = "exclusion_reason", segments: bool = True) -> DataFrame:
+    """Q5: exclusions first (SKIP, unscored); else sum 0–10 → QUALIFY / MAYBE / SKIP.
+
+    Without a segments rubric (``segments=False``) every non-excluded contact
+    that matches a persona is QUALIFY and the rest SKIP.
+    """
+    excl = F.col(excluded_col).isNotNull() if excluded_col in df.columns else F.lit(False)
+    if not segments:
+        in_persona = F.coalesce(F.col("persona_points") > 0, F.lit(False))
+        return (df.withColumn("qualification_score", F.lit(None).cast("int"))
+                .withColumn("qualification_status", F.when(~excl & in_persona, "QUALIFY").otherwise("SKIP")))
     total = (F.col("persona_points") + F.col("company_points") + F.col("completeness_points")
              + F.col("novelty_points")).cast("int")
-    excl = F.col(excluded_col).isNotNull() if excluded_col in df.columns else F.lit(False)
     return (df.withColumn("qualification_score", F.when(~excl, total))
             .withColumn("qualification_status",
                         F.when(excl, "SKIP").when(total >= THRESHOLDS["qualify"], "QUALIFY")

@@ -414,3 +414,26 @@ def test_bucketed_snapshots_join_without_shuffle(spark, tmp_path):
         assert j.count() == 2   # the two NULL-key rows never match
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_q5_without_segments(spark):
+    from rosterline.operators.qualify import qualify
+    df = spark.createDataFrame([(1, 4, None), (2, 0, None), (3, 2, "excluded_title")],
+                               "ord bigint, persona_points int, exclusion_reason string")
+    got = {r["ord"]: r["qualification_status"] for r in qualify(df, segments=False).collect()}
+    assert got == {1: "QUALIFY", 2: "SKIP", 3: "SKIP"}
+
+
+def test_f7_counts_and_j15_urls(spark):
+    from rosterline.operators.activate import usable_lead_counts
+    from rosterline.operators.match import resolve_companies, resolved_urls
+    df = spark.createDataFrame([(1, "a@b.c", None), (1, None, None), (1, "", "https://linkedin.com/in/x")],
+                               "list_id bigint, email string, linkedin_url string")
+    r = usable_lead_counts(df).collect()[0]
+    assert (r["usable"], r["skipped_no_identity"]) == (2, 1)
+    li = usable_lead_counts(df, "linkedin").collect()[0]
+    assert li["usable"] == 1
+    comp = spark.createDataFrame([("Foo GmbH",), ("foo gmbh",), ("Bar",)], "company string")
+    pages = spark.createDataFrame([("foo-gmbh", "valid"), ("bar-gmbh", "invalid")], "slug string, status string")
+    res = resolve_companies(comp, pages)
+    assert [r["url"] for r in resolved_urls(res).collect()] == ["https://www.linkedin.com/company/foo-gmbh"]
