@@ -4,6 +4,16 @@ Each entry maps a name to ``(build(spark, sf_dir) -> DataFrame, oracle SQL or No
 The oracle is DuckDB SQL over the same parquet tables (views named after the
 tables); it is written independently of the Spark code and recomputes the
 semantics directly (window functions, CTEs), so agreement is a real check.
+
+Sections (in file order):
+  shared derivations (contacts, lists) · minimum slice (N1 N4 W1 J1 A5 T1 F1 F3 O1 A1 J9 T4 U1)
+  · companies (N2 N3 J2 N20 N21 F2 A12) · sources and sinks (S1 S2 S4 S5 S6)
+  · payloads (S3 N15–N19) · scalar vocabularies (N5–N14 N22)
+  · joins and filters (A13 J3 F11 J4–J8 J12 F10 J13–J15 F4 F9)
+  · enrichment (W3 J11 N23 T2 W4 A10 W5 W6 W9 F5 F6 J10 A6 A7 A14)
+  · qualification (Q1–Q5 T3 U2 A9) · pooling and dedup (W7 A8 A2–A4) · activation (F7 F8 A11)
+  · text and look-alikes (F12 O3) · SQL surface (V1 V2 V4 F13) · streaming (X1–X5)
+  · report breakdowns (A8 A10 N12) · V2 as a SQL table function · W2
 """
 
 from __future__ import annotations
