@@ -21,6 +21,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Local mode: the driver JVM is the only executor; 1g (the default) thrashes GC.
+    "spark.driver.memory": "8g",
 }
 
 
