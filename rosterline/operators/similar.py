@@ -26,9 +26,10 @@ def lookalikes(vectors: DataFrame, seeds: DataFrame, k: int, id_col: str = "vec_
     seed_rows = seeds.select(id_col, F.transform(vec_col, lambda x: x.cast("double")).alias("v")).take(MAX_SEEDS + 1)
     if len(seed_rows) > MAX_SEEDS:
         raise ValueError(f"at most {MAX_SEEDS} seeds are allowed")
+    id_type = vectors.schema[id_col].dataType
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     scored = F.array(*[
-        F.struct(F.lit(r[id_col]).alias("seed_id"),
+        F.struct(F.lit(r[id_col]).cast(id_type).alias("seed_id"),
                  (_dot(v, F.array(*[F.lit(float(x)) for x in r["v"]])) /
                   (F.sqrt(_dot(v, v)) * F.lit(sum(float(x) * float(x) for x in r["v"]) ** 0.5))).alias("sim"))
         for r in seed_rows])

@@ -51,6 +51,6 @@ def scan_text(df: DataFrame, id_col: str, text_col: str = "text", deny_terms: li
             cond = cond & ~F.col("line").rlike("(?i)" + PLACEHOLDER_RE)
         flags.append(F.when(cond, F.lit(name)))
     hit_rules = F.array_distinct(F.filter(F.array(*flags), lambda x: x.isNotNull()))
-    return (lines.select(id_col, (F.col("_pos") + 1).alias("line_no"), "line", hit_rules.alias("_r"))
+    return (lines.select(id_col, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line", hit_rules.alias("_r"))
             .where(F.size("_r") > 0)
             .select(id_col, F.explode("_r").alias("rule"), "line_no", "line"))

@@ -372,8 +372,8 @@ import uuid as _uuid  # noqa: E402
 
 from rosterline.schema import COMPANY_SCHEMA, EXPORT_COLUMNS  # noqa: E402
 from rosterline.session import checkpoint_dir  # noqa: E402
-from rosterline.sources.files import (read_companies_csv, read_export_csv, read_jsonl, to_json_rows,  # noqa: E402
-                                      write_export_csv, write_snapshot)
+from rosterline.sources.files import (read_companies_csv, read_export_csv, read_jsonl, read_snapshot,  # noqa: E402
+                                      to_json_rows, write_export_csv, write_snapshot)
 
 
 def _scratch(spark, tag):
@@ -457,7 +457,7 @@ def q_s5(spark, d):
     c = contacts(spark, d)
     write_snapshot(c, path)
     write_snapshot(c.where(F.col("list_id") == 2), path)   # replaces list 2 only
-    back = spark.read.parquet(path)
+    back = read_snapshot(spark, path)
     return back.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("max_id"))
 
 

@@ -14,7 +14,7 @@ from rosterline.functions.normalize import blank_to_null
 from rosterline.schema import EXPORT_COLUMNS
 
 __all__ = ["read_companies_csv", "read_jsonl", "write_export_csv", "read_export_csv",
-           "write_snapshot", "write_bucketed_snapshot", "to_json_rows", "to_json_pages", "to_json_map",
+           "write_snapshot", "read_snapshot", "write_bucketed_snapshot", "to_json_rows", "to_json_pages", "to_json_map",
            "NAME_COLS", "DOMAIN_COLS", "LINKEDIN_COLS"]
 
 # ---------------------------------------------------------------------------
@@ -85,6 +85,11 @@ def write_snapshot(df: DataFrame, path: str, partition_col: str = "list_id") ->
      .partitionBy(partition_col).parquet(path))
 
 
+def read_snapshot(spark: SparkSession, path: str, partition_col: str = "list_id") -> DataFrame:
+    """Read an S5 snapshot; the partition column keeps its BIGINT type."""
+    return spark.read.parquet(path).withColumn(partition_col, F.col(partition_col).cast("bigint"))
+
+
 def write_bucketed_snapshot(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
     """S5 (co-located form): an external parquet table bucketed and sorted on
     ``keys`` (e.g. ``list_id`` + a dedup key).  Later joins or aggregations on

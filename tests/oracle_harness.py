@@ -65,11 +65,31 @@ def duck_rows(con, sql):
     return cols, sorted(rows, key=repr)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
+
+def type_diffs(df, con, sql):
+    """Columns whose Spark type does not map to the oracle's DuckDB type."""
+    rel = con.sql(sql)
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        want = t.upper() if t.startswith("decimal") else SPARK_TO_DUCK.get(t, t.upper())
+        if duck.get(f.name) != want:
+            out.append((f.name, t, duck.get(f.name)))
+    return out
+
+
 def compare(df, con, sql):
     sc, sr = spark_rows(df)
     dc, dr = duck_rows(con, sql)
     if sc != dc:
         return False, f"columns differ: spark={sc} duck={dc}"
+    td = type_diffs(df, con, sql)
+    if td:
+        return False, f"types differ: {td}"
     if len(sr) != len(dr):
         return False, f"row count spark={len(sr)} duck={len(dr)}"
     if sr != dr:
