@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "PHONE_TYPE_MAP", "SENIORITY_IDS", "APOLLO_SENIORITIES", "DROPLEADS_SENIORITIES", "REGIONS", "WATERFALLS", "STATUS_SEMANTICS",
-    "PRICES", "LEAD_MAPS", "DIAL_PREFIXES", "COUNTRY_ISO2", "PHONE_TYPE_RANK",
+    "PRICES", "LEAD_MAPS", "BATCH_SIZES", "SPEND_GATE", "RUN_CEILINGS", "DIAL_PREFIXES", "COUNTRY_ISO2", "PHONE_TYPE_RANK",
     "map_phone_type", "normalize_email_status", "map_seniority", "phone_country",
     "regions_df", "waterfall_df", "status_semantics_df", "prices_df", "lead_map_df",
     "dial_prefix_df", "literal_map",
@@ -97,6 +97,12 @@ PRICES = [
 APIFY_PER_PROFILE = {"short": 0.004, "full": 0.008, "full_email": 0.012}
 APIFY_RUN_FEE = 0.02
 
+# Request batch sizes (rows per request; titles per search for leadmagic).
+BATCH_SIZES = {"apollo_match": 10, "fullenrich": 100, "hubspot": 100, "smartlead": 400, "leadmagic_titles": 12}
+# Spend gate and per-run ceilings of the default configuration.
+SPEND_GATE = {"contacts": 50, "credits": 500}
+RUN_CEILINGS = {"per_run_usd": 50, "apollo_credits": 2000, "fullenrich_credits": 1000}
+
 # Canonical export column -> sequencer lead field.
 LEAD_MAPS = {
     "lemlist": {"email": "email", "first_name": "firstName", "last_name": "lastName",

@@ -47,13 +47,17 @@ def score_persona(df: DataFrame, persona_titles: DataFrame, persona_seniority: D
 
 
 def score_company(df: DataFrame, employees_col: str = "employees", region_col: str = "region",
-                  a_region: str | None = None, b_fit: int = 2) -> DataFrame:
-    """Q2: segment A (200–2,000 employees, target region) = 3, B (50–199) = ``b_fit``
-    (1–2, default 2, D24), C = 0."""
+                  a_region: str | None = None, b_fit: int = 2, funding_col: str = "funding_stage",
+                  a_funding: list[str] | None = None) -> DataFrame:
+    """Q2: segment A (200–2,000 employees, target region, and — when ``a_funding``
+    is given — one of those funding stages) = 3, B (50–199) = ``b_fit`` (1–2,
+    default 2, D24), C = 0."""
     emp = F.col(employees_col).try_cast("bigint")
     in_a = (emp >= 200) & (emp <= 2000)
     if a_region is not None:
         in_a = in_a & (F.col(region_col) == F.lit(a_region))
+    if a_funding:
+        in_a = in_a & F.lower(F.col(funding_col)).isin(*[x.lower() for x in a_funding])
     seg = F.when(in_a, "A").when((emp >= 50) & (emp < 200), "B").otherwise("C")
     return (df.withColumn("company_segment", F.coalesce(seg, F.lit("C")))
             .withColumn("company_points", F.when(F.col("company_segment") == "A", 3)

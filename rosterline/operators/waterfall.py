@@ -17,7 +17,7 @@ from rosterline.functions.vocab import PHONE_TYPE_RANK, literal_map
 __all__ = [
     "classify_answers", "reverify", "email_waterfall", "phone_waterfall", "union_search",
     "resolve_waterfall", "best_contact", "split_submittable", "choose_match_key", "align_results",
-    "estimate_cost", "gate", "waterfall_report", "coverage_report",
+    "estimate_cost", "priced_estimate", "gate", "waterfall_report", "coverage_report",
 ]
 
 
@@ -221,6 +221,16 @@ def estimate_cost(df: DataFrame, group: str = "list_id") -> DataFrame:
         .cast("decimal(10,2)").alias("apify_usd"))
 
 
+def priced_estimate(counts: DataFrame, prices: DataFrame, count_col: str = "billable") -> DataFrame:
+    """A6 (other providers): credits = billable rows × the price table's credits per
+    (provider, capability).  ``counts`` has provider, capability and ``count_col``;
+    the price table is a small broadcast dimension."""
+    p = prices.select("provider", "capability", "credits", "charged_on")
+    return (counts.join(F.broadcast(p), ["provider", "capability"], "left")
+            .withColumn("credits_estimate",
+                        (F.col(count_col) * F.coalesce("credits", F.lit(0.0))).cast("decimal(12,3)")))
+
+
 def gate(costs: DataFrame, contacts_over: int = 50, credits_over: int = 500, credit_ceiling: int = 1000,
          contacts_col: str = "contacts", credits_col: str = "credits") -> DataFrame:
     """Confirm when contacts OR credits exceed the thresholds; block past the ceiling."""

@@ -480,3 +480,18 @@ def test_golden_example_export_and_summary(spark, tmp_path):
     write_export_csv(export(contacts, "phone_enriched").coalesce(1), out, partition_col=None)
     text = open(glob.glob(out + "/part-*.csv")[0], encoding="utf-8").read()
     assert text == EXAMPLE_EXPORT
+
+
+def test_priced_estimate_and_funding_segment(spark):
+    from rosterline.functions.vocab import prices_df
+    from rosterline.operators.qualify import score_company
+    from rosterline.operators.waterfall import priced_estimate
+    counts = spark.createDataFrame([("leadmagic", "phone_enrich", 3), ("leadmagic", "email_validate", 8)],
+                                   "provider string, capability string, billable bigint")
+    got = {r["capability"]: float(r["credits_estimate"]) for r in priced_estimate(counts, prices_df(spark)).collect()}
+    assert got == {"phone_enrich": 15.0, "email_validate": 2.0}
+    df = spark.createDataFrame([(1, "350", "DACH", "Series C"), (2, "350", "DACH", "Seed"), (3, "120", "DACH", None)],
+                               "ord int, employees string, region string, funding_stage string")
+    seg = {r["ord"]: r["company_segment"] for r in
+           score_company(df, a_region="DACH", a_funding=["Series B", "Series C", "Series D"]).collect()}
+    assert seg == {1: "A", 2: "C", 3: "B"}
