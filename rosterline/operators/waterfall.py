@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.merge import waterfall_log_agg
 from rosterline.functions.normalize import full_name, is_member_id, is_vanity, strip_ws
-from rosterline.functions.vocab import PHONE_TYPE_RANK, literal_map
+from rosterline.functions.vocab import PHONE_TYPE_RANK, RUN_CEILINGS, SPEND_GATE, literal_map
 
 __all__ = [
     "classify_answers", "reverify", "email_waterfall", "phone_waterfall", "union_search",
@@ -231,7 +231,8 @@ def priced_estimate(counts: DataFrame, prices: DataFrame, count_col: str = "bill
                         (F.col(count_col) * F.coalesce("credits", F.lit(0.0))).cast("decimal(12,3)")))
 
 
-def gate(costs: DataFrame, contacts_over: int = 50, credits_over: int = 500, credit_ceiling: int = 1000,
+def gate(costs: DataFrame, contacts_over: int = SPEND_GATE["contacts"], credits_over: int = SPEND_GATE["credits"],
+         credit_ceiling: int = RUN_CEILINGS["fullenrich_credits"],
          contacts_col: str = "contacts", credits_col: str = "credits") -> DataFrame:
     """Confirm when contacts OR credits exceed the thresholds; block past the ceiling."""
     return costs.withColumn(
