@@ -27,15 +27,19 @@ LINKEDIN_COLS = ("company_linkedin_url", "linkedin_url", "linkedin", "company_li
 # ---------------------------------------------------------------------------
 
 
-def read_companies_csv(spark: SparkSession, path: str):
+def read_companies_csv(spark: SparkSession, path: str, multi_line: bool = True):
     """Tolerant company CSV → (companies, skipped per file).
 
     Headers are trimmed and lowercased; name/domain/LinkedIn come from the first
     non-blank alias; rows with neither name nor domain are skipped; other
     non-blank columns become ``extras``.  BOM-safe; quoted multi-line fields.
     Output uses the canonical names ``company_name`` / ``company_domain`` (D19).
+
+    ``multiLine`` parsing reads each file in one task; account lists are
+    usually many small files, and ``multi_line=False`` makes big single files
+    splittable when no quoted field spans lines.
     """
-    raw = (spark.read.option("header", "true").option("multiLine", "true")
+    raw = (spark.read.option("header", "true").option("multiLine", str(multi_line).lower())
            .option("escape", '"').option("encoding", "UTF-8").csv(path))
     lc = {c: c.strip().lower().lstrip("﻿") for c in raw.columns}
     df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in lc.items()], F.input_file_name().alias("_file"))
