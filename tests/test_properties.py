@@ -36,3 +36,16 @@ def test_stage_counts_sum_to_total(spark):
     c = contacts(spark, SF)
     total = c.count()
     assert sum(r["count"] for r in c.groupBy("stage").count().collect()) == total
+
+
+def test_waterfall_with_one_provider_is_direct_lookup(spark):
+    from rosterline.operators.waterfall import email_waterfall
+    from rosterline.sources.bindings import results_src
+    r = results_src(spark, SF).where(F.col("rank") == 1).withColumn(
+        "verdict", F.when(F.col("raw_status") == "verified", "accept").otherwise("miss"))
+    contacts_ = r.select("contact_id").distinct()
+    wf = email_waterfall(contacts_, r).select("contact_id", "email")
+    direct = (r.where(F.col("verdict") == "accept").groupBy("contact_id")
+              .agg(F.min_by("email", "ord").alias("email")))
+    want = contacts_.join(direct, "contact_id", "left")
+    assert _rows(wf, ["contact_id", "email"]) == _rows(want, ["contact_id", "email"])
