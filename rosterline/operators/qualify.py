@@ -28,22 +28,21 @@ def score_persona(df: DataFrame, persona_titles: DataFrame, persona_seniority: D
                   seniority_col: str = "seniority") -> DataFrame:
     """Q1: 4 for title + seniority of a persona, 2 for the title alone, 0 otherwise;
     an excluded sense scores 0.  Keeps ``matched_persona`` (best points, then name)."""
+    # The persona dimension is reduced to two tiny lookups, both broadcast:
+    # (title, seniority) → best role for 4 points, title → best role for 2.
+    # The data side is never shuffled.
     pt = persona_titles.select("role", _norm_title(F.col("title")).alias("_t")).distinct()
-    ps = (persona_seniority.select(F.col("role").alias("_r"), F.lower("seniority").alias("_s2")).distinct()
-          .withColumn("_sm", F.lit(True)))
-    cand = (df.select("ord", _norm_title(F.col(title_col)).alias("_t"), F.lower(F.col(seniority_col)).alias("_s"))
-            .join(F.broadcast(pt), "_t")
-            .join(F.broadcast(ps), (F.col("role") == F.col("_r")) & (F.col("_s") == F.col("_s2")), "left")
-            .withColumn("_pts", F.when(F.col("_sm"), 4).otherwise(2)))
-    # Best persona per row: most points, then role name.
-    best = cand.groupBy("ord").agg(F.min_by(F.struct("_pts", "role"),
-                                            F.struct((-F.col("_pts")).alias("p"), F.col("role").alias("r"))).alias("_b"))
-    out = df.join(best, "ord", "left")
-    pts = F.coalesce(F.col("_b._pts"), F.lit(0))
+    ps = persona_seniority.select("role", F.lower("seniority").alias("_s")).distinct()
+    four = pt.join(ps, "role").groupBy("_t", "_s").agg(F.min("role").alias("_r4"))
+    two = pt.groupBy("_t").agg(F.min("role").alias("_r2"))
+    out = (df.withColumn("_t", _norm_title(F.col(title_col))).withColumn("_s", F.lower(F.col(seniority_col)))
+           .join(F.broadcast(four), ["_t", "_s"], "left").join(F.broadcast(two), "_t", "left"))
+    pts = F.when(F.col("_r4").isNotNull(), 4).when(F.col("_r2").isNotNull(), 2).otherwise(0)
     if senses:
         pts = F.when(F.coalesce(F.col(title_col).rlike(keyword_regex(senses)), F.lit(False)), 0).otherwise(pts)
-    return out.withColumn("persona_points", pts.cast("int")).withColumn(
-        "matched_persona", F.col("_b.role")).drop("_b")
+    return (out.withColumn("persona_points", pts.cast("int"))
+            .withColumn("matched_persona", F.coalesce("_r4", "_r2"))
+            .drop("_t", "_s", "_r4", "_r2"))
 
 
 def score_company(df: DataFrame, employees_col: str = "employees", region_col: str = "region",
