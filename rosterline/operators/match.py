@@ -64,19 +64,22 @@ def crossref_master(urls: DataFrame, master: DataFrame, url_col: str = "url") ->
     CASE order: absent → new; unsubscribed; bounced and not replied;
     interested; replied; else previously_contacted.  A NULL flag falls through.
     """
-    m = master.select("linkedin_url_normalized", "has_unsubscribed", "has_bounced", "has_replied",
-                      "overall_status", F.col("first_name").alias("_fn"), F.col("last_name").alias("_ln"),
-                      F.col("company_name").alias("_cn"), F.lit(True).alias("_found"))
-    j = urls.withColumn("_key", normalize_linkedin_url(url_col)).join(
-        m, F.col("_key") == F.col("linkedin_url_normalized"), "left")
+    # Master columns get internal names so inputs that already carry a key or
+    # flags (e.g. contacts) never clash with them.
+    m = master.select(F.col("linkedin_url_normalized").alias("_mk"), F.col("has_unsubscribed").alias("_unsub"),
+                      F.col("has_bounced").alias("_bounced"), F.col("has_replied").alias("_replied"),
+                      F.col("overall_status").alias("_overall"), F.col("first_name").alias("_fn"),
+                      F.col("last_name").alias("_ln"), F.col("company_name").alias("_cn"),
+                      F.lit(True).alias("_found"))
+    j = urls.withColumn("_key", normalize_linkedin_url(url_col)).join(m, F.col("_key") == F.col("_mk"), "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
     status = (F.when(~found, "new")
-              .when(F.col("has_unsubscribed"), "unsubscribed")
-              .when(F.col("has_bounced") & ~F.col("has_replied"), "bounced")
-              .when(F.col("overall_status") == "interested", "interested")
-              .when(F.col("has_replied"), "replied")
+              .when(F.col("_unsub"), "unsubscribed")
+              .when(F.col("_bounced") & ~F.col("_replied"), "bounced")
+              .when(F.col("_overall") == "interested", "interested")
+              .when(F.col("_replied"), "replied")
               .otherwise("previously_contacted"))
-    return j.select(*urls.columns, found.alias("found"), status.alias("status"),
+    return j.select(*[F.col(f"`{c}`") for c in urls.columns], found.alias("found"), status.alias("status"),
                     F.col("_fn").alias("master_first_name"), F.col("_ln").alias("master_last_name"),
                     F.col("_cn").alias("master_company_name"))
 
