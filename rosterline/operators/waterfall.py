@@ -34,6 +34,7 @@ def classify_answers(results: DataFrame, semantics: DataFrame) -> DataFrame:
     raw status matches a NULL semantics row (null-safe join).
     """
     sem = semantics.select(F.col("provider").alias("_p"), F.col("raw_status").alias("_r"), "verdict")
+    results = results.drop("verdict")          # re-classification replaces an earlier verdict
     j = results.join(F.broadcast(sem), (F.col("provider") == F.col("_p")) &
                      F.col("raw_status").eqNullSafe(F.col("_r")), "left").drop("_p", "_r")
     return j.withColumn("verdict", F.coalesce("verdict", F.lit("miss")))
@@ -43,6 +44,7 @@ def reverify(answers: DataFrame, validations: DataFrame) -> DataFrame:
     """Answers marked ``reverify`` are accepted only when the validator says valid
     (``catch_all`` → flag); everything else passes through unchanged."""
     v = validations.select(F.col("email").alias("_ve"), F.col("status").alias("validation"))
+    answers = answers.drop("validation")
     j = answers.join(v, F.col("email") == F.col("_ve"), "left").drop("_ve")
     return j.withColumn("verdict", F.when(F.col("verdict") != "reverify", F.col("verdict"))
                         .when(F.col("validation") == "valid", "reverified")
