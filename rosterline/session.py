@@ -44,12 +44,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     return spark
 
 
+_FALLBACK_DIRS: dict[int, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's setting, else a scratch dir."""
+    """The shared checkpoint folder: the cluster's setting, else a scratch dir.
+
+    The scratch fallback (tests, local runs) is chosen once per session; if the
+    session refuses a runtime change of the setting it is still used directly.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="rosterline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        key = id(spark.sparkContext)
+        d = _FALLBACK_DIRS.setdefault(key, tempfile.mkdtemp(prefix="rosterline-ckpt-"))
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core configs may be read-only at runtime
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
