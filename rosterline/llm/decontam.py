@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from rosterline.llm.common import map_arrow, raw_of, words_of
 
-__all__ = ["scan_contamination", "windows_of"]
+__all__ = ["scan_contamination", "drop_contaminated", "windows_of"]
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SCHEMA = ("doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
@@ -114,66 +115,75 @@ def char_spans(raw: bytes, ranges: list[tuple[int, int]]) -> str:
     return ",".join(f"{points[found[i][0]]}:{points[found[j - 1][1]]}" for i, j in ranges)
 
 
-def scan_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 2_000_000,
-                       doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                       keep: list[str] | None = None) -> DataFrame:
-    """One row per document with its hits; see the module for the defined cases.
-
-    ``keep`` names further document columns to carry along unchanged.
-    """
+def sent_shards(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, item_id: str, text: str) -> list:
+    """(broadcast patterns, worker key) of each shard."""
     spark = docs.sparkSession
-    items = sorted({(str(r[0]), r[1]) for r in benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull())
+    items = sorted({(str(r[0]), bytes(r[1])) for r in benchmark
+                    .where(F.col(item_id).isNotNull() & F.col(text).isNotNull())
                     .select(F.col(item_id).cast("string"), F.col(text).cast("binary")).toLocalIterator()})
-    shards = shards_of([(i, bytes(t)) for i, t in items], window, shard_bytes)
-    sent = [spark.sparkContext.broadcast(s) for s in shards]
-    keys = [f"{spark.sparkContext.applicationId}-{s.__hash__()}-{i}" for i, s in enumerate(sent)]
-    extra = [c for c in (keep or []) if c not in (doc_id, text)]
-    carried = [docs.schema[c] for c in extra]
+    run = uuid.uuid4().hex
+    return [(spark.sparkContext.broadcast(s), f"{run}-{i}")
+            for i, s in enumerate(shards_of(items, window, shard_bytes))]
+
+
+def scan_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 2_000_000,
+                       doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """One row per document with its hits (``hit_spans``: code points, end exclusive); see the module for the cases."""
+    shards = sent_shards(docs, benchmark, window, shard_bytes, item_id, text)
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"),
-                     *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)],
                      F.lit("").alias("_ranges"), F.array().cast("array<string>").alias("_items"))
     id_type = docs.schema[doc_id].dataType.simpleString()
-    xs = "".join(f", _x{i} {f.dataType.simpleString()}" for i, f in enumerate(carried))
-    mid = f"doc_id {id_type}, _text string{xs}, _ranges string, _items array<string>"
-    last = f"{SCHEMA.replace('doc_id bigint', f'doc_id {id_type}')}, _text string{xs}"
-    for k, (b, key) in enumerate(zip(sent, keys)):
-        df = map_arrow(df, df.columns, _step(b, key, k == len(sent) - 1, len(extra)),
-                       last if k == len(sent) - 1 else mid)
-    out = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-    named = [F.col("_text").alias(text)] * (text in (keep or [])) + [
-        F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)]
-    return df.select(*out, *named)
-
-
-def _step(patterns, key: str, final: bool, n_extra: int):
+    mid = f"doc_id {id_type}, _text string, _ranges string, _items array<string>"
+    last = SCHEMA.replace("doc_id bigint", f"doc_id {id_type}")
+    for k, (patterns, key) in enumerate(shards):
+        final = k == len(shards) - 1
+        df = map_arrow(df, df.columns, _step(patterns, key, final), last if final else mid)
+    return df
+
+
+def _step(patterns, key: str, final: bool):
     def run(b: pa.RecordBatch):
         auto = automaton_of(patterns.value, key)
         raws = raw_of(b.column("_text"))
-        before = b.column("_ranges").to_pylist()
-        known = b.column("_items").to_pylist()
         ranges, items, n_words = [], [], []
-        for raw, r, i in zip(raws, before, known):
+        for raw, r, i in zip(raws, b.column("_ranges").to_pylist(), b.column("_items").to_pylist()):
             norm = normalise(raw)
-            n_words.append(max(0, norm.count(" ") - 1) if len(norm) > 2 else 0)
+            n_words.append(norm.count(" ") - 1 if len(norm) > 2 else 0)
             got, found = scan(auto, norm) if auto else ([], set())
-            old = [tuple(map(int, x.split(":"))) for x in r.split(",") if x]
-            ranges.append(merge(old + got))
+            ranges.append(merge([tuple(map(int, x.split(":"))) for x in r.split(",") if x] + got))
             items.append(sorted(found | set(i)))
-        same = {"doc_id": b.column("doc_id"), "_text": b.column("_text")} | {
-            f"_x{i}": b.column(f"_x{i}") for i in range(n_extra)}
         if not final:
-            yield same | {"_ranges": [",".join(f"{x}:{y}" for x, y in r) for r in ranges], "_items": items}
+            yield {"doc_id": b.column("doc_id"), "_text": b.column("_text"), "_items": items,
+                   "_ranges": [",".join(f"{x}:{y}" for x, y in r) for r in ranges]}
             return
         hit = [sum(y - x for x, y in r) for r in ranges]
-        yield same | {
-            "n_words": n_words, "n_hit": hit, "n_items": [len(i) for i in items],
-            "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items],
-            "contaminated": [h > 0 for h in hit],
-            "hit_spans": [char_spans(raw, r) for raw, r in zip(raws, ranges)]}
+        yield {"doc_id": b.column("doc_id"), "n_words": n_words, "n_hit": hit, "n_items": [len(i) for i in items],
+               "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items],
+               "contaminated": [h > 0 for h in hit],
+               "hit_spans": [char_spans(raw, r) for raw, r in zip(raws, ranges)]}
 
     return run
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 2_000_000,
+                      text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The documents without any benchmark window, all columns as they are."""
+    at = docs.columns.index(text)
+
+    def clean(patterns, key):
+        def run(batches):
+            for b in batches:
+                auto = automaton_of(patterns.value, key)
+                kept = [auto is None or next(auto.iter(normalise(raw)), None) is None for raw in raw_of(b.column(at))]
+                yield b.filter(pa.array(kept, pa.bool_()))
+        return run
+
+    out = docs
+    for patterns, key in sent_shards(docs, benchmark, window, shard_bytes, item_id, "text"):
+        out = out.mapInArrow(clean(patterns, key), docs.schema)
+    return out
+
+
 ORACLE = r"""
 WITH dw AS (SELECT doc_id, rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import ann, decontam, packing
+from rosterline.llm import ann, decontam, jaccard, langid, packing, pii
 from rosterline.llm.common import read_table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op4_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
@@ -18,9 +26,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_spans")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_table(spark, sf_dir, "documents"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_learned_partitions, op6_decontamination, op8_harmonic_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_private_spans, op5_learned_partitions, op6_decontamination,
+                                    op7_language_id, op8_harmonic_packing)}
 SQL = {"op6_decontamination": decontam.ORACLE}
