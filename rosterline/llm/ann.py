@@ -3,15 +3,16 @@
 A bounded sample (``sample`` rows, a documented parameter) gives a k-nearest-
 neighbour graph.  Balanced label propagation with a capacity per part partitions
 that graph, and a small softmax classifier learns vector -> part.  Every row is
-indexed under its most probable part; a query is routed to its ``probes`` most
-probable parts and reranked there by exact cosine in double precision.
+indexed under its most probable part; a query is routed to its several most
+probable parts and reranked there by exact cosine in double precision.  How many
+parts is calibrated: a bounded set of queries is searched exactly among all rows,
+and the least number that holds the wanted share of their neighbours is taken.
 
 Scale: classifier weights (dim x parts) are the only thing shipped to workers.
 A part may hold a third of all rows (copies of one vector), so rows of a part
 are dealt to blocks of at most about ``block`` rows and a query meets each block
 of its parts; each block keeps its own best ``k``, which are merged per query.
-Queries are a stated set met by all blocks of few parts, so no pair of rows
-beyond (query, probed row) is ever formed, and those stay inside numpy.
+Queries of a part are dealt to blocks likewise.  Pairs of query and row stay inside numpy.
 
 Defined cases: a vector that is null, zero or holds a null or non-finite
 component takes no part; ties go to the smaller id; the query's own rows (same
@@ -146,11 +147,36 @@ def _best(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return cat(rows, np.int64), cat(ids, np.int64), cat(scores, np.float64)
 
 
-def nearest(vectors: DataFrame, queries, k: int = 5, sample: int = 8000, per_part: int = 1000, probes: int = 8,
-            block: int = 8192, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def probes_for(rows: DataFrame, queries: DataFrame, w: np.ndarray, bias: np.ndarray, dim: int, k: int, recall: float) -> int:
+    """Least number of parts that holds the given share of the true neighbours of some queries.
+
+    The queries are few (a bounded sample); their true neighbours are found among all rows, each batch
+    of rows giving its own best ``k``.
+    """
+    got = queries.select("vec_id", "_v").toArrow()
+    q_ids, q = np.asarray(got.column("vec_id"), np.int64), _matrix(got.column("_v"), dim)
+
+    def best(b: pa.RecordBatch):
+        x = _matrix(b.column("_v"), dim)
+        r, ids, s = _best(q_ids, q, np.asarray(b.column("vec_id"), np.int64), x, k)
+        part = dict(zip(b.column("vec_id").to_pylist(), (unit(x) @ w + bias).argmax(1).tolist()))
+        yield {"q": r, "score": s, "vec_id": ids, "part": [part[i] for i in ids.tolist()]}
+
+    found = map_arrow(rows, ["vec_id", "_v"], best, "q int, score double, vec_id bigint, part int")
+    top = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id", "part")), False), 1, k).alias("t"))
+    rank = np.argsort(np.argsort(-(unit(q) @ w + bias), axis=1, kind="stable"), axis=1)
+    needed = np.sort([rank[r["q"], x["part"]] for r in top.collect() for x in r["t"]])
+    if not len(needed):
+        return len(bias)
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
+def nearest(vectors: DataFrame, queries, k: int = 5, sample: int = 8000, per_part: int = 1000, recall: float = 0.95,
+            calibrate: int = 400, block: int = 8192, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows of every row for which the column ``queries`` (over ``vec_id``) is true.
 
-    Returns query_id, rank, vec_id, score.
+    Returns query_id, rank, vec_id, score.  ``sample`` rows fit the router; ``calibrate`` queries, searched
+    exactly among all rows, set the number of parts to probe for ``recall``.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vec)
@@ -159,14 +185,20 @@ def nearest(vectors: DataFrame, queries, k: int = 5, sample: int = 8000, per_par
     if not total:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("_v") == dim)
-    # Seeded by id, so that a lost and recomputed task picks the same rows.
-    picked = (rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * sample / total)) + 1)
-              .limit(sample).select("_v").toArrow())
+
+    def some(df: DataFrame, n: int, seed: int, of: int) -> DataFrame:
+        """About ``n`` rows, at most, by a hash of the id: a recomputed task picks the same ones."""
+        share = int((1 << 30) * min(1.0, 1.1 * n / max(1, of))) + 1
+        return df.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < share).limit(n)
+
+    picked = some(rows, sample, 1, total).select("_v").toArrow()
     if picked.num_rows == 0:
         picked = rows.limit(sample).select("_v").toArrow()
     w, bias = fit_router(_matrix(picked.column(0), dim), total, per_part)
     parts = len(bias)
-    probes = min(probes, parts)
+    asked = rows.where(queries)
+    n_asked = asked.count()
+    probes = parts if parts == 1 else min(parts, probes_for(rows, some(asked, calibrate, 2, n_asked), w, bias, dim, k, recall))
 
     def route(n_best: int):
         def run(b: pa.RecordBatch):
@@ -176,34 +208,44 @@ def nearest(vectors: DataFrame, queries, k: int = 5, sample: int = 8000, per_par
             yield {"vec_id": b.column("vec_id"), "_v": b.column("_v"), "_parts": best.tolist()}
         return run
 
+    def by_part(counts: dict[int, int]):
+        return F.create_map(*[F.lit(x) for p, n in counts.items() for x in (p, int(n))]).cast("map<int,bigint>")
+
+    def per_part_of(df: DataFrame) -> dict[int, int]:
+        return {r[0]: r[1] for r in df.groupBy("_part").count().collect()}  # at most 256 parts
+
     routed = "vec_id bigint, _v array<double>, _parts array<int>"
     index = map_arrow(rows, ["vec_id", "_v"], route(1), routed)
     index = materialize(index.select("vec_id", "_v", F.element_at("_parts", 1).alias("_part")), "ann-index")
-    sizes = {r[0]: r[1] for r in index.groupBy("_part").count().collect()}  # at most 256 parts
-    blocks = {p: -(-n // block) for p, n in sizes.items()}
-    deal = F.create_map(*[F.lit(x) for p, n in blocks.items() for x in (p, n)])
-    index = index.withColumn("_block", F.pmod(F.xxhash64("vec_id"), deal[F.col("_part")].cast("bigint")).cast("int"))
-    q = index.where(queries).select("vec_id", "_v")
-    q = map_arrow(q, ["vec_id", "_v"], route(parts), routed)
-    # A query whose probed parts can't hold k others goes on to further parts.
-    room = F.aggregate(F.slice("_parts", 1, probes), F.lit(0).cast("bigint"), lambda a, p: a + F.coalesce(
-        F.create_map(*[F.lit(x) for p_, n in sizes.items() for x in (p_, int(n))])[p].cast("bigint"), F.lit(0)))
+    sizes = per_part_of(index)
+    q = map_arrow(index.where(queries), ["vec_id", "_v"], route(parts), routed)
+    # A query whose probed parts can't hold k others goes on to all parts.
+    room = F.aggregate(F.slice("_parts", 1, probes), F.lit(0).cast("bigint"),
+                       lambda a, p: a + F.coalesce(by_part(sizes)[p], F.lit(0)))
     q = q.withColumn("_parts", F.when(room > k, F.slice("_parts", 1, probes)).otherwise(F.col("_parts")))
-    q = (q.select("vec_id", "_v", F.explode("_parts").alias("_part")).where(deal[F.col("_part")].isNotNull())
-         .select("vec_id", "_v", "_part", F.explode(F.sequence(F.lit(0), deal[F.col("_part")] - 1)).alias("_block")))
+    q = q.select("vec_id", "_v", F.explode("_parts").alias("_part")).where(F.col("_part").isin(list(sizes)))
+    q = materialize(q, "ann-queries")
+    # Rows and queries of a part are dealt to blocks; each row block meets each query block once.
+    row_blocks = by_part({p: -(-n // block) for p, n in sizes.items()})
+    query_blocks = by_part({p: -(-n // block) for p, n in per_part_of(q).items()} or {0: 1})
+
+    def dealt(df: DataFrame, own: str, blocks, other: str, others) -> DataFrame:
+        return (df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(3)), blocks[F.col("_part")]).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), (others[F.col("_part")] - 1).cast("int")))))
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
-                              "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
-            return empty
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
+                                 "score": pd.Series(dtype="float64")})
         q_ids, c_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         r, ids, s = _best(q_ids, np.stack(left["_v"].to_numpy()), c_ids, np.stack(right["_v"].to_numpy()), k)
         return pd.DataFrame({"query_id": q_ids[r], "vec_id": ids, "score": s})
 
-    found = (q.groupBy("_part", "_block").cogroup(index.groupBy("_part", "_block"))
-             .applyInPandas(meet, "query_id bigint, vec_id bigint, score double"))
-    # Each block sends at most k rows a query; the best k of probes x blocks are kept.
+    keys = ["_part", "_rows", "_asked"]
+    found = (dealt(q, "_asked", query_blocks, "_rows", row_blocks).groupBy(*keys)
+             .cogroup(dealt(index.where(query_blocks[F.col("_part")].isNotNull()), "_rows", row_blocks, "_asked", query_blocks)
+                      .groupBy(*keys)).applyInPandas(meet, "query_id bigint, vec_id bigint, score double"))
+    # Each block sends at most k rows a query; the best k are kept.
     top = found.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct(
         (-F.col("score")).alias("d"), "vec_id"))).alias("t"))
     return (top.select("query_id", F.posexplode(F.slice("t", 1, k)).alias("pos", "x"))
