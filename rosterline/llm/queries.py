@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import ann, decontam, jaccard, langid, packing, pii
+from rosterline.llm import ann, decontam, jaccard, langid, lm, packing, pii
 from rosterline.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_private_spans, op5_learned_partitions, op6_decontamination,
-                                    op7_language_id, op8_harmonic_packing)}
+                                    op7_language_id, op8_harmonic_packing, op9_trie_scores)}
 SQL = {"op6_decontamination": decontam.ORACLE}
