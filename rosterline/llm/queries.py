@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import ann, decontam, jaccard, langid, lm, packing, pii
+from rosterline.llm import ann, chat, decontam, jaccard, langid, licences, lm, packing, pii, quality
 from rosterline.llm.common import read_table
 
 
@@ -13,6 +13,14 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read_table(spark, sf_dir, "documents"))
+
+
 def op4_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,12 @@ def op9_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_private_spans, op5_learned_partitions, op6_decontamination,
-                                    op7_language_id, op8_harmonic_packing, op9_trie_scores)}
-SQL = {"op6_decontamination": decontam.ORACLE}
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = read_table(spark, sf_dir, "conversations")
+    return chat.chat_records(messages, *chat.derived_calls(messages), chat.tools_frame(spark))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard, op2_quality_perplexity, op3_licence_rules, op4_private_spans, op5_learned_partitions,
+    op6_decontamination, op7_language_id, op8_harmonic_packing, op9_trie_scores, op10_tool_calls)}
+SQL = {"op6_decontamination": decontam.ORACLE, "op10_tool_calls": chat.ORACLE}
