@@ -51,7 +51,7 @@ SENTENCES = {
                  "furnished to do so, subject to the following conditions:",
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or "
                   "substantial portions of the Software",
-    "as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND *",
+    "as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND*",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
                  "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
                  "in all copies",
@@ -97,6 +97,7 @@ RULES = [
 _NOT_WORD = re.compile(r"[^0-9a-z*]+")
 _END = re.compile(r"(?<=[.!?])\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
+_HINT = re.compile(r"licen[sc]e|permi|copyright|redistrib|as is", re.I)
 _COMMENT = re.compile(r"^[\s#/*;%-]+", re.M)
 
 
@@ -131,7 +132,7 @@ def identify(sentence: str) -> str | None:
     if key in EXACT:
         return EXACT[key]
     for head, tail, name in OPEN:
-        if key.startswith(head) and key.endswith(tail) and len(key) > len(head) + len(tail):
+        if f"{key} ".startswith(f"{head} ") and f" {key}".endswith(f" {tail}" if tail else ""):
             return name
     return None
 
@@ -152,21 +153,19 @@ def identified(t: str) -> list[tuple[int, str]]:
                 found.add((pos, name))
             pos += len(s)
         at += len(line) + 1
-    lower = None
     at = 0
     for para in _PARAGRAPH.split(t):
         at = t.find(para, at)
-        if "\n" in para:
-            lower = _COMMENT.sub("", para).replace("\n", " ") if re.search(r"licen[sc]e|permi|copyright|redistrib", para, re.I) else None
-            if lower:
-                lines = {i for i, _ in found}
-                for s in _END.split(lower):
-                    name = identify(s)
-                    # Its place is that of its first words in the paragraph as it stands.
-                    if name:
-                        first = t.find(s[:12], at)
-                        if first not in lines:
-                            found.add((first, name))
+        if "\n" in para and _HINT.search(para):
+            first = at
+            lines = {i for i, _ in found}
+            for s in _END.split(_COMMENT.sub("", para).replace("\n", " ")):
+                name = identify(s)
+                # Its place is that of its first words in the text as it stands; a line found there counts once.
+                place = t.find(s[:12], first)
+                first = max(first, place)
+                if name and place not in lines:
+                    found.add((place, name))
         at += len(para)
     return sorted(found)
 

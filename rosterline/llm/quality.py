@@ -93,7 +93,7 @@ def _short(o: int):
 def discounts(n: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 up, from the numbers of n-grams that occur 1 to 4 times."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    return [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else min(k, 0.5 * k) for k in (1, 2, 3)]
+    return [max(0.1, k - (k + 1) * y * n[k] / n[k - 1]) if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
 
 
 def fit(trusted: DataFrame, order: int = 5, share: float = 5e-7) -> dict | None:
@@ -178,7 +178,7 @@ def perplexities(docs: DataFrame, model: dict | None, keep: list[str], text: str
 
 
 def rate(docs: DataFrame, labels: DataFrame, order: int = 5, share: float = 5e-7, quantile: float = 0.995,
-         margin: float = 1.1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+         margin: float = 1.25, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, lang, n_chars_scored, perplexity, threshold, kept of every document."""
     good = (labels.groupBy(F.col("doc_id").alias("_id"))
             .agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_good"))
