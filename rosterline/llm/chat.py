@@ -109,6 +109,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> tuple[
 
     ``tools``: name and the array ``params``, as ``schema_of`` gives it.
     """
+    results = results.select("conv_id", "turn", "call_id", "content")
     first = F.struct("turn", "name", "arguments", "after")
     one = materialize(calls.groupBy(*KEY).agg(F.min(first).alias("_f"), (F.count(F.lit(1)) - 1).alias("n_same"))
                       .select(*KEY, "_f.*", "n_same"), "calls")
@@ -134,6 +135,7 @@ def chat_records(messages: DataFrame, calls: DataFrame, results: DataFrame, tool
 
     A message stands at the depth of the calls of its turn; kinds are 0 message, 1 call, 2 result.
     """
+    messages = messages.select("conv_id", "turn", "role", "text")
     linked, back = link_calls(calls, results, tools)
     # Messages carry no call: their depth is that of the conversation so far, which the turn tells.
     no = F.lit(None)
