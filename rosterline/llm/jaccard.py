@@ -39,7 +39,7 @@ from rosterline.llm.common import batch_of, map_arrow, materialize, mix64, raw_o
 
 __all__ = ["similar_documents", "drop_near_duplicates", "shingles", "expected_recall"]
 
-RUNS, FANOUT, DEPTH, LEAF, BLOCK = 4, 3.0, 2, 64, 512
+RUNS, FANOUT, DEPTH, LEAF, BLOCK = 4, 3.0, 2, 64, 4096
 #: Least number of commonly chosen tokens of a candidate pair; a pair at 0.8 has 19 on average.
 LEAST_COMMON = 5
 
@@ -126,12 +126,24 @@ def in_blocks(members: DataFrame) -> DataFrame:
             .drop("_blocks", "_other"))
 
 
+def rows_of(b: pa.RecordBatch) -> list[dict]:
+    """Rows with list columns as slices of one numpy array."""
+    cols = {}
+    for f, c in zip(b.schema, b.columns):
+        if pa.types.is_list(f.type):
+            flat, at = c.flatten().to_numpy(), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy())])
+            cols[f.name] = [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+        else:
+            cols[f.name] = c.to_pylist()
+    return [dict(zip(cols, r)) for r in zip(*cols.values())]
+
+
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Row groups of equal (node, part_a, part_b) from sorted batches; a group may span batches."""
     held: list[dict] = []
     key = None
     for b in batches:
-        for row in b.to_pylist():
+        for row in rows_of(b):
             k = row["node"], row["part_a"], row["part_b"]
             if k != key and held:
                 yield held
@@ -153,9 +165,10 @@ def common(a: list, b: list) -> np.ndarray:
     out = np.zeros((len(a), len(b)), np.float32)
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
-    for at in range(0, int(cols[-1]) + 1 if len(cols) else 0, 8192):
-        lo, hi = np.searchsorted(cols, [at, at + 8192])
-        m = np.zeros((len(a) + len(b), 8192), np.float32)
+    wide = 1024
+    for at in range(0, int(cols[-1]) + 1 if len(cols) else 0, wide):
+        lo, hi = np.searchsorted(cols, [at, at + wide])
+        m = np.zeros((len(a) + len(b), min(wide, int(cols[-1]) + 1 - at)), np.float32)
         m[rows[lo:hi], cols[lo:hi] - at] = 1
         out += m[:len(a)] @ m[len(a):].T
     return out
@@ -171,7 +184,7 @@ def candidates(a: list[dict], b: list[dict], same: bool, threshold: float) -> np
         ok &= common([r["picks"] for r in a], [r["picks"] for r in b]) >= LEAST_COMMON
     if ok.any():
         node = a[0]["node"]
-        less = [[np.array([x for x in r["nodes"] if x < node], np.int64) for r in side] for side in (a, b)]
+        less = [[r["nodes"][r["nodes"] < node] for r in side] for side in (a, b)]
         ok &= common(*less) == 0
     return ok
 
@@ -202,6 +215,26 @@ def _filter(threshold: float, schema: pa.Schema):
     return run
 
 
+def linked(a: list[dict], b: list[dict], ok: np.ndarray, same: bool) -> list[tuple[bytes, int, bytes]]:
+    """(sig, number of links, root) of the classes with a link in the group; roots spread along the links."""
+    sigs = np.array([r["sig"] for r in a] + ([] if same else [r["sig"] for r in b]), object)
+    rank = np.argsort(np.argsort(sigs, kind="stable"), kind="stable").astype(np.int32)
+    if same:
+        ok = ok | ok.T
+    la, lb = rank[:len(a)].copy(), rank[-len(b):].copy()
+    none = np.int32(len(sigs))
+    while True:
+        na = np.minimum(la, np.where(ok, lb[None, :], none).min(1))
+        nb = na if same else np.minimum(lb, np.where(ok, na[:, None], none).min(0))
+        if (na == la).all() and (nb == lb).all():
+            break
+        la, lb = na, nb
+    links = ok.sum(1) if same else np.concatenate([ok.sum(1), ok.sum(0)])
+    named = sigs[np.argsort(rank)]
+    label = la if same else np.concatenate([la, lb])
+    return [(sigs[i], int(links[i]), named[label[i]]) for i in np.flatnonzero(links)]
+
+
 def _verify(threshold: float, schema: pa.Schema):
     def run(batches):
         out: list[tuple[bytes, int, bytes]] = []
@@ -215,21 +248,7 @@ def _verify(threshold: float, schema: pa.Schema):
             inter = common([r["toks"] for r in a], [r["toks"] for r in b])
             total = np.array([r["n"] for r in a])[:, None] + np.array([r["n"] for r in b])
             ok &= inter * (1 + threshold) >= threshold * total - 1e-6
-            links = dict.fromkeys((r["sig"] for r in g), 0)
-            root = {s: s for s in links}
-
-            def find(s):
-                while root[s] != s:
-                    root[s] = s = root[root[s]]
-                return s
-
-            for i, j in np.argwhere(ok):
-                x, y = a[i]["sig"], b[j]["sig"]
-                links[x] += 1
-                links[y] += 1
-                x, y = find(x), find(y)
-                root[max(x, y)] = min(x, y)
-            out += [(s, n, find(s)) for s, n in links.items() if n]
+            out += linked(a, b, ok, same)
             if len(out) > 20_000:
                 yield batch_of(dict(zip(("sig", "links", "root"), zip(*out))), schema)
                 out = []
