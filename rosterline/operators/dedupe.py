@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.normalize import normalize_company_name, normalize_domain, normalize_linkedin_url
 
+from rosterline.operators.upsert import keep_rows, own_if_null
+
 __all__ = ["richness", "dedupe_companies", "dedupe_contacts", "companies_from_people", "source_report"]
 
 
@@ -20,11 +22,14 @@ def richness(cols: list[str]) -> Column:
     return sum((F.coalesce(F.trim(F.col(c).cast("string")) != F.lit(""), F.lit(False))).cast("int") for c in cols)
 
 
-def _richest(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    rk = F.struct(F.col("_filled").alias("f"), (-F.col("ord")).alias("o"))
-    others = [c for c in df.columns if c not in keys]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*others), rk).alias("_w"))
-            .select(*keys, *[F.col("_w")[c].alias(c) for c in others]))
+def _richest(df: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+    """The row with most filled fields, then the smallest ``ord``, per key; rows with a NULL among
+    ``keys`` stay apart.  Filled and ``ord`` are packed into one bigint, so that a hash aggregation
+    finds the winners and the wide rows are only semi-joined."""
+    x = (df.withColumn("_own", own_if_null(keys, "ord"))
+         .withColumn("_best", F.shiftleft(F.col("_filled").cast("bigint"), 48) - F.col("ord")))
+    best = x.groupBy(*group, *keys, "_own").agg(F.max("_best").alias("_best"))
+    return keep_rows(x, best, [*group, *keys, "_own", "_best"]).drop("_own", "_best")
 
 
 def dedupe_companies(df: DataFrame, fields: list[str], group: list[str] | None = None) -> DataFrame:
@@ -33,28 +38,35 @@ def dedupe_companies(df: DataFrame, fields: list[str], group: list[str] | None =
     x = (df.withColumn("_dk", normalize_domain("company_domain"))
          .withColumn("_nk", normalize_company_name("company_name"))
          .withColumn("_filled", richness(fields)))
-    keyed = _richest(x.where(F.col("_dk").isNotNull()), g + ["_dk"], fields)
-    pass1 = keyed.unionByName(x.where(F.col("_dk").isNull()))
-    named = _richest(pass1.where(F.col("_nk").isNotNull()), g + ["_nk"], fields)
-    return (named.unionByName(pass1.where(F.col("_nk").isNull()))
-            .withColumnRenamed("_nk", "name_key").withColumnRenamed("_filled", "filled").drop("_dk"))
+    out = _richest(_richest(x, ["_dk"], g), ["_nk"], g)
+    return out.withColumnRenamed("_nk", "name_key").withColumnRenamed("_filled", "filled").drop("_dk")
 
 
 def dedupe_contacts(df: DataFrame, fields: list[str], group: list[str] | None = None,
                     fallback: tuple = ("first_name", "last_name", "company_name", "title")) -> DataFrame:
     """A3: dedup on N1; NULL-URL rows on first+last+company+title; richest kept and
-    ``provider_ids`` of every merged row carried over (first id per provider)."""
+    ``provider_ids`` of every merged row carried over (first id per provider).
+
+    The fallback key is the JSON array of the four values, so NULL differs from blank and no
+    two value lists share a key; a row with none of them has a NULL key and is never merged.
+    """
     g = group or []
-    x = df.withColumn("_u", normalize_linkedin_url("linkedin_url"))
-    x = x.withColumn("dedup_key", F.coalesce(F.col("_u"), F.concat(F.lit("name:"), F.concat_ws("|", *fallback))))
-    x = x.withColumn("_filled", richness(fields)).drop("_u")
-    ids = (x.select(*g, "dedup_key", "ord", F.explode("provider_ids").alias("_p", "_v"))
-           .groupBy(*g, "dedup_key", "_p").agg(F.min_by("_v", "ord").alias("_v"))
-           .groupBy(*g, "dedup_key").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_v"))).alias("_ids")))
-    best = _richest(x.drop("provider_ids"), g + ["dedup_key"], fields)
-    return (best.join(ids, g + ["dedup_key"], "left")
+    named = F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in fallback]).isNotNull()
+    name_key = F.concat(F.lit("name:"), F.to_json(F.array(*[F.col(c) for c in fallback])))
+    x = (df.withColumn("dedup_key", F.coalesce(normalize_linkedin_url("linkedin_url"), F.when(named, name_key)))
+         .withColumn("_filled", richness(fields)).withColumn("_own2", own_if_null(["dedup_key"], "ord")))
+    ids = (x.select(*g, "dedup_key", "_own2", "ord", F.explode("provider_ids").alias("_p", "_v"))
+           .groupBy(*g, "dedup_key", "_own2", "_p").agg(F.min_by("_v", "ord").alias("_v"))
+           .groupBy(*g, "dedup_key", "_own2").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_v"))).alias("_ids")))
+    on = [*g, "dedup_key", "_own2"]
+    ids = ids.select("_ids", *[F.col(c).alias(f"_i{i}") for i, c in enumerate(on)])
+    cond = F.lit(True)
+    for i, c in enumerate(on):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_i{i}"))
+    best = _richest(x.drop("provider_ids"), ["dedup_key"], g)
+    return (best.join(ids, cond, "left")
             .withColumn("provider_ids", F.coalesce("_ids", F.create_map().cast("map<string,string>")))
-            .drop("_ids").withColumnRenamed("_filled", "filled"))
+            .drop("_ids", "_own2", *[f"_i{i}" for i in range(len(on))]).withColumnRenamed("_filled", "filled"))
 
 
 def companies_from_people(df: DataFrame, industries: list[str] | None = None, keywords: list[str] | None = None,
@@ -75,9 +87,9 @@ def companies_from_people(df: DataFrame, industries: list[str] | None = None, ke
 
 
 def source_report(pooled: DataFrame, prices: DataFrame | None = None) -> DataFrame:
-    """Per source — rows found, net-new rows, credits (found × price when given)."""
+    """Per source — rows found, net-new rows and, with ``prices``, cost (found × credits; NULL: no price known)."""
     r = pooled.groupBy("source").agg(F.count(F.lit(1)).alias("found"), F.count_if("net_new").alias("net_new"))
     if prices is not None:
-        r = (r.join(F.broadcast(prices.select(F.col("provider").alias("source"), "credits")), "source", "left")
-             .withColumn("cost", F.col("found") * F.coalesce("credits", F.lit(0.0))).drop("credits"))
+        r = (r.join(prices.select(F.col("provider").alias("source"), "credits"), "source", "left")
+             .withColumn("cost", F.col("found") * F.col("credits")).drop("credits"))
     return r

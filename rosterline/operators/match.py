@@ -27,7 +27,7 @@ __all__ = [
     "rollup_master", "crossref_master", "suppress_master", "crm_dedupe", "with_intel",
     "expand_regions", "match_roles", "backfill_domain", "valid_track", "lookup_linkedin",
     "reverse_lookup", "resolve_companies", "resolved_urls", "apply_exclusions", "icp_filter", "fresh",
-    "keyword_regex", "MASTER_STATUS_RANK",
+    "keyword_regex", "mark_exclusions", "MASTER_STATUS_RANK",
 ]
 
 # Precedence of engagement statuses for the roll-up (bounce/unsubscribe are flags).
@@ -48,8 +48,8 @@ def rollup_master(touches: DataFrame) -> DataFrame:
                                            for x in (F.lit(k), F.lit(v))]), F.col("status"))
     names = [c for c in ("first_name", "last_name", "company_name", "email") if c in touches.columns]
     return t.groupBy("linkedin_url_normalized").agg(
-        F.min_by("linkedin_url", "ts").alias("linkedin_url"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in names],
+        F.min(F.struct("ts", "linkedin_url"))["linkedin_url"].alias("linkedin_url"),
+        *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("ts"), F.col(c))))[c].alias(c) for c in names],
         F.coalesce(F.max_by("status", rank), F.lit("contacted")).alias("overall_status"),
         F.count_distinct("campaign_id").cast("int").alias("total_campaigns"),
         F.bool_or(F.col("status") == "replied").alias("has_replied"),
@@ -148,13 +148,14 @@ def match_roles(df: DataFrame, role_titles: DataFrame, senses: list[str] | None
                 title_col: str = "title") -> DataFrame:
     """Title ∈ persona / also-known-as / profile titles → matched role(s).
 
-    ``role_titles`` (role, title, provenance) is small and broadcast.  A title
+    ``role_titles`` (role, title, provenance) is a dimension; the planner broadcasts it if its
+    measured size allows.  A title
     that hits an excluded sense (whole word) is demoted (``sense_excluded``).
     One output row per input row: the first matching role by name.
     """
     rt = (role_titles.select("role", _norm_title(F.col("title")).alias("_t"))
           .groupBy("_t").agg(F.min("role").alias("matched_role")))
-    out = df.withColumn("_t", _norm_title(F.col(title_col))).join(F.broadcast(rt), "_t", "left").drop("_t")
+    out = df.withColumn("_t", _norm_title(F.col(title_col))).join(rt, "_t", "left").drop("_t")
     if senses:
         out = out.withColumn("sense_excluded", F.coalesce(F.col(title_col).rlike(keyword_regex(senses)), F.lit(False)))
     return out
@@ -169,7 +170,7 @@ def backfill_domain(df: DataFrame, brief: DataFrame | None = None, group_col: st
     out = df.withColumn("_own", blank("company_domain"))
     if brief is not None:
         b = brief.select(F.col("company_name").alias("_bn"), F.col("domain").alias("_brief")) \
-            .groupBy("_bn").agg(F.first("_brief").alias("_brief"))
+            .groupBy("_bn").agg(F.min("_brief").alias("_brief"))
         out = out.join(b, F.col("company_name") == F.col("_bn"), "left").drop("_bn")
     else:
         out = out.withColumn("_brief", F.lit(None).cast("string"))
@@ -188,29 +189,39 @@ def backfill_domain(df: DataFrame, brief: DataFrame | None = None, group_col: st
 # --- J12 / F10 --------------------------------------------------------------
 
 def valid_track(requests: DataFrame, searches: DataFrame, ttl_hours: int = 6,
-                key: str = "user_id") -> DataFrame:
+                key: str = "user_id", slot_seconds: int = 300) -> DataFrame:
     """Each request gets the latest search of the same key within ``ttl_hours``
     before it; a track id is single-use, so only its first request is valid.
 
     Inputs: (key, id, ts).  Output: request id, ts, track_id, valid.
     """
-    def slot(c: str) -> Column:
+    def slot(c: str, seconds: int) -> Column:
         secs = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
-        return F.floor(secs / F.lit(ttl_hours * 3600)).cast("bigint")
-
-    s = searches.select(key, F.col("id").alias("track_id"), F.col("ts").alias("s_ts"))
-    s = s.withColumn("_slot", slot("s_ts"))
-    s2 = s.select(key, "track_id", "s_ts", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)).alias("_slot"))
-    r = requests.select(key, F.col("id").alias("request_id"), "ts").withColumn("_slot", slot("ts"))
-    u = (r.select(key, "_slot", "ts", "request_id", F.lit(None).cast("bigint").alias("track_id"),
-                  F.lit(None).cast("timestamp_ntz").alias("s_ts"), F.lit(1).alias("_kind"))
-         .unionByName(s2.select(key, "_slot", F.col("s_ts").alias("ts"), F.lit(None).cast("bigint").alias("request_id"),
-                                "track_id", "s_ts", F.lit(0).alias("_kind"))))
-    w = (Window.partitionBy(key, "_slot").orderBy("ts", "_kind", "track_id")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    search = F.when(F.col("_kind") == 0, F.struct("s_ts", "track_id"))
-    u = (u.withColumn("_t", F.last(search, ignorenulls=True).over(w))
-         .where(F.col("_kind") == 1))
+        return F.floor(secs / F.lit(seconds)).cast("bigint")
+
+    # Within a short slot: the last search up to each request.  A task sees one key's rows of a few minutes.
+    r = requests.select(F.col(key).alias("_k"), F.col("id").alias("request_id"), "ts").withColumn("_slot", slot("ts", slot_seconds))
+    s = (searches.select(F.col(key).alias("_k"), F.col("id").alias("_id"), F.col("ts").alias("s_ts"))
+         .withColumn("_slot", slot("s_ts", slot_seconds)).withColumn("_s", F.struct("s_ts", F.col("_id").alias("track_id"))))
+    u = (r.select("_k", "_slot", "ts", "request_id", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_kind"))
+         .unionByName(s.select("_k", "_slot", F.col("s_ts").alias("ts"), F.lit(None).cast(r.schema["request_id"].dataType).alias("request_id"),
+                               "_s", F.lit(0).alias("_kind"))))
+    w = Window.partitionBy("_k", "_slot").orderBy("ts", "_kind", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_here", F.last("_s", ignorenulls=True).over(w)).where("_kind = 1").drop("_s", "_kind")
+    # Between slots: each slot's last search is carried on; one row per key and slot, however active the key.
+    per = max(1, ttl_hours * 3600 // slot_seconds)
+    last = s.groupBy("_k", "_slot").agg(F.max("_s").alias("_last"))
+    asked = r.select("_k", "_slot").distinct().withColumn("_ask", F.lit(True))
+    both = last.join(asked, (last["_k"].eqNullSafe(asked["_k"])) & (last["_slot"] == asked["_slot"]), "full").select(
+        F.coalesce(last["_k"], asked["_k"]).alias("_k"), F.coalesce(last["_slot"], asked["_slot"]).alias("_slot"), "_last", "_ask")
+    span = F.floor(F.col("_slot") / per)
+    both = (both.select("*", F.explode(F.array(span, span + 1, span + 2)).alias("_span"))
+            .withColumn("_own", span == F.col("_span")).where(F.col("_own") | F.col("_last").isNotNull()))
+    back = Window.partitionBy("_k", "_span").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (both.withColumn("_before", F.last("_last", ignorenulls=True).over(back))
+               .where(F.col("_own") & F.col("_ask")).select(F.col("_k").alias("_ck"), F.col("_slot").alias("_cs"), "_before"))
+    u = u.join(carried, F.col("_k").eqNullSafe(F.col("_ck")) & (F.col("_slot") == F.col("_cs")), "left")
+    u = u.withColumn("_t", F.coalesce("_here", "_before"))
     ttl = F.expr(f"INTERVAL {ttl_hours} HOURS")
     u = u.withColumn("track_id", F.when(F.col("_t.s_ts") >= F.col("ts") - ttl, F.col("_t.track_id")))
     first_use = (u.where(F.col("track_id").isNotNull()).groupBy("track_id")
@@ -246,20 +257,36 @@ def reverse_lookup(keys: DataFrame, people: DataFrame, key_col: str = "key") ->
 def resolve_companies(df: DataFrame, known_pages: DataFrame, input_col: str = "company") -> DataFrame:
     """First slug candidate whose page is valid or uncertain; else unresolved.
 
+    A company-page URL is tried by its own slug (method ``url``), a domain by its first label
+    (``domain-direct:``), a name by its slug variants (``slug:``).  Blank inputs are skipped.
+
     ``known_pages`` (slug, status) stands in for live page checks.
     """
-    cand = df.select("*", F.posexplode(slug_candidates(F.col(input_col))).alias("_pos", "slug"))
+    raw = strip_ws(F.col(input_col))
+    page = F.lower(F.regexp_extract(raw, r"(?i)linkedin\.com/company/([^/?#\s]+)", 1))
+    kind = (F.when(page != "", "url").when(F.contains(raw, F.lit(".")) & ~F.contains(raw, F.lit(" ")), "domain")
+            .otherwise("name"))
+    domain = F.regexp_extract(raw, r"^(?:https?://)?([^/]*)", 1)
+    x = df.withColumn("_in", raw).withColumn("_page", page)
+    x = x.where(F.coalesce(F.col("_in") != "", F.lit(False)))
+    x = x.withColumn("_kind", kind).withColumn("_d", domain)
+    slugs = (F.when(F.col("_kind") == "url", F.array("_page"))
+             .when(F.col("_kind") == "domain", F.array(F.regexp_replace(F.lower(F.regexp_extract("_d", r"^([^.]*)", 1)), "[^a-z0-9-]", "")))
+             .otherwise(slug_candidates(F.col("_in"))))
+    cand = x.select("_in", F.posexplode(slugs).alias("_pos", "slug")).distinct()
     ok = known_pages.where(F.col("status").isin("valid", "uncertain")).select("slug").distinct()
-    hits_ = cand.join(ok, "slug", "left_semi")
-    best = hits_.groupBy(input_col).agg(F.min_by("slug", "_pos").alias("slug"))
-    out = df.join(best, input_col, "left")
+    best = cand.join(ok, "slug", "left_semi").groupBy("_in").agg(F.min(F.struct("_pos", "slug"))["slug"].alias("_slug"))
+    out = x.join(best, "_in", "left")
+    found = F.col("_slug").isNotNull()
     return out.select(
-        "*",
-        F.when(F.col("slug").isNotNull(), F.concat(F.lit("https://www.linkedin.com/company/"), F.col("slug")))
-        .alias("url"),
-        F.when(F.col("slug").isNotNull(), F.concat(F.lit("slug:"), F.col("slug"))).alias("method"),
-        F.when(F.col("slug").isNull(), F.concat(F.lit("could not resolve "), F.col(input_col))).alias("reason"),
-    ).drop("slug")
+        *df.columns,
+        F.when(found, F.concat(F.lit("https://www.linkedin.com/company/"), F.col("_slug"))).alias("url"),
+        F.when(found, F.when(F.col("_kind") == "url", "url")
+               .when(F.col("_kind") == "domain", F.concat(F.lit("domain-direct:"), F.col("_d")))
+               .otherwise(F.concat(F.lit("slug:"), F.col("_slug")))).alias("method"),
+        F.when(~found, F.when(F.col("_kind") == "url", F.concat(F.lit("url slug '"), F.col("_page"), F.lit("' not found")))
+               .when(F.col("_kind") == "domain", F.concat(F.lit("no LinkedIn page for domain "), F.col("_d")))
+               .otherwise(F.concat(F.lit("could not resolve "), F.col("_in")))).alias("reason"))
 
 
 def resolved_urls(resolved: DataFrame) -> DataFrame:
@@ -275,10 +302,10 @@ def keyword_regex(words: list[str]) -> str:
     return rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{alts})(?![\p{{L}}\p{{N}}])"
 
 
-def apply_exclusions(df: DataFrame, titles: list[str] | None = None, company_types: list[str] | None = None,
-                     domains: DataFrame | None = None, title_col: str = "title",
-                     type_col: str = "company_type", domain_col: str = "company_domain"):
-    """mark rows hit by an exclusion rule and split (kept, skipped).
+def mark_exclusions(df: DataFrame, titles: list[str] | None = None, company_types: list[str] | None = None,
+                    domains: DataFrame | None = None, title_col: str = "title",
+                    type_col: str = "company_type", domain_col: str = "company_domain") -> DataFrame:
+    """every row with its ``exclusion_reason`` (NULL: kept).
 
     Keyword rules become one alternation regex each (codegen'd, no join); the
     domain list is a left-anti style join on the normalized domain.
@@ -293,7 +320,12 @@ def apply_exclusions(df: DataFrame, titles: list[str] | None = None, company_typ
         reason = F.coalesce(reason, F.when(F.col(type_col).rlike(keyword_regex(company_types)), "excluded_company_type"))
     if titles and title_col in df.columns:
         reason = F.coalesce(reason, F.when(F.col(title_col).rlike(keyword_regex(titles)), "excluded_title"))
-    marked = df.withColumn("exclusion_reason", reason).drop("_xd", "_xhit")
+    return df.withColumn("exclusion_reason", reason).drop("_xd", "_xhit")
+
+
+def apply_exclusions(df: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:
+    """F4 split into (kept, skipped); ``mark_exclusions`` gives both in one frame and one pass."""
+    marked = mark_exclusions(df, *args, **options)
     return marked.where(F.col("exclusion_reason").isNull()), marked.where(F.col("exclusion_reason").isNotNull())
 
 

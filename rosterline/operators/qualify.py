@@ -26,17 +26,27 @@ def _norm_title(c) -> Column:
 def score_persona(df: DataFrame, persona_titles: DataFrame, persona_seniority: DataFrame,
                   senses: list[str] | None = None, title_col: str = "title",
                   seniority_col: str = "seniority") -> DataFrame:
-    """Q1: 4 for title + seniority of a persona, 2 for the title alone, 0 otherwise;
-    an excluded sense scores 0.  Keeps ``matched_persona`` (best points, then name)."""
-    # The persona dimension is reduced to two tiny lookups, both broadcast:
-    # (title, seniority) → best role for 4 points, title → best role for 2.
-    # The data side is never shuffled.
+    """Q1: 4 for title + seniority of a persona, 2 for an adjacent seniority, 0 otherwise (weak);
+    an excluded sense scores 0.  Keeps ``matched_persona`` (best points, then name).
+
+    ``persona_seniority`` (role, seniority, optionally fit): rows with fit ``adjacent`` are
+    the adjacent seniorities of a role.  Without the column, the title alone is adjacent.
+    """
+    # The rules reduce to lookups by (title, seniority) and by title; the planner
+    # broadcasts them if their measured size allows.
     pt = persona_titles.select("role", _norm_title(F.col("title")).alias("_t")).distinct()
-    ps = persona_seniority.select("role", F.lower("seniority").alias("_s")).distinct()
-    four = pt.join(ps, "role").groupBy("_t", "_s").agg(F.min("role").alias("_r4"))
-    two = pt.groupBy("_t").agg(F.min("role").alias("_r2"))
-    out = (df.withColumn("_t", _norm_title(F.col(title_col))).withColumn("_s", F.lower(F.col(seniority_col)))
-           .join(F.broadcast(four), ["_t", "_s"], "left").join(F.broadcast(two), "_t", "left"))
+    ruled = "fit" in persona_seniority.columns
+    ps = persona_seniority.select("role", F.lower("seniority").alias("_s"),
+                                  (F.col("fit") if ruled else F.lit("exact")).alias("_f")).distinct()
+    out = df.withColumn("_t", _norm_title(F.col(title_col))).withColumn("_s", F.lower(F.col(seniority_col)))
+    by_fit = pt.join(ps, "role").groupBy("_t", "_s").agg(
+        F.min(F.when(F.col("_f") != "adjacent", F.col("role"))).alias("_r4"),
+        F.min(F.when(F.col("_f") == "adjacent", F.col("role"))).alias("_r2"))
+    if ruled:
+        out = out.join(by_fit, ["_t", "_s"], "left")
+    else:
+        out = out.join(by_fit.drop("_r2"), ["_t", "_s"], "left").join(
+            pt.groupBy("_t").agg(F.min("role").alias("_r2")), "_t", "left")
     pts = F.when(F.col("_r4").isNotNull(), 4).when(F.col("_r2").isNotNull(), 2).otherwise(0)
     if senses:
         pts = F.when(F.coalesce(F.col(title_col).rlike(keyword_regex(senses)), F.lit(False)), 0).otherwise(pts)
@@ -45,22 +55,40 @@ def score_persona(df: DataFrame, persona_titles: DataFrame, persona_seniority: D
             .drop("_t", "_s", "_r4", "_r2"))
 
 
+#: Rules of the default rubric, best first: segment, points, least and most employees, target region, funding stages.
+SEGMENT_RULES = [
+    {"segment": "A", "points": 3, "min_employees": 200, "max_employees": 2000},
+    {"segment": "B", "points": 2, "min_employees": 50, "max_employees": 199},
+]
+
+
 def score_company(df: DataFrame, employees_col: str = "employees", region_col: str = "region",
                   a_region: str | None = None, b_fit: int = 2, funding_col: str = "funding_stage",
-                  a_funding: list[str] | None = None) -> DataFrame:
-    """Q2: segment A (200–2,000 employees, target region, and — when ``a_funding``
-    is given — one of those funding stages) = 3, B (50–199) = ``b_fit`` (1–2,
-    default 2, D24), C = 0."""
+                  a_funding: list[str] | None = None, rules: list[dict] | None = None) -> DataFrame:
+    """Q2: the first rule that holds gives segment and points; none: C = 0.
+
+    ``rules``: rows as in ``SEGMENT_RULES``, with optional ``region`` and ``funding`` (list).
+    The default is the default rubric, where ``a_region`` / ``a_funding`` narrow
+    segment A and ``b_fit`` (1–2, D24) is segment B's points.
+    """
+    if rules is None:
+        top, second = SEGMENT_RULES
+        rules = [top | {"region": a_region, "funding": a_funding}, second | {"points": b_fit}]
     emp = F.col(employees_col).try_cast("bigint")
-    in_a = (emp >= 200) & (emp <= 2000)
-    if a_region is not None:
-        in_a = in_a & (F.col(region_col) == F.lit(a_region))
-    if a_funding:
-        in_a = in_a & F.lower(F.col(funding_col)).isin(*[x.lower() for x in a_funding])
-    seg = F.when(in_a, "A").when((emp >= 50) & (emp < 200), "B").otherwise("C")
-    return (df.withColumn("company_segment", F.coalesce(seg, F.lit("C")))
-            .withColumn("company_points", F.when(F.col("company_segment") == "A", 3)
-                        .when(F.col("company_segment") == "B", b_fit).otherwise(0).cast("int")))
+    seg, pts = F.lit("C"), F.lit(0)
+    for r in reversed(rules):
+        holds = F.lit(True)
+        if r.get("min_employees") is not None:
+            holds = holds & (emp >= r["min_employees"])
+        if r.get("max_employees") is not None:
+            holds = holds & (emp <= r["max_employees"])
+        if r.get("region") is not None:
+            holds = holds & (F.col(region_col) == F.lit(r["region"]))
+        if r.get("funding"):
+            holds = holds & F.lower(F.col(funding_col)).isin(*[x.lower() for x in r["funding"]])
+        seg = F.when(holds, F.lit(r["segment"])).otherwise(seg)
+        pts = F.when(holds, F.lit(r["points"])).otherwise(pts)
+    return df.withColumn("company_segment", seg).withColumn("company_points", pts.cast("int"))
 
 
 def score_completeness(df: DataFrame) -> DataFrame:

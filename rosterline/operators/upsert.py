@@ -2,13 +2,13 @@
 
 Scale notes
 -----------
-* First-per-key (W1) is an aggregation (``min_by`` over a struct), not a
-  window: Spark runs it partial-then-final, so a key that holds a third of all
-  rows is reduced map-side before the shuffle.  NULL keys never enter it.
+* First-per-key (W1) is a hash aggregation of the keys and one bigint, reduced
+  map-side, and a semi join of the rows: no window, no sort of wide rows, one
+  scan.  Rows with a NULL key are groups of their own.
 * Sequential ids (W2) never put a whole list into one task: rows are
   range-partitioned by (list, order), each partition counts its rows per list,
-  the (partition, list) offsets table — at most partitions + lists rows — is
-  broadcast, and every row gets ``base + offset + local rank``.
+  and the (partition, list) offsets — at most partitions + lists rows — give
+  every row ``base + offset + local rank``.
 """
 
 from __future__ import annotations
@@ -33,20 +33,29 @@ def _cols(xs) -> list[Column]:
 
 # --- W1 ---------------------------------------------------------------------
 
+def keep_rows(df: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``df`` whose columns ``on`` are among ``winners``; NULLs match NULLs."""
+    w = winners.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(on)])
+    cond = F.lit(True)
+    for i, c in enumerate(on):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    return df.join(w, cond, "left_semi")
+
+
+def own_if_null(keys: list[str], ord_col: str) -> Column:
+    """NULL for a row with a whole key; its own ``ord`` otherwise, so that such rows stay apart."""
+    return F.when(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)), F.col(ord_col))
+
+
 def first_per_key(df: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame:
-    """The first row (smallest ``ord``) per non-NULL key; NULL-key rows pass through."""
-    key_ok = None
-    for k in keys:
-        c = F.col(k).isNotNull()
-        key_ok = c if key_ok is None else key_ok & c
-    keyed = df.where(key_ok)
-    rest = df.where(~key_ok)
-    others = [c for c in df.columns if c not in keys]
-    firsts = (keyed.groupBy(*keys)
-              .agg(F.min_by(F.struct(*others), F.col(ord_col)).alias("_w"))
-              .select(*keys, *[F.col("_w")[c].alias(c) for c in others])
-              .select(*df.columns))
-    return firsts.unionByName(rest)
+    """The first row (smallest ``ord``) per non-NULL key; NULL-key rows pass through.
+
+    ``ord`` is the input position and unique within a key.  One hash aggregation of the
+    keys and one bigint finds the winners; the wide rows are only semi-joined.
+    """
+    x = df.withColumn("_own", own_if_null(keys, ord_col))
+    first = x.groupBy(*keys, "_own").agg(F.min(ord_col).alias(ord_col))
+    return keep_rows(x, first, [*keys, "_own", ord_col]).drop("_own")
 
 
 # --- W2 ---------------------------------------------------------------------
@@ -58,6 +67,8 @@ def assign_ids(df: DataFrame, order: list, partition_col: str | None = "list_id"
 
     ``order`` holds column names or sort expressions (``F.desc_nulls_last(..)``).
     ``base`` is a DataFrame (partition_col, base) of current maxima; missing → 0.
+    Rows with a NULL ``partition_col`` are one group.  ``num_partitions``: default is the
+    session's shuffle partitions.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -75,14 +86,16 @@ def assign_ids(df: DataFrame, order: list, partition_col: str | None = "list_id"
     before = Window.partitionBy(grp).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if base is not None:
-        offs = (offs.join(base.select(F.col(base.columns[0]).alias(grp),
-                                      F.col(base.columns[1]).alias("_base")), grp, "left"))
+        offs = offs.join(base.select(F.col(base.columns[0]).alias("_bg"), F.col(base.columns[1]).alias("_base")),
+                         F.col(grp).eqNullSafe(F.col("_bg")), "left")
     else:
         offs = offs.withColumn("_base", F.lit(0))
-    offs = offs.select("_pid", grp, (F.coalesce("_base", F.lit(0)) + F.col("_off") - F.col("_m0")).alias("_k"))
-    out = (ranged.join(F.broadcast(offs), ["_pid", grp])
+    offs = offs.select(F.col("_pid").alias("_op"), F.col(grp).alias("_og"),
+                       (F.coalesce("_base", F.lit(0)) + F.col("_off") - F.col("_m0")).alias("_k"))
+    # No broadcast hint: the offsets grow with the number of lists, so the planner decides by size.
+    out = (ranged.join(offs, (F.col("_pid") == F.col("_op")) & F.col(grp).eqNullSafe(F.col("_og")))
            .withColumn(id_col, (F.col("_k") + F.col("_mid") + F.lit(1)).cast("bigint"))
-           .drop("_pid", "_mid", "_k"))
+           .drop("_pid", "_mid", "_k", "_op", "_og"))
     if not partition_col:
         out = out.drop("_grp")
     return out
@@ -90,7 +103,8 @@ def assign_ids(df: DataFrame, order: list, partition_col: str | None = "list_id"
 
 # --- J1 / A5 ----------------------------------------------------------------
 
-def upsert_contacts(existing: DataFrame | None, incoming: DataFrame, now) -> DataFrame:
+def upsert_contacts(existing: DataFrame | None, incoming: DataFrame, now,
+                    num_partitions: int | None = None) -> DataFrame:
     """Insert-if-absent per (list_id, normalized LinkedIn URL).
 
     ``incoming`` needs ``list_id``, ``ord`` (input position) and ``linkedin_url``.
@@ -105,12 +119,13 @@ def upsert_contacts(existing: DataFrame | None, incoming: DataFrame, now) -> Dat
     firsts = first_per_key(inc, ["list_id", "linkedin_url_normalized"], "ord")
     if existing is not None:
         ex = conform(existing, CONTACT_SCHEMA).select(*[f.name for f in CONTACT_SCHEMA.fields])
-        have = ex.select("list_id", "linkedin_url_normalized").where(F.col("linkedin_url_normalized").isNotNull())
-        fresh = firsts.join(have, ["list_id", "linkedin_url_normalized"], "left_anti")
+        have = ex.select(F.col("list_id").alias("_l"), F.col("linkedin_url_normalized").alias("_u")).where("_u is not null")
+        fresh = firsts.join(have, F.col("list_id").eqNullSafe(F.col("_l"))
+                            & (F.col("linkedin_url_normalized") == F.col("_u")), "left_anti")
         base = ex.groupBy("list_id").agg(F.max("id").alias("base"))
     else:
         ex, fresh, base = None, firsts, None
-    ins = assign_ids(fresh.drop("id"), ["ord"], "list_id", base)
+    ins = assign_ids(fresh.drop("id"), ["ord"], "list_id", base, num_partitions=num_partitions)
     ins = (ins.withColumn("stage", F.coalesce("stage", F.lit("sourced")))
            .withColumn("sourced_at", F.coalesce("sourced_at", now))
            .withColumn("created_at", F.coalesce("created_at", now))
@@ -243,8 +258,8 @@ def advance_stage(contacts: DataFrame, updates: DataFrame, now, stage_col: str =
     ``updates`` carries ``list_id``, ``id``, ``stage`` and any allow-listed
     field columns (others are ignored, D4).  The stage timestamp is stamped
     only when empty; ``updated_at`` is bumped; moving backwards is allowed.
-    An unknown stage raises (D5).  Adds ``_updated``.  ``updates`` holds at
-    most one row per (list_id, id).
+    An unknown stage raises (D5).  Adds ``_updated``.  Equal rows of ``updates`` for
+    one (list_id, id) count once; differing ones raise, since no order says which holds.
 
     A changed ``linkedin_url`` recomputes the key (D6); a row whose new key
     would collide with another row of its list keeps its old URL and is
@@ -259,6 +274,13 @@ def advance_stage(contacts: DataFrame, updates: DataFrame, now, stage_col: str =
     u = u.withColumn("_new_stage", F.when(F.col("_new_stage").isin(*STAGES), F.col("_new_stage"))
                      .otherwise(F.raise_error(F.concat(F.lit("invalid stage: "),
                                                        F.coalesce(F.col("_new_stage"), F.lit("NULL"))))))
+    # One window on the join key: the join reuses its shuffle.
+    same = Window.partitionBy("list_id", "id")
+    u = u.withColumn("_s", F.to_json(F.struct(*u.columns)))
+    u = (u.withColumn("_n", F.row_number().over(same.orderBy("_s")))
+         .withColumn("_hit", F.when(F.min("_s").over(same) == F.max("_s").over(same), F.col("_hit"))
+                     .otherwise(F.raise_error(F.lit("differing updates of one contact"))))
+         .where("_n = 1").drop("_s", "_n"))
     j = contacts.join(u, ["list_id", "id"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     out = j.withColumn("stage", F.when(hit, F.col("_new_stage")).otherwise(F.col("stage")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.merge import waterfall_log_agg
 from rosterline.functions.normalize import full_name, is_member_id, is_vanity, strip_ws
+from rosterline.operators.upsert import keep_rows
 from rosterline.functions.vocab import PHONE_TYPE_RANK, RUN_CEILINGS, SPEND_GATE, literal_map
 
 __all__ = [
@@ -30,20 +31,32 @@ def _blank(c) -> Column:
 def classify_answers(results: DataFrame, semantics: DataFrame) -> DataFrame:
     """Status semantics → verdict (accept / flag / reverify / miss); unknown → miss.
 
-    ``semantics`` (provider, raw_status, verdict) is a small dimension; a NULL
-    raw status matches a NULL semantics row (null-safe join).
+    ``semantics`` (provider, raw_status, verdict, optionally capability) is a dimension; a
+    NULL raw status matches a NULL semantics row (null-safe join).  With a capability on
+    both sides it is part of the key.  Several verdicts of one key reduce to the smallest.
     """
-    sem = semantics.select(F.col("provider").alias("_p"), F.col("raw_status").alias("_r"), "verdict")
+    on = ["provider", "raw_status"] + ["capability"] * ("capability" in semantics.columns and "capability" in results.columns)
+    sem = (semantics.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)])
+           .agg(F.min("verdict").alias("verdict")))
     results = results.drop("verdict")          # re-classification replaces an earlier verdict
-    j = results.join(F.broadcast(sem), (F.col("provider") == F.col("_p")) &
-                     F.col("raw_status").eqNullSafe(F.col("_r")), "left").drop("_p", "_r")
+    cond = F.col("provider") == F.col("_k0")
+    for i, c in list(enumerate(on))[1:]:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    j = results.join(sem, cond, "left").drop(*[f"_k{i}" for i in range(len(on))])
     return j.withColumn("verdict", F.coalesce("verdict", F.lit("miss")))
 
 
 def reverify(answers: DataFrame, validations: DataFrame) -> DataFrame:
     """Answers marked ``reverify`` are accepted only when the validator says valid
-    (``catch_all`` → flag); everything else passes through unchanged."""
-    v = validations.select(F.col("email").alias("_ve"), F.col("status").alias("validation"))
+    (``catch_all`` → flag); everything else passes through unchanged.
+
+    Several validations of one address count once, the best one: valid, then catch_all, then
+    any other (smallest name).
+    """
+    rank = F.when(F.col("status") == "valid", 0).when(F.col("status") == "catch_all", 1).otherwise(2)
+    v = (validations.groupBy(F.col("email").alias("_ve"))
+         .agg(F.min(F.struct(rank.alias("r"), F.col("status").alias("s"))).alias("_s"))
+         .select("_ve", F.col("_s.s").alias("validation")))
     answers = answers.drop("validation")
     j = answers.join(v, F.col("email") == F.col("_ve"), "left").drop("_ve")
     return j.withColumn("verdict", F.when(F.col("verdict") != "reverify", F.col("verdict"))
@@ -65,7 +78,8 @@ def email_waterfall(contacts: DataFrame, answers: DataFrame, key: str = "contact
     after ``classify_answers`` / ``reverify``.  Contacts with no accepted answer
     come out ``not_found``.  The log lists every answer up to the winner.
     """
-    a = answers.withColumn("_ok", F.col("verdict").isin(*_ACCEPTED)) \
+    # An accepted status without an address does not stop the waterfall.
+    a = answers.withColumn("_ok", F.col("verdict").isin(*_ACCEPTED) & ~_blank("email")) \
         .withColumn("_rk", F.struct("rank", "ord"))
     win = (a.where("_ok").groupBy(key)
            .agg(F.min_by(F.struct("email", "provider", "verdict", "_rk"), "_rk").alias("_w")))
@@ -116,17 +130,17 @@ def phone_waterfall(contacts: DataFrame, answers: DataFrame, key: str = "contact
 
 def union_search(frames: list[DataFrame], waterfall: DataFrame, key: str = "linkedin_url_normalized") -> DataFrame:
     """Pool every provider's rows; a row is net-new for the provider that found
-    its key first in waterfall order (NULL keys are always net-new)."""
+    its key first in waterfall order (NULL keys are always net-new).  Providers that the
+    waterfall doesn't name come last, in name order."""
     pooled = frames[0]
     for f in frames[1:]:
         pooled = pooled.unionByName(f, allowMissingColumns=True)
-    wf = waterfall.select(F.col("provider").alias("source"), F.col("rank").alias("_wr"))
-    pooled = pooled.join(F.broadcast(wf), "source", "left")
-    first = (pooled.where(F.col(key).isNotNull()).groupBy(key)
-             .agg(F.min(F.struct("_wr", "ord")).alias("_f")))
+    wf = waterfall.groupBy(F.col("provider").alias("source")).agg(F.min("rank").cast("int").alias("_wr"))
+    pooled = pooled.join(wf, "source", "left")
+    mine = F.struct(F.coalesce("_wr", F.lit(2**31 - 1)).alias("r"), F.coalesce("source", F.lit("")).alias("s"), "ord")
+    first = pooled.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(mine).alias("_f"))
     j = pooled.join(first, key, "left")
-    return j.withColumn("net_new", F.col("_f").isNull() |
-                        ((F.col("_f._wr") == F.col("_wr")) & (F.col("_f.ord") == F.col("ord")))).drop("_f", "_wr")
+    return j.withColumn("net_new", F.col("_f").isNull() | F.col("_f").eqNullSafe(mine)).drop("_f", "_wr")
 
 
 def resolve_waterfall(waterfalls: DataFrame, providers: DataFrame, enabled: list[str] | None = None) -> DataFrame:
@@ -134,7 +148,7 @@ def resolve_waterfall(waterfalls: DataFrame, providers: DataFrame, enabled: list
     always available.  One row per capability with the ordered list and a flag
     when nothing is available.  Both inputs are small config dimensions."""
     p = providers.select("provider", F.coalesce(F.col("builtin") | F.col("has_key"), F.lit(False)).alias("_av"))
-    j = waterfalls.join(F.broadcast(p), "provider", "left")
+    j = waterfalls.join(p, "provider", "left")
     ok = F.coalesce("_av", F.lit(False))
     if enabled is not None:
         ok = ok & F.col("provider").isin(*enabled)
@@ -146,10 +160,13 @@ def resolve_waterfall(waterfalls: DataFrame, providers: DataFrame, enabled: list
 
 
 def best_contact(contacts: DataFrame, score_col: str, group: list[str]) -> DataFrame:
-    """One decision-maker per company: highest score, then earliest ``ord``."""
-    rk = F.struct((-F.col(score_col)).alias("s"), F.col("ord").alias("o"))
-    best = contacts.groupBy(*group).agg(F.min_by("id", rk).alias("id"))
-    return contacts.join(best, group + ["id"], "left_semi")
+    """One decision-maker per company: highest score, then earliest ``ord``, then smallest id.
+
+    An unscored contact comes after every scored one; a NULL company is a company of its own.
+    """
+    rk = F.struct(F.col(score_col).isNull().alias("n"), (-F.col(score_col)).alias("s"), F.col("ord").alias("o"), "id")
+    best = contacts.groupBy(*group).agg(F.min(rk).alias("_w")).select(*group, F.col("_w.id").alias("id"))
+    return keep_rows(contacts, best, group + ["id"])
 
 
 # --- F5 / F6 / J10 --------------------------------------------------------------
@@ -174,17 +191,19 @@ def choose_match_key(df: DataFrame, provider: str, capability: str = "email_enri
     has_pid = (F.try_element_at("provider_ids", F.lit(provider)).isNotNull()
                if "provider_ids" in df.columns else F.lit(False))
     has_mail = ~_blank("email") if "email" in df.columns else F.lit(False)
+    has_company = ~_blank("company_name") if "company_name" in df.columns else F.lit(False)
     if provider in ("apollo", "prospeo"):
         key = F.when(has_pid, "id").when(vanity, "linkedin_url").otherwise("name+domain")
     elif provider == "ai-ark" and capability == "phone_enrich":
         key = F.when(vanity, "linkedin_url").when(has_dom & has_name, "domain+full_name")
     elif provider == "leadmagic" and capability == "email_enrich":
-        key = F.when(has_dom, "name+domain").otherwise("full_name+company_name")
+        key = (F.when(has_dom & has_name, "name+domain").when(has_company & has_name, "full_name+company_name")
+               .when(F.coalesce(vanity, F.lit(False)), "profile_url"))
     elif provider == "leadmagic" and capability == "phone_enrich":
         key = F.when(vanity, "profile_url").when(has_mail, "work_email")
     else:
         key = F.when(has_dom, "name+domain")
-    reason = {("ai-ark", "phone_enrich"): "no_phone_key", ("leadmagic", "phone_enrich"): "no_vanity_url_or_email"}
+    reason = {("ai-ark", "phone_enrich"): "no_phone_key", ("leadmagic", "email_enrich"): "no_email_key", ("leadmagic", "phone_enrich"): "no_vanity_url_or_email"}
     return df.withColumn("match_key", key).withColumn(
         "excluded", F.when(F.col("match_key").isNull(), F.lit(reason.get((provider, capability), "empty_domain"))))
 
@@ -225,20 +244,28 @@ def estimate_cost(df: DataFrame, group: str = "list_id") -> DataFrame:
 
 def priced_estimate(counts: DataFrame, prices: DataFrame, count_col: str = "billable") -> DataFrame:
     """A6 (other providers): credits = billable rows × the price table's credits per
-    (provider, capability).  ``counts`` has provider, capability and ``count_col``;
-    the price table is a small broadcast dimension."""
+    (provider, capability).  ``counts`` has provider, capability and ``count_col``.
+    Without a price the estimate is NULL and ``unknown_price`` is set, never 0."""
     p = prices.select("provider", "capability", "credits", "charged_on")
-    return (counts.join(F.broadcast(p), ["provider", "capability"], "left")
-            .withColumn("credits_estimate",
-                        (F.col(count_col) * F.coalesce("credits", F.lit(0.0))).cast("decimal(12,3)")))
+    return (counts.join(p, ["provider", "capability"], "left")
+            .withColumn("credits_estimate", (F.col(count_col) * F.col("credits")).cast("decimal(12,3)"))
+            .withColumn("unknown_price", F.col("credits").isNull()))
 
 
 def gate(costs: DataFrame, contacts_over: int = SPEND_GATE["contacts"], credits_over: int = SPEND_GATE["credits"],
          credit_ceiling: int = RUN_CEILINGS["fullenrich_credits"],
-         contacts_col: str = "contacts", credits_col: str = "credits") -> DataFrame:
-    """Confirm when contacts OR credits exceed the thresholds; block past the ceiling."""
+         contacts_col: str = "contacts", credits_col: str = "credits",
+         ceilings: dict[str, float] | None = None) -> DataFrame:
+    """Confirm when contacts OR credits exceed the thresholds; block past a ceiling.
+
+    ``ceilings`` maps further spend columns (USD, other providers' credits) to their ceiling.  A cost
+    that is not known (NULL) is blocked: it can't be shown to be within the ceiling.
+    """
+    over = F.col(credits_col).isNull() | (F.col(credits_col) > credit_ceiling)
+    for c, most in (ceilings or {}).items():
+        over = over | F.col(c).isNull() | (F.col(c) > F.lit(most))
     return costs.withColumn(
-        "decision", F.when(F.col(credits_col) > credit_ceiling, "blocked")
+        "decision", F.when(over, "blocked")
         .when((F.col(contacts_col) > contacts_over) | (F.col(credits_col) > credits_over), "confirm")
         .otherwise("proceed"))
 

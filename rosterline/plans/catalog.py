@@ -727,7 +727,7 @@ def q_n22(spark, d):
 # Joins, lookups, filters: A13, J3, F11, J4, J5, J6, J7, J8, J12, F10, J13, J14, J15, F4, F9
 # ---------------------------------------------------------------------------
 from rosterline.functions.vocab import REGIONS  # noqa: E402
-from rosterline.operators.match import (apply_exclusions, backfill_domain, crm_dedupe,  # noqa: E402
+from rosterline.operators.match import (apply_exclusions, mark_exclusions, backfill_domain, crm_dedupe,  # noqa: E402
                                         crossref_master, expand_regions, fresh, icp_filter, lookup_linkedin,
                                         match_roles, resolve_companies, reverse_lookup, rollup_master,
                                         suppress_master, valid_track, with_intel)
@@ -898,6 +898,7 @@ def q_j8(spark, d):
     brief = (h.where(F.col("user_id") % 40 < 5)
              .select("company_name", F.concat(F.lit("brief"), (F.col("user_id") % 40).cast("string"),
                                               F.lit(".example")).alias("domain")).distinct())
+    brief = brief.unionByName(brief.withColumn("domain", F.concat("domain", F.lit(".zz"))))   # the smallest wins
     return backfill_domain(x, brief).select("ord", "company_domain", "domain_source")
 
 
@@ -952,19 +953,28 @@ def q_j14(spark, d):
 
 @register("j15_resolve_companies", r"""WITH c AS (SELECT c_custkey, c_name,
   regexp_replace(lower(replace(c_name, ' ', '-')), '[^a-z0-9-]', '', 'g') AS direct FROM customer)
-SELECT c_name AS company,
-  CASE c_custkey % 3 WHEN 0 THEN 'https://www.linkedin.com/company/' || direct
-    WHEN 1 THEN 'https://www.linkedin.com/company/' || direct || '-gmbh' END AS url,
-  CASE c_custkey % 3 WHEN 0 THEN 'slug:' || direct WHEN 1 THEN 'slug:' || direct || '-gmbh' END AS method,
-  CASE WHEN c_custkey % 3 = 2 THEN 'could not resolve ' || c_name END AS reason
-FROM c""")
+SELECT CASE c_custkey % 5 WHEN 1 THEN 'https://www.LinkedIn.com/company/' || direct || '/?x=1' WHEN 2 THEN 'https://' || direct || '.example.com/about'
+    ELSE c_name END AS company,
+  CASE WHEN c_custkey % 3 = 0 THEN 'https://www.linkedin.com/company/' || direct
+    WHEN c_custkey % 3 = 1 AND c_custkey % 5 NOT IN (1, 2) THEN 'https://www.linkedin.com/company/' || direct || '-gmbh' END AS url,
+  CASE WHEN c_custkey % 3 = 0 THEN CASE c_custkey % 5 WHEN 1 THEN 'url' WHEN 2 THEN 'domain-direct:' || direct || '.example.com'
+      ELSE 'slug:' || direct END
+    WHEN c_custkey % 3 = 1 AND c_custkey % 5 NOT IN (1, 2) THEN 'slug:' || direct || '-gmbh' END AS method,
+  CASE WHEN c_custkey % 3 = 2 OR (c_custkey % 3 = 1 AND c_custkey % 5 IN (1, 2)) THEN CASE c_custkey % 5
+      WHEN 1 THEN 'url slug ' || chr(39) || direct || chr(39) || ' not found' WHEN 2 THEN 'no LinkedIn page for domain ' || direct || '.example.com'
+      ELSE 'could not resolve ' || c_name END END AS reason
+FROM c WHERE c_custkey % 5 <> 4""")
 def q_j15(spark, d):
     c = read_table(spark, d, "customer")
     direct = F.regexp_replace(F.lower(F.replace("c_name", F.lit(" "), F.lit("-"))), "[^a-z0-9-]", "")
     pages = c.select(F.when(F.col("c_custkey") % 3 == 1, F.concat(direct, F.lit("-gmbh"))).otherwise(direct).alias("slug"),
                      F.when(F.col("c_custkey") % 3 == 0, "valid").when(F.col("c_custkey") % 3 == 1, "uncertain")
                      .otherwise("invalid").alias("status"))
-    return resolve_companies(c.select(F.col("c_name").alias("company")), pages, "company")
+    kind = F.col("c_custkey") % 5
+    given = (F.when(kind == 1, F.concat(F.lit("https://www.LinkedIn.com/company/"), direct, F.lit("/?x=1")))
+             .when(kind == 2, F.concat(F.lit("https://"), direct, F.lit(".example.com/about")))
+             .when(kind == 4, " ").otherwise(F.col("c_name")))
+    return resolve_companies(c.select(given.alias("company")), pages, "company")
 
 
 F4_TITLES = ["gizmo", "old bolt", "Ring"]
@@ -1005,13 +1015,15 @@ from rosterline.operators.waterfall import (align_results, best_contact, choose_
                                             classify_answers, coverage_report, email_waterfall, estimate_cost,
                                             gate, phone_waterfall, reverify, split_submittable, waterfall_report)
 
-RES_CTE = f"""r AS ({duck(V_RESULTS)}),
-val AS (SELECT email, CASE CAST(floor(totalprice) AS BIGINT) % 3 WHEN 0 THEN 'invalid' WHEN 1 THEN 'valid'
-  ELSE 'catch_all' END AS status FROM r WHERE raw_status = 'guessed'),
+RES_CTE = f"""r AS (SELECT * REPLACE (CASE WHEN ord % 13 = 0 THEN '' ELSE email END AS email) FROM ({duck(V_RESULTS)})),
+val AS (SELECT email, CASE WHEN count(*) FILTER (WHERE st = 'valid') > 0 THEN 'valid'
+    WHEN count(*) FILTER (WHERE st = 'catch_all') > 0 THEN 'catch_all' ELSE 'invalid' END AS status
+  FROM (SELECT email, CASE CAST(floor(totalprice) AS BIGINT) % 3 WHEN 0 THEN 'invalid' WHEN 1 THEN 'valid'
+  ELSE 'catch_all' END AS st FROM r WHERE raw_status = 'guessed') GROUP BY email),
 cl AS (SELECT r.*, CASE r.raw_status WHEN 'verified' THEN 'accept' WHEN 'guessed' THEN CASE val.status
     WHEN 'valid' THEN 'reverified' WHEN 'catch_all' THEN 'flag' ELSE 'miss' END ELSE 'miss' END AS verdict,
   rank * 1000000000000 + ord AS rk FROM r LEFT JOIN val USING (email)),
-win AS (SELECT contact_id, min(rk) AS wrk FROM cl WHERE verdict IN ('accept', 'flag', 'reverified') GROUP BY 1),
+win AS (SELECT contact_id, min(rk) AS wrk FROM cl WHERE verdict IN ('accept', 'flag', 'reverified') AND email <> '' GROUP BY 1),
 w2 AS (SELECT cl.contact_id, cl.email, cl.provider, cl.verdict FROM cl JOIN win ON cl.contact_id = win.contact_id AND cl.rk = win.wrk),
 lg AS (SELECT cl.contact_id, string_agg(cl.provider || ':' || cl.raw_status, '→' ORDER BY cl.rk) AS log
   FROM cl LEFT JOIN win USING (contact_id) WHERE win.wrk IS NULL OR cl.rk <= win.wrk GROUP BY 1),
@@ -1024,7 +1036,8 @@ ew AS (SELECT c.c_custkey AS contact_id, w2.email, coalesce(w2.provider, 'not_fo
 
 
 def _answers(spark, d):
-    r = results_src(spark, d)
+    # Some answers have a status but no address.
+    r = results_src(spark, d).withColumn("email", F.when(F.col("ord") % 13 == 0, "").otherwise(F.col("email")))
     sem = (r.select("provider").distinct()
            .select("provider", F.explode(F.array(
                *[F.struct(F.lit(a).alias("raw_status"), F.lit(b).alias("verdict"))
@@ -1033,6 +1046,7 @@ def _answers(spark, d):
     fl = F.floor("totalprice").cast("bigint") % 3
     val = r.where(F.col("raw_status") == "guessed").select(
         "email", F.when(fl == 0, "invalid").when(fl == 1, "valid").otherwise("catch_all").alias("status"))
+    val = val.unionByName(val).unionByName(val.withColumn("status", F.lit("invalid")))   # checked several times
     return reverify(classify_answers(r, sem), val)
 
 
@@ -1130,11 +1144,13 @@ def q_w6(spark, d):
 
 
 @register("w9_best_contact", f"""WITH {CONTACTS_CTE}
-SELECT list_id, company_name, id FROM contacts
-QUALIFY row_number() OVER (PARTITION BY list_id, company_name ORDER BY qualification_score DESC, ord) = 1""")
+SELECT list_id, company, id FROM (SELECT *, CASE WHEN ord % 11 <> 0 THEN company_name END AS company,
+  CASE WHEN ord % 7 <> 0 THEN qualification_score END AS score FROM contacts)
+QUALIFY row_number() OVER (PARTITION BY list_id, company ORDER BY score DESC NULLS LAST, ord) = 1""")
 def q_w9(spark, d):
-    return best_contact(contacts(spark, d), "qualification_score", ["list_id", "company_name"]).select(
-        "list_id", "company_name", "id")
+    c = contacts(spark, d).withColumn("company", F.when(F.col("ord") % 11 != 0, F.col("company_name"))).withColumn(
+        "score", F.when(F.col("ord") % 7 != 0, F.col("qualification_score")))
+    return best_contact(c, "score", ["list_id", "company"]).select("list_id", "company", "id")
 
 
 @register("f5_split_submittable", f"""WITH {CONTACTS_CTE}
@@ -1146,6 +1162,7 @@ def q_f5(spark, d):
 
 
 F6_INPUT = ("SELECT ord, first_name, last_name, linkedin_url, company_domain, user_id, "
+            "CASE WHEN ord % 10 <> 5 THEN company_name END AS company_name, "
             "CASE WHEN ord % 2 = 0 THEN 'e' || CAST(ord AS STRING) || '@x.example' END AS email FROM h")
 
 
@@ -1156,7 +1173,8 @@ SELECT ord,
   CASE WHEN user_id % 6 = 0 THEN 'id' WHEN vanity THEN 'linkedin_url' ELSE 'name+domain' END AS apollo_key,
   CASE WHEN vanity THEN 'linkedin_url' WHEN dom THEN 'domain+full_name' END AS aiark_phone_key,
   CASE WHEN NOT vanity AND NOT dom THEN 'no_phone_key' END AS aiark_excluded,
-  CASE WHEN dom THEN 'name+domain' ELSE 'full_name+company_name' END AS lm_email_key,
+  CASE WHEN dom THEN 'name+domain' WHEN company_name IS NOT NULL THEN 'full_name+company_name'
+       WHEN vanity THEN 'profile_url' END AS lm_email_key,
   CASE WHEN vanity THEN 'profile_url' WHEN email IS NOT NULL THEN 'work_email' END AS lm_phone_key
 FROM y""")
 def q_f6(spark, d):
@@ -1239,27 +1257,34 @@ def q_a14(spark, d):
 from rosterline.operators.qualify import (apply_qualification, qualify, qualify_report, score_company,  # noqa: E402
                                           score_completeness, score_novelty, score_persona, union_titles)
 
-PERSONA_SENIORITY = [("Economic Buyer", "ECONOMY"), ("Economic Buyer", "PROMO"),
-                     ("Compliance Champion", "SMALL"), ("Compliance Champion", "MEDIUM")]
+PERSONA_SENIORITY = [("Economic Buyer", "ECONOMY", "exact"), ("Economic Buyer", "PROMO", "exact"),
+                     ("Economic Buyer", "STANDARD", "adjacent"), ("Compliance Champion", "SMALL", "exact"),
+                     ("Compliance Champion", "MEDIUM", "exact"), ("Compliance Champion", "LARGE", "adjacent")]
+SEGMENTS = [{"segment": "A", "points": 3, "min_employees": 200, "max_employees": 2000, "region": "EUROPE"},
+            {"segment": "B", "points": 2, "min_employees": 50, "max_employees": 199},
+            {"segment": "B", "points": 1, "min_employees": 2001, "region": "ASIA"}]
 Q_EXCLUDE_TITLES = ["old"]
 
 
 def _prospects(spark, d):
     h = hits(spark, d)
-    part = read_table(spark, d, "part").select(F.col("p_partkey").alias("user_id"), F.col("p_name").alias("title"),
-                                               F.col("p_type").alias("seniority"))
-    comp = companies_src(spark, d).select(F.col("ord").alias("_cord"), "employees", "region")
+    part = read_table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_type").alias("seniority"))
+    comp = companies_src(spark, d).select("ord", "employees", "region")
     t = _touches(spark, d)
     master = rollup_master(t.where(F.col("ts") < F.lit(BATCH_SPLIT).cast("timestamp_ntz")))
-    x = (h.join(part, "user_id", "left").join(comp, (h.user_id % 40) == F.col("_cord"), "left").drop("_cord"))
+    # Each hit is a person in some part's role at some company: every company and part is reached.
+    n_part, n_comp = part.count(), comp.count()
+    part = part.withColumn("_p", F.pmod("p_partkey", F.lit(n_part))).drop("p_partkey")
+    comp = comp.withColumn("_c", F.pmod("ord", F.lit(n_comp))).drop("ord")
+    x = (h.withColumn("_p", F.pmod("ord", F.lit(n_part))).withColumn("_c", F.pmod(F.col("ord") * 7, F.lit(n_comp)))
+         .join(part, "_p", "left").join(comp, "_c", "left").drop("_p", "_c"))
     x = crossref_master(x, master, "linkedin_url").withColumnRenamed("status", "db_status")
     rt = spark.createDataFrame(ROLE_TITLES, "role string, title string, provenance string")
-    ps = spark.createDataFrame(PERSONA_SENIORITY, "role string, seniority string")
+    ps = spark.createDataFrame(PERSONA_SENIORITY, "role string, seniority string, fit string")
     x = score_persona(x, rt, ps, senses=["gizmo"])
-    x = score_completeness(score_company(x, a_region="EUROPE"))
+    x = score_completeness(score_company(x, rules=SEGMENTS))
     x = score_novelty(x)
-    kept, skipped = apply_exclusions(x, Q_EXCLUDE_TITLES)
-    return qualify(kept.unionByName(skipped))
+    return qualify(mark_exclusions(x, Q_EXCLUDE_TITLES))
 
 
 PROSPECTS_CTE = MASTER_CTE + f""",
@@ -1268,25 +1293,29 @@ pr AS (SELECT h.* EXCLUDE (qualification_score), p.p_name AS title, p.p_type AS
   CASE WHEN m.linkedin_url_normalized IS NULL THEN 'new' WHEN m.has_unsubscribed THEN 'unsubscribed'
     WHEN m.has_bounced AND NOT m.has_replied THEN 'bounced' WHEN m.overall_status = 'interested' THEN 'interested'
     WHEN m.has_replied THEN 'replied' ELSE 'previously_contacted' END AS db_status
-  FROM h LEFT JOIN part p ON h.user_id = p.p_partkey LEFT JOIN pv ON h.user_id % 40 = pv.cord
+  FROM h LEFT JOIN part p ON h.ord % (SELECT count(*) FROM part) = p.p_partkey
+  LEFT JOIN pv ON (h.ord * 7) % (SELECT count(*) FROM customer) = pv.cord
   LEFT JOIN master m ON {N1_SQL.format(u='h.linkedin_url')} = m.linkedin_url_normalized),
 sc AS (SELECT *,
   CASE WHEN regexp_matches(title, '(^|[^a-z0-9])gizmo([^a-z0-9]|$)') THEN 0
        WHEN title IN ('red widget', 'small ring', 'old bolt') AND
             (seniority IN ('SMALL', 'MEDIUM') OR (title = 'red widget' AND seniority IN ('ECONOMY', 'PROMO'))) THEN 4
        WHEN title IN ('blue bolt', 'hot gear') AND seniority IN ('ECONOMY', 'PROMO') THEN 4
-       WHEN title IN ('red widget', 'small ring', 'old bolt', 'blue bolt', 'hot gear') THEN 2 ELSE 0 END AS persona_points,
+       WHEN title IN ('red widget', 'small ring', 'old bolt') AND seniority = 'LARGE' THEN 2
+       WHEN title IN ('red widget', 'blue bolt', 'hot gear') AND seniority = 'STANDARD' THEN 2 ELSE 0 END AS persona_points,
   CASE WHEN title IN ('red widget', 'small ring', 'old bolt') AND seniority IN ('SMALL', 'MEDIUM') THEN 'Compliance Champion'
        WHEN title = 'red widget' AND seniority IN ('ECONOMY', 'PROMO') THEN 'Economic Buyer'
-       WHEN title IN ('red widget', 'small ring', 'old bolt') THEN 'Compliance Champion'
-       WHEN title IN ('blue bolt', 'hot gear') THEN 'Economic Buyer' END AS matched_persona,
+       WHEN title IN ('blue bolt', 'hot gear') AND seniority IN ('ECONOMY', 'PROMO') THEN 'Economic Buyer'
+       WHEN title IN ('red widget', 'small ring', 'old bolt') AND seniority = 'LARGE' THEN 'Compliance Champion'
+       WHEN title IN ('red widget', 'blue bolt', 'hot gear') AND seniority = 'STANDARD' THEN 'Economic Buyer' END AS matched_persona,
   CASE WHEN employees BETWEEN 200 AND 2000 AND region = 'EUROPE' THEN 'A' WHEN employees >= 50 AND employees < 200 THEN 'B'
-       ELSE 'C' END AS company_segment,
+       WHEN employees > 2000 AND region = 'ASIA' THEN 'B' ELSE 'C' END AS company_segment,
   (coalesce(linkedin_url <> '', false))::INT + (coalesce(company_domain <> '', false))::INT AS completeness_points,
   CASE WHEN db_status = 'new' THEN 1 ELSE 0 END AS novelty_points,
   CASE WHEN regexp_matches(title, '(^|[^a-z0-9])old([^a-z0-9]|$)') THEN 'excluded_title' END AS exclusion_reason
   FROM pr),
-q AS (SELECT *, CASE company_segment WHEN 'A' THEN 3 WHEN 'B' THEN 2 ELSE 0 END AS company_points FROM sc),
+q AS (SELECT *, CASE company_segment WHEN 'A' THEN 3 WHEN 'B' THEN CASE WHEN employees > 2000 THEN 1 ELSE 2 END ELSE 0 END
+  AS company_points FROM sc),
 qs AS (SELECT *, CASE WHEN exclusion_reason IS NULL THEN persona_points + company_points + completeness_points + novelty_points END
     AS qualification_score,
   CASE WHEN exclusion_reason IS NOT NULL THEN 'SKIP'
@@ -1352,11 +1381,11 @@ def q_a9b(spark, d):
 
 @register("u2_union_titles", f"""WITH pt(title) AS (VALUES {", ".join(f"('{t}')" for _, t, _ in ROLE_TITLES)}),
 u AS (SELECT lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS title, 'persona' AS provenance FROM pt
-  UNION ALL SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))), 'profile' FROM part WHERE p_type = 'LARGE')
+  UNION ALL SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))), 'profile' FROM part)
 SELECT title, min(provenance) AS provenance FROM u GROUP BY title""")
 def q_u2(spark, d):
     rt = spark.createDataFrame(ROLE_TITLES, "role string, title string, provenance string")
-    prof = read_table(spark, d, "part").where(F.col("p_type") == "LARGE").select(F.col("p_name").alias("title"))
+    prof = read_table(spark, d, "part").select(F.col("p_name").alias("title"))
     return union_titles(rt, prof)
 
 
@@ -1373,7 +1402,7 @@ SOURCES = ["view", "click", "purchase", "signup", "error"]
 def _pooled(spark, d):
     h = hits(spark, d).withColumn("linkedin_url_normalized", normalize_linkedin_url("linkedin_url"))
     frames = [h.where(F.col("source") == s) for s in SOURCES]
-    wf = spark.createDataFrame([(s, i + 1) for i, s in enumerate(SOURCES)], "provider string, rank int")
+    wf = spark.createDataFrame([(s, i + 1) for i, s in enumerate(SOURCES[:-1])], "provider string, rank int")
     return union_search(frames, wf)
 
 
@@ -1419,22 +1448,27 @@ A3_FIELDS = ["first_name", "last_name", "company_name", "company_domain", "title
 
 
 @register("a3_dedupe_contacts", f"""WITH {HITS_CTE},
-x AS (SELECT list_id, ord, first_name, CASE WHEN ord % 3 = 0 THEN NULL ELSE last_name END AS last_name, company_name,
-  company_domain, source AS title, source AS prov, 'id' || CAST(ord AS VARCHAR) AS pid,
-  coalesce({N1_SQL.format(u='linkedin_url')}, 'name:' || concat_ws('|', first_name, CASE WHEN ord % 3 = 0 THEN NULL ELSE last_name END,
-    company_name, source)) AS dedup_key FROM h),
+n AS (SELECT list_id, ord, source, company_domain, CASE WHEN ord % 19 <> 0 THEN linkedin_url END AS linkedin_url,
+  CASE WHEN ord % 19 <> 0 THEN first_name END AS first_name, CASE WHEN ord % 19 <> 0 AND ord % 3 <> 0 THEN last_name END AS last_name,
+  CASE WHEN ord % 19 <> 0 AND ord % 5 <> 0 THEN company_name END AS company_name, CASE WHEN ord % 19 <> 0 THEN source END AS title FROM h),
+x AS (SELECT *, source AS prov, 'id' || CAST(ord AS VARCHAR) AS pid,
+  coalesce({N1_SQL.format(u='linkedin_url')}, CASE WHEN coalesce(first_name, last_name, company_name, title) IS NOT NULL THEN
+    'name:' || CAST(to_json([first_name, last_name, company_name, title]) AS VARCHAR) END) AS dedup_key FROM n),
 y AS (SELECT *, (first_name IS NOT NULL AND trim(first_name) <> '')::INT + (last_name IS NOT NULL AND trim(last_name) <> '')::INT
   + (company_name IS NOT NULL AND trim(company_name) <> '')::INT + (company_domain IS NOT NULL AND trim(company_domain) <> '')::INT
   + (title IS NOT NULL AND trim(title) <> '')::INT AS filled FROM x),
-ids AS (SELECT list_id, dedup_key, count(DISTINCT prov) AS n_ids, arg_min(pid, ord) FILTER (WHERE prov = 'view') AS view_id
-  FROM y GROUP BY ALL)
-SELECT y.list_id, y.dedup_key, y.ord, y.filled, CAST(ids.n_ids AS INTEGER) AS n_ids, ids.view_id FROM y JOIN ids USING (list_id, dedup_key)
-QUALIFY row_number() OVER (PARTITION BY y.list_id, y.dedup_key ORDER BY y.filled DESC, y.ord) = 1""")
+z AS (SELECT *, coalesce(dedup_key, 'own:' || CAST(ord AS VARCHAR)) AS gk FROM y),
+ids AS (SELECT list_id, gk, count(DISTINCT prov) AS n_ids, arg_min(pid, ord) FILTER (WHERE prov = 'view') AS view_id
+  FROM z GROUP BY ALL)
+SELECT z.list_id, z.dedup_key, z.ord, z.filled, CAST(ids.n_ids AS INTEGER) AS n_ids, ids.view_id FROM z JOIN ids USING (list_id, gk)
+QUALIFY row_number() OVER (PARTITION BY z.list_id, z.gk ORDER BY z.filled DESC, z.ord) = 1""")
 def q_a3(spark, d):
     h = hits(spark, d)
-    x = h.select("list_id", "ord", "first_name",
-                 F.when(F.col("ord") % 3 != 0, F.col("last_name")).alias("last_name"), "company_name", "company_domain",
-                 F.col("source").alias("title"), "linkedin_url",
+    known = F.col("ord") % 19 != 0     # the others have no identity at all
+    x = h.select("list_id", "ord", F.when(known, F.col("first_name")).alias("first_name"),
+                 F.when(known & (F.col("ord") % 3 != 0), F.col("last_name")).alias("last_name"),
+                 F.when(known & (F.col("ord") % 5 != 0), F.col("company_name")).alias("company_name"), "company_domain",
+                 F.when(known, F.col("source")).alias("title"), F.when(known, F.col("linkedin_url")).alias("linkedin_url"),
                  F.create_map(F.col("source"), F.concat(F.lit("id"), F.col("ord").cast("string"))).alias("provider_ids"))
     out = dedupe_contacts(x, A3_FIELDS, ["list_id"])
     return out.select("list_id", "dedup_key", "ord", "filled", F.size("provider_ids").alias("n_ids"),
@@ -1679,11 +1713,11 @@ def q_x5(spark, d):
                       "first_contacted_at", "last_contacted_at")
 
 
-@register("w2_assign_ids", f"""WITH v AS ({duck(V_COMPANIES)})
+@register("w2_assign_ids", f"""WITH v AS (SELECT * REPLACE (CASE WHEN ord % 6 <> 0 THEN region END AS region) FROM ({duck(V_COMPANIES)}))
 SELECT ord, region, CAST(row_number() OVER (PARTITION BY region ORDER BY employees DESC, ord) AS BIGINT) AS id FROM v""")
 def q_w2(spark, d):
     from rosterline.operators.upsert import assign_ids
-    v = companies_src(spark, d).select("ord", "region", "employees")
+    v = companies_src(spark, d).select("ord", F.when(F.col("ord") % 6 != 0, F.col("region")).alias("region"), "employees")
     return assign_ids(v, [F.desc("employees"), F.col("ord")], "region").select("ord", "region", "id")
 
 

@@ -7,7 +7,9 @@ and only falls back to a scratch folder (tests, local runs) when it is unset.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,13 +52,20 @@ _FALLBACK_DIRS: dict[int, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the cluster's setting, else a scratch dir.
 
-    The scratch fallback (tests, local runs) is chosen once per session; if the
-    session refuses a runtime change of the setting it is still used directly.
+    The scratch fallback is for ``local`` masters only (tests, local runs): elsewhere
+    each executor would write to its own disk, so an unset folder raises.  It is chosen
+    once per session and removed when the process ends; if the session refuses a runtime
+    change of the setting it is still used directly.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = id(spark.sparkContext)
-        d = _FALLBACK_DIRS.setdefault(key, tempfile.mkdtemp(prefix="rosterline-ckpt-"))
+        if key not in _FALLBACK_DIRS:
+            _FALLBACK_DIRS[key] = tempfile.mkdtemp(prefix="rosterline-ckpt-")
+            atexit.register(shutil.rmtree, _FALLBACK_DIRS[key], ignore_errors=True)
+        d = _FALLBACK_DIRS[key]
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # noqa: BLE001 - core configs may be read-only at runtime
@@ -66,12 +75,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
