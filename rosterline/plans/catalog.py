@@ -765,10 +765,13 @@ xr AS (SELECT u.url, m.linkedin_url_normalized IS NOT NULL AS found,
   LEFT JOIN master m ON {N1_SQL.format(u='u.url')} = m.linkedin_url_normalized)"""
 
 
+def _touch_rows(h):
+    return h.select("linkedin_url", "first_name", "last_name", "company_name", F.expr(TOUCH_STATUS).alias("status"),
+                    F.col("seen_at").alias("ts"), F.col("list_id").alias("campaign_id"))
+
+
 def _touches(spark, d):
-    return hits(spark, d).select("linkedin_url", "first_name", "last_name", "company_name",
-                                 F.expr(TOUCH_STATUS).alias("status"), F.col("seen_at").alias("ts"),
-                                 F.col("list_id").alias("campaign_id"))
+    return _touch_rows(hits(spark, d))
 
 
 def _crossref(spark, d):
@@ -1644,73 +1647,108 @@ def q_f13(spark, d):
 # Streaming: X1–X5 (events read as a file stream, availableNow trigger; each
 # result must equal the batch oracle on the same input)
 # ---------------------------------------------------------------------------
-from rosterline.streaming.streams import (file_stream, latest_snapshot, run_available_now,  # noqa: E402
-                                          stream_checkpoint, stream_dedupe, stream_funnel, stream_master,
-                                          stream_upsert, stream_valid_track)
+from rosterline.streaming.streams import (file_stream, latest_snapshot, master_of, run_available_now,  # noqa: E402
+                                          single_use, stream_dedupe, stream_funnel, stream_master, stream_upsert,
+                                          stream_upsert_companies, stream_valid_track, to_files)
+
+# Events arrive as five files: four in time order, then one with the last week and some rows that are weeks late.
+STREAM_CUTS = ["2024-01-07 00:00:00", "2024-01-13 00:00:00", "2024-01-19 00:00:00", "2024-01-25 00:00:00"]
+LATE = "event_id % 97 = 3 AND ts < TIMESTAMP '2024-01-07 00:00:00'"
+
+
+def _event_stream(spark, d):
+    """A file stream of the whole events table, one file of STREAM_CUTS per micro-batch."""
+    ev = read_table(spark, d, "events")
+    path = _scratch(spark, "events")
+    late = F.expr(LATE.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+    when = F.lit(0)
+    for i, c in enumerate(STREAM_CUTS):
+        when = F.when(F.col("ts") >= F.lit(c).cast("timestamp_ntz"), i + 1).otherwise(when)
+    slot = F.when(late, len(STREAM_CUTS)).otherwise(when)
+    for i in range(len(STREAM_CUTS) + 1):   # one write after another: the stream takes files by time
+        ev.where(slot == i).coalesce(1).write.parquet(_os.path.join(path, f"part={i}"))
+    return (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(path))
 
 
 def _stream_hits(spark, d):
-    return spark.sql(V_HITS, events=file_stream(spark, _os.path.join(d, "events.parquet")))
+    return spark.sql(V_HITS, events=_event_stream(spark, d))
 
 
-def _memory(spark, df, mode="append"):
-    name = "rl_" + _uuid.uuid4().hex[:12]
-    q = run_available_now(df.writeStream.format("memory").queryName(name).outputMode(mode)
-                          .option("checkpointLocation", stream_checkpoint(spark, name)))
-    q.stop()
-    return spark.table(name)
+def _streamed(spark, df):
+    """Runs a stream into files and reads them."""
+    path = _scratch(spark, "stream")
+    run_available_now(to_files(df, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
-@register("x1_stream_upsert", f"""WITH {CONTACTS_CTE}
-SELECT list_id, id, ord, linkedin_url_normalized, 'sourced' AS stage FROM contacts""")
+@register("x1_stream_upsert", f"""WITH {HITS_CTE}, k AS (SELECT *, {N1_SQL.format(u='linkedin_url')} AS u,
+  CASE WHEN ord % 97 = 3 AND seen_at < TIMESTAMP '{STREAM_CUTS[0]}' THEN 5 WHEN seen_at >= TIMESTAMP '{STREAM_CUTS[3]}' THEN 5
+    WHEN seen_at >= TIMESTAMP '{STREAM_CUTS[2]}' THEN 4 WHEN seen_at >= TIMESTAMP '{STREAM_CUTS[1]}' THEN 3
+    WHEN seen_at >= TIMESTAMP '{STREAM_CUTS[0]}' THEN 2 ELSE 1 END AS b FROM h),
+f AS (SELECT * FROM k QUALIFY u IS NULL OR row_number() OVER (PARTITION BY list_id, u ORDER BY b, ord) = 1)
+SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY b, ord) AS BIGINT) AS id, ord,
+  u AS linkedin_url_normalized, 'sourced' AS stage FROM f""")
 def q_x1(spark, d):
     path = _scratch(spark, "stream-upsert")
-    q = run_available_now(stream_upsert(_stream_hits(spark, d), path, NOW))
-    q.stop()
+    run_available_now(stream_upsert(_stream_hits(spark, d), path, NOW))
     return latest_snapshot(spark, path).select("list_id", "id", "ord", "linkedin_url_normalized", "stage")
 
 
+@register("x1_stream_companies", f"""WITH {HITS_CTE}, k AS (SELECT *, {N2_SQL.format(u='company_domain')} AS dk,
+  CASE WHEN ord % 97 = 3 AND seen_at < TIMESTAMP '{STREAM_CUTS[0]}' THEN 5 WHEN seen_at >= TIMESTAMP '{STREAM_CUTS[3]}' THEN 5
+    WHEN seen_at >= TIMESTAMP '{STREAM_CUTS[2]}' THEN 4 WHEN seen_at >= TIMESTAMP '{STREAM_CUTS[1]}' THEN 3
+    WHEN seen_at >= TIMESTAMP '{STREAM_CUTS[0]}' THEN 2 ELSE 1 END AS b FROM h)
+SELECT list_id, dk AS company_domain_normalized, arg_max(company_name, b * 1000000000000 + ord) AS company_name,
+  arg_max(source, b * 1000000000000 + ord) AS source FROM k WHERE dk IS NOT NULL GROUP BY ALL
+UNION ALL SELECT list_id, NULL, company_name, source FROM k WHERE dk IS NULL""")
+def q_x1c(spark, d):
+    path = _scratch(spark, "stream-companies")
+    h = _stream_hits(spark, d).select("ord", "list_id", "company_name", "company_domain", "source")
+    run_available_now(stream_upsert_companies(h, path, NOW))
+    return latest_snapshot(spark, path, whole=True).select("list_id", "company_domain_normalized", "company_name", "source")
+
+
 @register("x2_stream_dedupe", f"""WITH {HITS_CTE},
 k AS (SELECT list_id, {N1_SQL.format(u='linkedin_url')} AS linkedin_url_normalized, ord FROM h)
 SELECT DISTINCT list_id, linkedin_url_normalized, CAST(NULL AS BIGINT) AS null_ord FROM k WHERE linkedin_url_normalized IS NOT NULL
 UNION ALL SELECT list_id, NULL, ord FROM k WHERE linkedin_url_normalized IS NULL""")
 def q_x2(spark, d):
-    out = _memory(spark, stream_dedupe(_stream_hits(spark, d), "30 days"))
+    out = _streamed(spark, stream_dedupe(_stream_hits(spark, d), "30 days"))
     return out.select("list_id", "linkedin_url_normalized",
                       F.when(F.col("linkedin_url_normalized").isNull(), F.col("ord")).alias("null_ord"))
 
 
-@register("x3_stream_valid_track", """WITH s AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type = 'view'),
-r AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type = 'click')
-SELECT r.id AS request_id, s.id AS track_id, r.ts AS r_ts, s.ts AS s_ts FROM r JOIN s
-  ON r.user_id = s.user_id AND s.ts <= r.ts AND s.ts >= r.ts - INTERVAL 6 HOUR""")
+# Rows that come weeks late are dropped by the watermarks; the others find their partner.
+@register("x3_stream_valid_track", f"""WITH ev AS (SELECT * FROM events WHERE NOT ({LATE})),
+s AS (SELECT event_id AS id, user_id, ts FROM ev WHERE event_type = 'view'),
+r AS (SELECT event_id AS id, user_id, ts FROM ev WHERE event_type = 'click'),
+p AS (SELECT r.id AS request_id, s.id AS track_id, r.ts AS r_ts FROM r JOIN s
+  ON r.user_id = s.user_id AND s.ts <= r.ts AND s.ts >= r.ts - INTERVAL 6 HOUR
+  QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY s.ts DESC, s.id DESC) = 1)
+SELECT request_id, track_id, r_ts, row_number() OVER (PARTITION BY track_id ORDER BY r_ts, request_id) = 1 AS valid FROM p""")
 def q_x3(spark, d):
-    ev = file_stream(spark, _os.path.join(d, "events.parquet"))
+    ev = _event_stream(spark, d)
     s = ev.where(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("id"), "ts")
     r = ev.where(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("id"), "ts")
-    out = _memory(spark, stream_valid_track(r, s, 6))
-    return out.select("request_id", "track_id", "r_ts", "s_ts")
+    return single_use(_streamed(spark, stream_valid_track(r, s, 6))).select("request_id", "track_id", "r_ts", "valid")
 
 
-@register("x4_stream_funnel", """SELECT date_trunc('hour', ts) AS window_start, event_type AS stage,
-  CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""")
+# Append mode: late rows are dropped, and windows that the last watermark has not passed are still open.
+@register("x4_stream_funnel", f"""SELECT date_trunc('hour', ts) AS window_start, event_type AS stage,
+  CAST(count(*) AS BIGINT) AS n FROM events WHERE NOT ({LATE}) GROUP BY ALL
+HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def q_x4(spark, d):
-    ev = file_stream(spark, _os.path.join(d, "events.parquet")).withColumnRenamed("event_type", "stage")
-    return _memory(spark, stream_funnel(ev, "ts", "stage"), "complete")
+    ev = _event_stream(spark, d).withColumnRenamed("event_type", "stage")
+    return _streamed(spark, stream_funnel(ev, "ts", "stage"))
 
 
 @register("x5_stream_master", f"""WITH {MASTER_CTE}
-SELECT linkedin_url_normalized, overall_status, total_campaigns, has_replied, has_bounced, has_unsubscribed,
-  first_contacted_at, last_contacted_at FROM master_all""")
+SELECT * FROM master_all""")
 def q_x5(spark, d):
-    h = _stream_hits(spark, d)
-    t = h.select("linkedin_url", F.expr(TOUCH_STATUS).alias("status"), F.col("seen_at").alias("ts"),
-                 F.col("list_id").alias("campaign_id"))
-    out = _memory(spark, stream_master(t), "complete")
-    return out.select("linkedin_url_normalized",
-                      F.coalesce(F.col("_best.s"), F.lit("contacted")).alias("overall_status"),
-                      "total_campaigns", "has_replied", "has_bounced", "has_unsubscribed",
-                      "first_contacted_at", "last_contacted_at")
+    path = _scratch(spark, "stream-master")
+    run_available_now(stream_master(_touch_rows(_stream_hits(spark, d)), path))
+    return master_of(spark, path)
 
 
 @register("w2_assign_ids", f"""WITH v AS (SELECT * REPLACE (CASE WHEN ord % 6 <> 0 THEN region END AS region) FROM ({duck(V_COMPANIES)}))

@@ -1,22 +1,28 @@
 """Structured Streaming operators X1–X5.
 
-* X1 ``stream_upsert``: ``foreachBatch`` runs the batch upsert (J1) and writes a
-  new snapshot version named after the batch id; a replayed batch finds its
-  version already written and is skipped, so the sink is idempotent.
+* X1 ``stream_upsert`` / ``stream_upsert_companies``: ``foreachBatch`` runs the batch
+  upserts (J1 / J2).  Every committed version is named after its place, the run (its
+  checkpoint) and the batch id, so a replayed batch is skipped while a new run with
+  a new checkpoint adds its rows.  Contacts are append-only: a version holds only the
+  rows a batch inserted.  Companies are merged: a version is the whole table, and
+  versions older than the previous one are removed.
 * X2 ``stream_dedupe``: bounded-state dedup with a watermark
   (``dropDuplicatesWithinWatermark``); NULL keys bypass the state.
 * X3 ``stream_valid_track``: stream–stream interval join with watermarks on
-  both sides, so join state expires after the 6-hour validity.
-* X4 ``stream_funnel``: tumbling-window counts per stage; late rows beyond the
-  watermark are dropped.
-* X5 ``stream_master``: incremental master roll-up (A13) as a stateful
-  streaming aggregation.
-
-Checkpoints live under the session's shared ``spark.checkpoint.dir``.
+  both sides, so join state expires after the 6-hour validity; ``single_use`` keeps
+  each request's latest search and each search's first request.
+* X4 ``stream_funnel``: tumbling-window counts per stage, append mode; rows later than
+  the watermark are dropped, a window is written once, when it is closed.
+* X5 ``stream_master``: incremental master roll-up (A13): each batch writes its partial
+  roll-up per (URL, campaign), ``master_of`` merges them.  Nothing grows in the state store.
+
+Results go to files in the sink's folder, never through the driver.  Checkpoints live
+under the session's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
@@ -25,11 +31,12 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.normalize import normalize_linkedin_url
 from rosterline.operators.match import MASTER_STATUS_RANK
-from rosterline.operators.upsert import upsert_contacts
+from rosterline.operators.upsert import upsert_companies, upsert_contacts
 from rosterline.session import checkpoint_dir
 
-__all__ = ["file_stream", "stream_checkpoint", "stream_upsert", "upsert_batch_fn", "latest_snapshot", "stream_dedupe",
-           "stream_valid_track", "stream_funnel", "stream_master", "run_available_now"]
+__all__ = ["file_stream", "stream_checkpoint", "stream_upsert", "stream_upsert_companies", "upsert_batch_fn",
+           "latest_snapshot", "stream_dedupe", "stream_valid_track", "single_use", "stream_funnel", "stream_master",
+           "master_of", "run_available_now", "to_files"]
 
 
 def _event_time(c: str):
@@ -51,53 +58,82 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return reader.parquet(path)
 
 
-def run_available_now(writer, timeout_s: int = 600):
+def run_available_now(writer):
+    """Runs until all data there is has been processed, however long that takes; raises if the query failed."""
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
     return q
 
 
+def to_files(df: DataFrame, path: str, checkpoint: str | None = None):
+    """An append sink of parquet files; committed files only are seen by readers of the folder."""
+    return (df.writeStream.format("parquet").outputMode("append").option("path", path)
+            .option("checkpointLocation", checkpoint or stream_checkpoint(df.sparkSession, "files")))
+
+
 # --- X1 ---------------------------------------------------------------------
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest committed snapshot version under ``path`` (``v=<batch id>``)."""
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the committed versions under ``path``, oldest first (``v=<place>-<run>-<batch>``)."""
     jvm = spark._jvm
     fs_path = jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(fs_path)
-            if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(
-                s.getPath(), "_SUCCESS"))]
+        return []
+    names = [x.getPath() for x in fs.listStatus(fs_path) if x.getPath().getName().startswith("v=")]
+    done = [x.getName() for x in names if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(done, key=lambda n: int(n[2:].split("-")[0]))
+
+
+def latest_snapshot(spark: SparkSession, path: str, whole: bool = False) -> DataFrame | None:
+    """The table under ``path``: all committed versions together, or the newest if each is ``whole``."""
+    done = _versions(spark, path)
     if not done:
         return None
-    newest = max(done, key=lambda n: int(n[2:]))
-    return spark.read.parquet(os.path.join(path, newest))
+    return spark.read.parquet(*[os.path.join(path, n) for n in (done[-1:] if whole else done)])
 
 
-def upsert_batch_fn(spark: SparkSession, path: str, now):
-    """The ``foreachBatch`` body of X1: J1 against the newest snapshot, written as
-    version ``v=<batch id>``; a batch id that is already committed is skipped."""
+def upsert_batch_fn(spark: SparkSession, path: str, now, run: str = "run", companies: bool = False):
+    """The ``foreachBatch`` body of X1.  ``run`` identifies the checkpoint: a batch id of the
+    same run that is already committed is a replay and is skipped; batch 0 of another run is new data."""
+    mark = hashlib.sha256(run.encode()).hexdigest()[:16]
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        target = os.path.join(path, f"v={batch_id}")
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            return  # replayed batch: this version is already committed
-        current = latest_snapshot(spark, path)
-        out = upsert_contacts(current, df, now).drop("_inserted")
-        out.write.mode("overwrite").parquet(target)
+        done = _versions(spark, path)
+        if any(n.split("-")[1:] == [mark, str(batch_id)] for n in done):
+            return
+        place = int(done[-1][2:].split("-")[0]) + 1 if done else 0
+        target = os.path.join(path, f"v={place:08d}-{mark}-{batch_id}")
+        current = latest_snapshot(spark, path, whole=companies)
+        if companies:
+            upsert_companies(current, df, now).drop("_status", "_n_new").write.mode("overwrite").parquet(target)
+            for old in done[:-1]:   # the previous version stays for readers that opened it
+                p = spark._jvm.org.apache.hadoop.fs.Path(path, old)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        else:
+            upsert_contacts(current, df, now).where("_inserted" if current is not None else "true").drop(
+                "_inserted").write.mode("overwrite").parquet(target)
 
     return batch
 
 
-def stream_upsert(stream: DataFrame, path: str, now, checkpoint: str | None = None):
-    """Continuous J1 upsert into versioned snapshots; replay-safe."""
+def _upsert(stream: DataFrame, path: str, now, checkpoint: str | None, companies: bool):
     spark = stream.sparkSession
-    batch = upsert_batch_fn(spark, path, now)
-    return (stream.writeStream.foreachBatch(batch)
-            .option("checkpointLocation", checkpoint or stream_checkpoint(spark, "upsert")))
+    checkpoint = checkpoint or stream_checkpoint(spark, "upsert")
+    return (stream.writeStream.foreachBatch(upsert_batch_fn(spark, path, now, checkpoint, companies))
+            .option("checkpointLocation", checkpoint))
+
+
+def stream_upsert(stream: DataFrame, path: str, now, checkpoint: str | None = None):
+    """Continuous J1 upsert; each batch writes the contacts it inserted."""
+    return _upsert(stream, path, now, checkpoint, False)
+
+
+def stream_upsert_companies(stream: DataFrame, path: str, now, checkpoint: str | None = None):
+    """X1 for companies: continuous J2 merge upsert into whole-table versions."""
+    return _upsert(stream, path, now, checkpoint, True)
 
 
 # --- X2 ---------------------------------------------------------------------
@@ -116,7 +152,8 @@ def stream_dedupe(stream: DataFrame, delay: str, ts_col: str = "seen_at",
 def stream_valid_track(requests: DataFrame, searches: DataFrame, ttl_hours: int = 6,
                        key: str = "user_id") -> DataFrame:
     """Requests joined to searches of the same key issued at most ``ttl_hours``
-    earlier; both sides carry watermarks so state older than the TTL is dropped."""
+    earlier; both sides carry watermarks so state older than the TTL is dropped.  All such
+    pairs are written; ``single_use`` over them gives each request its track."""
     r = (requests.select(F.col(key).alias("r_key"), F.col("id").alias("request_id"), F.col("ts").alias("r_ts"))
          .withColumn("r_et", _event_time("r_ts")).withWatermark("r_et", f"{ttl_hours} hours"))
     s = (searches.select(F.col(key).alias("s_key"), F.col("id").alias("track_id"), F.col("ts").alias("s_ts"))
@@ -126,6 +163,14 @@ def stream_valid_track(requests: DataFrame, searches: DataFrame, ttl_hours: int
     return r.join(s, cond, "inner").drop("r_et", "s_et")
 
 
+def single_use(pairs: DataFrame) -> DataFrame:
+    """Of X3's pairs: each request's latest search, valid only for the search's first request."""
+    latest = pairs.groupBy("request_id").agg(F.max(F.struct("s_ts", "track_id")).alias("_s"), F.min("r_ts").alias("r_ts"))
+    latest = latest.select("request_id", "r_ts", F.col("_s.track_id").alias("track_id"))
+    first = latest.groupBy("track_id").agg(F.min(F.struct("r_ts", "request_id"))["request_id"].alias("_first"))
+    return latest.join(first, "track_id").select("request_id", "r_ts", "track_id", (F.col("_first") == F.col("request_id")).alias("valid"))
+
+
 # --- X4 ---------------------------------------------------------------------
 
 def stream_funnel(stream: DataFrame, ts_col: str, stage_col: str, window: str = "1 hour",
@@ -139,16 +184,44 @@ def stream_funnel(stream: DataFrame, ts_col: str, stage_col: str, window: str =
 
 # --- X5 ---------------------------------------------------------------------
 
-def stream_master(touches: DataFrame) -> DataFrame:
-    """Master roll-up (A13) maintained incrementally by a streaming aggregation."""
+_NAMES = ("first_name", "last_name", "company_name", "email")
+
+
+def _partial(touches: DataFrame) -> DataFrame:
+    """A13's roll-up of some touches per (URL, campaign), in a form that merges."""
     t = touches.withColumn("linkedin_url_normalized", normalize_linkedin_url("linkedin_url")) \
         .where(F.col("linkedin_url_normalized").isNotNull())
     rank = F.try_element_at(F.create_map(*[x for k, v in MASTER_STATUS_RANK.items()
                                            for x in (F.lit(k), F.lit(v))]), F.col("status"))
-    return t.groupBy("linkedin_url_normalized").agg(
-        F.max(F.struct(rank.alias("r"), F.col("status").alias("s"))).alias("_best"),
-        F.size(F.collect_set("campaign_id")).cast("int").alias("total_campaigns"),
-        F.max((F.col("status") == "replied").cast("int")).cast("boolean").alias("has_replied"),
-        F.max((F.col("status") == "bounced").cast("int")).cast("boolean").alias("has_bounced"),
-        F.max((F.col("status") == "unsubscribed").cast("int")).cast("boolean").alias("has_unsubscribed"),
+    names = [c for c in _NAMES if c in touches.columns]
+    return t.groupBy("linkedin_url_normalized", "campaign_id").agg(
+        F.min(F.struct("ts", "linkedin_url")).alias("_url"),
+        *[F.max(F.when(F.col(c).isNotNull(), F.struct("ts", c))).alias(f"_{c}") for c in names],
+        F.max(F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("status").alias("s")))).alias("_best"),
+        *[F.max(F.coalesce(F.col("status") == x, F.lit(False)).cast("int")).alias(f"_{x}") for x in ("replied", "bounced", "unsubscribed")],
         F.min("ts").alias("first_contacted_at"), F.max("ts").alias("last_contacted_at"))
+
+
+def stream_master(touches: DataFrame, path: str, checkpoint: str | None = None):
+    """Each batch writes its partial roll-up under ``path``; a replayed batch replaces its own folder."""
+    spark = touches.sparkSession
+    checkpoint = checkpoint or stream_checkpoint(spark, "master")
+    mark = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        _partial(df).write.mode("overwrite").parquet(os.path.join(path, f"v={batch_id:08d}-{mark}-{batch_id}"))
+
+    return touches.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def master_of(spark: SparkSession, path: str) -> DataFrame:
+    """The master table of all batches that X5 has committed: one merge aggregation."""
+    parts = latest_snapshot(spark, path)
+    names = [c for c in _NAMES if f"_{c}" in parts.columns]
+    return parts.groupBy("linkedin_url_normalized").agg(
+        F.min("_url")["linkedin_url"].alias("linkedin_url"),
+        *[F.max(f"_{c}")[c].alias(c) for c in names],
+        F.coalesce(F.max("_best")["s"], F.lit("contacted")).alias("overall_status"),
+        F.count_distinct("campaign_id").cast("int").alias("total_campaigns"),
+        *[(F.max(f"_{x}") > 0).alias(f"has_{x}") for x in ("replied", "bounced", "unsubscribed")],
+        F.min("first_contacted_at").alias("first_contacted_at"), F.max("last_contacted_at").alias("last_contacted_at"))
