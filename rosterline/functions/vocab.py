@@ -79,6 +79,12 @@ STATUS_SEMANTICS = [
     ("ai-ark", "email_enrich", "invalid", "miss"),
     ("ai-ark", "email_enrich", None, "miss"),
     ("leadmagic", "email_enrich", "valid", "accept"),
+    ("leadmagic", "email_validate", "valid", "valid"),
+    ("leadmagic", "email_validate", "valid_catch_all", "catch_all"),
+    ("leadmagic", "email_validate", "invalid", "invalid"),
+    ("leadmagic", "email_validate", "unknown", "unknown"),
+    ("clearoutphone", "phone_validate", "valid", "valid"),
+    ("clearoutphone", "phone_validate", "invalid", "invalid"),
     ("leadmagic", "email_enrich", None, "miss"),
 ]
 
@@ -90,8 +96,23 @@ PRICES = [
     ("ai-ark", "phone_enrich", "credit", 1.0, "found"),
     ("leadmagic", "email_validate", "credit", 0.25, "definitive"),
     ("leadmagic", "phone_enrich", "credit", 5.0, "found"),
-    ("apollo", "email_enrich", "credit", 1.0, "match"),
+    ("apollo", "email_enrich", "credit", 1.0, "submitted"),
     ("apollo", "phone_enrich", "credit", 1.0, "match"),
+    ("apollo", "company_search", "credit", 1.0, "page of 100"),
+    ("apollo", "people_search", "credit", 0.0, "free"),
+    ("ai-ark", "company_search", "credit", 1.0, "returned"),
+    ("ai-ark", "company_enrich", "credit", 0.0, "free"),
+    ("ai-ark", "people_search", "credit", 1.0, "returned"),
+    ("leadmagic", "company_search", "credit", 1.0, "returned"),
+    ("leadmagic", "company_enrich", "credit", 5.0, "match"),
+    ("leadmagic", "people_search", "credit", 1.0, "returned"),
+    ("leadmagic", "email_enrich", "credit", 1.0, "found"),
+    ("clearoutphone", "phone_validate", "validation", 1.0, "submitted"),
+    ("dropleads", "people_search", "credit", 0.0, "free"),
+    ("hubspot", "crm_dedupe", "credit", 0.0, "free"),
+    ("web_research", "company_search", "credit", 0.0, "free"),
+    ("web_research", "company_enrich", "credit", 0.0, "free"),
+    ("web_research", "people_search", "credit", 0.0, "free"),
 ]
 # Profile scraping prices in USD per profile by mode, plus the per-run start fee.
 APIFY_PER_PROFILE = {"short": 0.004, "full": 0.008, "full_email": 0.012}
@@ -194,7 +215,7 @@ def phone_country(phone, country=None, max_prefix_len: int = 4) -> Column:
     each prefix length, longest first; no join is needed.
     """
     digits = F.regexp_replace(F.regexp_replace(_c(phone), r"[^0-9+]", ""), r"^00", "+")
-    body = F.when(digits.startswith("+"), F.substring(digits, 2, 64))
+    body = F.when(digits.startswith("+"), F.substring(digits, F.lit(2), F.length(digits)))
     m = literal_map(DIAL_PREFIXES)
     by_prefix = F.coalesce(*[F.try_element_at(m, F.substring(body, 1, n))
                              for n in range(max_prefix_len, 0, -1)])

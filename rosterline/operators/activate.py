@@ -97,12 +97,13 @@ def assign_senders(leads: DataFrame, accounts: DataFrame, partition_col: str = "
     out = spark.sql(
         "SELECT l.*, (l._pos - 1) % (SELECT count(*) FROM {acc}) + 1 AS _slot FROM {l} l",
         acc=accounts, l=ranked)
-    return (out.join(F.broadcast(acc.select("_slot", "account_id")), "_slot", "left")
+    return (out.join(acc.select("_slot", "account_id"), "_slot", "left")
             .drop("_slot", "_pos"))
 
 
-def push_report(responses: DataFrame, skipped_no_identity=None, max_errors: int = 20):
-    """Imported / skipped_existing / failed counts plus the first ``max_errors`` errors.
+def push_report(responses: DataFrame, skipped_no_identity=None, max_errors: int | None = 20, body_chars: int | None = 150):
+    """Imported / skipped_existing / failed counts plus the first ``max_errors`` errors
+    with ``body_chars`` characters of their body (the shown report's limits; None: all).
 
     ``responses`` has (list_id, pos, lead_key, code, body).  Returns
     (counts DataFrame per list, errors DataFrame).
@@ -122,6 +123,8 @@ def push_report(responses: DataFrame, skipped_no_identity=None, max_errors: int
     # shuffle, so at most ``max_errors`` rows per list leave each map task.
     w = Window.partitionBy("list_id").orderBy("pos")
     errors = (r.where(F.col("_kind") == "failed")
-              .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_errors)
-              .select("list_id", "pos", "lead_key", "code", F.substring("body", 1, 150).alias("body")))
+              .select("list_id", "pos", "lead_key", "code",
+                      F.substring("body", 1, body_chars).alias("body") if body_chars else "body"))
+    if max_errors is not None:
+        errors = errors.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_errors).drop("_rn")
     return counts, errors

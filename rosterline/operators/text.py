@@ -1,7 +1,7 @@
 """line-level text pattern scan (re-aimed from the publish check).
 
-Texts are split into lines with ``posexplode`` (whole texts, every line) and
-each rule is one ``rlike`` — JVM regex inside whole-stage codegen.
+One combined pattern picks the whole texts in which some rule hits; those are split
+into lines with ``posexplode`` and each rule is one ``rlike`` on every line.
 """
 
 from __future__ import annotations
@@ -37,20 +37,22 @@ def scan_text(df: DataFrame, id_col: str, text_col: str = "text", deny_terms: li
     The credential rule is case-sensitive as published; ``ci_credentials``
     also catches lower-case names such as ``token = "…"``.
     """
-    lines = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_pos", "line"))
     rules = list(SCAN_RULES)
     for t in deny_terms or []:
         rules.append(("deny_term", re.escape(t), True))
-    # One pass: every rule is evaluated in the same projection, then only the
-    # rules that hit are exploded into rows.
+    rules = [(name, ("(?i)" if ci or (name == "credential" and ci_credentials) else "") + pat) for name, pat, ci in rules]
+    # One combined pattern over the whole text: only texts in which some rule hits are split into lines.
+    # ``.`` does not match a newline, so a hit in the text is a hit in a line.
+    some = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for _, p in rules)
+    lines = (df.where(F.col(text_col).rlike(some))
+             .select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_pos", "line")))
+    # Then each line's rules; a line without a hit explodes to nothing.
     flags = []
-    for name, pat, ci in rules:
-        ci = ci or (name == "credential" and ci_credentials)
-        cond = F.col("line").rlike(("(?i)" if ci else "") + pat)
+    for name, pat in rules:
+        cond = F.col("line").rlike(pat)
         if name == "credential":
             cond = cond & ~F.col("line").rlike("(?i)" + PLACEHOLDER_RE)
         flags.append(F.when(cond, F.lit(name)))
     hit_rules = F.array_distinct(F.filter(F.array(*flags), lambda x: x.isNotNull()))
-    return (lines.select(id_col, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line", hit_rules.alias("_r"))
-            .where(F.size("_r") > 0)
-            .select(id_col, F.explode("_r").alias("rule"), "line_no", "line"))
+    return lines.select(id_col, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line",
+                        F.explode(hit_rules).alias("rule")).select(id_col, "rule", "line_no", "line")

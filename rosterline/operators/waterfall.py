@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from rosterline.functions.merge import waterfall_log_agg
 from rosterline.functions.normalize import full_name, is_member_id, is_vanity, strip_ws
 from rosterline.operators.upsert import keep_rows
-from rosterline.functions.vocab import PHONE_TYPE_RANK, RUN_CEILINGS, SPEND_GATE, literal_map
+from rosterline.functions.vocab import (APIFY_PER_PROFILE, APIFY_RUN_FEE, PHONE_TYPE_RANK, RUN_CEILINGS,
+                                        SPEND_GATE, literal_map)
 
 __all__ = [
     "classify_answers", "reverify", "email_waterfall", "phone_waterfall", "union_search",
@@ -220,12 +221,13 @@ def align_results(submitted: DataFrame, answers: DataFrame, batch_col: str = "ba
 
 # --- A6 / A7 / A10 / A14 --------------------------------------------------------
 
-def estimate_cost(df: DataFrame, group: str = "list_id") -> DataFrame:
+def estimate_cost(df: DataFrame, group: str = "list_id", scrape_mode: str = "short", runs: int = 1) -> DataFrame:
     """Credits per provider/capability from the contacts about to be enriched.
 
     FullEnrich 1 (email) / 10 (phone) per submittable row; AI Ark email 1 per
     row (every row, D21), phone 1 per addressable row; profile scraping USD
-    0.02 per run + 0.004 per profile (short mode), 2 dp.
+    per run (``runs``: one per company in one-by-one batches) and per profile by
+    ``scrape_mode`` (short, full, full_email), 2 dp.
     """
     sub = ~_blank("company_domain")
     fn = full_name("first_name", "last_name")
@@ -238,7 +240,8 @@ def estimate_cost(df: DataFrame, group: str = "list_id") -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("aiark_email_credits"),
         F.count_if(addressable).cast("bigint").alias("aiark_phone_credits"),
         F.count_if(~addressable).cast("bigint").alias("aiark_phone_excluded"),
-        (F.lit(0.02).cast("decimal(10,3)") + F.count(F.lit(1)) * F.lit(0.004).cast("decimal(10,3)"))
+        (F.lit(APIFY_RUN_FEE * runs).cast("decimal(10,3)")
+         + F.count(F.lit(1)) * F.lit(APIFY_PER_PROFILE[scrape_mode]).cast("decimal(10,3)"))
         .cast("decimal(10,2)").alias("apify_usd"))
 
 

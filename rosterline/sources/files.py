@@ -27,44 +27,53 @@ LINKEDIN_COLS = ("company_linkedin_url", "linkedin_url", "linkedin", "company_li
 # ---------------------------------------------------------------------------
 
 
-def read_companies_csv(spark: SparkSession, path: str, multi_line: bool = True):
+def read_companies_csv(spark: SparkSession, path: str, multi_line: bool = True, max_columns: int = 256):
     """Tolerant company CSV → (companies, skipped per file).
 
+    Every file is read by its own header, so files may differ in columns and their order.
     Headers are trimmed and lowercased; name/domain/LinkedIn come from the first
-    non-blank alias; rows with neither name nor domain are skipped; other
-    non-blank columns become ``extras``.  BOM-safe; quoted multi-line fields.
-    Output uses the canonical names ``company_name`` / ``company_domain`` (D19).
+    non-blank alias (of a header that stands twice, the first non-blank cell); rows with
+    neither name nor domain are skipped; other non-blank columns become ``extras``.
+    BOM-safe; quoted multi-line fields.  Output uses the canonical names ``company_name`` /
+    ``company_domain`` (D19).  A file with more than ``max_columns`` columns raises.
 
     ``multiLine`` parsing reads each file in one task; account lists are
     usually many small files, and ``multi_line=False`` makes big single files
     splittable when no quoted field spans lines.
     """
-    raw = (spark.read.option("header", "true").option("multiLine", str(multi_line).lower())
-           .option("escape", '"').option("encoding", "UTF-8").csv(path))
-    lc = {c: c.strip().lower().lstrip("﻿") for c in raw.columns}
-    df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in lc.items()], F.input_file_name().alias("_file"))
-    names = list(lc.values())
+    names = [f"_c{i}" for i in range(max_columns + 1)]
+    raw = (spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", "false")
+           .option("multiLine", str(multi_line).lower()).option("escape", '"').option("encoding", "UTF-8").csv(path)
+           .select(F.array(*names).alias("_v"), F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n")))
+    wide = F.raise_error(F.lit("a file has more columns than max_columns"))
+    clean = F.transform("_v", lambda x: F.lower(F.trim(F.regexp_replace(x, "^\ufeff", ""))))
+    # The header is the first row of a file's first block: one row per file.
+    head = (raw.where(F.col("_at") == 0).groupBy("_file").agg(F.min_by("_v", "_n").alias("_v"), F.min("_n").alias("_first"))
+            .select("_file", "_first", F.when(F.element_at("_v", -1).isNull(), clean).otherwise(wide).alias("_h")))
+    cells = F.filter(F.arrays_zip("_h", "_v"), lambda x: blank_to_null(x["_h"]).isNotNull() & blank_to_null(x["_v"]).isNotNull())
+    rows = raw.join(head, "_file").where(F.col("_n") != F.col("_first")).select("_file", cells.alias("_cells"))
+
+    def first(of):
+        """The first non-blank cell under a header."""
+        return F.try_element_at(F.filter("_cells", lambda x: x["_h"] == of), F.lit(1))["_v"]
 
     def pick(aliases):
-        cands = [blank_to_null(F.col(f"`{a}`")) for a in aliases if a in names]
-        return F.coalesce(*cands) if cands else F.lit(None).cast("string")
-
-    known = set(NAME_COLS) | set(DOMAIN_COLS) | set(LINKEDIN_COLS)
-    extra = [n for n in names if n and n not in known]
-    extras = (F.map_filter(F.map_from_arrays(F.array(*[F.lit(e) for e in extra]),
-                                             F.array(*[blank_to_null(F.col(f"`{e}`")) for e in extra])),
-                           lambda k, v: v.isNotNull())
-              if extra else F.create_map().cast("map<string,string>"))
-    out = df.select(pick(NAME_COLS).alias("company_name"), pick(DOMAIN_COLS).alias("company_domain"),
-                    pick(LINKEDIN_COLS).alias("linkedin_url"), extras.alias("extras"), "_file")
+        return F.coalesce(*[blank_to_null(first(F.lit(a))) for a in aliases])
+
+    known = F.array(*[F.lit(x) for x in (*NAME_COLS, *DOMAIN_COLS, *LINKEDIN_COLS)])
+    extra = F.array_except(F.transform("_cells", lambda x: x["_h"]), known)
+    extras = F.map_from_arrays(extra, F.transform(extra, lambda n: blank_to_null(first(n))))
+    out = rows.select(pick(NAME_COLS).alias("company_name"), pick(DOMAIN_COLS).alias("company_domain"),
+                      pick(LINKEDIN_COLS).alias("linkedin_url"), extras.alias("extras"), "_file")
     keep = F.col("company_name").isNotNull() | F.col("company_domain").isNotNull()
     skipped = out.where(~keep).groupBy("_file").agg(F.count(F.lit(1)).alias("skipped"))
     return out.where(keep).drop("_file"), skipped
 
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON Lines with a fixed schema; blank lines are skipped by the reader."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    """JSON Lines with a fixed schema; blank lines are skipped, a broken line raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def write_export_csv(df: DataFrame, path: str, partition_col: str | None = "list_id") -> None:
