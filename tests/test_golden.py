@@ -1,4 +1,4 @@
-"""Golden fixtures (FIXTURES.md §1–§7) and edge cases (§10, SURVEY D1–D26)."""
+"""Golden fixtures and edge cases."""
 
 import datetime as dt
 import decimal
@@ -19,7 +19,7 @@ from rosterline.operators.upsert import (advance_stage, create_lists, not_found,
                                          upsert_contacts, upsert_counters, company_counters)
 from rosterline.operators.waterfall import (choose_match_key, email_waterfall, estimate_cost,
                                             phone_waterfall, resolve_waterfall, split_submittable)
-from rosterline.sources.files import read_companies_csv
+from rosterline.sources.files import read_companies_csv, read_jsonl
 from rosterline.session import checkpoint_dir
 
 NOW = "2025-01-01 00:00:00"
@@ -29,73 +29,93 @@ def col_values(df, c):
     return [r[0] for r in df.select(c).collect()]
 
 
-# --- §1 contacts upsert -------------------------------------------------------
+# --- contacts upsert -------------------------------------------------------
 
-def _fixture1(spark):
-    rows = [(1, 0, "Max", "acme.de", "https://www.linkedin.com/in/max/"),
-            (1, 1, "Max2", "acme.de", "https://www.linkedin.com/in/max?x=1"),
-            (1, 2, "Jane", "globex.com", "https://linkedin.com/in/jane"),
-            (1, 3, "N1", None, None), (1, 4, "N2", None, None)]
+def _small_list(spark):
+    """One list of four contacts: two with a key (one of them given twice), two without."""
+    rows = [(1, 10, "Ola", "elm.example", "https://linkedin.com/in/ola-b?utm=1"),
+            (1, 11, "Ravi", "ash.example", "https://www.LINKEDIN.com/in/ravi".replace("www.", "")),
+            (1, 12, "Ola again", None, "https://linkedin.com/in/Ola-B/"),
+            (1, 13, "No key", None, None), (1, 14, "None either", "", None)]
     return spark.createDataFrame(rows, "list_id bigint, ord bigint, first_name string, company_domain string, "
                                        "linkedin_url string")
 
 
-def test_contacts_upsert_fixture(spark):
-    inc = _fixture1(spark)
+def _people(spark):
+    rows = [(7, 0, "Ines", "birch.example", "HTTPS://LinkedIn.com/in/ines-k"),
+            (7, 1, "Ole", None, None),
+            (7, 2, "Ines K.", "birch.example", "https://linkedin.com/in/ines-k/?src=mail"),
+            (7, 3, "Tariq", "larch.example", "https://linkedin.com/in/tariq/"),
+            (7, 4, "Bea", "", ""),
+            (8, 5, "Ines", "birch.example", "https://linkedin.com/in/ines-k"),
+            (None, 6, "Nobody's", None, "https://linkedin.com/in/free"),
+            (None, 7, "Nobody's", None, "https://linkedin.com/in/free/")]
+    return spark.createDataFrame(rows, "list_id bigint, ord bigint, first_name string, company_domain string, "
+                                       "linkedin_url string")
+
+
+def test_contacts_upsert_advance_export(spark):
+    inc = _people(spark)
     out = upsert_contacts(None, inc, NOW)
-    cnt = upsert_counters(inc, out).collect()[0]
-    assert (cnt["inserted"], cnt["skipped_duplicates"], cnt["total"]) == (4, 1, 4)
-    ids = {r["first_name"]: r["id"] for r in out.collect()}
-    assert ids == {"Max": 1, "Jane": 2, "N1": 3, "N2": 4}
-    # advance ids 1 and 3 to email_enriched with email fields
-    c = out.drop("_inserted")
-    upd = spark.createDataFrame([(1, 1, "email_enriched", "m@acme.de", "apollo"),
-                                 (1, 3, "email_enriched", "n@x.de", "apollo")],
+    cnt = {r["list_id"]: (r["inserted"], r["skipped_duplicates"], r["total"]) for r in upsert_counters(inc, out).collect()}
+    assert cnt[7] == (4, 1, 4) and cnt[8] == (1, 0, 1)
+    ids = {(r["list_id"], r["first_name"]): r["id"] for r in out.collect()}
+    free = ids.pop((None, "Nobody's"))         # without a list there is no key: both rows stay, as ids 1 and 2
+    assert ids == {(7, "Ines"): 1, (7, "Ole"): 2, (7, "Tariq"): 3, (7, "Bea"): 4, (8, "Ines"): 1} and free in (1, 2)
+    c = out.where("list_id is not null").drop("_inserted")
+    upd = spark.createDataFrame([(7, 3, "email_enriched", "t@larch.example", "fullenrich"),
+                                 (7, 1, "email_enriched", "i@birch.example", "apollo")] * 2,
                                 "list_id bigint, id bigint, stage string, email string, email_source string")
-    adv = advance_stage(c, upd, NOW)
-    assert adv.where("_updated").count() == 2
-    lists = create_lists(None, spark.createDataFrame([(1,)], "ord bigint"), NOW)
-    summ = list_summary(lists, adv).collect()[0]
-    assert summ["email_enriched"] == 2 and summ["sourced"] == 2 and summ["total_contacts"] == 4
+    adv = advance_stage(c, upd, NOW)          # a repeated update is one update
+    assert adv.count() == 5 and adv.where("_updated").count() == 2
+    clash = upd.unionByName(upd.limit(1).withColumn("email", F.lit("other@x.example")))
+    with pytest.raises(Exception, match="differing updates"):
+        advance_stage(c, clash, NOW).collect()
+    lists = create_lists(None, spark.createDataFrame([(i,) for i in range(7)], "ord bigint"), NOW)
+    summ = {r["list_id"]: r for r in list_summary(lists, adv).collect()}
+    assert (summ[7]["email_enriched"], summ[7]["sourced"], summ[7]["total_contacts"]) == (2, 2, 4)
+    assert summ[1]["total_contacts"] == 0
     assert export(adv, "email_enriched").count() == 2
-    # unknown URL in master → new
     master = spark.createDataFrame([], "linkedin_url_normalized string, has_unsubscribed boolean, has_bounced boolean, "
                                        "has_replied boolean, overall_status string, first_name string, last_name string, "
                                        "company_name string")
-    urls = spark.createDataFrame([("https://linkedin.com/in/zzz",)], "url string")
+    urls = spark.createDataFrame([("https://linkedin.com/in/no-one-yet",)], "url string")
     assert crossref_master(urls, master).collect()[0]["status"] == "new"
 
 
 def test_upsert_twice_is_idempotent(spark):
-    inc = _fixture1(spark)
+    inc = _people(spark).where("list_id is not null")
     once = upsert_contacts(None, inc, NOW).drop("_inserted")
-    twice = upsert_contacts(once, inc.where(F.col("linkedin_url").isNotNull()), NOW)
+    twice = upsert_contacts(once, inc.where("linkedin_url <> ''"), NOW)
     assert twice.where("_inserted").count() == 0
-    assert twice.count() == 4
+    assert twice.count() == 5
 
 
 def test_not_found_sorted(spark):
-    c = upsert_contacts(None, _fixture1(spark), NOW)
-    ids = spark.createDataFrame([(1, 9), (1, 2), (1, 7)], "list_id bigint, id bigint")
-    assert [r["id"] for r in not_found(ids, c).collect()] == [7, 9]
+    c = upsert_contacts(None, _people(spark), NOW)
+    ids = spark.createDataFrame([(7, 11), (7, 4), (7, 6), (7, 11)], "list_id bigint, id bigint")
+    assert [r["id"] for r in not_found(ids, c).collect()] == [6, 11]
 
 
-# --- §2 companies merge ---------------------------------------------------------
+# --- companies merge ---------------------------------------------------------
 
-def test_companies_merge_fixture(spark):
+def test_companies_merge(spark):
     schema = ("list_id bigint, ord bigint, company_name string, company_domain string, source string, "
               "intel map<string,string>, sources array<string>, verified boolean, enriched boolean")
-    b1 = spark.createDataFrame([(1, 0, "Acme", "https://www.acme.com/x", "web_research", None, None, None, None),
-                                (1, 1, "Globex", "globex.io", None, None, None, None, None)], schema)
+    b1 = spark.createDataFrame([(4, 0, "Larch & Co", "http://WWW.larch.example/team?x", "crm", {"size": "40", "hq": "Oslo"}, ["s1"], False, None),
+                                (4, 1, "Birch", "birch.example", None, None, None, None, None),
+                                (4, 2, "No domain", None, None, None, None, None, None)], schema)
     r1 = upsert_companies(None, b1, NOW)
-    assert company_counters(r1).collect()[0]["inserted"] == 2
-    b2 = spark.createDataFrame([(1, 2, None, "acme.com", None, {"funding_stage": "Series B"}, None, True, True)], schema)
+    assert company_counters(r1).collect()[0]["inserted"] == 3
+    b2 = spark.createDataFrame([(4, 3, None, "larch.example", "web", {"size": None, "ceo": "R."}, ["s2", "s1"], True, True),
+                                (4, 4, None, "larch.example.", None, None, None, False, None)], schema)
     r2 = upsert_companies(r1.drop("_status", "_n_new"), b2, NOW)
     c = company_counters(r2).collect()[0]
-    assert (c["updated"], c["total"]) == (1, 2)
-    acme = r2.where("company_domain_normalized = 'acme.com'").collect()[0]
-    assert acme["intel"]["funding_stage"] == "Series B" and acme["company_name"] == "Acme"
-    assert acme["company_domain"] == "https://www.acme.com/x"  # D14: first raw domain kept
+    assert (c["inserted"], c["updated"], c["total"]) == (0, 2, 3)
+    larch = r2.where("company_domain_normalized = 'larch.example'").collect()[0]
+    assert larch["intel"] == {"size": None, "hq": "Oslo", "ceo": "R."} and larch["company_name"] == "Larch & Co"
+    assert larch["company_domain"] == "http://WWW.larch.example/team?x"  # D14: first raw domain kept
+    assert larch["sources"] == ["s1", "s2"] and larch["verified"] and larch["enriched"] and larch["source"] == "web"
 
 
 def test_same_domain_folds_and_verified_or(spark):
@@ -143,24 +163,36 @@ def test_leads(spark):
 # --- §6 company CSV ---------------------------------------------------------------
 
 def test_company_csv(spark, tmp_path):
-    p = tmp_path / "c.csv"
-    p.write_text("﻿company,website,segment\nAcme,acme.com,A\nGlobex,https://globex.io/,B\n,,skip\n",
-                 encoding="utf-8")
-    comp, skipped = read_companies_csv(spark, str(p))
-    rows = sorted(comp.collect(), key=lambda r: r["company_name"])
-    assert len(rows) == 2 and skipped.collect()[0]["skipped"] == 1
-    assert [r["extras"]["segment"] for r in rows] == ["A", "B"]
-    assert rows[0]["company_domain"] == "acme.com"
+    """Each file has its own header; a doubled header gives its first non-blank cell."""
+    (tmp_path / "a.csv").write_text("\ufeffAccount;ignored\n".replace(";", ",") + "Larch,x\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Site,Tier, NAME ,tier\nbirch.example,,Birch,gold\n , , ,bronze\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text('name,site\n"Oak\n& Sons","oak.example"\n', encoding="utf-8")
+    comp, skipped = read_companies_csv(spark, str(tmp_path))
+    rows = {r["company_name"]: r for r in comp.collect()}
+    assert set(rows) == {"Larch", "Birch", "Oak\n& Sons"}
+    assert [r["skipped"] for r in skipped.collect()] == [1]
+    assert rows["Birch"]["company_domain"] == "birch.example" and rows["Birch"]["extras"] == {"tier": "gold"}
+    assert rows["Larch"]["company_domain"] is None and rows["Larch"]["extras"] == {"ignored": "x"}
+    with pytest.raises(Exception, match="max_columns"):
+        read_companies_csv(spark, str(tmp_path / "b.csv"), max_columns=3)[0].collect()
+
+
+def test_broken_json_line_raises(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").count() == 2
+    (tmp_path / "y.jsonl").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception):
+        read_jsonl(spark, str(tmp_path / "y.jsonl"), "a int").collect()
 
 
 # --- §7 CRM check -----------------------------------------------------------------
 
 def test_crm_check(spark):
-    vals = spark.createDataFrame([(" Acme.com",), ("globex.io",), ("acme.com",)], "value string")
-    crm = spark.createDataFrame([("acme.com", "1", "Acme", 1), ("acme.com", "2", "Dup", 2)],
+    vals = spark.createDataFrame([("oak.example ",), ("Larch.Example",), ("larch.example",), ("OAK.example",)], "value string")
+    crm = spark.createDataFrame([("larch.example", "88", "Later", 9), ("larch.example", "17", "Larch", 3)],
                                 "key string, id string, name string, ord bigint")
     out = {r["value"]: r for r in crm_dedupe(vals, crm).collect()}
-    assert len(out) == 2 and out["acme.com"]["id"] == "1" and not out["globex.io"]["exists"]
+    assert len(out) == 2 and out["larch.example"]["id"] == "17" and not out["oak.example"]["exists"]
 
 
 # --- §10 edge cases -----------------------------------------------------------------
@@ -220,7 +252,7 @@ def test_j3_case_order(spark):
 
 
 def test_t1_keeps_first_timestamp_and_allows_backwards(spark):
-    c = upsert_contacts(None, _fixture1(spark), NOW).drop("_inserted")
+    c = upsert_contacts(None, _small_list(spark), NOW).drop("_inserted")
     u = spark.createDataFrame([(1, 1, "qualified")], "list_id bigint, id bigint, stage string")
     a1 = advance_stage(c, u, "2025-01-02 00:00:00").drop("_updated")
     a2 = advance_stage(a1, u, "2025-01-03 00:00:00").drop("_updated")
@@ -231,7 +263,7 @@ def test_t1_keeps_first_timestamp_and_allows_backwards(spark):
 
 
 def test_t1_invalid_stage_raises(spark):
-    c = upsert_contacts(None, _fixture1(spark), NOW).drop("_inserted")
+    c = upsert_contacts(None, _small_list(spark), NOW).drop("_inserted")
     u = spark.createDataFrame([(1, 1, "bogus")], "list_id bigint, id bigint, stage string")
     with pytest.raises(Exception):
         advance_stage(c, u, NOW).collect()
@@ -252,7 +284,7 @@ def test_o1_order(spark):
 
 def test_a1_empty_list_zeros(spark):
     lists = create_lists(None, spark.createDataFrame([(1,), (2,)], "ord bigint"), NOW)
-    c = upsert_contacts(None, _fixture1(spark), NOW)
+    c = upsert_contacts(None, _small_list(spark), NOW)
     rows = {r["list_id"]: r for r in list_summary(lists, c).collect()}
     assert rows[2]["total_contacts"] == 0 and rows[1]["total_contacts"] == 4
 
@@ -297,9 +329,9 @@ def test_d23_whole_word(spark):
 
 
 def test_d6_url_change_collision(spark):
-    c = upsert_contacts(None, _fixture1(spark), NOW).drop("_inserted")
-    # id 3 takes Jane's URL (collision → keeps its old URL); id 4 gets a fresh URL.
-    u = spark.createDataFrame([(1, 3, "sourced", "https://LinkedIn.com/in/jane/"),
+    c = upsert_contacts(None, _small_list(spark), NOW).drop("_inserted")
+    # id 3 takes Ravi's URL (collision → keeps its old URL); id 4 gets a fresh URL.
+    u = spark.createDataFrame([(1, 3, "sourced", "https://LinkedIn.com/in/ravi/"),
                                (1, 4, "sourced", "https://linkedin.com/in/new")],
                               "list_id bigint, id bigint, stage string, linkedin_url string")
     out = {r["id"]: r for r in advance_stage(c, u, NOW).collect()}
@@ -315,7 +347,7 @@ def test_d1_empty_key_is_a_key(spark):
 
 
 def test_d8_null_stage_becomes_sourced(spark):
-    out = upsert_contacts(None, _fixture1(spark), NOW).collect()
+    out = upsert_contacts(None, _small_list(spark), NOW).collect()
     assert {r["stage"] for r in out} == {"sourced"}
 
 
@@ -344,7 +376,7 @@ def test_stream_upsert_replay_is_idempotent(spark, tmp_path):
     from rosterline.streaming.streams import latest_snapshot, upsert_batch_fn
     path = str(tmp_path / "snap")
     fn = upsert_batch_fn(spark, path, NOW)
-    batch = _fixture1(spark)
+    batch = _small_list(spark)
     fn(batch, 0)
     fn(batch, 0)                      # replay of batch 0: skipped
     assert latest_snapshot(spark, path).count() == 4
@@ -355,12 +387,12 @@ def test_stream_upsert_replay_is_idempotent(spark, tmp_path):
 def test_sql_surface(spark):
     from rosterline.operators.match import rollup_master
     from rosterline.plans.sql_surface import register_sql_surface
-    c = upsert_contacts(None, _fixture1(spark), NOW).drop("_inserted")
+    c = upsert_contacts(None, _small_list(spark), NOW).drop("_inserted")
     for col_ in ["last_name", "full_name", "title", "seniority", "company_name", "country", "location", "email",
                  "phone", "phone_type", "source", "matched_persona"]:
         if col_ not in c.columns:
             c = c.withColumn(col_, F.lit(None).cast("string"))
-    touches = spark.createDataFrame([("https://linkedin.com/in/jane/", "bounced", dt.datetime(2024, 1, 1), 1, "Jane",
+    touches = spark.createDataFrame([("https://linkedin.com/in/ravi/", "bounced", dt.datetime(2024, 1, 1), 1, "Ravi",
                                       None, None)],
                                     "linkedin_url string, status string, ts timestamp_ntz, campaign_id bigint, "
                                     "first_name string, last_name string, company_name string")
@@ -368,8 +400,8 @@ def test_sql_surface(spark):
     register_sql_surface(spark, c, lists, rollup_master(touches), prefix="rl_t")
     assert spark.sql("SELECT * FROM pipeline_export(1, 'sourced')").count() == 4
     got = {r["input_url"]: r["status"] for r in
-           spark.sql("SELECT * FROM check_linkedin_urls(array('https://linkedin.com/in/jane', 'x'))").collect()}
-    assert got == {"https://linkedin.com/in/jane": "bounced", "x": "new"}
+           spark.sql("SELECT * FROM check_linkedin_urls(array('https://linkedin.com/in/ravi', 'x'))").collect()}
+    assert got == {"https://linkedin.com/in/ravi": "bounced", "x": "new"}
     assert spark.sql("SELECT total_contacts FROM pipeline_list_summary").collect()[0][0] == 4
     with pytest.raises(Exception):
         spark.sql("SELECT * FROM pipeline_export(1, 'bogus')").collect()
@@ -396,7 +428,7 @@ def test_d17_summary_order(spark):
                                    (3, "c", None, "u", "active", dt.datetime(2024, 2, 1))],
                                   "list_id bigint, list_name string, description string, created_by string, "
                                   "status string, created_at timestamp_ntz")
-    c = upsert_contacts(None, _fixture1(spark), NOW)
+    c = upsert_contacts(None, _small_list(spark), NOW)
     assert [r["list_id"] for r in list_summary(lists, c).collect()] == [2, 3, 1]
 
 
@@ -404,7 +436,7 @@ def test_bucketed_snapshots_join_without_shuffle(spark, tmp_path):
     from rosterline.sources.files import write_bucketed_snapshot
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        c = upsert_contacts(None, _fixture1(spark), NOW).drop("_inserted")
+        c = upsert_contacts(None, _small_list(spark), NOW).drop("_inserted")
         keys = ["list_id", "linkedin_url_normalized"]
         a = write_bucketed_snapshot(c, "rl_bucket_a", str(tmp_path / "a"), keys, 8)
         b = write_bucketed_snapshot(c.select(*keys), "rl_bucket_b", str(tmp_path / "b"), keys, 8)
@@ -495,3 +527,74 @@ def test_priced_estimate_and_funding_segment(spark):
     seg = {r["ord"]: r["company_segment"] for r in
            score_company(df, a_region="DACH", a_funding=["Series B", "Series C", "Series D"]).collect()}
     assert seg == {1: "A", 2: "C", 3: "B"}
+
+
+# --- ties, NULLs and repeated rows -----------------------------------------------------
+
+def test_best_contact_prefers_scored_and_keeps_null_companies(spark):
+    from rosterline.operators.waterfall import best_contact
+    df = spark.createDataFrame([(1, None, 0, "c"), (2, 9, 1, "c"), (3, 9, 2, "c"), (4, None, 3, None), (5, 1, 4, None)],
+                               "id bigint, score int, ord bigint, company string")
+    assert sorted(r["id"] for r in best_contact(df, "score", ["company"]).collect()) == [2, 5]
+
+
+def test_contacts_without_identity_are_never_merged(spark):
+    from rosterline.operators.dedupe import dedupe_contacts
+    rows = [(0, None, None, None, None, None, {"p": "1"}), (1, None, None, None, None, None, {"p": "2"}),
+            (2, "a", "b", None, "x", None, {"p": "3"}), (3, "a", None, "b", "x", None, {"p": "4"}),
+            (4, "a", "b", None, "x", None, {"q": "5"})]
+    df = spark.createDataFrame(rows, "ord bigint, first_name string, last_name string, company_name string, title string, "
+                                     "linkedin_url string, provider_ids map<string,string>")
+    out = {r["ord"]: r for r in dedupe_contacts(df, ["first_name", "last_name", "company_name", "title"]).collect()}
+    assert sorted(out) == [0, 1, 2, 3] and out[2]["provider_ids"] == {"p": "3", "q": "5"}
+
+
+def test_accepted_answer_without_address_goes_on(spark):
+    a = spark.createDataFrame([(1, "p1", 1, 0, "ok", None, "accept"), (1, "p2", 2, 1, "ok", "a@x.example", "accept")],
+                              "contact_id bigint, provider string, rank int, ord bigint, raw_status string, email string, verdict string")
+    r = email_waterfall(spark.createDataFrame([(1,)], "contact_id bigint"), a).collect()[0]
+    assert (r["email"], r["email_source"]) == ("a@x.example", "p2")
+
+
+def test_validations_reduce_before_the_join(spark):
+    from rosterline.operators.waterfall import reverify
+    a = spark.createDataFrame([("a@x.example", "reverify")], "email string, verdict string")
+    v = spark.createDataFrame([("a@x.example", "invalid"), ("a@x.example", "valid")], "email string, status string")
+    assert [r["verdict"] for r in reverify(a, v).collect()] == ["reverified"]
+
+
+def test_unranked_provider_is_last(spark):
+    from rosterline.operators.waterfall import union_search
+    f = [spark.createDataFrame([("u", p, i)], "linkedin_url_normalized string, source string, ord bigint")
+         for i, p in enumerate(["stray", "ranked"])]
+    wf = spark.createDataFrame([("ranked", 1)], "provider string, rank int")
+    assert {r["source"]: r["net_new"] for r in union_search(f, wf).collect()} == {"ranked": True, "stray": False}
+
+
+def test_null_groups_get_ids(spark):
+    from rosterline.operators.upsert import assign_ids
+    df = spark.createDataFrame([(None, 3), (None, 1), (5, 2)], "list_id bigint, ord bigint")
+    assert sorted((r["ord"], r["id"]) for r in assign_ids(df, ["ord"]).collect()) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_unknown_price_blocks(spark):
+    from rosterline.operators.waterfall import gate, priced_estimate
+    counts = spark.createDataFrame([("p", "x", 10), ("q", "x", 10)], "provider string, capability string, billable bigint")
+    prices = spark.createDataFrame([("p", "x", 1.0, "found")], "provider string, capability string, credits double, charged_on string")
+    out = {r["provider"]: r for r in gate(priced_estimate(counts, prices), contacts_col="billable", credits_col="credits_estimate").collect()}
+    assert out["p"]["decision"] == "proceed" and out["q"]["decision"] == "blocked" and out["q"]["unknown_price"]
+
+
+def test_scratch_folder_is_for_local_masters_only(monkeypatch):
+    from rosterline import session
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return d
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://x:7077"})()
+
+    with pytest.raises(ValueError, match="share"):
+        session.checkpoint_dir(Fake())

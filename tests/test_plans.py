@@ -15,11 +15,35 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_first_per_key_is_partial_aggregation_not_window(spark):
-    h = C.hits(spark, SF).select("list_id", "linkedin_url", "ord")
+def test_winners_are_narrow_hash_aggregations(spark):
+    h = C.hits(spark, SF)
     p = plan(first_per_key(h, ["list_id", "linkedin_url"], "ord"))
-    assert "Window" not in p
-    assert "partial_min_by" in p          # map-side combine before the shuffle
+    assert "Window" not in p and "SortAggregate" not in p
+    assert "partial_min(ord" in p         # keys and one bigint, combined map-side before the shuffle
+    assert p.count("FileScan") == 2       # the rows and the narrow keys; no separate NULL-key branch
+    assert "SortAggregate" not in plan(C.q_a2(spark, SF))
+
+
+def test_plans_that_really_run(spark):
+    """Upserts materialise on the way: every plan that ran is checked, not the scan of the last file."""
+    jvm = spark._jvm
+    seen = []
+
+    def scan_all(name):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+        C.REGISTRY[name][0](spark, SF).write.format("noop").mode("overwrite").save()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store = spark._jsparkSession.sharedState().statusStore()
+        for i in range(before, store.executionsCount()):
+            ran = store.executionsList(i, 1)
+            seen.append(ran.apply(0).physicalPlanDescription())
+
+    for name in ("j1_upsert_contacts", "o1_export"):
+        scan_all(name)
+    assert len(seen) > 4 and jvm is not None
+    for p in seen:
+        assert not [b for b in BAD if b in p]
 
 
 def test_fresh_pushes_filter_and_prunes_columns(spark):
