@@ -38,16 +38,15 @@ def export(contacts: DataFrame, stage: str = "sourced", list_id=None,
            with_position: bool = True) -> DataFrame:
     """O1 / V2: 16 export columns in export order, per list.
 
-    ``export_pos`` (1-based, per list) makes the order checkable without a
-    driver-side sort; the frame itself is also globally sorted.
+    ``export_pos`` (1-based, per list) is the order; the rows are not sorted a second time by it
+    (``write_export_csv`` writes each file in this order).  Without positions the frame is sorted.
     """
     df = min_stage(contacts, stage)
     if list_id is not None:
         df = df.where(F.col("list_id") == F.lit(list_id))
     if with_position:
         df = assign_ids(df, EXPORT_ORDER(), "list_id", id_col="export_pos")
-        return (df.select("list_id", "export_pos", *EXPORT_COLUMNS)
-                .orderBy("list_id", "export_pos"))
+        return df.select("list_id", "export_pos", *EXPORT_COLUMNS)
     return df.orderBy("list_id", *EXPORT_ORDER()).select("list_id", *EXPORT_COLUMNS)
 
 

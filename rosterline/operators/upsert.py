@@ -8,7 +8,9 @@ Scale notes
 * Sequential ids (W2) never put a whole list into one task: rows are
   range-partitioned by (list, order), each partition counts its rows per list,
   and the (partition, list) offsets — at most partitions + lists rows — give
-  every row ``base + offset + local rank``.
+  every row ``base + offset + local rank``.  Where the order is the input position
+  (J1, J2, T4), blocks of positions take the place of range partitions: no sampling,
+  no write, no job while the plan is built.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from rosterline.schema import (ADVANCE_COLS, CONTACT_SCHEMA, COMPANY_SCHEMA, STA
                                STAGES, conform)
 
 __all__ = [
-    "first_per_key", "assign_ids", "upsert_contacts", "upsert_counters", "upsert_companies",
+    "first_per_key", "assign_ids", "assign_ids_by_position", "keep_rows", "own_if_null", "upsert_contacts", "upsert_counters", "upsert_companies",
     "company_counters", "advance_stage", "create_lists", "not_found", "by_provider_id",
 ]
 
@@ -101,10 +103,34 @@ def assign_ids(df: DataFrame, order: list, partition_col: str | None = "list_id"
     return out
 
 
+def assign_ids_by_position(df: DataFrame, pos: str, partition_col: str | None = "list_id",
+                           base: DataFrame | None = None, id_col: str = "id", block: int = 100_000) -> DataFrame:
+    """W2 for an order that is one integer position, unique within a group: nothing is sampled or written.
+
+    Positions fall into blocks of ``block``, so a (group, block) has at most that many rows however
+    large the group is.  A row's id is its rank in its block plus the rows of earlier blocks plus the
+    base.  Ids depend on the values alone, so a recomputed task gives the same ones.
+    """
+    grp = partition_col or "_grp"
+    src = (df if partition_col else df.withColumn("_grp", F.lit(0))).withColumn("_blk", F.floor(F.col(pos) / block))
+    before = Window.partitionBy("_og").orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (src.groupBy(F.col(grp).alias("_og"), F.col("_blk").alias("_ob")).agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    if base is not None:
+        offs = offs.join(base.select(F.col(base.columns[0]).alias("_bg"), F.col(base.columns[1]).alias("_base")),
+                         F.col("_og").eqNullSafe(F.col("_bg")), "left")
+    else:
+        offs = offs.withColumn("_base", F.lit(0))
+    offs = offs.select("_og", "_ob", (F.coalesce("_base", F.lit(0)) + F.col("_off")).alias("_k"))
+    rank = F.row_number().over(Window.partitionBy(grp, "_blk").orderBy(pos))
+    out = (src.withColumn("_r", rank).join(offs, F.col(grp).eqNullSafe(F.col("_og")) & F.col("_blk").eqNullSafe(F.col("_ob")))
+           .withColumn(id_col, (F.col("_k") + F.col("_r")).cast("bigint")).drop("_k", "_r", "_og", "_ob", "_blk"))
+    return out if partition_col else out.drop("_grp")
+
+
 # --- J1 / A5 ----------------------------------------------------------------
 
-def upsert_contacts(existing: DataFrame | None, incoming: DataFrame, now,
-                    num_partitions: int | None = None) -> DataFrame:
+def upsert_contacts(existing: DataFrame | None, incoming: DataFrame, now) -> DataFrame:
     """Insert-if-absent per (list_id, normalized LinkedIn URL).
 
     ``incoming`` needs ``list_id``, ``ord`` (input position) and ``linkedin_url``.
@@ -125,7 +151,7 @@ def upsert_contacts(existing: DataFrame | None, incoming: DataFrame, now,
         base = ex.groupBy("list_id").agg(F.max("id").alias("base"))
     else:
         ex, fresh, base = None, firsts, None
-    ins = assign_ids(fresh.drop("id"), ["ord"], "list_id", base, num_partitions=num_partitions)
+    ins = assign_ids_by_position(fresh.drop("id"), "ord", "list_id", base)
     ins = (ins.withColumn("stage", F.coalesce("stage", F.lit("sourced")))
            .withColumn("sourced_at", F.coalesce("sourced_at", now))
            .withColumn("created_at", F.coalesce("created_at", now))
@@ -228,7 +254,7 @@ def upsert_companies(existing: DataFrame | None, incoming: DataFrame, now) -> Da
                    .withColumn("created_at", F.coalesce("created_at", now)).withColumn("updated_at", now))
     new_rows = merged.where(F.col("_status") == "inserted").unionByName(nullkey_new, allowMissingColumns=True)
     base = ex.groupBy("list_id").agg(F.max("id").alias("base")) if ex is not None else None
-    new_rows = assign_ids(new_rows.drop("id"), ["_first_new"], "list_id", base)
+    new_rows = assign_ids_by_position(new_rows.drop("id"), "_first_new", "list_id", base)
     old_rows = merged.where(F.col("_status") != "inserted")
     out_cols = names + ["_status", "_n_new"]
     parts = [old_rows.select(*out_cols), new_rows.select(*out_cols)]
@@ -330,7 +356,7 @@ def create_lists(lists: DataFrame | None, new: DataFrame, now) -> DataFrame:
     base = None
     if lists is not None:
         base = lists.agg(F.max("list_id").alias("base")).select(F.lit(0).alias("_g"), "base")
-    fresh = assign_ids(new, ["ord"], None, base, id_col="list_id")
+    fresh = assign_ids_by_position(new, "ord", None, base, id_col="list_id")
     for c, t in (("list_name", "string"), ("description", "string"), ("search_criteria", "string"),
                  ("created_by", "string")):
         if c not in fresh.columns:

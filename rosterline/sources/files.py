@@ -79,6 +79,9 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
 def write_export_csv(df: DataFrame, path: str, partition_col: str | None = "list_id") -> None:
     """The 16 export columns in order, header row, NULL → empty cell, RFC-4180 quoting."""
     cols = ([partition_col] if partition_col else []) + EXPORT_COLUMNS
+    if "export_pos" in df.columns:      # files of position ranges, each in order
+        order = ([partition_col] if partition_col else []) + ["export_pos"]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     w = (df.select(*cols).write.mode("overwrite").option("header", "true")
          .option("emptyValue", "").option("nullValue", "").option("escape", '"')
          .option("quoteAll", "false"))
