@@ -371,13 +371,13 @@ import os as _os  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
 from rosterline.schema import COMPANY_SCHEMA, EXPORT_COLUMNS  # noqa: E402
-from rosterline.session import checkpoint_dir  # noqa: E402
+from rosterline.session import scratch_dir  # noqa: E402
 from rosterline.sources.files import (read_companies_csv, read_export_csv, read_jsonl, read_snapshot,  # noqa: E402
                                       to_json_rows, write_export_csv, write_snapshot)
 
 
 def _scratch(spark, tag):
-    return _os.path.join(checkpoint_dir(spark), "rosterline", f"{tag}-{_uuid.uuid4().hex}")
+    return _os.path.join(scratch_dir(spark), f"{tag}-{_uuid.uuid4().hex}")
 
 
 S1_SRC = f"""v AS ({duck(V_COMPANIES)}),

@@ -75,6 +75,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, under the shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), "rosterline", spark.sparkContext.applicationId)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; call it when no frame that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -82,7 +93,7 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     upstream plan) and lets later branches prune columns on the written copy.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "rosterline", f"{tag}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_dir(spark), f"{tag}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
 

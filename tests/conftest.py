@@ -22,3 +22,5 @@ def spark():
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", ckpt)
     yield s
+    from rosterline.session import clean_scratch
+    clean_scratch(s)
