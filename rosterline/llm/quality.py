@@ -184,7 +184,9 @@ def rate(docs: DataFrame, labels: DataFrame, order: int = 5, share: float = 5e-7
             .agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_good"))
             .where("_good").select("_id"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("_text"))
-    model = fit(source.select("doc_id", "_text").join(good, F.col("doc_id") == F.col("_id"), "left_semi"), order, share)
+    # The texts are shuffled once to meet their labels, by the same plan at every size.
+    trusted_text = source.select("doc_id", "_text").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    model = fit(trusted_text, order, share)
     scored = materialize(perplexities(source, model, ["doc_id", "lang"], "_text"), "perplexities")
     trusted = scored.join(good, F.col("doc_id") == F.col("_id"), "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
