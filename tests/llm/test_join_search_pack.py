@@ -220,6 +220,22 @@ def test_trie_sums_to_one_and_matches_the_formula():
             assert np.allclose(p, [kept.get(w, 0) + rest * low[w] for w in range(k)], atol=1e-6)
 
 
+def test_tokens_of_slices():
+    """Slices of a batch give the tokens of the whole batch."""
+    import pyarrow as pa
+    import xxhash
+
+    texts = [words(30, i, 60) + " Çà été\u3000x" for i in range(40)] + [None, "", " \t a"]
+    b = pa.RecordBatch.from_pydict({"_text": texts})
+    got = []
+    for part in lm.parts_of(b, 500):
+        hashes, code, doc = lm.tokens_of(part.column("_text"))
+        got += [hashes[code[doc == i]].tolist() for i in range(part.num_rows)]
+    want = [[xxhash.xxh3_64_intdigest(w) for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(
+        {j: j + 32 for j in range(65, 91)})) + [""]] for t in texts]
+    assert [[x % 2**64 for x in g] for g in got] == want
+
+
 @pytest.mark.parametrize("order,word_share", [(2, 5e-7), (3, 0.002)])
 def test_scores(spark, order, word_share):
     rows = [(i, words(40, i % 37, 60) + (" X Ünï\x1cß" if i % 5 == 0 else "")) for i in range(200)] + [(r[0], r[1]) for r in edge_rows()]
