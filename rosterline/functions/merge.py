@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["merge_intel", "merge_sources", "discovery_reason", "waterfall_log_agg"]
+__all__ = ["merge_intel", "merge_sources", "discovery_reason"]
 
 
 def _c(x) -> Column:
@@ -33,9 +33,3 @@ def merge_sources(left, right) -> Column:
 def discovery_reason(seed, similarity) -> Column:
     """N22: 'lookalike of {seed} (similarity {score})'."""
     return F.format_string("lookalike of %s (similarity %s)", _c(seed), _c(similarity).cast("string"))
-
-
-def waterfall_log_agg(rank, step, sep: str = "→") -> Column:
-    """N23 (aggregate): steps joined in rank order, e.g. 'apollo:guessed→fullenrich:deliverable'."""
-    ordered = F.array_sort(F.collect_list(F.struct(_c(rank).alias("r"), _c(step).alias("s"))))
-    return F.array_join(F.transform(ordered, lambda x: x["s"]), sep)

@@ -14,8 +14,7 @@ __all__ = [
     "PHONE_TYPE_MAP", "SENIORITY_IDS", "APOLLO_SENIORITIES", "DROPLEADS_SENIORITIES", "REGIONS", "WATERFALLS", "STATUS_SEMANTICS",
     "PRICES", "LEAD_MAPS", "BATCH_SIZES", "SPEND_GATE", "RUN_CEILINGS", "DIAL_PREFIXES", "COUNTRY_ISO2", "PHONE_TYPE_RANK",
     "map_phone_type", "normalize_email_status", "map_seniority", "phone_country",
-    "regions_df", "waterfall_df", "status_semantics_df", "prices_df", "lead_map_df",
-    "dial_prefix_df", "literal_map",
+    "waterfall_df", "status_semantics_df", "prices_df", "literal_map",
 ]
 
 # ---------------------------------------------------------------------------
@@ -226,11 +225,6 @@ def phone_country(phone, country=None, max_prefix_len: int = 4) -> Column:
 
 # --- dimension tables -------------------------------------------------------
 
-def regions_df(spark: SparkSession) -> DataFrame:
-    rows = [(r, c, i) for r, cs in REGIONS.items() for i, c in enumerate(cs)]
-    return spark.createDataFrame(rows, "region string, country string, pos int")
-
-
 def waterfall_df(spark: SparkSession, waterfalls: dict | None = None) -> DataFrame:
     wf = waterfalls or WATERFALLS
     rows = [(cap, i + 1, p) for cap, ps in wf.items() for i, p in enumerate(ps)]
@@ -245,12 +239,3 @@ def status_semantics_df(spark: SparkSession) -> DataFrame:
 def prices_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRICES, "provider string, capability string, unit string, "
                                          "credits double, charged_on string")
-
-
-def lead_map_df(spark: SparkSession) -> DataFrame:
-    rows = [(s, c, t) for s, m in LEAD_MAPS.items() for c, t in m.items()]
-    return spark.createDataFrame(rows, "sequencer string, canonical string, target string")
-
-
-def dial_prefix_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(DIAL_PREFIXES.items()), "prefix string, iso2 string")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.functions.merge import waterfall_log_agg
 from rosterline.functions.normalize import full_name, is_member_id, is_vanity, strip_ws
 from rosterline.operators.upsert import keep_rows
 from rosterline.functions.vocab import (APIFY_PER_PROFILE, APIFY_RUN_FEE, PHONE_TYPE_RANK, RUN_CEILINGS,
@@ -82,26 +81,25 @@ def email_waterfall(contacts: DataFrame, answers: DataFrame, key: str = "contact
     # An accepted status without an address does not stop the waterfall.
     a = answers.withColumn("_ok", F.col("verdict").isin(*_ACCEPTED) & ~_blank("email")) \
         .withColumn("_rk", F.struct("rank", "ord"))
-    win = (a.where("_ok").groupBy(key)
-           .agg(F.min_by(F.struct("email", "provider", "verdict", "_rk"), "_rk").alias("_w")))
-    steps = a.join(win, key, "left").where(F.col("_w").isNull() | (F.col("_rk") <= F.col("_w._rk")))
-    logs = steps.groupBy(key).agg(
-        waterfall_log_agg(F.col("_rk"), F.concat_ws(":", "provider", F.coalesce("raw_status", F.lit("null"))))
-        .alias("_log"))
-    label = literal_map(_LABEL)
-    out = contacts.join(win, key, "left").join(logs, key, "left")
-    # Bonus data: resolved URL / full last name from any answer, winner or not.
+    # One aggregation per contact: winner, bonus data (from any answer, winner or not) and the steps,
+    # which are the log's own content (a few per provider).
+    step = F.concat_ws(":", "provider", F.coalesce("raw_status", F.lit("null")))
     bonus = [c for c in ("resolved_linkedin_url", "resolved_last_name") if c in answers.columns]
-    if bonus:
-        b = a.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_rk"))).alias(c) for c in bonus])
-        out = out.join(b, key, "left")
+    per = a.groupBy(key).agg(
+        F.min(F.when(F.col("_ok"), F.struct("_rk", "email", "provider", "verdict"))).alias("_w"),
+        F.array_sort(F.collect_list(F.struct("_rk", step.alias("_s")))).alias("_steps"),
+        *[F.min(F.when(F.col(c).isNotNull(), F.struct("_rk", c)))[c].alias(c) for c in bonus])
+    out = contacts.join(per, key, "left")
+    upto = F.filter("_steps", lambda x: F.col("_w").isNull() | (x["_rk"] <= F.col("_w._rk")))
+    log = F.nullif(F.array_join(F.transform(upto, lambda x: x["_s"]), "→"), F.lit(""))
+    label = literal_map(_LABEL)
     found = F.col("_w").isNotNull()
     return out.select(
         *contacts.columns, *bonus,
         F.col("_w.email").alias("email"),
         F.when(found, F.col("_w.provider")).otherwise("not_found").alias("email_source"),
         F.when(found, F.try_element_at(label, F.col("_w.verdict"))).otherwise("not_found").alias("email_validation"),
-        F.concat_ws("→", F.col("_log"), F.when(found, F.lit("accepted")).otherwise(F.lit("not_found")))
+        F.concat_ws("→", log, F.when(found, F.lit("accepted")).otherwise(F.lit("not_found")))
         .alias("email_waterfall_log"))
 
 

@@ -1133,7 +1133,7 @@ def q_w4(spark, d):
 SELECT list_id, id, CAST((row_number() OVER (PARTITION BY list_id ORDER BY ord) - 1) // 100 AS BIGINT) AS batch_no,
   CAST((row_number() OVER (PARTITION BY list_id ORDER BY ord) - 1) % 100 AS BIGINT) AS batch_pos FROM contacts""")
 def q_w5(spark, d):
-    return assign_batches(contacts(spark, d), 100).select("list_id", "id", "batch_no", "batch_pos")
+    return assign_batches(contacts(spark, d), BATCH_SIZES["fullenrich"]).select("list_id", "id", "batch_no", "batch_pos")
 
 
 @register("w6_assign_senders", f"""WITH {CONTACTS_CTE},
@@ -1839,7 +1839,7 @@ def q_n12b(spark, d):
 # Prices, ceilings and cost (A6, A7, A8); pages and maps (S6); all sequencers (F8); dropped counts (F7, A11);
 # the URL check as SQL (V3); validators
 # ---------------------------------------------------------------------------
-from rosterline.functions.vocab import PRICES, RUN_CEILINGS, STATUS_SEMANTICS  # noqa: E402
+from rosterline.functions.vocab import BATCH_SIZES, PRICES, RUN_CEILINGS, STATUS_SEMANTICS  # noqa: E402
 from rosterline.operators.activate import usable_lead_counts  # noqa: E402
 from rosterline.operators.waterfall import priced_estimate  # noqa: E402
 from rosterline.sources.files import to_json_map, to_json_pages  # noqa: E402
