@@ -260,7 +260,7 @@ def marginals(score: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> np.nda
     return post / (post @ np.ones((langs, 1), np.float32))
 
 
-def label_words(model: dict, texts: list[str], chars: int = 8_000_000):
+def label_words(model: dict, texts: list[str], chars: int = 3_000_000):
     """(slice of texts, words per text, distinct words, code of each word, marginals), for about ``chars`` characters at once."""
     for part in runs_of([len(t) for t in texts], chars):
         words = [WORD.findall(t.lower()) if any(map(str.isalpha, t)) else [] for t in texts[part]]
@@ -271,8 +271,8 @@ def label_words(model: dict, texts: list[str], chars: int = 8_000_000):
         coded = pa.array([w for doc in words for w in doc], pa.large_string()).dictionary_encode()
         del words
         distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        score = np.concatenate([word_scores(model["w"], distinct[i:i + 100_000], model["lexicon"])
-                                for i in range(0, len(distinct), 100_000)])
+        score = np.concatenate([word_scores(model["w"], distinct[i:i + 30_000], model["lexicon"])
+                                for i in range(0, len(distinct), 30_000)])
         yield part, sizes, distinct, code, marginals(score[code], model["trans"], sizes[sizes > 0])
 
 
