@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import crc_bucket, map_arrow, materialize, mix64
+from rosterline.llm.common import crc_bucket, map_arrow, materialize, mix64, runs_of
 from rosterline.llm.eliasfano import Trie, mapped, to_bytes
 
 __all__ = ["tokens_of", "score_texts", "fit"]
@@ -63,15 +63,24 @@ def tokens_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.insert(code, ends, len(words)), np.insert(doc, ends, np.arange(n))
 
 
+def parts_of(b: pa.RecordBatch, size: int = 6_000_000):
+    """Slices of a batch with about ``size`` bytes of text each, which bounds a worker's memory."""
+    lengths = pc.binary_length(b.column("_text")).fill_null(0).to_pylist()
+    for part in runs_of(lengths, size):
+        # Copied: the split kernel misreads sliced strings.
+        yield b.take(pa.array(np.arange(part.start, part.stop)))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c, a): training count and count over all texts of each word."""
 
-    def run(b: pa.RecordBatch):
-        hashes, code, doc = tokens_of(b.column("_text"))
-        train = np.asarray(b.column("_train"))[doc]
-        a = np.bincount(code, minlength=len(hashes))
-        seen = a > 0
-        yield {"h": hashes[seen], "c": np.bincount(code[train], minlength=len(hashes))[seen], "a": a[seen]}
+    def run(batch: pa.RecordBatch):
+        for b in parts_of(batch):
+            hashes, code, doc = tokens_of(b.column("_text"))
+            train = np.asarray(b.column("_train"))[doc]
+            a = np.bincount(code, minlength=len(hashes))
+            seen = a > 0
+            yield {"h": hashes[seen], "c": np.bincount(code[train], minlength=len(hashes))[seen], "a": a[seen]}
 
     rows = map_arrow(docs, ["_text", "_train"], run, "h bigint, c bigint, a bigint")
     return materialize(rows.groupBy("h").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "word-counts")
@@ -99,7 +108,11 @@ def gram_counts(docs: DataFrame, known, end: int, order: int, tokens: int, share
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 4_000_000))
 
-    def blocks(b: pa.RecordBatch):
+    def blocks(batch: pa.RecordBatch):
+        for b in parts_of(batch):
+            yield from blocks_of(b)
+
+    def blocks_of(b: pa.RecordBatch):
         hashes, code, doc = tokens_of(b.column("_text"))
         cls = classes_of(hashes, known.value)[code]
         past = histories(cls, doc, end, order)
@@ -210,7 +223,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     end = model["end"]
     state: dict = {}
 
-    def run(b: pa.RecordBatch):
+    def run(batch: pa.RecordBatch):
+        for b in parts_of(batch):
+            yield from scored(b)
+
+    def scored(b: pa.RecordBatch):
         ctx = TaskContext.get()
         task = (ctx.stageId(), ctx.partitionId(), ctx.taskAttemptId())
         first = state.get(task, 0)
