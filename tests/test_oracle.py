@@ -1,6 +1,8 @@
 """Every registered query against its DuckDB oracle on sf0.001 (the driver's
 check runs the same comparison at sf0.01)."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -8,6 +10,8 @@ from tests.oracle_harness import compare, duck_conn
 
 SF = "/root/testdata/sf0.001"
 ORACLES = oracle_sql()
+# The numbered corpus queries, where there are any, have tests of their own.
+NAMES = sorted(n for n in queries() if not re.match(r"op\d+_|pipeline$", n))
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +24,7 @@ def test_entry(spark):
     assert df.count() >= 0 and "export_pos" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     df = queries()[name](spark, SF)
     if name not in ORACLES:
