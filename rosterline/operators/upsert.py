@@ -152,11 +152,8 @@ def upsert_contacts(existing: DataFrame | None, incoming: DataFrame, now) -> Dat
     else:
         ex, fresh, base = None, firsts, None
     ins = assign_ids_by_position(fresh.drop("id"), "ord", "list_id", base)
-    ins = (ins.withColumn("stage", F.coalesce("stage", F.lit("sourced")))
-           .withColumn("sourced_at", F.coalesce("sourced_at", now))
-           .withColumn("created_at", F.coalesce("created_at", now))
-           .withColumn("updated_at", now)
-           .withColumn("_inserted", F.lit(True)))
+    ins = ins.withColumns({"stage": F.coalesce("stage", F.lit("sourced")), "sourced_at": F.coalesce("sourced_at", now),
+                           "created_at": F.coalesce("created_at", now), "updated_at": now, "_inserted": F.lit(True)})
     ins = ins.select(*[f.name for f in CONTACT_SCHEMA.fields], "_inserted")
     if ex is None:
         return ins
@@ -309,16 +306,16 @@ def advance_stage(contacts: DataFrame, updates: DataFrame, now, stage_col: str =
          .where("_n = 1").drop("_s", "_n"))
     j = contacts.join(u, ["list_id", "id"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
-    out = j.withColumn("stage", F.when(hit, F.col("_new_stage")).otherwise(F.col("stage")))
+    # All changes in two projections: the stage's timestamp may itself be a field of the update.
+    new = {"stage": F.when(hit, F.col("_new_stage")).otherwise(F.col("stage")),
+           "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
     for c in fields:
         target_type = contacts.schema[c].dataType if c in contacts.columns else None
         v = F.col("_u_" + c) if target_type is None else F.col("_u_" + c).try_cast(target_type)
-        out = out.withColumn(c, F.when(hit, v).otherwise(F.col(c)) if c in contacts.columns else v)
-    for st, ts in STAGE_TIMESTAMP.items():
-        if ts in out.columns:
-            out = out.withColumn(ts, F.when(hit & (F.col("stage") == st) & F.col(ts).isNull(), now)
-                                 .otherwise(F.col(ts)))
-    out = out.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at")))
+        new[c] = F.when(hit, v).otherwise(F.col(c)) if c in contacts.columns else v
+    out = j.withColumns(new)
+    out = out.withColumns({ts: F.when(hit & (F.col("stage") == st) & F.col(ts).isNull(), now).otherwise(F.col(ts))
+                           for st, ts in STAGE_TIMESTAMP.items() if ts in out.columns})
     if "linkedin_url" in fields:
         out = _rekey(out, hit)
     return out.withColumn("_updated", hit).drop("_new_stage", "_hit", *["_u_" + c for c in fields])

@@ -121,14 +121,10 @@ def conform(df, schema: T.StructType, keep_extra: bool = True):
     """Add missing schema columns as typed NULLs and cast present ones."""
     from pyspark.sql import functions as F
 
-    cols = set(df.columns)
-    out = df
-    for f in schema.fields:
-        if f.name in cols:
-            if df.schema[f.name].dataType != f.dataType:
-                out = out.withColumn(f.name, F.col(f.name).try_cast(f.dataType))
-        else:
-            out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
-    if not keep_extra:
-        out = out.select(*[f.name for f in schema.fields])
-    return out
+    # One projection: a plan analysed once, however many columns the schema has.
+    have = {f.name: f.dataType for f in df.schema.fields}
+    want = {f.name: f.dataType for f in schema.fields}
+    cols = [F.col(f"`{c}`").try_cast(want[c]).alias(c) if c in want and want[c] != t else F.col(f"`{c}`")
+            for c, t in have.items() if keep_extra or c in want]
+    cols += [F.lit(None).cast(t).alias(c) for c, t in want.items() if c not in have]
+    return df.select(*cols) if keep_extra else df.select(*cols).select(*want)
