@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rosterline.session import materialize, read_table
 
 __all__ = ["materialize", "read_table", "map_arrow", "texts_of", "raw_of", "batch_of", "crc_bucket",
-           "mix64", "runs_of", "table_rows"]
+           "mix64", "runs_of"]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -95,7 +95,3 @@ def runs_of(sizes, limit: int) -> Iterator[slice]:
         total += n
     if at < len(sizes):
         yield slice(at, len(sizes))
-
-
-def table_rows(df: DataFrame) -> int:
-    return df.count()
