@@ -1,24 +1,22 @@
-"""Operator 9: language-model scores from a compact Elias-Fano n-gram trie.
-
-The model.  Words whose share of all tokens is at least ``word_share`` are
-classes of their own, the others share one class; there are at most
-1/``word_share`` classes at any corpus size, a proven bound.  Bigrams of classes
-whose share of the training tokens is at least ``gram_share`` are stored (at
-most 1/``gram_share``).  All counts are exact counts over every training text;
-shares, not caps, decide, so the model behaves alike at every size.  A stored
-n-gram has an absolutely discounted, quantised share; the rest of a context's
-mass goes to the shorter context, so probabilities sum to one.  A word of the
-shared class has (count + 1) / (count of the class + its words + 1) within it.
+"""Operator 9: language-model scores from a sharded, compact Elias-Fano n-gram trie.
+
+The model.  Every n-gram of the training texts is stored, at every corpus size:
+p(w | context) = (count - d) / total + gamma * p(w | shorter context), with one
+absolute discount an order, down to (count of w + 1) / (tokens + words + 1).
+What the contexts lose by the discount is what gamma hands on, so probabilities
+sum to one.  ``gram_share`` and ``word_share`` prune (0, the default, keeps all).
 
 The jobs.  (1) Word counts, pre-aggregated per batch, then summed by key.
-(2) N-gram counts, pre-aggregated per batch and sent as delta-compressed blocks
-to shards by a hash of the n-gram, so a frequent context is spread.  (3) One
-scoring pass with the trie broadcast and memory-mapped; words of the shared
-class keep their exact count in the sharded count table and are joined to it.
-Those are rare by definition, so no join key is hot.
+(2) Each slice of texts sends its distinct n-grams and their training counts to
+shards by a hash of the last word, so an n-gram and its shorter forms share a
+shard; words that are frequent enough to unbalance it are dealt by the word
+before as well.  (3) A shard counts and keeps a trie, last word first, in
+Elias-Fano sequences; contexts, which lie in many shards, are summed by sharded
+blocks and sent back.  (4) A shard answers each slice's requests, and the slice
+adds them up per text.  Nothing that grows with the input is broadcast.
 
-Words are known by 64-bit hashes of their bytes: two of ten million words
-collide with probability 3e-6.
+Words, and contexts of several, are known by 64-bit hashes: two of ten million
+collide with probability 3e-6, two of a billion contexts with 0.03.
 
 Defined cases: a null or empty text is its end token alone; with no training
 tokens base_score and score of a text are those of the formulas with zero
@@ -27,11 +25,9 @@ counts; repeated rows give repeated scores.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -39,13 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import crc_bucket, map_arrow, materialize, mix64, runs_of
-from rosterline.llm.eliasfano import Trie, mapped, to_bytes
+from rosterline.llm.common import batch_of, crc_bucket, map_arrow, materialize, mix64, runs_of
+from rosterline.llm.common import _arrow_schema as arrow_schema
+from rosterline.llm.eliasfano import EliasFano, mapped, to_bytes
 
-__all__ = ["tokens_of", "score_texts", "fit"]
+__all__ = ["tokens_of", "score_texts"]
 
 END = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"")).astype(np.int64))
-WIDTH = 21  # bits of a class in an n-gram key
+NONE = np.iinfo(np.int64).min  # stands before the end token that stands before a text
 
 
 def tokens_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,12 +83,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("h").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "word-counts")
 
 
-def classes_of(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Class of each hash: its place among the sorted known ones, or len(known)."""
-    at = np.searchsorted(known, hashes)
-    return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes), at, len(known))
-
-
 def histories(cls: np.ndarray, doc: np.ndarray, end: int, order: int) -> np.ndarray:
     """Classes of the order - 1 tokens before each token, nearest last; before a text stands one end token, then -1."""
     out = np.full((len(cls), order - 1), -1, np.int64)
@@ -103,70 +94,6 @@ def histories(cls: np.ndarray, doc: np.ndarray, end: int, order: int) -> np.ndar
     return out
 
 
-def gram_counts(docs: DataFrame, known, end: int, order: int, tokens: int, share: float) -> list:
-    """[(words, counts, discount)] for orders 2 up, n-grams of at least the share of the training tokens."""
-    spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 4_000_000))
-
-    def blocks(batch: pa.RecordBatch):
-        for b in parts_of(batch):
-            yield from blocks_of(b)
-
-    def blocks_of(b: pa.RecordBatch):
-        hashes, code, doc = tokens_of(b.column("_text"))
-        cls = classes_of(hashes, known.value)[code]
-        past = histories(cls, doc, end, order)
-        out = {"o": [], "shard": [], "keys": [], "counts": []}
-        for o in range(2, order + 1):
-            key, whole = cls.copy(), np.ones(len(cls), bool)
-            for back in range(1, o):
-                p = past[:, order - 1 - back]
-                whole &= p >= 0
-                key += np.maximum(p, 0) << (WIDTH * back)
-            keys, counts = np.unique(key[whole], return_counts=True)
-            shard = (mix64(keys.view(np.uint64), 7) % np.uint64(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[by], np.arange(shards + 1))
-            for s in range(shards):
-                if cut[s] < cut[s + 1]:
-                    rows = by[cut[s]:cut[s + 1]]
-                    out["o"].append(o)
-                    out["shard"].append(s)
-                    out["keys"].append(packed(np.diff(keys[rows], prepend=0)))
-                    out["counts"].append(packed(counts[rows]))
-        if out["o"]:
-            yield out
-
-    least = max(1, int(np.ceil(share * tokens)))
-
-    def reduce(key, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.cumsum(unpacked(x)) for x in rows["keys"]])
-        keys, of = np.unique(keys, return_inverse=True)
-        n = np.bincount(of, np.concatenate([unpacked(x) for x in rows["counts"]]), len(keys)).astype(np.int64)
-        kept = n >= least
-        # The last row tells how many n-grams occur once and twice, for the discount.
-        return pd.DataFrame({"o": np.int32(key[0]), "gram": np.append(keys[kept], -1),
-                             "n": np.append(n[kept], (n == 1).sum()), "twice": np.append(np.zeros(kept.sum(), np.int64), (n == 2).sum())})
-
-    sent = map_arrow(docs.where("_train"), ["_text"], blocks, "o int, shard int, keys binary, counts binary")
-    found = materialize(sent.groupBy("o", "shard").applyInPandas(reduce, "o int, gram bigint, n bigint, twice bigint"), "grams")
-    once = {r["o"]: (r["x"], r["y"]) for r in found.where("gram = -1").groupBy("o").agg(
-        F.sum("n").alias("x"), F.sum("twice").alias("y")).collect()}
-    out, below = [], None
-    for o in range(2, order + 1):
-        t = found.where((F.col("o") == o) & (F.col("gram") >= 0)).select("gram", "n").toArrow()  # at most 1/share rows
-        gram, n = np.asarray(t.column("gram"), np.int64), np.asarray(t.column("n"), np.int64)
-        if below is not None:
-            whole = np.isin(gram >> WIDTH, below)
-            gram, n = gram[whole], n[whole]
-        by = np.argsort(gram)
-        gram, n, below = gram[by], n[by], gram[by]
-        words = np.stack([(gram >> (WIDTH * k)) & ((1 << WIDTH) - 1) for k in range(o - 1, -1, -1)], 1)
-        x, y = once.get(o, (0, 0))
-        out.append((words, n, x / (x + 2 * y) if x + y else 0.5))
-    return out
-
-
 def packed(x: np.ndarray) -> bytes:
     """Small non-negative integers, byte planes apart, deflated."""
     return zlib.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
@@ -176,104 +103,227 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def fit(docs: DataFrame, order: int = 2, word_share: float = 5e-7, gram_share: float = 1e-6) -> dict:
-    """The model of texts ``_text`` with flag ``_train``: arrays of the trie, known words, totals, count table."""
-    counts = word_counts(docs)
-    n, v, a = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)),
-                         F.coalesce(F.sum("a"), F.lit(0))).first()
-    often = counts.where((F.col("a") >= word_share * a) | (F.col("h") == int(END))).toArrow()  # at most 1/word_share + 1 rows
-    h, c = np.asarray(often.column("h"), np.int64), np.asarray(often.column("c"), np.int64)
-    by = np.argsort(h)
-    h, c = h[by], c[by]
-    if not len(h):
-        h, c = np.array([END]), np.array([0])
-    if len(h) >= 1 << WIDTH:
-        raise ValueError("word_share is too small for the width of a class")
-    end = int(np.searchsorted(h, END))
-    all_counts = np.append(c, n - c.sum())
-    known = docs.sparkSession.sparkContext.broadcast(h)
-    grams = gram_counts(docs, known, end, order, n, gram_share)
-    arrays = Trie.build((all_counts + 1) / (n + len(h) + 1), all_counts, [(w, k) for w, k, _ in grams],
-                        [d for _, _, d in grams])
-    rare = int(all_counts[-1]), v - int((c > 0).sum())
-    return {"blob": to_bytes(arrays | {"hashes": h, "counts": c}), "n": n, "v": v, "end": end, "order": order,
-            "rare": rare, "table": counts}
+def cat(column, read=unpacked) -> np.ndarray:
+    """The arrays of a column of blocks, one after the other."""
+    parts = [read(x) for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
 
+def sums(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(of, n, size).astype(np.int64)
 
-_MAPPED: dict[str, tuple[dict, Trie]] = {}
 
+def requests(docs: DataFrame, order: int, shards: int, hot) -> DataFrame:
+    """Per slice of texts one row of shard -1 (its texts and the n-gram of each token), and its distinct n-grams by shard."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    state: dict = {}
+
+    def run(batch: pa.RecordBatch):
+        for b in parts_of(batch):
+            ctx = TaskContext.get()
+            task = (ctx.stageId(), ctx.partitionId(), ctx.taskAttemptId())
+            number = state[task] = state.get(task, -1) + 1
+            yield from slice_of(b, (ctx.partitionId() << 32) + number)
 
-def _levels(blob, key: str) -> tuple[dict, Trie]:
-    if key not in _MAPPED:
-        _MAPPED.clear()
-        arrays = mapped(blob.value)
-        _MAPPED[key] = arrays, Trie(arrays)
-    return _MAPPED[key]
+    def slice_of(b: pa.RecordBatch, number: int):
+        hashes, code, doc = tokens_of(b.column("_text"))
+        past = histories(code, doc, len(hashes) - 1, order)
+        of, one = code, None
+        for back in range(1, order):
+            _, one, of = np.unique(of * (len(hashes) + 1) + past[:, order - 1 - back] + 1, return_index=True, return_inverse=True)
+        if one is None:
+            _, one, of = np.unique(code, return_index=True, return_inverse=True)
+        n = sums(of, np.asarray(b.column("_train"))[doc], len(one))
+        named = np.append(hashes, NONE)
+        words = [named[code[one]]] + [named[past[one, order - 1 - back]] for back in range(1, order)]
+        key = words[0].view(np.uint64)
+        if order > 1:
+            key = np.where(np.isin(words[0], hot.value[0]), mix64(words[1].view(np.uint64), 3) ^ key, key)
+        shard = (mix64(key, 7) % np.uint64(shards)).astype(np.int64)
+        by = np.lexsort([*words[::-1], shard])
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        blank = {k: [None] for k in ("doc_id", "train", "sizes", "codes")}
+        ends = np.array([0, b.num_rows], np.int32)
+        yield {"slice": [number], "shard": [-1], "words": [None], "counts": [None],
+               "doc_id": pa.ListArray.from_arrays(pa.array(ends), b.column("doc_id")),
+               "train": pa.ListArray.from_arrays(pa.array(ends), b.column("_train")),
+               "sizes": [packed(np.bincount(doc, minlength=b.num_rows))], "codes": [packed(place[of])]}
+        cut = np.searchsorted(shard[by], np.arange(shards + 1))
+        for s in np.flatnonzero(cut[1:] > cut[:-1]):
+            rows = by[cut[s]:cut[s + 1]]
+            yield blank | {"slice": [number], "shard": [s], "words": [[packed(np.diff(w[rows], prepend=0)) for w in words]],
+                           "counts": [packed(n[rows])]}
+
+    return materialize(map_arrow(docs, docs.columns, run, (
+        f"slice bigint, shard int, words array<binary>, counts binary, doc_id array<{id_type}>, train array<boolean>, "
+        "sizes binary, codes binary")), "requests")
+
+
+class Shard:
+    """A shard's trie, last word first: level o holds the n-grams of order o by (index of the n-gram without its
+    first word, that word), an Elias-Fano sequence of rising values index * names + word."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], hot, order: int):
+        part = lambda p: EliasFano({k.removeprefix(p): v for k, v in arrays.items() if k.startswith(p)})
+        self.names, self.n = arrays["names"], [arrays[f"n{o}"] for o in range(1, order + 1)]
+        every = [(lambda e: e.get(np.arange(e.n)) if e.n else np.empty(0, np.int64))(part(f"v{o}.")) for o in range(1, order + 1)]
+        words, size = self.names[every[0]], len(self.names)
+        self.count = self.n[0].copy()  # a frequent word lies in several shards
+        at = np.minimum(np.searchsorted(hot[0], words), len(hot[0]) - 1)
+        self.count = np.where(hot[0][at] == words, hot[1][at], self.count)
+        self.up, self.root, self.context = [None], [np.arange(len(words))], [np.zeros(len(words), np.uint64)]
+        for o, v in enumerate(every[1:], 2):
+            up = v // max(1, size)
+            self.up.append(up)
+            self.root.append(self.root[-1][up])
+            self.context.append(mix64(self.context[-1][up] ^ mix64(self.names[v % max(1, size)].view(np.uint64), 1), o))
+
+    def stored(self, least: int, least_word: float) -> list[np.ndarray]:
+        out = [np.ones(len(self.count), bool)]
+        for n, up, root in zip(self.n[1:], self.up[1:], self.root[1:]):
+            out.append((n >= least) & (self.count[root] >= least_word) & out[-1][up])
+        return out
+
+    def contexts(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context keys by their shard, the ends of the shards, place of the context of each n-gram of order 2 up)."""
+        keys, of = np.unique(np.concatenate([*self.context[1:], np.empty(0, np.uint64)]), return_inverse=True)
+        home = (mix64(keys, 11) % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(home, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        return keys[by].view(np.int64), np.searchsorted(home[by], np.arange(shards + 1)), place[of]
+
+
+def levels_of(words: list[np.ndarray], n: np.ndarray) -> tuple[dict, np.ndarray]:
+    """(arrays of a ``Shard``, number of the longest n-gram of each row, counted through all levels)."""
+    names = np.unique(np.concatenate(words))
+    size, out = len(names), {"names": names}
+    node, deepest, before = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), 0
+    live = np.arange(len(n))
+    for o, w in enumerate(words, 1):
+        live = live[w[live] != NONE]
+        values, of = np.unique(node[live] * size + np.searchsorted(names, w[live]), return_inverse=True)
+        node[live] = of
+        deepest[live] = before + of
+        before += len(values)
+        universe = int(values[-1]) + 1 if len(values) else 1
+        out |= {f"n{o}": sums(of, n[live], len(values))} | {f"v{o}.{k}": v for k, v in EliasFano.build(values, universe).items()}
+    return out, deepest
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2,
-                order: int = 2, word_share: float = 5e-7, gram_share: float = 1e-6) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+                order: int = 2, word_share: float = 0.0, gram_share: float = 0.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    ``gram_share``: n-grams below this share of the training tokens are not stored, nor are those that
+    end in a word below ``word_share``; 0 stores all.
+    """
+    if order < 1:
+        raise ValueError("order must be at least 1")
     id_type = docs.schema[doc_id].dataType.simpleString()
     fold = crc_bucket(doc_id, folds)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), (fold != held_out).alias("_train"))
-    model = fit(docs, order, word_share, gram_share)
     spark = docs.sparkSession
-    blob, key = spark.sparkContext.broadcast(model["blob"]), uuid.uuid4().hex
-    end = model["end"]
-    state: dict = {}
-
-    def run(batch: pa.RecordBatch):
-        for b in parts_of(batch):
-            yield from scored(b)
-
-    def scored(b: pa.RecordBatch):
-        ctx = TaskContext.get()
-        task = (ctx.stageId(), ctx.partitionId(), ctx.taskAttemptId())
-        first = state.get(task, 0)
-        state[task] = first + b.num_rows
-        arrays, trie = _levels(blob, key)
-        hashes, code, doc = tokens_of(b.column("_text"))
-        of = classes_of(hashes, arrays["hashes"])
-        shared = len(arrays["hashes"])
-        cls = of[code]
-        past = histories(cls, doc, end, order)
-        gram = cls.copy()
-        for back in range(1, order):
-            gram += (past[:, order - 1 - back] + 1) << (WIDTH * back)
-        where, grams = pd.factorize(gram)
-        one = np.empty(len(grams), np.int64)
-        one[where[::-1]] = np.arange(len(gram) - 1, -1, -1)  # a token of each distinct n-gram
-        logp = np.log10(trie.probability(past[one], cls[one]))
-        n = b.num_rows
-        c = np.append(arrays["counts"], 0)
-        common = cls < shared
-        table = np.log10(c + 1.0)
-        rare_doc, rare_code = doc[~common], code[~common]
-        pair, times = np.unique(rare_doc * len(hashes) + rare_code, return_counts=True)
-        cut = np.searchsorted(pair // len(hashes), np.arange(n + 1))
-        words = hashes[pair % len(hashes)]
-        yield {"uid": (np.int64(ctx.partitionId()) << 36) + first + np.arange(n), "doc_id": b.column("doc_id"),
-               "held_out": pc.invert(b.column("_train")),
-               "n_tokens": np.bincount(doc, minlength=n), "known": np.bincount(doc[common & (c[cls] > 0)], minlength=n),
-               "base": np.bincount(doc, np.where(common, table[cls], 0.0), n), "model": np.bincount(doc, logp[where], n),
-               "n_rare": np.bincount(rare_doc, minlength=n),
-               "rare": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(words, pa.int64())),
-               "times": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(times, pa.int32()))}
-
-    part = materialize(map_arrow(docs, docs.columns, run, (
-        f"uid bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, model double, "
-        "n_rare bigint, rare array<bigint>, times array<int>")), "scored")
-    rare = (part.where("n_rare > 0").select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-            .select("uid", F.col("r.rare").alias("h"), F.col("r.times").alias("k"))
-            .join(model["table"].where("c > 0").select("h", "c"), "h", "left")
-            .groupBy("uid").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare_log"),
-                                F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known")))
-    n, v = model["n"], model["v"]
-    within = float(np.log10(model["rare"][0] + model["rare"][1] + 1))
-    rare_log = F.coalesce("rare_log", F.lit(0.0))
-    return (part.drop("rare", "times").join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + rare_log - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (F.col("model") + rare_log - F.col("n_rare") * F.lit(within)).alias("score")))
+    counts = word_counts(docs)
+    n, v, total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)),
+                             F.coalesce(F.sum("a"), F.lit(0))).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 4_000_000))
+    often = counts.where((F.col("a") * (4 * shards) >= total) | (F.col("h") == int(END))).toArrow()  # at most 4 * shards + 1 rows
+    h, c = (np.asarray(often.column(k), np.int64) for k in ("h", "c"))
+    by = np.argsort(h)
+    hot = spark.sparkContext.broadcast((h[by], c[by]) if len(h) else (np.array([END]), np.array([0])))
+    least, least_word = max(1, int(np.ceil(gram_share * n))), word_share * n
+    sent = requests(docs, order, shards, hot)
+
+    counted_schema = arrow_schema(spark, counted := (
+        "shard int, home int, keys binary, total binary, kept binary, followers binary, trie binary, asks binary, "
+        "slices array<bigint>, sizes array<bigint>, once array<bigint>, twice array<bigint>"))
+
+    def count(key, t):
+        """A shard's state (home -1), and the sums of its contexts for their shards."""
+        lists = t.column("words").to_pylist()
+        words = [np.concatenate([np.cumsum(unpacked(x[k])) for x in lists]) for k in range(order)]
+        arrays, deepest = levels_of(words, cat(t.column("counts")))
+        trie = Shard(arrays, hot.value, order)
+        keys, cut, of = trie.contexts(shards)
+        grams = np.concatenate([*trie.n[1:], np.empty(0, np.int64)])
+        stored = np.concatenate([*trie.stored(least, least_word)[1:], np.empty(0, bool)])
+        planes = {"keys": keys, "total": sums(of, grams, len(keys)), "kept": sums(of, grams * stored, len(keys)),
+                  "followers": sums(of, stored, len(keys))}
+        homes = np.flatnonzero(cut[1:] > cut[:-1])
+        me, rows = key[0].as_py(), len(homes)
+        out = {name: [None] + [packed(np.diff(x[cut[s]:cut[s + 1]], prepend=0) if name == "keys" else x[cut[s]:cut[s + 1]])
+                               for s in homes] for name, x in planes.items()}
+        lengths = [len(unpacked(x)) for x in t.column("counts").to_pylist()]
+        state = {"trie": zlib.compress(to_bytes(arrays), 1), "asks": packed(deepest), "slices": t.column("slice").to_pylist(),
+                 "sizes": lengths, "once": [int((x == 1).sum()) for x in trie.n], "twice": [int((x == 2).sum()) for x in trie.n]}
+        out |= {"shard": [me] * (rows + 1), "home": [-1, *homes]} | {k: [x] + [None] * rows for k, x in state.items()}
+        return pa.Table.from_batches([batch_of(out, counted_schema)])
+
+    found = materialize(sent.where("shard >= 0").select("slice", "shard", "words", "counts").groupBy("shard")
+                        .applyInArrow(count, counted), "counted")
+    seen = found.where("home = -1").agg(*[F.sum(F.col(k)[o]) for o in range(1, order) for k in ("once", "twice")]).first() if order > 1 else []
+    seen = [x or 0 for x in seen]
+    discount = [x / (x + 2 * y) if x + y else 0.5 for x, y in zip(seen[::2], seen[1::2])]
+
+    summed_schema = arrow_schema(spark, summed := "shard int, home int, total binary, kept binary, followers binary")
+
+    def add(key, t):
+        """Sums of the contexts of one home, for each shard that has them."""
+        blocks = [np.cumsum(unpacked(x)) for x in t.column("keys").to_pylist()]
+        keys, of = np.unique(np.concatenate(blocks), return_inverse=True)
+        ends = np.cumsum([len(x) for x in blocks])[:-1]
+        out = {k: [packed(x) for x in np.split(sums(of, cat(t.column(k)), len(keys))[of], ends)]
+               for k in ("total", "kept", "followers")}
+        return pa.Table.from_batches([batch_of(out | {"shard": t.column("shard"), "home": t.column("home")}, summed_schema)])
+
+    replies = (found.where("home >= 0").select("shard", "home", "keys", "total", "kept", "followers").groupBy("home")
+               .applyInArrow(add, summed))
+    answer_schema = arrow_schema(spark, answered := "slice bigint, shard int, logp binary, known binary")
+
+    def answer(key, t, sums_):
+        me = t.to_pylist()[0]
+        trie = Shard(mapped(zlib.decompress(me["trie"])), hot.value, order)
+        _, _, of = trie.contexts(shards)
+        sums_ = sums_.sort_by("home")
+        whole, kept, followers = (cat(sums_.column(k))[of] for k in ("total", "kept", "followers"))
+        p, logs, at = (trie.count + 1) / (n + v + 1), [], 0
+        logs.append(np.log10(p))
+        stored = trie.stored(least, least_word)
+        for o in range(2, order + 1):
+            x, up, d = trie.n[o - 1], trie.up[o - 1], discount[o - 2]
+            mine = slice(at, at + len(x))
+            at += len(x)
+            share = np.where(stored[o - 1], x - d, 0) / np.maximum(whole[mine], 1)
+            gamma = 1 - (kept[mine] - d * followers[mine]) / np.maximum(whole[mine], 1)
+            p = share + gamma * p[up]
+            logs.append(np.log10(p))
+        asks, ends = unpacked(me["asks"]), np.cumsum(me["sizes"])[:-1]
+        logp = np.concatenate(logs)[asks].astype("<f4")
+        known = np.concatenate([trie.count[r] for r in trie.root])[asks]
+        out = {"slice": me["slices"], "shard": [me["shard"]] * len(me["slices"]), "logp": [x.tobytes() for x in np.split(logp, ends)],
+               "known": [packed(x) for x in np.split(known, ends)]}
+        return pa.Table.from_batches([batch_of(out, answer_schema)])
+
+    answers = (found.where("home = -1").select("shard", "trie", "asks", "slices", "sizes").groupBy("shard")
+               .cogroup(replies.groupBy("shard")).applyInArrow(answer, answered))
+    scored = (f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+              "base_score double, score double")
+    scored_schema = arrow_schema(spark, scored)
+
+    def add_up(key, t, got):
+        got = got.sort_by("shard")
+        of = cat(t.column("codes"))
+        logp = cat(got.column("logp"), lambda x: np.frombuffer(x, "<f4")).astype(np.float64)[of]
+        known = cat(got.column("known"))[of]
+        size = cat(t.column("sizes"))
+        doc = np.repeat(np.arange(len(size)), size)
+        out = {"doc_id": t.column("doc_id").combine_chunks().flatten(), "held_out": pc.invert(t.column("train").combine_chunks().flatten()),
+               "n_tokens": size, "n_known": sums(doc, known > 0, len(size)), "train_tokens": np.full(len(size), n),
+               "base_score": np.bincount(doc, np.log10(known + 1.0), len(size)) - size * float(np.log10(n + v + 1)),
+               "score": np.bincount(doc, logp, len(size))}
+        return pa.Table.from_batches([batch_of(out, scored_schema)])
+
+    return (sent.where("shard = -1").select("slice", "doc_id", "train", "sizes", "codes").groupBy("slice")
+            .cogroup(answers.groupBy("slice")).applyInArrow(add_up, scored))

@@ -257,6 +257,48 @@ def test_scores(spark, order, word_share):
     assert better > 0.8 * len(rows)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_keep_every_ngram(spark, order):
+    """Scores by brute force; rare n-grams count in 2.3 million tokens, too, and held-out text teaches nothing."""
+    rows = [(i, "a b " * 50_000 + ("q r a b s t" if i % 7 == 0 else "a c")) for i in range(32)]
+    rows += [(100 + i, t) for i, t in enumerate(["q r a b s t", "q r a", "zz zz zz b", "", "b q r a b s", "a c q r", "s t"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = by_id(lm.score_texts(docs, order=order))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tables, total = [collections.Counter() for _ in range(order + 1)], [collections.Counter() for _ in range(order + 1)]
+    texts = {i: t.split() + [""] for i, t in rows}
+    for i, ws in texts.items():
+        if not fold(i):
+            for o in range(1, order + 1):
+                padded = [""] * (o > 1) + ws  # one end token stands before a text
+                tables[o].update(zip(*[padded[k:] for k in range(o)]))
+    for o in range(2, order + 1):
+        for g, k in tables[o].items():
+            total[o][g[:-1]] += k
+    followers = [collections.Counter(g[:-1] for g in t) for t in tables]
+    n, v = sum(tables[1].values()), len(tables[1])
+    d = [0.0, 0.0]
+    for t in tables[2:]:
+        x, y = sum(k == 1 for k in t.values()), sum(k == 2 for k in t.values())
+        d.append(x / (x + 2 * y) if x + y else 0.5)
+
+    def p(g):
+        o = len(g)
+        if o == 1:
+            return (tables[1][g] + 1) / (n + v + 1)
+        t = total[o][g[:-1]]
+        if not t:
+            return p(g[1:])
+        return (max(tables[o][g] - d[o], 0) + d[o] * followers[o][g[:-1]] * p(g[1:])) / t
+
+    assert n > 2_000_000 and any(fold(i) for i in texts if i >= 100)
+    for i, ws in texts.items():
+        padded = [""] + ws
+        grams = collections.Counter(tuple(padded[max(0, k - order + 1):k + 1]) for k in range(1, len(padded)))
+        [r] = got[i]
+        assert math.isclose(r.score, sum(k * math.log10(p(g)) for g, k in grams.items()), rel_tol=1e-6), i
+
+
 def test_scores_without_training_text(spark):
     assert lm.score_texts(empty_docs(spark)).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
