@@ -7,10 +7,11 @@ probabilities.  A document's perplexity (per character) follows from one pass;
 it is kept if its perplexity is at most a quantile of the trusted documents of
 its language, times a margin.
 
-Character n-grams of a language stop growing early; still, only those with a
-share of at least ``share`` of their order's counts go to the scoring pass, so
-what is broadcast has at most ``order``/``share`` entries at any input size.  A
-left-out n-gram is scored through its shorter context.
+Every n-gram of the trusted text is kept at every size.  A slice of documents
+sends its distinct n-grams to shards; the distinct ones of all slices are joined
+to the probability tables, those that are missing to the weights of their
+contexts and to their shorter forms; the shards send each slice its answers.
+Nothing that grows with the input is broadcast.
 
 Defined cases: a null or empty text has no perplexity and is not kept; without
 trusted text every perplexity is null and documents with text are kept; a null
@@ -21,15 +22,19 @@ label says so.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import map_arrow, materialize, runs_of, texts_of
+from rosterline.llm.common import _arrow_schema as arrow_schema
+from rosterline.llm.common import batch_of, map_arrow, materialize, mix64, runs_of, texts_of
+from rosterline.llm.lm import cat, packed, unpacked
 
 __all__ = ["fit", "perplexities", "rate"]
 
@@ -96,8 +101,11 @@ def discounts(n: list[int]) -> list[float]:
     return [max(0.1, k - (k + 1) * y * n[k] / n[k - 1]) if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
 
 
-def fit(trusted: DataFrame, order: int = 5, share: float = 5e-7) -> dict | None:
-    """Tables of log10 probabilities and context weights of texts ``_text``; None if there is no text."""
+def fit(trusted: DataFrame, order: int = 5, share: float = 0.0) -> dict | None:
+    """Tables of log10 probabilities and context weights of texts ``_text``; None if there is no text.
+
+    Longest n-grams below ``share`` of all counts are left out, their mass goes to the weights; 0 keeps all.
+    """
     tables = {order: counted(trusted, order)}
     for o in range(order - 1, 0, -1):  # continuation counts: in how many longer n-grams
         tables[o] = materialize(tables[o + 1].select(_short(o + 1).alias("gram")).groupBy("gram")
@@ -109,11 +117,12 @@ def fit(trusted: DataFrame, order: int = 5, share: float = 5e-7) -> dict | None:
         if not total:
             return None
         d = discounts(n)
-        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        kept = F.col("c") >= (share * total if o == order else 0)
+        off = F.when(~kept, F.col("c")).when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         g = g.withColumn("ctx", F.shiftright("gram", BITS))
         ctx = g.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(off).alias("left"))
         ctx = ctx.withColumn("gamma", F.col("left") / F.col("total"))
-        p = g.join(ctx, "ctx").withColumn("own", (F.col("c") - off) / F.col("total"))
+        p = g.where(kept).join(ctx, "ctx").withColumn("own", (F.col("c") - off) / F.col("total"))
         if lower is None:
             p = p.withColumn("p", F.col("own") + F.col("gamma") / F.lit(float(g.count() + 1)))
         else:
@@ -121,63 +130,122 @@ def fit(trusted: DataFrame, order: int = 5, share: float = 5e-7) -> dict | None:
                  .withColumn("p", F.col("own") + F.col("gamma") * F.col("below")))
         p = materialize(p.select("gram", "c", "p"), f"p{o}")
         lower = p.select(F.col("gram").alias("short"), F.col("p").alias("below"))
-        often = F.col("c") >= share * total
-        model[f"p{o}"] = _sorted(p.where(often).select("gram", F.log10("p")))
-        model[f"g{o}"] = _sorted(ctx.where(F.col("total") >= share * total).select("ctx", F.log10("gamma")))
-    model["unknown"] = float(model["g1"][1][0] - np.log10(len(model["p1"][0]) + 1))
+        model[f"p{o}"] = p.select("gram", F.log10("p").alias("lp"))
+        model[f"g{o}"] = materialize(ctx.select("ctx", F.log10("gamma").alias("lg")), f"g{o}")
+    model["unknown"] = float(model["g1"].first()["lg"] - np.log10(model["p1"].count() + 1))
     return model
 
 
-def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = df.toArrow()  # at most 1/share rows
-    key, value = np.asarray(t.column(0), np.int64), np.asarray(t.column(1), np.float64)
-    by = np.argsort(key)
-    return key[by], value[by].astype(np.float32)
-
-
-def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    return table[0][at] == keys, table[1][at]
-
+def log_probabilities(model: dict, wanted: DataFrame) -> DataFrame:
+    """(gram, shard, lp) of the distinct n-grams (gram, shard): log10 p of the last character.
 
-def log_probability(model: dict, keys: np.ndarray) -> np.ndarray:
-    """log10 p of the last character of each n-gram: the longest stored n-gram, and the weights of the contexts above it."""
-    out = np.zeros(len(keys))
-    open_ = np.arange(len(keys))
-    for o in range(model["order"], 0, -1):
-        k = keys[open_] & ((1 << (BITS * o)) - 1)
-        hit, p = _find(model[f"p{o}"], k)
-        out[open_[hit]] += p[hit]
-        open_, k = open_[~hit], k[~hit]
+    The longest stored n-gram counts, and the weights of the contexts above it.
+    """
+    order, found, rows = model["order"], {}, wanted
+    for o in range(order, 0, -1):
+        found[o] = materialize(rows.join(model[f"p{o}"], "gram", "left"), f"found{o}")
         if o > 1:
-            known, g = _find(model[f"g{o}"], k >> BITS)
-            out[open_] += np.where(known, g, 0)
-    out[open_] += model["unknown"]
+            rows = found[o].where("lp is null").select(_short(o).alias("gram")).distinct().withColumn("shard", F.lit(0))
+    out = found[1].withColumn("lp", F.coalesce("lp", F.lit(model["unknown"])))
+    for o in range(2, order + 1):
+        below = out.select(F.col("gram").alias("short"), F.col("lp").alias("below"))
+        missing = (found[o].where("lp is null").select("gram", "shard", F.shiftright("gram", BITS).alias("ctx"), _short(o).alias("short"))
+                   .join(model[f"g{o}"], "ctx", "left").join(below, "short")
+                   .select("gram", "shard", (F.coalesce("lg", F.lit(0.0)) + F.col("below")).alias("lp")))
+        out = found[o].where("lp is not null").select("gram", "shard", "lp").unionByName(missing)
     return out
 
 
+def distinct_grams(texts: list[str], order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct n-grams, sorted; their order by shard; the ends of the shards in that order)."""
+    parts = [np.unique(keys) for keys, _ in grams([t for t in texts if t], order)]
+    keys = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+    shard = (mix64(keys.view(np.uint64), 5) % np.uint64(shards)).astype(np.int64)
+    by = np.argsort(shard, kind="stable")
+    return keys, by, np.searchsorted(shard[by], np.arange(shards + 1))
+
+
 def perplexities(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``n_chars_scored``, ``perplexity`` of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
     named = [F.col(c).alias(f"_x{i}") for i, c in enumerate(keep)]
-    kinds = ", ".join(f"_x{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    types = [docs.schema[c].dataType.simpleString() for c in keep]
+    kinds = "".join(f"_x{i} {t}, " for i, t in enumerate(types)) + "n_chars_scored bigint, perplexity double"
+    names = [f"_x{i}" for i in range(len(keep))]
+    last = [*[F.col(x).alias(c) for x, c in zip(names, keep)], "n_chars_scored", "perplexity"]
+    scored = np.vectorize(lambda n: n + (n > 0), otypes=[np.int64])
 
-    def run(b: pa.RecordBatch):
-        m, texts = sent.value, texts_of(b.column("_text"))
-        n = np.array([len(t) + (len(t) > 0) for t in texts])
-        total = np.zeros(len(texts))
-        if m is not None:
-            for keys, owner in grams(texts, m["order"]):
-                code, distinct = pd.factorize(keys)
-                total += np.bincount(owner, log_probability(m, distinct)[code], len(texts))
-        ppl = [float(10 ** (-x / k)) if k and m is not None else None for x, k in zip(total, n)]
-        yield {f"_x{i}": b.column(f"_x{i}") for i in range(len(keep))} | {"n_chars_scored": n, "perplexity": ppl}
+    if model is None:
+        def unscored(b: pa.RecordBatch):
+            n = scored([len(t) for t in texts_of(b.column("_text"))])
+            yield {x: b.column(x) for x in names} | {"n_chars_scored": n, "perplexity": [None] * len(n)}
 
-    out = map_arrow(docs, [*named, F.col(text).alias("_text")], run, f"{kinds}, n_chars_scored bigint, perplexity double")
-    return out.select(*[F.col(f"_x{i}").alias(c) for i, c in enumerate(keep)], "n_chars_scored", "perplexity")
+        return map_arrow(docs, [*named, F.col(text).alias("_text")], unscored, kinds).select(*last)
 
+    order, shards = model["order"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state: dict = {}
 
-def rate(docs: DataFrame, labels: DataFrame, order: int = 5, share: float = 5e-7, quantile: float = 0.995,
+    def run(b: pa.RecordBatch):
+        texts = texts_of(b.column("_text"))
+        for part in runs_of([len(t) for t in texts], 3 * SLICE):
+            ctx = TaskContext.get()
+            task = (ctx.stageId(), ctx.partitionId(), ctx.taskAttemptId())
+            state[task] = state.get(task, -1) + 1
+            number, mine = (ctx.partitionId() << 32) + state[task], texts[part]
+            ends = pa.array([0, len(mine)], pa.int32())
+            yield {"slice": [number], "shard": [-1], "keys": [None], "sizes": [packed(np.array([len(t) for t in mine], np.int64))],
+                   "texts": [zlib.compress("".join(mine).encode("utf-8", "surrogatepass"), 1)]} | {
+                x: pa.ListArray.from_arrays(ends, b.column(x).take(pa.array(np.arange(part.start, part.stop)))) for x in names}
+            keys, by, cut = distinct_grams(mine, order, shards)
+            at = np.flatnonzero(cut[1:] > cut[:-1])
+            none = [None] * len(at)
+            yield {"slice": [number] * len(at), "shard": at, "sizes": none, "texts": none} | {x: none for x in names} | {
+                "keys": [packed(np.diff(keys[by[cut[s]:cut[s + 1]]], prepend=0)) for s in at]}
+
+    sent = materialize(map_arrow(docs, [*named, F.col(text).alias("_text")], run, "slice bigint, shard int, keys binary, sizes binary, "
+                                 "texts binary" + "".join(f", _x{i} array<{t}>" for i, t in enumerate(types))), "requests")
+    asked = sent.where("shard >= 0").select("slice", "shard", "keys")
+    wanted_schema = arrow_schema(spark, "gram bigint, shard int")
+    answer_schema = arrow_schema(spark, "slice bigint, shard int, lp binary")
+    out_schema = arrow_schema(spark, kinds)
+    sums = lambda x: np.cumsum(unpacked(x))
+
+    def distinct(key, t):
+        keys = np.unique(cat(t.column("keys"), sums))
+        return pa.Table.from_batches([batch_of({"gram": keys, "shard": np.full(len(keys), key[0].as_py())}, wanted_schema)])
+
+    def answer(key, t, rows):
+        gram, lp = np.asarray(rows.column("gram")), np.asarray(rows.column("lp"))
+        by = np.argsort(gram)
+        gram, lp = gram[by], lp[by].astype("<f4")
+        out = [lp[np.searchsorted(gram, sums(x))].tobytes() for x in t.column("keys").to_pylist()]
+        return pa.Table.from_batches([batch_of({"slice": t.column("slice"), "shard": t.column("shard"), "lp": out}, answer_schema)])
+
+    def add_up(key, t, got):
+        size = cat(t.column("sizes"))
+        whole, cut = zlib.decompress(t.column("texts")[0].as_py()).decode("utf-8", "surrogatepass"), np.concatenate([[0], np.cumsum(size)])
+        texts = [whole[a:b] for a, b in zip(cut, cut[1:])]
+        full = [i for i, t in enumerate(texts) if t]
+        keys, by, _ = distinct_grams(texts, order, shards)
+        lp, total = np.empty(len(keys)), np.zeros(len(full))
+        lp[by] = cat(got.sort_by("shard").column("lp"), lambda x: np.frombuffer(x, "<f4"))
+        for k, owner in grams([texts[i] for i in full], order):
+            code, some = pd.factorize(k)
+            total += np.bincount(owner, lp[np.searchsorted(keys, some)][code], len(full))
+        n = scored(size) if len(size) else size
+        ppl = [None] * len(texts)
+        for i, x in zip(full, total):
+            ppl[i] = float(10 ** (-x / n[i]))
+        out = {x: t.column(x).combine_chunks().flatten() for x in names} | {"n_chars_scored": n, "perplexity": ppl}
+        return pa.Table.from_batches([batch_of(out, out_schema)])
+
+    lp = log_probabilities(model, asked.groupBy("shard").applyInArrow(distinct, "gram bigint, shard int"))
+    answers = asked.groupBy("shard").cogroup(lp.groupBy("shard")).applyInArrow(answer, "slice bigint, shard int, lp binary")
+    return (sent.where("shard = -1").select("slice", "sizes", "texts", *names).groupBy("slice")
+            .cogroup(answers.groupBy("slice")).applyInArrow(add_up, kinds).select(*last))
+
+
+def rate(docs: DataFrame, labels: DataFrame, order: int = 5, share: float = 0.0, quantile: float = 0.995,
          margin: float = 1.25, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, lang, n_chars_scored, perplexity, threshold, kept of every document."""
     good = (labels.groupBy(F.col("doc_id").alias("_id"))

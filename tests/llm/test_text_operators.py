@@ -250,6 +250,23 @@ def test_kneser_ney_matches_brute_force(spark):
         assert math.isclose(row.perplexity, 10 ** (-want / (len(t) + 1)), rel_tol=1e-4)
 
 
+def test_quality_keeps_rare_ngrams_of_large_text(spark):
+    """With its defaults, too, the model is that of brute force: 2.5 million characters leave out nothing."""
+    texts = [words(12, i, 0) for i in range(15)] + ["qx"]
+    often = "ab " * 850_000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([often, *texts])], "doc_id bigint, _text string")
+    p = brute_kneser_ney([often, *texts], 3)
+    probe = ["qx", words(5, 99, 0), "zz abq", "", None]
+    model = quality.fit(docs, order=3)
+    got = {r.text: r.perplexity for r in quality.perplexities(
+        spark.createDataFrame([(t,) for t in probe], "text string"), model, ["text"]).collect()}
+    assert got[""] is None and got[None] is None
+    for t in probe[:3]:
+        c = [0, 0] + [int(quality.FOLD[ord(x)]) for x in t] + [1]
+        want = sum(math.log10(p(tuple(c[i - 2:i + 1]))) for i in range(2, len(c)))
+        assert math.isclose(got[t], 10 ** (-want / (len(t) + 1)), rel_tol=1e-5)
+
+
 def test_quality_separates_and_edges(spark):
     rows = [(i, words(60, i, 0), "en" if i % 2 else None) for i in range(200)] + [
         (1000 + i, words(60, 500 + i, 0).upper().replace(" ", "!! "), "en") for i in range(10)] + [(2000, None, "en"), (2001, "", "de")]
