@@ -12,7 +12,9 @@ its result, and both before any call that uses it.  It is returned as sortable
 columns, so a conversation of any length is never gathered in one task.
 
 Defined cases: identifiers used by several calls belong to the smallest (turn,
-name, arguments), the others are counted in ``n_same``; a result without a call
+name, arguments, after), which links them; the others keep a row of their own, marked
+``duplicate`` at the depth of the first, and every row tells by ``n_same`` how many
+other calls share its identifier; a result without a call
 is kept, marked ``orphan``; a call without a result is marked ``unanswered``;
 ``after`` naming an unknown call is marked ``unknown_dependency`` and ignored; calls
 on or behind a cycle are marked ``cycle`` and have depth null, at the end; arguments that
@@ -110,20 +112,28 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> tuple[
     ``tools``: name and the array ``params``, as ``schema_of`` gives it.
     """
     results = results.select("conv_id", "turn", "call_id", "content")
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    calls = calls.select(*KEY, "turn", "name", "arguments", "after")
     first = F.struct("turn", "name", "arguments", "after")
-    one = materialize(calls.groupBy(*KEY).agg(F.min(first).alias("_f"), (F.count(F.lit(1)) - 1).alias("n_same"))
-                      .select(*KEY, "_f.*", "n_same"), "calls")
-    answers = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("n_results"))
-    checked = _errors(one, tools).join(answers, KEY, "left")
-    d = depths(one.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()))
-    linked = checked.join(d, KEY, "left").select(
-        "conv_id", "turn", "call_id", "name", "arguments_json", "errors", "n_same",
+    alike = materialize(calls.groupBy(*KEY, "turn", "name", "arguments", "after").agg(F.count(F.lit(1)).alias("_n")), "calls")
+    one = materialize(alike.where(keyed).groupBy(*KEY).agg(F.min(first).alias("_f"), (F.sum("_n") - 1).alias("n_same")), "first-calls")
+    answers = results.where(keyed).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_results"))
+    d = depths(one.select(*KEY, "_f.after"))
+    known = one.join(answers, KEY, "left").join(d, KEY, "left")
+    # One row for each call: of those equal in every column, the first one alone links.
+    every = (_errors(alike, tools).join(known, KEY, "left")
+             .withColumn("_first", F.coalesce(first.eqNullSafe(F.col("_f")), F.lit(False)))
+             .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))))
+    same = F.coalesce("n_same", F.lit(0)).cast("bigint")
+    duplicate = keyed & ~(F.col("_first") & (F.col("_copy") == 1))
+    linked = every.select(
+        "conv_id", "turn", "call_id", "name", "arguments_json", "errors", same.alias("n_same"),
         F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results"),
-        F.coalesce("mark", F.when(F.col("n_results").isNull(), "unanswered")).alias("mark"),
+        F.when(duplicate, "duplicate").otherwise(
+            F.coalesce("mark", F.when(F.col("n_results").isNull(), "unanswered"))).alias("mark"),
         F.when(F.col("mark").eqNullSafe("cycle"), F.lit(None)).otherwise(F.coalesce("depth", F.lit(0))).alias("depth"))
     linked = materialize(linked, "linked")
-    asked = linked.select(*KEY, F.col("depth").alias("_depth"), F.lit(True).alias("_known"))
+    asked = linked.where(keyed & ~F.col("mark").eqNullSafe("duplicate")).select(*KEY, F.col("depth").alias("_depth"), F.lit(True).alias("_known"))
     back = results.join(asked, KEY, "left").select(
         "conv_id", "turn", "call_id", "content", F.col("_depth").alias("depth"),
         F.when(F.col("_known").isNull(), "orphan").alias("mark"))
@@ -131,9 +141,10 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> tuple[
 
 
 def chat_records(messages: DataFrame, calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
-    """conv_id, depth, turn, kind, call_id, valid, mark, errors, json: one row per message, call and result.
+    """conv_id, depth, turn, kind, call_id, valid, mark, errors, json, n_same: one row per message, call and result.
 
-    A message stands at the depth of the calls of its turn; kinds are 0 message, 1 call, 2 result.
+    A message stands at the depth of the calls of its turn; kinds are 0 message, 1 call, 2 result, 3 call
+    whose identifier belongs to another call (mark ``duplicate``); ``n_same`` is null but for calls.
     """
     messages = messages.select("conv_id", "turn", "role", "text")
     linked, back = link_calls(calls, results, tools)
@@ -143,18 +154,18 @@ def chat_records(messages: DataFrame, calls: DataFrame, results: DataFrame, tool
     message = (messages.join(turns, ["conv_id", "turn"], "left").select(
         "conv_id", "depth", "turn", F.lit(0).alias("kind"), no.cast("string").alias("call_id"), F.lit(True).alias("valid"),
         no.cast("string").alias("mark"), no.cast("string").alias("errors"),
-        F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"}).alias("json")))
+        F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"}).alias("json"), no.cast("bigint").alias("n_same")))
     call = linked.select(
-        "conv_id", "depth", "turn", F.lit(1).alias("kind"), "call_id", (F.size("errors") == 0).alias("valid"), "mark",
+        "conv_id", "depth", "turn", F.when(F.col("mark").eqNullSafe("duplicate"), 3).otherwise(1).alias("kind"), "call_id", (F.size("errors") == 0).alias("valid"), "mark",
         F.array_join("errors", ",").alias("errors"),
         F.to_json(F.struct(F.lit(None).cast("string").alias("content"), F.lit("assistant").alias("role"), F.array(F.struct(
             F.struct(F.col("arguments_json").alias("arguments"), "name").alias("function"), F.col("call_id").alias("id"),
-            F.lit("function").alias("type"))).alias("tool_calls")), {"ignoreNullFields": "false"}).alias("json"))
+            F.lit("function").alias("type"))).alias("tool_calls")), {"ignoreNullFields": "false"}).alias("json"), "n_same")
     result = back.select(
         "conv_id", "depth", "turn", F.lit(2).alias("kind"), "call_id", F.col("mark").isNull().alias("valid"), "mark",
         no.cast("string").alias("errors"),
         F.to_json(F.struct("content", F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id")),
-                  {"ignoreNullFields": "false"}).alias("json"))
+                  {"ignoreNullFields": "false"}).alias("json"), no.cast("bigint").alias("n_same"))
     return message.unionByName(call).unionByName(result)
 
 

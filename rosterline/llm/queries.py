@@ -48,7 +48,7 @@ def op9_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = read_table(spark, sf_dir, "conversations")
-    return chat.chat_records(messages, *chat.derived_calls(messages), chat.tools_frame(spark))
+    return chat.chat_records(messages, *chat.derived_calls(messages), chat.tools_frame(spark)).drop("n_same")
 
 
 QUERIES = {f.__name__: f for f in (

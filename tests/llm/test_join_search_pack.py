@@ -336,6 +336,24 @@ def test_calls_linked_ordered_and_validated(spark):
     assert sum(r.kind == 0 for r in rows) == 4
 
 
+def test_no_call_is_lost(spark):
+    calls = spark.createDataFrame([
+        (1, 0, "a", "lookup", '{"query":"q","limit":3}', None), (1, 0, "a", "lookup", '{"query":"q","limit":3}', None),
+        (1, 0, "a", "summarise", '{"text":"t","max_words":5}', None), (1, 4, "b", "lookup", '{"query":"r","limit":1}', "a"),
+        (None, 0, "n", "lookup", "{}", None), (None, 1, "n", "lookup", "{}", None), (None, 1, "n", "lookup", "{}", None),
+        (1, 5, None, "lookup", "{}", None), (1, 6, None, "summarise", "{}", None)],
+        "conv_id bigint, turn bigint, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, 1, "a", "r"), (1, 5, "b", "s")], "conv_id bigint, turn bigint, call_id string, content string")
+    m = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    rows = chat.chat_records(m, calls, results, chat.tools_frame(spark)).collect()
+    made = [(r.conv_id, r.turn, r.call_id, json.loads(r.json)["tool_calls"][0]["function"]["name"]) for r in rows if r.kind in (1, 3)]
+    assert collections.Counter(made) == collections.Counter(tuple(r)[:4] for r in calls.collect())
+    marks = collections.Counter((r.conv_id, r.call_id, r.kind, r.mark, r.depth, r.n_same) for r in rows if r.kind in (1, 3))
+    assert marks == {(1, "a", 1, None, 0, 2): 1, (1, "a", 3, "duplicate", 0, 2): 2, (1, "b", 1, None, 1, 0): 1,
+                     (None, "n", 1, "unanswered", 0, 0): 3, (1, None, 1, "unanswered", 0, 0): 2}
+    assert [(r.call_id, r.mark, r.depth) for r in rows if r.kind == 2 and r.call_id == "a"] == [("a", None, 0)]
+
+
 def test_long_chains_and_empty_conversations(spark):
     calls = spark.range(300).select(F.lit(7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("c"), "id").alias("call_id"),
                                     F.lit("lookup").alias("name"), F.lit("{}").alias("arguments"),
