@@ -144,6 +144,18 @@ def test_ids_are_those_of_the_tokenizer():
         assert packing.tokenizer().encode_to_numpy(x).tolist() == e.ids
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  \n", "<|endoftext|", "x<|endoftext|>\n\n 12 <|endoftext|>don't", ""]
+    want = {i: t.encode(x, add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got} == {
+        i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_cut_covers_every_length():
     for n in list(range(1, 5000)) + [2048 * 7]:
         parts = packing.cut(n)
