@@ -17,6 +17,7 @@ counts once in ``licences``; repeated rows give repeated results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,12 +93,81 @@ RULES = [
     ("all-rights-reserved", "proprietary", ("copyright", "reserved")),
     ("all-rights-reserved", "proprietary", ("reserved",)),
 ]
+#: licence -> (kind, names by which one-line notices call it)
+NAMES = {
+    "MIT": ("permissive", ["MIT License", "MIT licence"]),
+    "ISC": ("permissive", ["ISC License"]),
+    "0BSD": ("permissive", ["BSD Zero Clause License", "Zero-Clause BSD License"]),
+    "BSD-2-Clause": ("permissive", ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"]),
+    "BSD-3-Clause": ("permissive", ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"]),
+    "Apache-2.0": ("permissive", ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"]),
+    "Zlib": ("permissive", ["zlib License"]),
+    "BSL-1.0": ("permissive", ["Boost Software License, Version 1.0", "Boost Software License 1.0"]),
+    "Unlicense": ("permissive", ["Unlicense"]),
+    "CC0-1.0": ("permissive", ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License",
+                               "Creative Commons Zero v1.0 Universal"]),
+    "MPL-1.1": ("copyleft", ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"]),
+    "MPL-2.0": ("copyleft", ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"]),
+    "EPL-1.0": ("copyleft", ["Eclipse Public License 1.0", "Eclipse Public License v1.0", "Eclipse Public License, Version 1.0",
+                             "Eclipse Public License - v 1.0"]),
+    "EPL-2.0": ("copyleft", ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, Version 2.0",
+                             "Eclipse Public License - v 2.0"]),
+}
+for _id, _name, _versions in (("GPL", "General Public License", ("2.0", "3.0")), ("AGPL", "Affero General Public License", ("3.0",)),
+                              ("LGPL", "Lesser General Public License", ("2.1", "3.0")), ("LGPL", "Library General Public License", ("2.0",))):
+    for _v in _versions:
+        _short = [_v, _v.removesuffix(".0")] if _v.endswith(".0") else [_v]
+        NAMES[f"{_id}-{_v}"] = ("copyleft", [f"GNU {n}{by}{v}{end}" for n in (_name, _id) for v in _short
+                                             for by in (" version ", ", version ", " v", " ")
+                                             for end in ("", " or later", " or any later version", " only")])
+        for _what in ("program", "library", "software", "file"):
+            for _n in _short:
+                _terms = f"This {_what} is free software; you can redistribute it and/or modify it under the terms of the GNU {_name}"
+                for _i, _rest in enumerate((
+                        f" as published by the Free Software Foundation; either version {_n} of the License, or (at your option) any later version",
+                        f" as published by the Free Software Foundation; version {_n} of the License",
+                        f" as published by the Free Software Foundation, version {_n}",
+                        f" version {_n} as published by the Free Software Foundation")):
+                    if _terms + _rest != SENTENCES["gpl-redistribute"].replace(":", ";").replace("Foundation, either", "Foundation; either"):
+                        SENTENCES[f"{_id.lower()}{_n}-{_what}{_i}"] = _terms + _rest
+                        RULES.append((f"{_id}-{_v}", "copyleft", (f"{_id.lower()}{_n}-{_what}{_i}",)))
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _id, _name in _CC.items():
+    for _v, _port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+        _spelt = {_name, _name.replace("NoDerivatives", "NoDerivs"), _name.replace("ShareAlike", "Share Alike")}
+        NAMES[f"CC-{_id}-{_v}"] = (
+            "non-commercial" if "NC" in _id else "no-derivatives" if "ND" in _id else "copyleft" if "SA" in _id else "permissive",
+            [f"CC {_id} {_v}", f"CC-{_id}-{_v}"] + [f"Creative Commons {x} {_v}{port}{end}" for x in sorted(_spelt)
+                                                    for port in ("", f" {_port}") for end in ("", " License")])
+_SAID = ["Licensed under", "Released under", "Distributed under", "Available under"] + [
+    f"This {x} is {y}" for x in ("work", "software", "program", "project", "file", "code")
+    for y in ("licensed under", "released under", "distributed under")]
+SENTENCES |= {
+    "unlicense-domain": "This is free and unencumbered software released into the public domain",
+    "epl1-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 *",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 *",
+    "epl2-v-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 *",
+    "epl2-v2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 *",
+    "bsl1-permission": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+                       "and accompanying documentation covered by this license (the \"Software\") *",
+    "zlib-permission": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+                       "alter it and redistribute it freely, subject to the following restrictions: *",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+}
+RULES += [("Unlicense", "permissive", ("unlicense-domain",)), ("EPL-1.0", "copyleft", ("epl1-terms",)),
+          *[("EPL-2.0", "copyleft", (x,)) for x in ("epl2-terms", "epl2-v-terms", "epl2-v2-terms")],
+          ("BSL-1.0", "permissive", ("bsl1-permission",)), ("Zlib", "permissive", ("zlib-permission",)),
+          ("0BSD", "permissive", ("0bsd-grant",))]
+#: Identifiers of one-line notices and of SPDX lines, "line:" and "spdx:" before the licence.
+RULES += [(licence, kind, (f"{how}:{licence}",)) for licence, (kind, _) in NAMES.items() for how in ("line", "spdx")]
 # ---------------------------------------------------------------------------------------------
 
 _NOT_WORD = re.compile(r"[^0-9a-z*]+")
-_END = re.compile(r"(?<=[.!?])\s+")
+#: The end of a sentence; "v. 2.0" is none.
+_END = re.compile(r"(?<=[.!?])(?:(?<!\bv\.)(?<!\bver\.)|(?!\s+\d))\s+", re.I)
 _PARAGRAPH = re.compile(r"\n\s*\n")
-_HINT = re.compile(r"licen[sc]e|permi|copyright|redistrib|as is", re.I)
+_SPDX = re.compile(r"SPDX-License-Identifier:([^\n]*)", re.I)
 _COMMENT = re.compile(r"^[\s#/*;%-]+", re.M)
 
 
@@ -114,6 +184,11 @@ def _known() -> tuple[dict[str, str], list[tuple[str, str, str]], int]:
             open_.append((normalise(head), normalise(tail), name))
         else:
             exact[normalise(s)] = name
+    for licence, (_, names) in NAMES.items():
+        for n in names:
+            for said in _SAID:
+                for the in (" ", " the ", " a "):
+                    exact.setdefault(normalise(f"{said}{the}{n}"), f"line:{licence}")
     return exact, open_, max(len(k) for k in exact)
 
 
@@ -123,6 +198,21 @@ FIRST = frozenset(k.split(" ")[0] for k in [*EXACT, *(h for h, _, _ in OPEN)])
 _FIRST = re.compile(r"[^0-9A-Za-z]*([0-9A-Za-z]+)")
 
 
+def _hint() -> re.Pattern:
+    """Finds one of a few words of which every known sentence has at least one."""
+    left, words = [set(k.split(" ")) for k in [*EXACT, *(f"{h} {t}".strip() for h, t, _ in OPEN)]], []
+    while left:
+        count = Counter(w for k in left for w in k)
+        words.append(max(count, key=lambda w: (count[w], len(w), w)))
+        left = [k for k in left if words[-1] not in k]
+    return re.compile("|".join(words), re.I)
+
+
+_HINT = _hint()
+#: SPDX identifiers, lower-cased; what follows the version does not change the licence.
+SPDX = {f"{x}{end}".lower(): x for x in NAMES for end in ("", "+", "-only", "-or-later")}
+
+
 def identify(sentence: str) -> str | None:
     """Identifier of a sentence, if it is known."""
     m = _FIRST.match(sentence)
@@ -140,6 +230,10 @@ def identify(sentence: str) -> str | None:
 def identified(t: str) -> list[tuple[int, str]]:
     """(offset, identifier) of the known sentences of a text, in order."""
     found = set()
+    for m in _SPDX.finditer(t):
+        for x in re.finditer(r"[^\s()]+", m[1]):
+            if x[0].lower() in SPDX:
+                found.add((m.start(1) + x.start(), f"spdx:{SPDX[x[0].lower()]}"))
     at = 0
     for line in t.split("\n"):
         name = identify(line)
@@ -163,6 +257,9 @@ def identified(t: str) -> list[tuple[int, str]]:
                 name = identify(s)
                 # Its place is that of its first words in the text as it stands; a line found there counts once.
                 place = t.find(s[:12], first)
+                if name:
+                    start = re.compile(r"[\s#/*;%-]+".join(map(re.escape, s.split()[:3]))).search(t, first)
+                    place = start.start() if start else first
                 first = max(first, place)
                 if name and place not in lines:
                     found.add((place, name))

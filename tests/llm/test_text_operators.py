@@ -298,6 +298,36 @@ MIT = ("Copyright (c) 2020 Someone\n\n" + licences.SENTENCES["mit-grant"].replac
        + ".\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY\nOF ANY KIND, EXPRESS OR IMPLIED.")
 
 
+HEADERS = {
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed "
+               "with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "GPL-2.0": "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License\n# as "
+               "published by the Free Software Foundation; either version 2\n# of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as "
+                "published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as "
+                "published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published "
+               "by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into\nthe public domain.\n\nAnyone is free to copy it.",
+    "EPL-2.0": " * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at x",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-3.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.",
+    "all-rights-reserved": "All rights\nreserved.",
+    "CC0-1.0": "Released under\nCC0 1.0",
+    "LGPL-3.0": "// SPDX-License-Identifier: LGPL-3.0-or-later",
+    "Apache-2.0,MIT": "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */",
+    "": "It says v. 2 of all.\nNo rights are\nlicensed here.",
+}
+
+
+def test_standard_headers_wrapped_over_lines(spark):
+    rows = [(i, t) for i, t in enumerate(HEADERS.values())]
+    got = by_id(licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [got[i][0].licences for i, _ in rows] == list(HEADERS)
+    assert not any("-1:" in got[i][0].places for i, _ in rows)
+
+
 def test_licence_rules(spark):
     rows = [(1, "Words. More words.\nReleased under the MIT License.\nMore."), (2, MIT), (3, "All rights reserved."),
             (4, "Copyright 2001 A. B.\nAll rights reserved"), (5, "The license plate. All rights"), (6, None), (7, ""),
