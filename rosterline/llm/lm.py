@@ -213,7 +213,7 @@ def levels_of(words: list[np.ndarray], n: np.ndarray) -> tuple[dict, np.ndarray]
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2,
-                order: int = 2, word_share: float = 0.0, gram_share: float = 0.0) -> DataFrame:
+                order: int = 3, word_share: float = 0.0, gram_share: float = 0.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     ``gram_share``: n-grams below this share of the training tokens are not stored, nor are those that

@@ -311,6 +311,13 @@ def test_scores_keep_every_ngram(spark, order):
         assert math.isclose(r.score, sum(k * math.log10(p(g)) for g, k in grams.items()), rel_tol=1e-6), i
 
 
+def test_registered_scores_use_two_words_of_context(spark):
+    docs = spark.createDataFrame([(i, f"a b {'c' if i % 2 else 'd'} b {'d' if i % 2 else 'c'}") for i in range(30)], "doc_id bigint, text string")
+    scores = [{r.doc_id: r.score for r in df.collect()} for df in (
+        lm.score_texts(docs), lm.score_texts(docs, order=3), lm.score_texts(docs, order=2))]
+    assert scores[0] == scores[1] and all(abs(scores[0][i] - scores[2][i]) > 1e-6 for i in scores[2])
+
+
 def test_scores_without_training_text(spark):
     assert lm.score_texts(empty_docs(spark)).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
