@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import ann, chat, decontam, jaccard, langid, licences, lm, packing, pii, quality
+from rosterline.llm import ann, chat, decontam, fim, jaccard, langid, licences, lm, merkle, packing, pii, quality, warc
 from rosterline.llm.common import read_table
 
 
@@ -51,7 +51,25 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_records(messages, *chat.derived_calls(messages), chat.tools_frame(spark)).drop("n_same")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op12_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(read_table(spark, sf_dir, "pages"))
+    return warc.parse(warc.read_records(spark, path)).drop("url", "payload")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = merkle.verify(read_table(spark, sf_dir, "documents"))
+    return checked.withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_quality_perplexity, op3_licence_rules, op4_private_spans, op5_learned_partitions,
-    op6_decontamination, op7_language_id, op8_harmonic_packing, op9_trie_scores, op10_tool_calls)}
-SQL = {"op6_decontamination": decontam.ORACLE, "op10_tool_calls": chat.ORACLE}
+    op6_decontamination, op7_language_id, op8_harmonic_packing, op9_trie_scores, op10_tool_calls,
+    op11_fill_in_middle, op12_content_archive, op13_merkle_manifest)}
+SQL = {"op6_decontamination": decontam.ORACLE, "op10_tool_calls": chat.ORACLE,
+       "op11_fill_in_middle": fim.ORACLE, "op12_content_archive": warc.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
