@@ -8,16 +8,17 @@ digest, the digests of its children side by side, and the place of its parent an
 its slot there, across the step from a group's tree to the top tree as well.
 
 ``climb`` is one recursive Spark query.  It starts at every leaf, with the
-leaf's digest or a tampered one; each round joins a row to its parent, emits the
-siblings it finds there as that level's part of the proof, folds its digest with
-them and goes on from the parent.  It ends where a node has no parent.  A round
-emits one row a leaf with the siblings of one level, so what is written grows
-with the length of the proofs, not with its square.
+leaf's digest or a tampered one; each round joins to the parent, emits the
+siblings found there as that level's part of the proof, folds every leaf's digest
+with them and goes on from the parent.  It ends where a node has no parent.  The
+leaves of a run have all siblings above it in common, so they climb as one row
+that holds a digest for each of them and the common siblings once.  A round emits
+the siblings of one level, so what is written grows with the length of the
+proofs, not with its square.
 
 Scale: leaves are numbered by range partitions and offsets, no task sees a
 group.  A node high up is the parent of many rows of a round, so a node above
-``SPAN`` leaves is stored under several salts, one for each ``SPAN`` of them: at most 1/15
-of the leaves in all.  Nothing is broadcast but what the planner measures.
+``SPAN`` leaves is stored under several salts, one for each ``SPAN`` of them.  Nothing is broadcast but what the planner measures.
 
 Defined cases: a null in any hashed column is ``-``; a null group is the first;
 null ids come first; rows with equal ids are ordered by their leaves, equal rows
@@ -41,7 +42,9 @@ from rosterline.operators.upsert import assign_ids
 __all__ = ["leaf_digest", "build", "climb", "verify", "tampered_text", "ORACLE"]
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-ARITY, SPAN = 16, 256
+ARITY, SPAN = 16, 4096
+#: Rows of a level that a task builds, at least.
+ROWS = 50_000
 _TOP = "t"
 
 
@@ -63,14 +66,23 @@ def _hash(digests: Column) -> Column:
     return F.unhex(F.sha2(F.lower(F.hex(digests)), 256))
 
 
-def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The levels above ``nodes`` (tree, pos, digest, span) and the last node of each tree (tree, level, digest, span)."""
-    levels, tops, level = [], None, 0
+def _runs(nodes: DataFrame, of: list[str]) -> DataFrame:
+    """(tree, pos, members) of every ``ARITY`` consecutive nodes; small levels are dealt to few partitions."""
+    spark = nodes.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() // ROWS + 1)
+    return (nodes.withColumn("_run", F.floor(F.col("pos") / ARITY)).repartition(parts, "tree", "_run").groupBy("tree", "_run")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", *of))).alias("members"))
+            .select("tree", F.col("_run").alias("pos"), "members"))
+
+
+def _rise(nodes: DataFrame, level: int) -> tuple[list[DataFrame], DataFrame]:
+    """The levels above ``nodes`` (tree, pos, digest, span), which are at ``level``, and the last node of each
+    tree (tree, level, digest, span)."""
+    levels, tops = [], None
     while True:
-        run = F.floor(F.col("pos") / ARITY).alias("pos")
-        kids = F.array_sort(F.collect_list(F.struct(F.col("pos").alias("at"), F.col("digest").alias("of"))))
-        runs = materialize(nodes.groupBy("tree", run).agg(kids.alias("_k"), F.sum("span").alias("span")).select(
-            "tree", "pos", "span", F.expr("aggregate(_k, cast('' as binary), (a, x) -> concat(a, x.of))").alias("kids")), "runs")
+        runs = materialize(_runs(nodes, ["digest", "span"]).select(
+            "tree", "pos", F.expr("aggregate(members, 0L, (a, x) -> a + x.span)").alias("span"),
+            _joined("digest").alias("kids")), "runs")
         # A tree whose first run holds one node has no other: that node is its last.
         done = (F.col("pos") == 0) & (F.octet_length("kids") == 32)
         top = runs.where(done).select("tree", F.lit(level).alias("level"), F.col("kids").alias("digest"), "span")
@@ -83,35 +95,43 @@ def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         levels.append(nodes)
 
 
-def _all(frames: list[DataFrame], like: DataFrame) -> DataFrame:
-    out = like
-    for f in frames:
-        out = out.unionByName(f)
-    return out
+def _joined(field: str) -> Column:
+    """The members' digests side by side."""
+    return F.expr(f"aggregate(members, cast('' as binary), (a, x) -> concat(a, x.{field}))")
 
 
 def build(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``leaves``: group, id, leaf and any other columns.  Returns (leaves with their place, nodes).
+    """``leaves``: id, group, leaf, start (null: the leaf itself).  Returns (runs, nodes), linked to their parents.
 
-    Both have up_tree, up_level, up_pos (the parent; null for the root), slot and up_salts.
+    A row of ``runs`` holds up to ``ARITY`` consecutive leaves of a group (members: pos, id, leaf, start) and, as
+    digest, level and pos, the node above them; a group's lone leaf is that node itself (level 0).  ``nodes`` are the
+    nodes above those.  Both have up_tree, up_level, up_pos (the parent; no node there for the root), slot and up_salts.
     """
     spark = leaves.sparkSession
     tree = F.coalesce(F.concat(F.lit("s"), F.col("group").cast("string")), F.lit("n"))
-    numbered = leaves.withColumns({"tree": tree, "uid": F.monotonically_increasing_id()})
-    placed = materialize(assign_ids(materialize(numbered, "leaves"), ["id", "leaf", "uid"], "tree", id_col="_nr")
-                         .withColumn("pos", F.col("_nr") - 1).drop("_nr"), "placed")
-    levels, subroots = _levels(placed.select("tree", "pos", F.col("leaf").alias("digest"), F.lit(1).cast("bigint").alias("span")))
+    numbered = materialize(leaves.select(tree.alias("tree"), "id", "leaf", "start", F.monotonically_increasing_id().alias("uid")), "leaves")
+    placed = assign_ids(numbered, ["id", "leaf", "uid"], "tree", id_col="_nr").withColumn("pos", F.col("_nr") - 1)
+    placed = materialize(placed.select("tree", "pos", "id", "leaf", "start"), "placed")
+    lone = (F.col("pos") == 0) & (F.size("members") == 1)
+    runs = _runs(placed, ["id", "leaf", "start"]).withColumns({
+        "level": F.when(lone, 0).otherwise(1), "span": F.size("members").cast("bigint"),
+        "digest": F.when(lone, F.col("members")[0]["leaf"]).otherwise(_hash(_joined("leaf"))),
+        "uid": F.monotonically_increasing_id()})
+    runs = materialize(runs, "runs")
+    node = ["tree", "level", "pos", "digest", "span"]
+    levels, subroots = _rise(runs.where("level = 1").select(*node), 1)
+    subroots = subroots.unionByName(runs.where("level = 0").select(*subroots.columns))
     # Null group before all others, the rest by bytes: as the tree names 'n', 's...' sort.
     tops = materialize(assign_ids(subroots, ["tree"], None, id_col="_nr").withColumn("top", F.col("_nr") - 1).drop("_nr"), "tops")
-    above, _ = _levels(tops.select(F.lit(_TOP).alias("tree"), F.col("top").alias("pos"), "digest", "span"))
-    none = spark.createDataFrame([], "tree string, level int, pos bigint, digest binary, kids binary, span bigint")
-    nodes = materialize(_all(levels + above, none), "tree")
+    above, _ = _rise(tops.select(F.lit(_TOP).alias("tree"), F.col("top").alias("pos"), "digest", "span"), 0)
+    nodes = spark.createDataFrame([], "tree string, level int, pos bigint, digest binary, kids binary, span bigint")
+    for level in levels + above:
+        nodes = nodes.unionByName(level)
     salts = nodes.select(F.col("tree").alias("up_tree"), F.col("level").alias("up_level"), F.col("pos").alias("up_pos"),
                          F.ceil(F.col("span") / SPAN).alias("up_salts"))
     tops = tops.select(F.col("tree").alias("_t"), F.col("level").alias("_l"), "top")
 
     def linked(rows: DataFrame) -> DataFrame:
-        """Rows (tree, level, pos) with the place of their parent."""
         j = rows.join(tops, (F.col("tree") == F.col("_t")) & (F.col("level") == F.col("_l")) & (F.col("pos") == 0), "left")
         at = F.coalesce("top", "pos")
         j = j.withColumns({"up_tree": F.when(F.col("top").isNull(), F.col("tree")).otherwise(F.lit(_TOP)),
@@ -119,7 +139,7 @@ def build(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
                            "up_pos": F.floor(at / ARITY), "slot": F.pmod(at, F.lit(ARITY)).cast("int")})
         return j.drop("_t", "_l", "top").join(salts, ["up_tree", "up_level", "up_pos"], "left")
 
-    return linked(placed.withColumn("level", F.lit(0))), linked(nodes)
+    return materialize(linked(runs), "linked-runs"), materialize(linked(nodes), "linked-nodes")
 
 
 @contextmanager
@@ -134,55 +154,64 @@ def _unlimited(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: ``folded`` holds the digest of each leaf of a run, folded up to the node at hand.
 CLIMB = """WITH RECURSIVE climb AS (
-  SELECT uid, 0 AS step, tree, leaf AS digest, start AS folded, CAST(NULL AS BINARY) AS siblings,
-    up_tree, up_level, up_pos, slot, pmod(uid, up_salts) AS salt FROM {leaves}
+  SELECT uid, 0 AS step, tree, digest, CAST('' AS BINARY) AS siblings, folded, up_tree, up_level, up_pos, slot,
+    pmod(uid, up_salts) AS salt FROM {leaves}
   UNION ALL
-  SELECT c.uid, c.step + 1, n.tree, n.digest,
-    unhex(sha2(lower(hex(concat(substring(n.kids, 1, 32 * c.slot), c.folded, substring(n.kids, 32 * c.slot + 33)))), 256)),
-    concat(substring(n.kids, 1, 32 * c.slot), substring(n.kids, 32 * c.slot + 33)),
+  SELECT c.uid, c.step + 1, n.tree, n.digest, concat(substring(n.kids, 1, 32 * c.slot), substring(n.kids, 32 * c.slot + 33)),
+    transform(c.folded, x -> unhex(sha2(lower(hex(
+      concat(substring(n.kids, 1, 32 * c.slot), x, substring(n.kids, 32 * c.slot + 33)))), 256))),
     n.up_tree, n.up_level, n.up_pos, n.slot, pmod(c.uid, n.up_salts)
   FROM climb c JOIN {nodes} n ON c.up_tree = n.tree AND c.up_level = n.level AND c.up_pos = n.pos AND c.salt = n.salt)
-SELECT uid, step, tree, digest, folded, siblings FROM climb"""
+SELECT uid, step, tree, digest, siblings, folded FROM climb"""
 
 
-def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """uid, step, tree, digest, folded, siblings: a row for each leaf and each of its ancestors.
+def climb(runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """uid, step, tree, digest, siblings, folded: a row for each run of leaves and each of its ancestors.
 
-    ``leaves`` as ``build`` gives them, with ``start``, the digest to fold.  ``folded`` is that digest
-    folded with the siblings of all steps up to this one.
+    The leaves of a run fold on their own; they share all siblings but those within the run, which the
+    first fold takes from the run itself.
     """
-    spark = leaves.sparkSession
-    own = F.ceil(F.col("span") / SPAN)
-    salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), own - 1)))
-    with _unlimited(spark):
-        return materialize(spark.sql(CLIMB, leaves=leaves, nodes=salted), "climb")
+    spark = runs.sparkSession
+    salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("span") / SPAN) - 1)))
+    start = "coalesce(x.start, x.leaf)"
+    first = F.when(F.col("level") == 0, F.expr(f"transform(members, x -> {start})")).otherwise(F.expr(
+        "transform(members, (x, i) -> unhex(sha2(lower(hex(concat(substring(kids, 1, 32 * i), "
+        f"{start}, substring(kids, 32 * i + 33)))), 256)))"))
+    anchor = runs.withColumn("kids", _joined("leaf")).withColumn("folded", first).drop("kids", "members")
+    return spark.sql(CLIMB, leaves=anchor, nodes=salted)
 
 
 def verify(docs: DataFrame, columns: tuple = COLUMNS, doc_id: str = "doc_id", group: str = "source",
-           text: str = "text", every: int = 5) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof (siblings as hex, level by level), folded_root, verified.
+           text: str = "text", every: int = 5, proofs: bool = True) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified and, with ``proofs``, proof: the
+    siblings as hex text, level by level.
 
     Rows whose id's crc32 is divisible by ``every`` are tampered with before the climb: their text is lower-cased.
     """
     cols = {c: F.col(c) for c in columns}
     chosen = F.crc32(F.col(doc_id).cast("string").cast("binary")) % every == 0
-    leaf = leaf_digest(cols)
-    start = F.when(chosen, leaf_digest(cols | {text: tampered_text(text)})).otherwise(leaf)
-    leaves, nodes = build(docs.select(F.col(doc_id).alias("id"), F.col(group).alias("group"), leaf.alias("leaf"), start.alias("start")))
-    leaves, nodes = materialize(leaves, "linked"), materialize(nodes, "linked-nodes")
-    steps = climb(leaves, nodes)
-    digest = F.struct("step", "digest")
-    path = steps.groupBy("uid").agg(
-        F.max_by("folded", "step").alias("folded_root"), F.max_by("digest", "step").alias("root"),
-        F.max(F.when(F.col("tree") != _TOP, digest))["digest"].alias("subroot"),
-        F.array_sort(F.collect_list(F.when(F.col("siblings").isNotNull(), F.struct("step", "siblings")))).alias("_s"))
-    proof = F.expr("aggregate(_s, cast('' as binary), (a, x) -> concat(a, x.siblings))")
-    text_of = lambda c: F.lower(F.hex(c))
-    return leaves.select("uid", "id", "leaf").join(path, "uid").select(
-        F.col("id").alias("doc_id"), text_of("leaf").alias("leaf"), text_of("subroot").alias("subroot"),
-        text_of("root").alias("root"), text_of(proof).alias("proof"), text_of("folded_root").alias("folded_root"),
-        (F.col("folded_root") == F.col("root")).alias("verified"))
+    start = F.when(chosen, leaf_digest(cols | {text: tampered_text(text)}))
+    runs, nodes = build(docs.select(F.col(doc_id).alias("id"), F.col(group).alias("group"), leaf_digest(cols).alias("leaf"),
+                                    start.alias("start")))
+    path = climb(runs, nodes).groupBy("uid").agg(
+        F.max_by("folded", "step").alias("folded"), F.max_by("digest", "step").alias("root"),
+        F.max(F.when(F.col("tree") != _TOP, F.struct("step", "digest")))["digest"].alias("subroot"),
+        F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("_s"))
+    with _unlimited(docs.sparkSession):
+        path = materialize(path.withColumn("above", F.expr("aggregate(_s, cast('' as binary), (a, x) -> concat(a, x.siblings))"))
+                           .drop("_s"), "paths")
+    whole = runs.select("uid", "members", _joined("leaf").alias("kids")).join(path, "uid")
+    each = whole.select("root", "subroot", "above", "kids", "folded", F.posexplode("members").alias("i", "m"))
+    proof = F.lower(F.hex(F.expr("concat(substring(kids, 1, 32 * i), substring(kids, 32 * i + 33), above)")))
+    hexed = lambda c: F.lower(F.hex(c))
+    own = F.element_at("folded", F.col("i") + 1)
+    out = each.select(
+        F.col("m.id").alias("doc_id"), hexed("m.leaf").alias("leaf"), hexed("subroot").alias("subroot"),
+        hexed("root").alias("root"), proof.alias("proof"), hexed(own).alias("folded_root"), (own == F.col("root")).alias("verified"))
+    out = out.withColumn("proof_sha256", F.sha2("proof", 256))
+    return out if proofs else out.drop("proof")
 
 
 ORACLE = """WITH RECURSIVE f AS (
