@@ -1,7 +1,7 @@
 """Export and activation: O1, F3, F7, F8, W5, W6, A11, V2.
 
-The export order is a global sort (range-partitioned, spills); positions come
-from ``assign_ids`` so no list is ever ranked inside a single task.
+The export order is that of ``assign_ids``: rows move once, to the range they sort
+into, and carry their position; no list is ever ranked inside a single task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterline.functions.vocab import LEAD_MAPS
-from rosterline.operators.upsert import assign_ids
+from rosterline.operators.upsert import assign_ids, desc
 from rosterline.schema import EXPORT_COLUMNS, MIN_STAGES
 
 __all__ = ["min_stage", "export", "usable_leads", "usable_lead_counts", "to_lead", "assign_batches",
@@ -30,24 +30,20 @@ def min_stage(contacts: DataFrame, stage: str) -> DataFrame:
 
 # Score desc (NULLs last), then company name ('' for NULL, D9), then id.
 def EXPORT_ORDER() -> list:
-    return [F.desc_nulls_last("qualification_score"),
-            F.coalesce(F.col("company_name"), F.lit("")).asc(), F.col("id").asc()]
+    return [desc("qualification_score"), F.coalesce(F.col("company_name"), F.lit("")), F.col("id")]
 
 
 def export(contacts: DataFrame, stage: str = "sourced", list_id=None,
            with_position: bool = True) -> DataFrame:
     """O1 / V2: 16 export columns in export order, per list.
 
-    ``export_pos`` (1-based, per list) is the order; the rows are not sorted a second time by it
-    (``write_export_csv`` writes each file in this order).  Without positions the frame is sorted.
+    The rows come in order; ``export_pos`` (1-based, per list) states it.
     """
     df = min_stage(contacts, stage)
     if list_id is not None:
         df = df.where(F.col("list_id") == F.lit(list_id))
-    if with_position:
-        df = assign_ids(df, EXPORT_ORDER(), "list_id", id_col="export_pos")
-        return df.select("list_id", "export_pos", *EXPORT_COLUMNS)
-    return df.orderBy("list_id", *EXPORT_ORDER()).select("list_id", *EXPORT_COLUMNS)
+    df = assign_ids(df, EXPORT_ORDER(), "list_id", id_col="export_pos")
+    return df.select("list_id", *(["export_pos"] if with_position else []), *EXPORT_COLUMNS)
 
 
 def _usable(channel: str):

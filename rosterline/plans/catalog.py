@@ -73,7 +73,7 @@ def _contacts_raw(spark: SparkSession, d: str) -> DataFrame:
 def contacts(spark: SparkSession, d: str) -> DataFrame:
     """Contacts after J1 and one T1 advance to the stage their score earns."""
     raw, _ = _contacts_raw(spark, d)
-    raw = raw.drop("_inserted")
+    raw = materialize(raw.drop("_inserted"), "contacts")
     updates = raw.select("list_id", "id", F.expr(STAGE_FROM_SCORE).alias("stage"))
     return advance_stage(raw, updates, NOW).drop("_updated")
 
@@ -1670,8 +1670,8 @@ def q_f13(spark, d):
 # Streaming: X1–X5 (events read as a file stream, availableNow trigger; each
 # result must equal the batch oracle on the same input)
 # ---------------------------------------------------------------------------
-from rosterline.streaming.streams import (file_stream, latest_snapshot, master_of, run_available_now,  # noqa: E402
-                                          single_use, stream_dedupe, stream_funnel, stream_master, stream_upsert,
+from rosterline.streaming.streams import (file_stream, latest_companies, latest_snapshot, master_of,  # noqa: E402
+                                          run_available_now, stream_dedupe, stream_funnel, stream_master, stream_upsert,
                                           stream_upsert_companies, stream_valid_track, to_files)
 
 # Events arrive as five files: four in time order, then one with the last week and some rows that are weeks late.
@@ -1679,18 +1679,29 @@ STREAM_CUTS = ["2024-01-07 00:00:00", "2024-01-13 00:00:00", "2024-01-19 00:00:0
 LATE = "event_id % 97 = 3 AND ts < TIMESTAMP '2024-01-07 00:00:00'"
 
 
-def _event_stream(spark, d):
-    """A file stream of the whole events table, one file of STREAM_CUTS per micro-batch."""
+def _event_stream(spark, d, heartbeat=False):
+    """A file stream of the whole events table, one slice of STREAM_CUTS per micro-batch, each written in parallel.
+
+    ``heartbeat``: a last view and a last click of no real user, ten days on, move the watermark past all events.
+    """
     ev = read_table(spark, d, "events")
     path = _scratch(spark, "events")
     late = F.expr(LATE.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
     when = F.lit(0)
     for i, c in enumerate(STREAM_CUTS):
         when = F.when(F.col("ts") >= F.lit(c).cast("timestamp_ntz"), i + 1).otherwise(when)
-    slot = F.when(late, len(STREAM_CUTS)).otherwise(when)
+    dealt = materialize(ev.withColumn("_slot", F.when(late, len(STREAM_CUTS)).otherwise(when)), "slices")
+    files = max(4, ev.count() // 5_000_000)
     for i in range(len(STREAM_CUTS) + 1):   # one write after another: the stream takes files by time
-        ev.where(slot == i).coalesce(1).write.parquet(_os.path.join(path, f"part={i}"))
-    return (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+        (dealt.where(F.col("_slot") == i).drop("_slot").repartitionByRange(files, "event_id")
+         .write.parquet(_os.path.join(path, f"part={i}")))
+    if heartbeat:
+        beat = ev.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("_t"))
+        fixed = {"ts": F.col("_t"), "event_type": F.col("_e"), "user_id": F.when(F.col("_e") == "view", -1).otherwise(-2)}
+        (beat.withColumn("_e", F.explode(F.array(F.lit("view"), F.lit("click")))).coalesce(1)
+         .select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ev.schema.fields])
+         .write.parquet(_os.path.join(path, "part=last")))
+    return (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files)
             .option("recursiveFileLookup", "true").parquet(path))
 
 
@@ -1714,7 +1725,7 @@ SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY b, ord) AS
   u AS linkedin_url_normalized, 'sourced' AS stage FROM f""")
 def q_x1(spark, d):
     path = _scratch(spark, "stream-upsert")
-    run_available_now(stream_upsert(_stream_hits(spark, d), path, NOW))
+    run_available_now(stream_upsert(_stream_hits(spark, d), path, NOW, buckets=8))
     return latest_snapshot(spark, path).select("list_id", "id", "ord", "linkedin_url_normalized", "stage")
 
 
@@ -1728,8 +1739,8 @@ UNION ALL SELECT list_id, NULL, company_name, source FROM k WHERE dk IS NULL""")
 def q_x1c(spark, d):
     path = _scratch(spark, "stream-companies")
     h = _stream_hits(spark, d).select("ord", "list_id", "company_name", "company_domain", "source")
-    run_available_now(stream_upsert_companies(h, path, NOW))
-    return latest_snapshot(spark, path, whole=True).select("list_id", "company_domain_normalized", "company_name", "source")
+    run_available_now(stream_upsert_companies(h, path, NOW, buckets=8))
+    return latest_companies(spark, path).select("list_id", "company_domain_normalized", "company_name", "source")
 
 
 @register("x2_stream_dedupe", f"""WITH {HITS_CTE},
@@ -1742,7 +1753,7 @@ def q_x2(spark, d):
                       F.when(F.col("linkedin_url_normalized").isNull(), F.col("ord")).alias("null_ord"))
 
 
-# Rows that come weeks late are dropped by the watermarks; the others find their partner.
+# Rows that come weeks late are dropped by the watermarks; the others find their partner, and the heartbeat closes all.
 @register("x3_stream_valid_track", f"""WITH ev AS (SELECT * FROM events WHERE NOT ({LATE})),
 s AS (SELECT event_id AS id, user_id, ts FROM ev WHERE event_type = 'view'),
 r AS (SELECT event_id AS id, user_id, ts FROM ev WHERE event_type = 'click'),
@@ -1751,10 +1762,10 @@ p AS (SELECT r.id AS request_id, s.id AS track_id, r.ts AS r_ts FROM r JOIN s
   QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY s.ts DESC, s.id DESC) = 1)
 SELECT request_id, track_id, r_ts, row_number() OVER (PARTITION BY track_id ORDER BY r_ts, request_id) = 1 AS valid FROM p""")
 def q_x3(spark, d):
-    ev = _event_stream(spark, d)
+    ev = _event_stream(spark, d, heartbeat=True)
     s = ev.where(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("id"), "ts")
     r = ev.where(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("id"), "ts")
-    return single_use(_streamed(spark, stream_valid_track(r, s, 6))).select("request_id", "track_id", "r_ts", "valid")
+    return _streamed(spark, stream_valid_track(r, s, 6)).select("request_id", "track_id", "r_ts", "valid")
 
 
 # Append mode: late rows are dropped, and windows that the last watermark has not passed are still open.
@@ -1770,16 +1781,16 @@ def q_x4(spark, d):
 SELECT * FROM master_all""")
 def q_x5(spark, d):
     path = _scratch(spark, "stream-master")
-    run_available_now(stream_master(_touch_rows(_stream_hits(spark, d)), path))
+    run_available_now(stream_master(_touch_rows(_stream_hits(spark, d)), path, buckets=8))
     return master_of(spark, path)
 
 
 @register("w2_assign_ids", f"""WITH v AS (SELECT * REPLACE (CASE WHEN ord % 6 <> 0 THEN region END AS region) FROM ({duck(V_COMPANIES)}))
 SELECT ord, region, CAST(row_number() OVER (PARTITION BY region ORDER BY employees DESC, ord) AS BIGINT) AS id FROM v""")
 def q_w2(spark, d):
-    from rosterline.operators.upsert import assign_ids
+    from rosterline.operators.upsert import assign_ids, desc
     v = companies_src(spark, d).select("ord", F.when(F.col("ord") % 6 != 0, F.col("region")).alias("region"), "employees")
-    return assign_ids(v, [F.desc("employees"), F.col("ord")], "region").select("ord", "region", "id")
+    return assign_ids(v, [desc("employees"), F.col("ord")], "region").select("ord", "region", "id")
 
 
 # ---------------------------------------------------------------------------
