@@ -1,7 +1,8 @@
 """Provider payload handling.
 
-Payloads stay JSON text in a column; paths are evaluated by Catalyst's JSON
-expressions, so no Python touches a row.
+A payload is parsed once, into a VARIANT column; paths and the items of a response are
+read from that binary form by Catalyst's variant expressions, so the text is not parsed
+again for each path and no Python touches a row.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from rosterline.functions.normalize import clean_phone, strip_ws
 
 __all__ = [
-    "json_path", "parse_payload", "explode_response", "apply_field_map",
+    "json_path", "as_variant", "parse_payload", "explode_response", "apply_field_map",
     "profile_to_contact", "first_nested_phone", "contact_phone", "PROFILE_SCHEMA",
 ]
 
@@ -38,30 +39,45 @@ def parse_payload(c, schema: str) -> Column:
     return F.from_json(_c(c), schema, TOLERANT)
 
 
+def as_variant(c) -> Column:
+    """JSON text, raw control characters allowed, as VARIANT; broken text is NULL."""
+    return F.from_json(_c(c), "variant", TOLERANT)
+
+
+def _parsed(df: DataFrame, payload: str) -> DataFrame:
+    """``df`` with the payload as VARIANT in ``_v``, parsed here unless it already is one."""
+    is_variant = df.schema[payload].dataType.typeName() == "variant"
+    return df.withColumn("_v", F.col(payload) if is_variant else as_variant(payload))
+
+
 def explode_response(df: DataFrame, payload: str, list_path: str,
                      item_col: str = "item", pos_col: str = "pos") -> DataFrame:
     """S3: one output row per element at ``list_path``; a missing list gives no rows.
 
-    Each element is kept as JSON text (``item``) with its position.
+    ``item`` is the element as VARIANT (``to_json`` gives its text), for ``apply_field_map`` or ``try_variant_get``.
     """
-    arr = F.from_json(F.get_json_object(F.col(payload), json_path(list_path)),
-                      "array<string>", TOLERANT)
-    return df.select("*", F.posexplode(arr).alias(pos_col, item_col))
+    items = F.try_variant_get("_v", json_path(list_path), "array<variant>")
+    return _parsed(df, payload).select(*df.columns, F.posexplode(items).alias(pos_col, item_col))
 
 
 def apply_field_map(df: DataFrame, payload: str, mapping: dict[str, str], provider: str,
                     canonical: list[str] | None = None) -> DataFrame:
-    """Provider JSON paths → canonical columns.
+    """Provider JSON paths → canonical columns; ``payload`` is JSON text or VARIANT.
 
     ``mapping`` is {json path: canonical target}.  Targets ``intel.x`` and
     ``provider_ids.p`` are gathered into MAP columns; canonical fields that are
-    not mapped come out NULL; ``source`` is the provider name.
+    not mapped come out NULL; ``source`` is the provider name.  An ``[]`` path gives all its values as a JSON array.
     """
-    p = F.col(payload)
+    def value(path: str) -> Column:
+        at = json_path(path)
+        if "[*]" in at:      # variants have no wildcard: only such a path is read from text
+            return F.get_json_object(F.to_json("_v"), at)
+        return F.try_variant_get("_v", at, "string")
+
     flat: dict[str, Column] = {}
     nested: dict[str, list[tuple[str, Column]]] = {}
     for path, target in mapping.items():
-        v = F.get_json_object(p, json_path(path))
+        v = value(path)
         if "." in target:
             root, key = target.split(".", 1)
             nested.setdefault(root, []).append((key, v))
@@ -76,7 +92,7 @@ def apply_field_map(df: DataFrame, payload: str, mapping: dict[str, str], provid
         m = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in kvs]), F.array(*[v for _, v in kvs]))
         out.append(F.map_filter(m, lambda k, v: v.isNotNull()).alias(root))
     out.append(F.lit(provider).alias("source"))
-    return df.select(*out)
+    return _parsed(df, payload).select(*out)
 
 
 def profile_to_contact(df: DataFrame, payload: str) -> DataFrame:

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterline.functions.dialplan import dial_country
+
 __all__ = [
     "PHONE_TYPE_MAP", "SENIORITY_IDS", "APOLLO_SENIORITIES", "DROPLEADS_SENIORITIES", "REGIONS", "WATERFALLS", "STATUS_SEMANTICS",
-    "PRICES", "LEAD_MAPS", "BATCH_SIZES", "SPEND_GATE", "RUN_CEILINGS", "DIAL_PREFIXES", "COUNTRY_ISO2", "PHONE_TYPE_RANK",
+    "PRICES", "LEAD_MAPS", "BATCH_SIZES", "SPEND_GATE", "RUN_CEILINGS", "COUNTRY_ISO2", "country_names", "PHONE_TYPE_RANK",
     "map_phone_type", "normalize_email_status", "map_seniority", "phone_country",
     "waterfall_df", "status_semantics_df", "prices_df", "literal_map",
 ]
@@ -112,6 +114,13 @@ PRICES = [
     ("web_research", "company_search", "credit", 0.0, "free"),
     ("web_research", "company_enrich", "credit", 0.0, "free"),
     ("web_research", "people_search", "credit", 0.0, "free"),
+    ("prospeo", "company_search", "credit", 1.0, "request with results"),
+    ("prospeo", "people_search", "credit", 0.0, "free"),
+    ("prospeo", "company_enrich", "credit", 1.0, "match"),
+    ("ai-ark", "linkedin_url_lookup", "credit", 1.0, "match"),
+    ("leadmagic", "linkedin_url_lookup", "credit", 1.0, "match"),
+    ("leadmagic", "linkedin_url_lookup_by_email", "credit", 5.0, "match"),
+    ("web_research", "linkedin_url_lookup", "credit", 0.0, "free"),
 ]
 # Profile scraping prices in USD per profile by mode, plus the per-run start fee.
 APIFY_PER_PROFILE = {"short": 0.004, "full": 0.008, "full_email": 0.012}
@@ -141,27 +150,27 @@ LEAD_MAPS = {
 # Phone type preference (W4): lower is better.
 PHONE_TYPE_RANK = {"mobile": 1, "direct_dial": 2, "switchboard": 3}
 
-# International dial prefixes (public ITU assignments) for the countries we use.
-DIAL_PREFIXES = {
-    "1": "US", "7": "RU", "20": "EG", "27": "ZA", "30": "GR", "31": "NL", "32": "BE", "33": "FR",
-    "34": "ES", "36": "HU", "39": "IT", "40": "RO", "41": "CH", "43": "AT", "44": "GB",
-    "45": "DK", "46": "SE", "47": "NO", "48": "PL", "49": "DE", "51": "PE", "52": "MX",
-    "54": "AR", "55": "BR", "56": "CL", "57": "CO", "58": "VE", "60": "MY", "61": "AU",
-    "62": "ID", "63": "PH", "64": "NZ", "65": "SG", "66": "TH", "81": "JP", "82": "KR",
-    "84": "VN", "86": "CN", "90": "TR", "91": "IN", "92": "PK", "212": "MA", "234": "NG",
-    "254": "KE", "351": "PT", "352": "LU", "353": "IE", "354": "IS", "358": "FI",
-    "420": "CZ", "421": "SK", "966": "SA", "971": "AE", "972": "IL", "1242": "BS",
-    "1246": "BB", "1876": "JM",
-}
+# English country names as they stand in contact records, beyond those that the JVM's locale data gives.
 COUNTRY_ISO2 = {
     "Austria": "AT", "Belgium": "BE", "Denmark": "DK", "Finland": "FI", "France": "FR",
     "Germany": "DE", "Ireland": "IE", "Italy": "IT", "Luxembourg": "LU", "Netherlands": "NL",
     "Norway": "NO", "Poland": "PL", "Portugal": "PT", "Spain": "ES", "Sweden": "SE",
     "Switzerland": "CH", "United Kingdom": "GB", "Iceland": "IS", "United States": "US",
-    "Canada": "CA",
+    "Canada": "CA", "UK": "GB", "Great Britain": "GB", "USA": "US", "United States of America": "US", "Czech Republic": "CZ",
+    "Turkey": "TR", "Russian Federation": "RU", "Viet Nam": "VN", "Korea, Republic of": "KR", "The Netherlands": "NL",
+    "Hong Kong": "HK", "Macau": "MO", "Ivory Coast": "CI", "Burma": "MM", "Swaziland": "SZ", "Macedonia": "MK",
 }
 
 
+def country_names() -> dict[str, str]:
+    """English name to ISO-2 code of every country in the JVM's locale data, and the names above."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return dict(COUNTRY_ISO2)
+    locale = spark._jvm.java.util.Locale
+    return {locale("", c).getDisplayCountry(locale.ENGLISH): c for c in locale.getISOCountries()} | COUNTRY_ISO2
+
+
 def literal_map(d: dict) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
 
@@ -207,20 +216,18 @@ def map_seniority(arr, provider: str = "apify") -> Column:
                     lambda x: x.isNotNull())
 
 
-def phone_country(phone, country=None, max_prefix_len: int = 4) -> Column:
-    """N14 (expression form): longest dial prefix → ISO-2, else the contact country.
+def phone_country(phone, country=None, names: dict[str, str] | None = None) -> Column:
+    """The country of the number's longest dial prefix → ISO-2, else the contact's country.
 
-    The prefix table is a literal map, so lookups are codegen'd map probes for
-    each prefix length, longest first; no join is needed.
+    The number counts as international if it starts with ``+`` or ``00``.  ``names`` maps country names to codes
+    (default ``country_names()``).
     """
     digits = F.regexp_replace(F.regexp_replace(_c(phone), r"[^0-9+]", ""), r"^00", "+")
-    body = F.when(digits.startswith("+"), F.substring(digits, F.lit(2), F.length(digits)))
-    m = literal_map(DIAL_PREFIXES)
-    by_prefix = F.coalesce(*[F.try_element_at(m, F.substring(body, 1, n))
-                             for n in range(max_prefix_len, 0, -1)])
+    body = F.when(digits.startswith("+"), F.regexp_replace(digits, r"\+", ""))
+    by_prefix = dial_country(body)
     if country is None:
         return by_prefix
-    return F.coalesce(by_prefix, F.try_element_at(literal_map(COUNTRY_ISO2), _c(country)))
+    return F.coalesce(by_prefix, F.try_element_at(literal_map(names or country_names()), _c(country)))
 
 
 # --- dimension tables -------------------------------------------------------

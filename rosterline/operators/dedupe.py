@@ -1,7 +1,7 @@
 """Cross-source pooling and dedup: A2, A3, A4, A8.
 
 "Richest record" (D25) = most non-blank canonical fields, ties to the earliest
-input row.  Every pass is a ``max_by`` aggregation on the key, so a hot key
+input row.  Every pass is a hash aggregation of the keys and one number, so a hot key
 (a free-mail host, a giant employer) is reduced map-side before the shuffle.
 """
 
@@ -24,10 +24,10 @@ def richness(cols: list[str]) -> Column:
 
 def _richest(df: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
     """The row with most filled fields, then the smallest ``ord``, per key; rows with a NULL among
-    ``keys`` stay apart.  Filled and ``ord`` are packed into one bigint, so that a hash aggregation
-    finds the winners and the wide rows are only semi-joined."""
+    ``keys`` stay apart.  Filled and ``ord`` are one decimal with room for any bigint, so that a hash
+    aggregation finds the winners and the wide rows are only semi-joined."""
     x = (df.withColumn("_own", own_if_null(keys, "ord"))
-         .withColumn("_best", F.shiftleft(F.col("_filled").cast("bigint"), 48) - F.col("ord")))
+         .withColumn("_best", F.col("_filled").cast("decimal(10,0)") * F.lit(str(10 ** 19)).cast("decimal(20,0)") - F.col("ord").cast("decimal(20,0)")))
     best = x.groupBy(*group, *keys, "_own").agg(F.max("_best").alias("_best"))
     return keep_rows(x, best, [*group, *keys, "_own", "_best"]).drop("_own", "_best")
 
@@ -56,7 +56,7 @@ def dedupe_contacts(df: DataFrame, fields: list[str], group: list[str] | None =
     x = (df.withColumn("dedup_key", F.coalesce(normalize_linkedin_url("linkedin_url"), F.when(named, name_key)))
          .withColumn("_filled", richness(fields)).withColumn("_own2", own_if_null(["dedup_key"], "ord")))
     ids = (x.select(*g, "dedup_key", "_own2", "ord", F.explode("provider_ids").alias("_p", "_v"))
-           .groupBy(*g, "dedup_key", "_own2", "_p").agg(F.min_by("_v", "ord").alias("_v"))
+           .groupBy(*g, "dedup_key", "_own2", "_p").agg(F.min(F.struct("ord", "_v"))["_v"].alias("_v"))
            .groupBy(*g, "dedup_key", "_own2").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_v"))).alias("_ids")))
     on = [*g, "dedup_key", "_own2"]
     ids = ids.select("_ids", *[F.col(c).alias(f"_i{i}") for i, c in enumerate(on)])
@@ -82,7 +82,7 @@ def companies_from_people(df: DataFrame, industries: list[str] | None = None, ke
     key = F.coalesce(normalize_domain("company_domain"), normalize_company_name("company_name"))
     return (x.withColumn("company_key", key).where(F.col("company_key").isNotNull())
             .groupBy(*g, "company_key")
-            .agg(F.count(F.lit(1)).alias("people"), F.min_by("company_name", "ord").alias("company_name"),
+            .agg(F.count(F.lit(1)).alias("people"), F.min(F.struct("ord", "company_name"))["company_name"].alias("company_name"),
                  F.min("ord").alias("first_ord")))
 
 

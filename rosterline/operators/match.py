@@ -7,9 +7,11 @@ Scale notes
   (sort-merge, or AQE's runtime broadcast when the measured side is small).
 * Ambiguity checks and "first match" rules are aggregations (partial + final),
   never windows over a whole hot key.
-* The track-id join (J12) never pairs all rows of a user: rows are bucketed by
-  (user, 6-hour slot) and each search is copied into its own and the next
-  slot, so a task holds at most two slots of one user.
+* Rows with a NULL key match nothing in a left join, but would all be sent to one task:
+  their key becomes a value of their own before the shuffle (``spread_null``).
+* The track-id join (J12) never pairs all rows of a user: within five-minute slots of a
+  user a window finds the last search up to each request, and only each slot's last search is
+  carried on to later slots.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from rosterline.functions.normalize import (email_domain, normalize_domain, normalize_linkedin_url,
                                             slug_candidates, strip_ws)
 from rosterline.functions.vocab import REGIONS
+from rosterline.operators.upsert import hashable, spread_null
 
 __all__ = [
     "rollup_master", "crossref_master", "suppress_master", "crm_dedupe", "with_intel",
@@ -71,7 +74,8 @@ def crossref_master(urls: DataFrame, master: DataFrame, url_col: str = "url") ->
                       F.col("overall_status").alias("_overall"), F.col("first_name").alias("_fn"),
                       F.col("last_name").alias("_ln"), F.col("company_name").alias("_cn"),
                       F.lit(True).alias("_found"))
-    j = urls.withColumn("_key", normalize_linkedin_url(url_col)).join(m, F.col("_key") == F.col("_mk"), "left")
+    key = spread_null(normalize_linkedin_url(url_col), *hashable(urls))
+    j = urls.withColumn("_key", key).join(m, F.col("_key") == F.col("_mk"), "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
     status = (F.when(~found, "new")
               .when(F.col("_unsub"), "unsubscribed")
@@ -102,7 +106,7 @@ def crm_dedupe(values: DataFrame, crm: DataFrame, value_col: str = "value") -> D
     v = values.select(F.lower(strip_ws(F.col(value_col))).alias("value")).where(
         F.col("value").isNotNull() & (F.col("value") != "")).distinct()
     first = (crm.select(F.lower(strip_ws(F.col("key"))).alias("value"), "id", "name", "ord")
-             .groupBy("value").agg(F.min_by(F.struct("id", "name"), "ord").alias("_m")))
+             .groupBy("value").agg(F.min(F.struct("ord", "id", "name")).alias("_m")))
     j = v.join(first, "value", "left")
     return j.select("value", F.col("_m").isNotNull().alias("exists"), F.col("_m.id").alias("id"),
                     F.col("_m.name").alias("name"))
@@ -116,7 +120,7 @@ def with_intel(contacts: DataFrame, companies: DataFrame, prefix: str = "account
         "list_id", F.col("company_domain_normalized").alias("_k"),
         *[F.col(c).alias(prefix + c) for c in companies.columns
           if c not in ("list_id", "company_domain_normalized", "_status", "_n_new")])
-    return (contacts.withColumn("_k", normalize_domain("company_domain"))
+    return (contacts.withColumn("_k", spread_null(normalize_domain("company_domain"), *hashable(contacts)))
             .join(comp, ["list_id", "_k"], "left").drop("_k"))
 
 
@@ -134,7 +138,7 @@ def expand_regions(df: DataFrame, col: str = "geography", regions: DataFrame | N
         countries = F.try_element_at(m, F.col(col))
         return df.select(F.explode(F.coalesce(countries, F.array(F.col(col)))).alias(col)).distinct()
     grouped = regions.groupBy("region").agg(F.collect_list("country").alias("_cs"))
-    j = df.join(F.broadcast(grouped), F.col(col) == F.col("region"), "left")
+    j = df.select(col).distinct().join(grouped, F.col(col) == F.col("region"), "left")   # distinct first: names are few
     return j.select(F.explode(F.coalesce("_cs", F.array(F.col(col)))).alias(col)).distinct()
 
 
@@ -171,12 +175,13 @@ def backfill_domain(df: DataFrame, brief: DataFrame | None = None, group_col: st
     if brief is not None:
         b = brief.select(F.col("company_name").alias("_bn"), F.col("domain").alias("_brief")) \
             .groupBy("_bn").agg(F.min("_brief").alias("_brief"))
-        out = out.join(b, F.col("company_name") == F.col("_bn"), "left").drop("_bn")
+        out = out.join(b, spread_null("company_name", *hashable(df)) == F.col("_bn"), "left").drop("_bn")
     else:
         out = out.withColumn("_brief", F.lit(None).cast("string"))
     peer = (out.where(F.col("_own").isNotNull())
-            .groupBy(group_col, "company_name").agg(F.min_by("_own", "ord").alias("_peer")))
-    out = out.join(peer, [group_col, "company_name"], "left")
+            .groupBy(group_col, "company_name").agg(F.min(F.struct("ord", "_own"))["_own"].alias("_peer")))
+    peer = peer.withColumnsRenamed({group_col: "_pg", "company_name": "_pn"})
+    out = out.join(peer, (F.col(group_col) == F.col("_pg")) & (spread_null("company_name", *hashable(df)) == F.col("_pn")), "left").drop("_pg", "_pn")
     mail = email_domain("email") if "email" in df.columns else F.lit(None).cast("string")
     out = out.withColumn("_mail", mail)
     src = (F.when(F.col("_own").isNotNull(), "given").when(F.col("_brief").isNotNull(), "brief")
@@ -314,7 +319,7 @@ def mark_exclusions(df: DataFrame, titles: list[str] | None = None, company_type
     if domains is not None:
         dk = domains.select(normalize_domain(F.col(domains.columns[0])).alias("_xd")).distinct() \
             .withColumn("_xhit", F.lit(True))
-        df = df.withColumn("_xd", normalize_domain(domain_col)).join(dk, "_xd", "left")
+        df = df.withColumn("_xd", spread_null(normalize_domain(domain_col), *hashable(df))).join(dk, "_xd", "left")
         reason = F.when(F.col("_xhit"), F.lit("excluded_domain"))
     if company_types and type_col in df.columns:
         reason = F.coalesce(reason, F.when(F.col(type_col).rlike(keyword_regex(company_types)), "excluded_company_type"))

@@ -31,7 +31,7 @@ from rosterline.schema import (ADVANCE_COLS, CONTACT_SCHEMA, COMPANY_SCHEMA, STA
                                STAGES, conform)
 
 __all__ = [
-    "first_per_key", "desc", "assign_ids", "assign_ids_by_position", "keep_rows", "own_if_null", "spread_null", "upsert_contacts", "upsert_counters", "upsert_companies",
+    "first_per_key", "desc", "assign_ids", "assign_ids_by_position", "keep_rows", "own_if_null", "spread_null", "hashable", "upsert_contacts", "upsert_counters", "upsert_companies",
     "company_counters", "advance_stage", "create_lists", "not_found", "by_provider_id",
 ]
 
@@ -47,6 +47,11 @@ def spread_null(key, *by) -> Column:
     return F.coalesce(k, F.concat(F.lit("\u0000"), F.xxhash64(*by).cast("string")))
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns whose values tell rows apart by a hash (maps and variants have none)."""
+    return [f"`{f.name}`" for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+
+
 # --- W1 ---------------------------------------------------------------------
 
 def keep_rows(df: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
@@ -183,7 +188,8 @@ def assign_ids_by_position(df: DataFrame, pos: str, partition_col: str | None =
     """W2 for an order that is one integer position, unique within a group: nothing is sampled or written.
 
     Positions fall into blocks of ``block``, so a (group, block) has at most that many rows however
-    large the group is.  A row's id is its rank in its block plus the rows of earlier blocks plus the
+    large the group is.  They should be dense, as input positions are: with a sparse one (a timestamp) blocks
+    hold few rows each, and a group's blocks are summed up in one task; ``assign_ids`` is for such orders.  A row's id is its rank in its block plus the rows of earlier blocks plus the
     base.  Ids depend on the values alone, so a recomputed task gives the same ones.
     """
     grp = partition_col or "_grp"

@@ -1,7 +1,7 @@
 """Enrichment waterfalls: W3, W4, W7, W8, W9, F5, F6, J10, J11, T2, A6, A7, A10, A14.
 
 All providers' answers are joined at once and the provider rank picks the
-winner with an aggregation (``min_by`` over a rank struct): there is no loop
+winner with an aggregation (the least of a rank struct): there is no loop
 over providers and no window over a whole contact group.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.normalize import full_name, is_member_id, is_vanity, strip_ws
-from rosterline.operators.upsert import keep_rows
+from rosterline.operators.upsert import hashable, keep_rows, spread_null
 from rosterline.functions.vocab import (APIFY_PER_PROFILE, APIFY_RUN_FEE, PHONE_TYPE_RANK, RUN_CEILINGS,
                                         SPEND_GATE, literal_map)
 
@@ -114,7 +114,7 @@ def phone_waterfall(contacts: DataFrame, answers: DataFrame, key: str = "contact
     ok = (F.col("validation") == "valid") | F.col("validation").isNull()
     a = answers.where(F.col("phone").isNotNull() & ok).withColumn(
         "_rk", F.struct(F.coalesce(tr, F.lit(9)).alias("t"), F.col("rank").alias("r"), F.col("ord").alias("o")))
-    win = a.groupBy(key).agg(F.min_by(F.struct("phone", "phone_type", "provider", "validation"), "_rk").alias("_w"))
+    win = a.groupBy(key).agg(F.min(F.struct("_rk", "phone", "phone_type", "provider", "validation")).alias("_w"))
     out = contacts.join(win, key, "left")
     found = F.col("_w").isNotNull()
     return out.select(
@@ -138,8 +138,9 @@ def union_search(frames: list[DataFrame], waterfall: DataFrame, key: str = "link
     pooled = pooled.join(wf, "source", "left")
     mine = F.struct(F.coalesce("_wr", F.lit(2**31 - 1)).alias("r"), F.coalesce("source", F.lit("")).alias("s"), "ord")
     first = pooled.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(mine).alias("_f"))
-    j = pooled.join(first, key, "left")
-    return j.withColumn("net_new", F.col("_f").isNull() | F.col("_f").eqNullSafe(mine)).drop("_f", "_wr")
+    first = first.withColumnRenamed(key, "_fk")
+    j = pooled.join(first, spread_null(key, *hashable(pooled)) == F.col("_fk"), "left")
+    return j.withColumn("net_new", F.col("_f").isNull() | F.col("_f").eqNullSafe(mine)).drop("_f", "_fk", "_wr")
 
 
 def resolve_waterfall(waterfalls: DataFrame, providers: DataFrame, enabled: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,8 @@ from rosterline.operators.report import contacts_detail, list_summary, query_by_
 from rosterline.operators.upsert import (advance_stage, create_lists, first_per_key, not_found,
                                          upsert_contacts, upsert_counters)
 from rosterline.functions.normalize import is_member_id, is_vanity, normalize_linkedin_url
-from rosterline.session import materialize
+from rosterline.session import materialize, scratch_dir
+from rosterline.sources.files import write_bucketed_snapshot
 from rosterline.sources.bindings import (BATCH_SPLIT, NOW, STAGE_FROM_SCORE, V_HITS, duck, hits)
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +120,23 @@ def q_j1(spark, d):
                                      "linkedin_url_normalized", "stage", "qualification_score")
 
 
+def _stored(df, keys):
+    """The frame as a bucketed table (S5), as stored state of an earlier run; its name and files are this run's own."""
+    spark = df.sparkSession
+    return write_bucketed_snapshot(df, "stored_" + _uuid.uuid4().hex, _scratch(spark, "stored"), keys, 8)
+
+
+@register("j1_upsert_stored", f"""WITH {CONTACTS_CTE}
+SELECT list_id, id, ord, linkedin_url_normalized FROM contacts""")
+def q_j1_stored(spark, d):
+    h = hits(spark, d)
+    split = F.lit(BATCH_SPLIT).cast("timestamp_ntz")
+    state = _stored(upsert_contacts(None, h.where(F.col("seen_at") < split), NOW).drop("_inserted"),
+                    ["list_id", "linkedin_url_normalized"])
+    return upsert_contacts(state, h.where(F.col("seen_at") >= split), NOW, stored=True).select(
+        "list_id", "id", "ord", "linkedin_url_normalized")
+
+
 @register("a5_upsert_counters", f"""WITH {CONTACTS_CTE}
 SELECT list_id,
   CAST(count(*) FILTER (WHERE seen_at >= TIMESTAMP '{BATCH_SPLIT}') AS BIGINT) AS inserted,
@@ -131,6 +149,14 @@ def q_a5(spark, d):
     return upsert_counters(batch, res)
 
 
+@register("t1_advance_stored", f"""WITH {CONTACTS_CTE}
+SELECT list_id, id, stage FROM contacts""")
+def q_t1_stored(spark, d):
+    raw, _ = _contacts_raw(spark, d)
+    state = _stored(raw.drop("_inserted"), ["list_id", "id"])
+    return advance_stage(state, state.select("list_id", "id", F.expr(STAGE_FROM_SCORE).alias("stage")), NOW).select("list_id", "id", "stage")
+
+
 @register("t1_advance_stage", f"""WITH {CONTACTS_CTE}
 SELECT list_id, id, stage,
   TIMESTAMP '{NOW}' AS sourced_at,
@@ -305,6 +331,15 @@ def q_j2(spark, d):
     return _company_view(companies(spark, d))
 
 
+@register("j2_upsert_stored", f"""WITH {COMPANIES_CTE}
+SELECT list_id, id, company_domain_normalized, company_name, company_domain, source, verified, enriched,
+  {", ".join(f"intel_{t}" for t in INTEL_TYPES)}, sources_joined FROM companies""")
+def q_j2_stored(spark, d):
+    b1, b2 = _company_batches(spark, d)
+    state = _stored(upsert_companies(None, b1, NOW).drop("_status", "_n_new"), ["list_id", "company_domain_normalized"])
+    return _company_view(upsert_companies(state, b2, NOW, stored=True))
+
+
 @register("a5_company_counters", f"""WITH {COMPANIES_CTE}
 SELECT list_id, CAST(count(*) FILTER (WHERE NOT had_old) AS BIGINT) AS inserted,
   CAST(sum(n_new) - count(*) FILTER (WHERE NOT had_old) AS BIGINT) AS updated,
@@ -506,7 +541,7 @@ e AS (SELECT ord, 0 AS pos, 'a' || CAST(ord AS VARCHAR) || '@x.example' AS email
 @register("s3_explode_response", S3_EXPECTED + "\nSELECT ord, pos, email FROM e")
 def q_s3(spark, d):
     ex = explode_response(_match_payloads(spark, d), "payload", "matches")
-    return ex.select("ord", "pos", F.get_json_object("item", "$.email").alias("email"))
+    return ex.select("ord", "pos", F.try_variant_get("item", "$.email", "string").alias("email"))
 
 
 @register("n15_field_map", S3_EXPECTED + """
@@ -702,16 +737,18 @@ def q_n13(spark, d):
     return h.select("ord", email_domain(e).alias("email_domain"))
 
 
+# Numbers with every kind of prefix: plain, with 00, zones that several countries share, none assigned.
+N14_CASES = [("+49 ", "DE"), ("+44 7", "GB"), ("+352 ", "LU"), ("0049 ", "DE"), ("+999 ", None), ("+1 416 ", "CA"), ("+1 212 ", "US"),
+             ("+1 876 ", "JM"), ("+7 701 ", "KZ"), ("+7 495 ", "RU"), ("+44 1534 ", "JE"), ("+599 7", "BQ"), ("+998 ", "UZ"), ("030 ", None)]
+
+
 @register("n14_phone_country", f"""WITH {HITS_CTE}
-SELECT ord, CASE ord % 5 WHEN 0 THEN 'DE' WHEN 1 THEN 'GB' WHEN 2 THEN 'LU' WHEN 3 THEN 'DE'
+SELECT ord, CASE ord % {len(N14_CASES)} {" ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(N14_CASES) if c)}
   ELSE CASE user_id % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'AT' END END AS iso2 FROM h""")
 def q_n14(spark, d):
     h = hits(spark, d)
-    v = F.col("ord") % 5
-    u = F.col("user_id").cast("string")
-    phone = (F.when(v == 0, F.concat(F.lit("+49 "), u)).when(v == 1, F.concat(F.lit("+44 7"), u))
-             .when(v == 2, F.concat(F.lit("+352 "), u)).when(v == 3, F.concat(F.lit("0049 "), u))
-             .otherwise(F.concat(F.lit("+999 "), u)))
+    phone = F.concat(F.element_at(F.array(*[F.lit(p) for p, _ in N14_CASES]), (F.col("ord") % len(N14_CASES) + 1).cast("int")),
+                     F.lpad(F.col("user_id").cast("string"), 7, "0"))
     country = (F.when(F.col("user_id") % 3 == 0, "Germany").when(F.col("user_id") % 3 == 1, "Austria")
                .otherwise("Atlantis"))
     return h.select("ord", phone_country(phone, country).alias("iso2"))
@@ -999,7 +1036,7 @@ def q_f4(spark, d):
     p = read_table(spark, d, "part").select(
         "p_partkey", F.col("p_name").alias("title"),
         F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("company_type"),
-        F.concat(F.lit("b"), F.substring("p_brand", 7, 10), F.lit(".example")).alias("company_domain"))
+        F.concat(F.lit("b"), F.expr("substring(p_brand, 7)"), F.lit(".example")).alias("company_domain"))
     dom = read_table(spark, d, "supplier").where(F.col("s_acctbal") < 1000).select(
         F.concat(F.lit("b"), F.col("s_suppkey").cast("string"), F.lit(".example")).alias("domain"))
     kept, skipped = apply_exclusions(p, F4_TITLES, F4_TYPES, dom)
@@ -1857,11 +1894,16 @@ from rosterline.sources.files import to_json_map, to_json_pages  # noqa: E402
 
 # Rows per event type stand for billable rows of a provider and capability; one of them has no known price.
 BILLED = [("view", "leadmagic", "email_enrich"), ("click", "apollo", "email_enrich"), ("purchase", "ai-ark", "company_search"),
-          ("signup", "leadmagic", "email_validate"), ("error", "prospeo", "email_enrich")]
+          ("signup", "leadmagic", "email_validate"), ("error", "prospeo", "email_enrich"), ("view", "prospeo", "company_search"),
+          ("click", "prospeo", "people_search"), ("signup", "prospeo", "company_enrich"), ("view", "ai-ark", "linkedin_url_lookup"),
+          ("error", "leadmagic", "linkedin_url_lookup"), ("click", "leadmagic", "linkedin_url_lookup_by_email"),
+          ("purchase", "web_research", "linkedin_url_lookup"), ("signup", "prospeo", "phone_enrich")]
 BILLED_CTE = HITS_CTE + f""",
 bl AS (SELECT provider, capability, CAST(count(*) AS BIGINT) AS billable FROM h JOIN (VALUES {", ".join(map(str, BILLED))})
   AS v(source, provider, capability) USING (source) GROUP BY ALL),
-pr AS (SELECT *, CASE WHEN provider = 'leadmagic' AND capability = 'email_validate' THEN 0.25 WHEN provider <> 'prospeo' THEN 1.0 END AS price FROM bl)"""
+pr AS (SELECT *, CASE WHEN provider = 'leadmagic' AND capability = 'email_validate' THEN 0.25 WHEN capability = 'linkedin_url_lookup_by_email' THEN 5.0
+  WHEN provider = 'web_research' OR (provider = 'prospeo' AND capability = 'people_search') THEN 0.0
+  WHEN provider <> 'prospeo' OR capability LIKE 'company%' THEN 1.0 END AS price FROM bl)"""
 
 
 def _billed(spark, d):

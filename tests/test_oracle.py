@@ -32,3 +32,14 @@ def test_query_matches_oracle(spark, con, name):
         return
     ok, msg = compare(df, con, ORACLES[name])
     assert ok, msg
+
+
+# Queries whose rows come in an order that is part of the result.
+ORDERED = {"o1_export": "list_id, export_pos", "a1_list_summary": "created_at DESC, list_id", "u1_not_found": "list_id, id"}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_order_of_rows(spark, con, name):
+    keys = [k.split()[0] for k in ORDERED[name].split(", ")]
+    got = [tuple(r[k] for k in keys) for r in queries()[name](spark, SF).collect()]
+    assert got == con.execute(f"SELECT {', '.join(keys)} FROM ({ORACLES[name]}) ORDER BY {ORDERED[name]}").fetchall()

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from rosterline import session
+from rosterline.operators import upsert
+from rosterline.operators.activate import export
 from rosterline.operators.match import expand_regions, fresh
 from rosterline.operators.upsert import first_per_key
 from rosterline.plans import catalog as C
@@ -24,28 +27,86 @@ def test_winners_are_narrow_hash_aggregations(spark):
     assert "SortAggregate" not in plan(C.q_a2(spark, SF))
 
 
-def test_plans_that_really_run(spark):
-    """Upserts materialise on the way: every plan that ran is checked, not the scan of the last file."""
-    jvm = spark._jvm
+def test_plans_that_really_run(spark, monkeypatch):
+    """Upserts materialise on the way: every plan that is written is checked, not the scan of the last file."""
     seen = []
+    real = session.materialize
 
-    def scan_all(name):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        before = spark._jsparkSession.sharedState().statusStore().executionsCount()
-        C.REGISTRY[name][0](spark, SF).write.format("noop").mode("overwrite").save()
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        store = spark._jsparkSession.sharedState().statusStore()
-        for i in range(before, store.executionsCount()):
-            ran = store.executionsList(i, 1)
-            seen.append(ran.apply(0).physicalPlanDescription())
-
-    for name in ("j1_upsert_contacts", "o1_export"):
-        scan_all(name)
-    assert len(seen) > 4 and jvm is not None
+    def record(df, tag="stage"):
+        seen.append(plan(df))
+        return real(df, tag)
+
+    for module in (C, upsert):
+        monkeypatch.setattr(module, "materialize", record)
+    for name in ("j1_upsert_contacts", "j2_upsert_companies", "o1_export"):
+        seen.append(plan(C.REGISTRY[name][0](spark, SF)))
+    assert len(seen) > 8
     for p in seen:
         assert not [b for b in BAD if b in p]
 
 
+def stored_plan(spark, monkeypatch, run):
+    """Plans that ``run`` makes with broadcasts off, those it writes on the way included."""
+    seen = []
+    monkeypatch.setattr(upsert, "materialize", lambda df, tag="stage": (seen.append(plan(df)), session.materialize(df, tag))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return "\n".join([*seen, plan(run()), *seen])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def shuffled_above(text, scan):
+    """Whether an Exchange stands between a join and a scan of the table below it."""
+    lines = text.splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    out = []
+    for i, line in enumerate(lines):
+        if scan in line and "Bucketed: true" in line:
+            at, hit = depth(line), False
+            for up in reversed(lines[:i]):
+                if depth(up) < at:
+                    at = depth(up)
+                    if "Join" in up or "Union" in up:
+                        break
+                    hit |= "Exchange" in up
+            out.append(hit)
+    return out
+
+
+def test_stored_state_is_not_shuffled(spark, monkeypatch):
+    """J1, J2, T1 against a bucketed table: only the incoming side moves."""
+    h = C.hits(spark, SF)
+    first = upsert.upsert_contacts(None, h.where("ord % 2 = 0"), C.NOW).drop("_inserted")
+    keyed = C._stored(first, ["list_id", "linkedin_url_normalized"])
+    p = stored_plan(spark, monkeypatch, lambda: upsert.upsert_contacts(keyed, h.where("ord % 2 = 1"), C.NOW, stored=True))
+    assert shuffled_above(p, "stored_") and not any(shuffled_above(p, "stored_"))
+    by_id = C._stored(first, ["list_id", "id"])
+    updates = first.select("list_id", "id", F.lit("qualified").alias("stage"))
+    p = stored_plan(spark, monkeypatch, lambda: upsert.advance_stage(by_id, updates, C.NOW))
+    assert shuffled_above(p, "stored_") and not any(shuffled_above(p, "stored_"))
+    b1, b2 = C._company_batches(spark, SF)
+    state = C._stored(upsert.upsert_companies(None, b1, C.NOW).drop("_status", "_n_new"), ["list_id", "company_domain_normalized"])
+    p = stored_plan(spark, monkeypatch, lambda: upsert.upsert_companies(state, b2, C.NOW, stored=True))
+    assert "FullOuter" in p and shuffled_above(p, "stored_") and not any(shuffled_above(p, "stored_"))
+
+
+def test_export_moves_wide_rows_once(spark, tmp_path):
+    """Order, positions and output come from one exchange of the wide rows; no window, nothing wide is written."""
+    first = session.materialize(upsert.upsert_contacts(None, C.hits(spark, SF), C.NOW).drop("_inserted"), "t")
+    p = plan(export(first, "sourced"))
+    assert p.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in p
+    assert p.count("title#") and len([x for x in p.splitlines() if "Exchange" in x and "Broadcast" not in x]) <= 4
+    rows = export(first, "sourced").collect()
+    assert [(r["list_id"], r["export_pos"]) for r in rows] == sorted((r["list_id"], r["export_pos"]) for r in rows)
+
+
+def test_payload_is_parsed_once(spark):
+    p = plan(C.REGISTRY["n15_field_map"][0](spark, SF))
+    assert p.count("from_json(") == 1 and "get_json_object" not in p
+
+
 def test_fresh_pushes_filter_and_prunes_columns(spark):
     o = read_table(spark, SF, "orders")
     p = plan(fresh(o, "o_orderdate", "1998-08-02 00:00:00", "90 DAYS").select("o_orderkey"))
