@@ -19,9 +19,15 @@ node of the smallest id.  Pairs never become rows: a block gives, per class, its
 number of links and a root within the block, and the roots are joined to
 connected components.
 
+Classes are keyed by the signature of their set, never by an id, so ids may be
+null or shared by different texts: such texts keep their links and their own
+classes.  A row is found again by its id and a hash of its text.
+
 Defined cases: a text without words (or null) is alone in its class, named by
 its own id; fewer than five words form one shingle; repeated rows share a class;
-an empty table gives no rows.
+a null id sorts after all others, and a class whose rows all have null ids has a
+null name (its key still tells it apart); an empty table gives no rows; other columns
+are ignored, or kept by ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,11 +51,16 @@ LEAST_COMMON = 5
 
 
 def expected_recall(t: float, runs: int = RUNS, fanout: float = FANOUT, depth: int = DEPTH) -> float:
-    """Chance that two sets of similarity ``t`` meet in a deepest node of some run."""
+    """Chance that two sets of similarity ``t`` meet in a deepest node of some run and pass the sketch filter there.
+
+    Of ``runs * depth * fanout`` expected choices, the share that lies in both sets is chosen by both.
+    """
     p = 1.0
     for _ in range(depth):
         p = 1 - math.exp(-fanout * t * p)
-    return 1 - (1 - p) ** runs
+    mean = runs * depth * fanout * 2 * t / (1 + t)
+    enough = 1 - sum(math.exp(-mean) * mean ** k / math.factorial(k) for k in range(LEAST_COMMON))
+    return (1 - (1 - p) ** runs) * enough
 
 
 def shingles(raw: bytes, size: int = 5) -> np.ndarray:
@@ -87,7 +98,7 @@ def _sets(b: pa.RecordBatch):
         out["n"].append(len(s))
         for level in range(DEPTH):
             out[f"p{level + 1}"].append([chosen(s, r, level) if len(s) else [] for r in range(RUNS)])
-    yield out | {"doc_id": b.column("doc_id")}
+    yield out | {"doc_id": b.column("doc_id"), "h": b.column("h")}
 
 
 def _full_sets(b: pa.RecordBatch):
@@ -278,21 +289,21 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("x", "label")
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, copy_of, class_id, n_links of every document.
+def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, h, sig; classes of equal sets: sig, copy, first, label, n_links).
 
-    ``copy_of``: smallest id with the same shingles.  ``class_id``: smallest id of
-    the connected component of texts linked by a similarity of at least
-    ``threshold``.  ``n_links``: number of different texts (shingle sets) linked to this one.
+    ``h`` is a hash of the text.  ``copy`` and ``first`` are structs (no_id, doc_id, h) of the first row of the
+    class and of its component; ``label`` names the component.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     nested = "array<array<bigint>>"
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("_text"))
     rows = materialize(map_arrow(source, source.columns, _sets,
-                                 f"doc_id {id_type}, sig binary, n int, p1 {nested}, p2 {nested}"), "sets")
+                                 f"doc_id {id_type}, h bigint, sig binary, n int, p1 {nested}, p2 {nested}"), "sets")
     # The chosen tokens are a function of the set, so any row of a class may give them.
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     classes = materialize(rows.where("sig is not null").groupBy("sig").agg(
-        F.min("doc_id").alias("copy_of"), F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2")),
+        F.min(row).alias("copy"), F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2")),
         "classes")
     members = materialize(members_of(classes), "members")
     lists = members.groupBy("sig").agg(F.collect_set("node").alias("nodes"))
@@ -302,8 +313,9 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, doc_id: str = "do
     dealt = (in_blocks(members).join(known, "sig").repartition(parts, *order).sortWithinPartitions(*order)
              .select("node", "part_a", "part_b", "_own", "sig", "n", "picks", "nodes"))
     kept = materialize(dealt.mapInArrow(_filter(threshold, _schema(dealt)), dealt.schema), "candidates")
-    needed = materialize(kept.select("sig").distinct().join(classes.select("sig", "copy_of"), "sig"), "needed")
-    full = map_arrow(source.join(needed.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi"),
+    needed = kept.select("sig").distinct().join(classes.select("sig", "copy"), "sig").select(
+        F.col("copy.doc_id").alias("_id"), F.col("copy.h").alias("_h")).distinct()
+    full = map_arrow(source.join(needed, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"),
                      ["doc_id", "_text"], _full_sets, "sig binary, toks array<bigint>")
     full = full.groupBy("sig").agg(F.first("toks").alias("toks"))
     joined = kept.join(full, "sig").repartition(parts, *order).sortWithinPartitions(*order)
@@ -312,13 +324,30 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, doc_id: str = "do
     found = materialize(found, "links")
     label = components(found)
     linked = (found.groupBy("sig").agg(F.sum("links").alias("n_links")).join(label, "sig")
-              .join(classes.select("sig", "copy_of"), "sig"))
-    first = linked.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    linked = linked.join(first, "label").select("sig", "class_id", "n_links")
-    return (rows.select("doc_id", "sig").join(classes.select("sig", "copy_of"), "sig", "left").join(linked, "sig", "left")
-            .select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"),
-                    F.coalesce("class_id", "copy_of", "doc_id").alias("class_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+              .join(classes.select("sig", "copy"), "sig"))
+    first = linked.groupBy("label").agg(F.min("copy").alias("first"))
+    linked = linked.join(first, "label").select("sig", "first", "label", "n_links")
+    return rows.select("doc_id", "h", "sig"), classes.select("sig", "copy").join(linked, "sig", "left").select(
+        "sig", "copy", F.coalesce("first", "copy").alias("first"), F.coalesce("label", "sig").alias("label"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def similar_documents(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, copy_of, class_id, n_links, class_key of every document.
+
+    ``copy_of``: smallest id with the same shingles.  ``class_id``: smallest id of
+    the connected component of texts linked by a similarity of at least
+    ``threshold``.  ``n_links``: number of different texts (shingle sets) linked to this one.
+    ``class_key``: hex name of the component, its own even where ids are null or shared; null without words.
+    """
+    rows, classes = _classes(docs, threshold, doc_id, text)
+    # A text without words has no class; its row's own values keep such rows apart in the join.
+    found = classes.withColumnRenamed("sig", "_sig")
+    own = F.coalesce("sig", F.concat(F.lit("-"), F.xxhash64("doc_id", "h").cast("string")).cast("binary"))
+    return rows.join(found, own == F.col("_sig"), "left").select(
+        "doc_id", F.when(F.col("_sig").isNull(), F.col("doc_id")).otherwise(F.col("copy.doc_id")).alias("copy_of"),
+        F.when(F.col("_sig").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.lower(F.hex("label")).alias("class_key"))
 
 
 def _schema(df: DataFrame) -> pa.Schema:
@@ -332,12 +361,15 @@ def _schema_of(ddl: str, df: DataFrame) -> pa.Schema:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first row of each class, with all its columns; texts without words stay.
+    """One row of each class, with all its columns; texts without words stay, all of them.
 
-    The kept row is the one whose id names the class; among repeated rows of that
-    id one stays.
+    The kept row is the one of the smallest id (of the smallest text hash, if several texts share it);
+    among repeated rows of that id and text one stays.
     """
-    first = similar_documents(docs, threshold, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = docs.join(first.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
-    one = kept.dropDuplicates([doc_id])
-    return one.unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
+    rows, classes = _classes(docs, threshold, doc_id, text)
+    first = classes.select("first").distinct().select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    hashed = docs.withColumn("__h", F.xxhash64(F.col(text)))
+    same = (F.col("__h") == F.col("_h")) & F.col(doc_id).eqNullSafe(F.col("_id"))
+    kept = hashed.join(first, same, "left_semi").dropDuplicates([doc_id, "__h"])
+    empty = rows.where("sig is null").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    return kept.unionByName(hashed.join(empty, same, "left_semi")).select(*docs.columns)
