@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterline.session import materialize, read_table
 
-__all__ = ["materialize", "read_table", "map_arrow", "texts_of", "raw_of", "batch_of", "crc_bucket",
+__all__ = ["materialize", "read_table", "bound_batches", "map_arrow", "texts_of", "raw_of", "batch_of", "crc_bucket",
            "mix64", "runs_of"]
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,9 +27,21 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(WORD_BYTES).split()
 
 
+#: Bytes of a record batch between Spark and Python, about; texts differ in length, so a count of rows bounds nothing.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Record batches of this session hold at most ``BATCH_BYTES`` (or one longer row); a smaller limit is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, cols: list, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``fn`` turns a record batch of ``cols`` into dicts of columns; each becomes one batch of ``schema``."""
     picked = df.select(*cols)
+    bound_batches(picked.sparkSession)
     target = _arrow_schema(picked.sparkSession, schema)
 
     def run(batches):

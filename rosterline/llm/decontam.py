@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import map_arrow, raw_of, words_of
+from rosterline.llm.common import bound_batches, map_arrow, raw_of, words_of
 
 __all__ = ["scan_contamination", "drop_contaminated", "windows_of"]
 
@@ -180,6 +180,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, s
 
     out = docs
     for patterns, key in sent_shards(docs, benchmark, window, shard_bytes, item_id, "text"):
+        bound_batches(docs.sparkSession)
         out = out.mapInArrow(clean(patterns, key), docs.schema)
     return out
 

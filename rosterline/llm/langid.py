@@ -7,7 +7,8 @@ word.  A document's language is the one with the largest summed marginals; its
 score is their mean.
 
 The model is fitted on a bounded, per-language sample of snippets (``per_lang``
-snippets of ``snippet`` words, documented parameters); half of the training
+snippets of ``snippet`` words, documented parameters; at most twice as many reach
+the driver, repeated rows or not); half of the training
 sequences are spliced from two languages so that transitions are learned.  It
 has a fixed size (2^16 hashed features x languages) and is broadcast.
 
@@ -28,10 +29,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import crc_bucket, map_arrow, mix64, runs_of, texts_of
+from rosterline.llm.common import bound_batches, crc_bucket, map_arrow, mix64, runs_of, texts_of
 
 __all__ = ["fit", "predict", "keep_known", "label_words"]
 
@@ -182,11 +183,15 @@ def fit(docs: DataFrame, per_lang: int = 1200, snippet: int = 24, doc_id: str =
         return None
     share = F.create_map(*[F.lit(x) for k, n in sizes.items()
                            for x in (k, float(min(1.0, 1.2 * per_lang / n)))])
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # Drawn by id and text, so that rows that share an id are not picked together; repeated rows still are,
+    # so what reaches the driver is limited per language as well, by the same draw.
+    key = F.xxhash64(F.col(doc_id), F.col(text), F.lit(17))
+    draw = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = known.where(draw <= share[F.col(lang)]).select(
-        F.col(text).alias("_text"), F.col(lang).alias("_lang"),
-        F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)).alias("_at"))
-    rows = map_arrow(picked, picked.columns, _snippets(snippet), "words array<string>, lang string").collect()
+        F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.pmod(key, F.lit(1 << 20)).alias("_at"))
+    first = Window.partitionBy("lang").orderBy("words")
+    rows = (map_arrow(picked, picked.columns, _snippets(snippet), "words array<string>, lang string")
+            .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2 * per_lang).drop("_n").collect())
     langs = sorted({r[1] for r in rows})
     if not langs:
         return None
@@ -260,7 +265,7 @@ def marginals(score: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> np.nda
     return post / (post @ np.ones((langs, 1), np.float32))
 
 
-def label_words(model: dict, texts: list[str], chars: int = 3_000_000):
+def label_words(model: dict, texts: list[str], chars: int = 1_000_000):
     """(slice of texts, words per text, distinct words, code of each word, marginals), for about ``chars`` characters at once."""
     for part in runs_of([len(t) for t in texts], chars):
         words = [WORD.findall(t.lower()) if any(map(str.isalpha, t)) else [] for t in texts[part]]
@@ -271,8 +276,8 @@ def label_words(model: dict, texts: list[str], chars: int = 3_000_000):
         coded = pa.array([w for doc in words for w in doc], pa.large_string()).dictionary_encode()
         del words
         distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        score = np.concatenate([word_scores(model["w"], distinct[i:i + 30_000], model["lexicon"])
-                                for i in range(0, len(distinct), 30_000)])
+        score = np.concatenate([word_scores(model["w"], distinct[i:i + 10_000], model["lexicon"]).astype(np.float32)
+                                for i in range(0, len(distinct), 10_000)])
         yield part, sizes, distinct, code, marginals(score[code], model["trans"], sizes[sizes > 0])
 
 
@@ -319,4 +324,5 @@ def keep_known(docs: DataFrame, least: float = 0.5, text: str = "text", **option
             kept = pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_())
             yield b.filter(kept)
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

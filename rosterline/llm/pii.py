@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import batch_of, map_arrow, texts_of
+from rosterline.llm.common import bound_batches, batch_of, map_arrow, texts_of
 
 __all__ = ["KINDS", "base_spans", "fit_from", "find_spans", "find_pii", "mask_pii"]
 
@@ -443,4 +443,5 @@ def mask_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars:
                     cols[chars].to_pylist(), raw, new)], b.schema.field(chars).type)
             yield batch_of(cols, b.schema)
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
