@@ -7,6 +7,12 @@
 5. pack: the texts are tokenised and packed into sequences.
 
 Every stage but the last returns the columns of ``documents``.
+
+Defined cases: a null or empty text, and one without a letter, has no language and goes
+in the first stage; texts of any length are read whole; null ids and ids that several
+texts share are ids like others, texts are told apart by their content; of repeated rows,
+as of near copies, one stays; ties go to the smallest id; an empty table gives no pieces. The
+operators pick the columns they name, so further columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
