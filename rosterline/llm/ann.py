@@ -15,8 +15,12 @@ of its parts; each block keeps its own best ``k``, which are merged per query.
 Queries of a part are dealt to blocks likewise.  Pairs of query and row stay inside numpy.
 
 Defined cases: a vector that is null, zero or holds a null or non-finite
-component takes no part; ties go to the smaller id; the query's own rows (same
-id) are no candidates; fewer candidates give fewer rows; an empty table gives none.
+component takes no part, nor does a row with a null id; vectors of different
+lengths have no cosine, so the rows of each length are searched by themselves (more
+than ``DIMENSIONS`` lengths raise); ties go to the smaller id; every row is a
+candidate but the query's own, so repeated rows, and other rows with the query's
+id, are found like others, and each query row has its own result; fewer candidates
+give fewer rows; an empty table gives none; other columns are ignored.
 If a query's probed parts hold fewer than ``k`` candidates it is routed to all parts.
 """
 
@@ -32,6 +36,8 @@ from rosterline.llm.common import map_arrow, materialize
 
 __all__ = ["nearest", "fit_router"]
 
+DIMENSIONS = 64
+
 
 def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -107,7 +113,7 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, parts: int, epochs: int = 40, rate
 def fit_router(sample: np.ndarray, rows: int, per_part: int, neighbours: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the classifier over balanced parts of the sample's neighbour graph."""
     x = unit(np.unique(sample, axis=0))
-    parts = int(min(256, max(1, rows // per_part), max(1, len(x) // 20)))
+    parts = int(min(max(1, rows // per_part), max(1, len(x) // 20)))    # 20 sampled rows a part, at least
     if parts == 1:
         return np.zeros((x.shape[1], 1)), np.zeros(1)
     label = balanced_parts(knn_graph(x, min(neighbours, len(x) - 1)), x, parts)
@@ -127,13 +133,13 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten(), np.float64).reshape(-1, dim)
 
 
-def _best(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query: (query row, candidate id, score), exact and with ties by id."""
+def _best(q_uids, q, c_uids, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidate rows of each query: (query row, candidate row, score), exact and with ties by id."""
     qn, cn = np.sqrt(np.einsum("ij,ij->i", q, q)), np.sqrt(np.einsum("ij,ij->i", c, c))
-    rows, ids, scores = [], [], []
+    rows, found, scores = [], [], []
     for i in range(0, len(q), 512):
         s = (q[i:i + 512] @ c.T) / qn[i:i + 512, None] / cn
-        s[q_ids[i:i + 512, None] == c_ids] = -np.inf
+        s[q_uids[i:i + 512, None] == c_uids] = -np.inf
         kk = min(k, len(c_ids))
         floor = np.partition(s, len(c_ids) - kk, axis=1)[:, len(c_ids) - kk]
         for j in range(len(s)):
@@ -141,29 +147,28 @@ def _best(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             exact = np.einsum("ij,j->i", c[near], q[i + j]) / (qn[i + j] * cn[near])
             top = np.lexsort((c_ids[near], -exact))[:k]
             rows.append(np.full(len(top), i + j))
-            ids.append(c_ids[near][top])
+            found.append(near[top])
             scores.append(exact[top])
     cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-    return cat(rows, np.int64), cat(ids, np.int64), cat(scores, np.float64)
+    return cat(rows, np.int64), cat(found, np.int64), cat(scores, np.float64)
 
 
-def probes_for(rows: DataFrame, queries: DataFrame, w: np.ndarray, bias: np.ndarray, dim: int, k: int, recall: float) -> int:
+def probes_for(index: DataFrame, queries: DataFrame, w: np.ndarray, bias: np.ndarray, dim: int, k: int, recall: float) -> int:
     """Least number of parts that holds the given share of the true neighbours of some queries.
 
     The queries are few (a bounded sample); their true neighbours are found among all rows, each batch
     of rows giving its own best ``k``.
     """
-    got = queries.select("vec_id", "_v").toArrow()
-    q_ids, q = np.asarray(got.column("vec_id"), np.int64), _matrix(got.column("_v"), dim)
+    got = queries.select("uid", "_v").toArrow()
+    q_uids, q = np.asarray(got.column("uid"), np.int64), _matrix(got.column("_v"), dim)
 
     def best(b: pa.RecordBatch):
-        x = _matrix(b.column("_v"), dim)
-        r, ids, s = _best(q_ids, q, np.asarray(b.column("vec_id"), np.int64), x, k)
-        part = dict(zip(b.column("vec_id").to_pylist(), (unit(x) @ w + bias).argmax(1).tolist()))
-        yield {"q": r, "score": s, "vec_id": ids, "part": [part[i] for i in ids.tolist()]}
+        uids, ids = np.asarray(b.column("uid"), np.int64), np.asarray(b.column("vec_id"), np.int64)
+        r, at, s = _best(q_uids, q, uids, ids, _matrix(b.column("_v"), dim), k)
+        yield {"q": r, "score": s, "vec_id": ids[at], "uid": uids[at], "part": np.asarray(b.column("_part"))[at]}
 
-    found = map_arrow(rows, ["vec_id", "_v"], best, "q int, score double, vec_id bigint, part int")
-    top = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id", "part")), False), 1, k).alias("t"))
+    found = map_arrow(index, ["uid", "vec_id", "_v", "_part"], best, "q int, score double, vec_id bigint, uid bigint, part int")
+    top = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id", "uid", "part")), False), 1, k).alias("t"))
     rank = np.argsort(np.argsort(-(unit(q) @ w + bias), axis=1, kind="stable"), axis=1)
     needed = np.sort([rank[r["q"], x["part"]] for r in top.collect() for x in r["t"]])
     if not len(needed):
@@ -178,13 +183,19 @@ def nearest(vectors: DataFrame, queries, k: int = 5, sample: int = 8000, per_par
     Returns query_id, rank, vec_id, score.  ``sample`` rows fit the router; ``calibrate`` queries, searched
     exactly among all rows, set the number of parts to probe for ``recall``.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vec)
-    total, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not total:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("_v") == dim)
+    sizes = [(r[0], r[1]) for r in rows.groupBy(F.size("_v").alias("dim")).count().orderBy("dim").limit(DIMENSIONS + 1).collect()]
+    if len(sizes) > DIMENSIONS:
+        raise ValueError(f"vectors of more than {DIMENSIONS} different lengths")
+    out = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for dim, total in sizes:
+        out = out.unionByName(_search(rows.where(F.size("_v") == dim), queries, dim, total, k, sample, per_part, recall, calibrate, block))
+    return out
+
+
+def _search(rows: DataFrame, queries, dim: int, total: int, k: int, sample: int, per_part: int, recall: float,
+            calibrate: int, block: int) -> DataFrame:
+    """``nearest`` among rows of ``dim`` components."""
 
     def some(df: DataFrame, n: int, seed: int, of: int) -> DataFrame:
         """About ``n`` rows, at most, by a hash of the id: a recomputed task picks the same ones."""
@@ -196,58 +207,58 @@ def nearest(vectors: DataFrame, queries, k: int = 5, sample: int = 8000, per_par
         picked = rows.limit(sample).select("_v").toArrow()
     w, bias = fit_router(_matrix(picked.column(0), dim), total, per_part)
     parts = len(bias)
-    asked = rows.where(queries)
-    n_asked = asked.count()
-    probes = parts if parts == 1 else min(parts, probes_for(rows, some(asked, calibrate, 2, n_asked), w, bias, dim, k, recall))
 
     def route(n_best: int):
         def run(b: pa.RecordBatch):
             x = unit(_matrix(b.column("_v"), dim))
             z = x @ w + bias
             best = np.argsort(-z, axis=1, kind="stable")[:, :n_best].astype(np.int32)
-            yield {"vec_id": b.column("vec_id"), "_v": b.column("_v"), "_parts": best.tolist()}
+            yield {"uid": b.column("uid"), "vec_id": b.column("vec_id"), "_v": b.column("_v"), "_parts": best.tolist()}
         return run
 
     def by_part(counts: dict[int, int]):
         return F.create_map(*[F.lit(x) for p, n in counts.items() for x in (p, int(n))]).cast("map<int,bigint>")
 
     def per_part_of(df: DataFrame) -> dict[int, int]:
-        return {r[0]: r[1] for r in df.groupBy("_part").count().collect()}  # at most 256 parts
-
-    routed = "vec_id bigint, _v array<double>, _parts array<int>"
-    index = map_arrow(rows, ["vec_id", "_v"], route(1), routed)
-    index = materialize(index.select("vec_id", "_v", F.element_at("_parts", 1).alias("_part")), "ann-index")
+        return {r[0]: r[1] for r in df.groupBy("_part").count().collect()}  # a row a part
+
+    routed, cols = "uid bigint, vec_id bigint, _v array<double>, _parts array<int>", ["uid", "vec_id", "_v"]
+    # A row's number holds from here on: it is written along with the row.
+    index = map_arrow(rows.withColumn("uid", F.monotonically_increasing_id()), cols, route(1), routed)
+    index = materialize(index.select(*cols, F.element_at("_parts", 1).alias("_part")), "ann-index")
+    asked = index.where(queries)
+    probes = parts if parts == 1 else min(parts, probes_for(index, some(asked, calibrate, 2, asked.count()), w, bias, dim, k, recall))
     sizes = per_part_of(index)
-    q = map_arrow(index.where(queries), ["vec_id", "_v"], route(parts), routed)
+    q = map_arrow(asked, cols, route(parts), routed)
     # A query whose probed parts can't hold k others goes on to all parts.
     room = F.aggregate(F.slice("_parts", 1, probes), F.lit(0).cast("bigint"),
                        lambda a, p: a + F.coalesce(by_part(sizes)[p], F.lit(0)))
     q = q.withColumn("_parts", F.when(room > k, F.slice("_parts", 1, probes)).otherwise(F.col("_parts")))
-    q = q.select("vec_id", "_v", F.explode("_parts").alias("_part")).where(F.col("_part").isin(list(sizes)))
+    q = q.select(*cols, F.explode("_parts").alias("_part")).where(F.col("_part").isin(list(sizes)))
     q = materialize(q, "ann-queries")
     # Rows and queries of a part are dealt to blocks; each row block meets each query block once.
     row_blocks = by_part({p: -(-n // block) for p, n in sizes.items()})
     query_blocks = by_part({p: -(-n // block) for p, n in per_part_of(q).items()} or {0: 1})
 
     def dealt(df: DataFrame, own: str, blocks, other: str, others) -> DataFrame:
-        return (df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(3)), blocks[F.col("_part")]).cast("int"))
+        return (df.withColumn(own, F.pmod(F.xxhash64("uid", F.lit(3)), blocks[F.col("_part")]).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), (others[F.col("_part")] - 1).cast("int")))))
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
-                                 "score": pd.Series(dtype="float64")})
-        q_ids, c_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        r, ids, s = _best(q_ids, np.stack(left["_v"].to_numpy()), c_ids, np.stack(right["_v"].to_numpy()), k)
-        return pd.DataFrame({"query_id": q_ids[r], "vec_id": ids, "score": s})
+            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in ("query", "query_id", "uid", "vec_id", "score")})
+        uids, ids = right["uid"].to_numpy(), right["vec_id"].to_numpy()
+        r, at, s = _best(left["uid"].to_numpy(), np.stack(left["_v"].to_numpy()), uids, ids, np.stack(right["_v"].to_numpy()), k)
+        return pd.DataFrame({"query": left["uid"].to_numpy()[r], "query_id": left["vec_id"].to_numpy()[r], "uid": uids[at],
+                             "vec_id": ids[at], "score": s})
 
     keys = ["_part", "_rows", "_asked"]
     found = (dealt(q, "_asked", query_blocks, "_rows", row_blocks).groupBy(*keys)
              .cogroup(dealt(index.where(query_blocks[F.col("_part")].isNotNull()), "_rows", row_blocks, "_asked", query_blocks)
-                      .groupBy(*keys)).applyInPandas(meet, "query_id bigint, vec_id bigint, score double"))
+                      .groupBy(*keys)).applyInPandas(meet, "query bigint, query_id bigint, uid bigint, vec_id bigint, score double"))
     # Each block sends at most k rows a query; the best k are kept.
-    top = found.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct(
-        (-F.col("score")).alias("d"), "vec_id"))).alias("t"))
+    top = found.groupBy("query", "query_id").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("score")).alias("d"), "vec_id", "uid"))).alias("t"))
     return (top.select("query_id", F.posexplode(F.slice("t", 1, k)).alias("pos", "x"))
             .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"),
                     (-F.col("x.d")).alias("score")))
