@@ -1,14 +1,14 @@
-"""Elias-Fano sequences and the n-gram trie of operator 9, over flat numpy arrays that can be memory-mapped."""
+"""Elias-Fano sequences and the n-gram trie of operator 9, over flat numpy arrays viewed in place."""
 
 from __future__ import annotations
 
 import io
-import os
-import tempfile
 
 import numpy as np
 
-__all__ = ["EliasFano", "Trie", "to_bytes", "mapped"]
+from rosterline.llm.common import mix64
+
+__all__ = ["EliasFano", "Children", "Trie", "context_hash", "quantised", "to_bytes", "mapped"]
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, zeros: bool) -> np.ndarray:
@@ -88,91 +88,126 @@ class EliasFano:
         return a
 
 
-class Trie:
-    """N-grams over word classes 0..size-1: monotone pointers per level, quantised discounted probabilities.
+class Children:
+    """The children of one level: for every parent a rising run of ``parent * size + word``, found through its pointer."""
 
-    Level o holds the stored n-grams of order o by (index of the context, word); context -> word pairs
-    become the rising values context * size + word.  ``gamma`` is the weight a context leaves to the
-    next shorter one, so p = share + gamma * p(shorter) sums to one over the words of any context.
-    """
-
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.unigram, self.size = arrays["unigram"], len(arrays["unigram"])
-        self.order = int(arrays["order"][0])
+    def __init__(self, arrays: dict[str, np.ndarray], prefix: str, size: int):
         part = lambda p: {k.removeprefix(p): v for k, v in arrays.items() if k.startswith(p)}
-        self.gamma = {o: arrays[f"gamma{o}"] for o in range(1, self.order)}
-        self.pointers = {o: EliasFano(part(f"ptr{o}.")) for o in range(1, self.order)}
-        self.words = {o: EliasFano(part(f"words{o}.")) for o in range(2, self.order + 1)}
-        self.codes = {o: arrays[f"codes{o}"] for o in range(2, self.order + 1)}
-        self.books = {o: arrays[f"book{o}"] for o in range(2, self.order + 1)}
+        self.pointers, self.values, self.size = EliasFano(part(prefix + "ptr.")), EliasFano(part(prefix + "val.")), size
 
     @staticmethod
-    def build(unigram: np.ndarray, contexts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]],
-              discounts: list[float], levels: int = 4096) -> dict[str, np.ndarray]:
-        """``unigram``: probabilities; ``contexts``: counts of the words as contexts; ``grams``: for each
-        order from 2 the words (n, order), sorted, each with its prefix stored below, and their counts."""
-        size = len(unigram)
-        out = {"unigram": unigram, "order": np.array([len(grams) + 1])}
-        known, totals = np.arange(size)[:, None], contexts
-        for o, ((words, counts), d) in enumerate(zip(grams, discounts), 2):
-            ctx = _index(known, words[:, :-1], size)
-            share = np.maximum(counts - d, 0) / np.maximum(totals[ctx], 1)
-            book, codes = quantised(share, levels)
-            left = 1 - np.bincount(ctx, book[codes], len(known))
-            out |= {f"codes{o}": codes, f"book{o}": book, f"gamma{o - 1}": np.maximum(left, 1e-9)}
-            start = np.searchsorted(ctx, np.arange(len(known) + 1))
-            out |= {f"ptr{o - 1}.{k}": v for k, v in EliasFano.build(start, len(words) + 1).items()}
-            out |= {f"words{o}.{k}": v for k, v in EliasFano.build(
-                ctx * size + words[:, -1], max(1, len(known) * size)).items()}
-            known, totals = words, counts
-        return out
+    def build(values: np.ndarray, parents: int, size: int, prefix: str) -> dict[str, np.ndarray]:
+        start = np.searchsorted(values, np.arange(parents + 1) * size)
+        return ({f"{prefix}ptr.{k}": v for k, v in EliasFano.build(start, len(values) + 1).items()}
+                | {f"{prefix}val.{k}": v for k, v in EliasFano.build(values, max(1, parents * size)).items()})
 
-    def child(self, o: int, at: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index at level o of context ``at`` (level o - 1) followed by ``word``; -1 if not stored."""
+    def find(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Index of child ``word`` of parent ``at``, searched among that parent's children only; -1 if it is not there."""
         out = np.full(len(at), -1)
-        live = np.flatnonzero(at >= 0)
-        if not len(live) or not self.words[o].n:
+        live = np.flatnonzero((at >= 0) & (word >= 0))
+        if not len(live) or not self.values.n:
             return out
         a, w = at[live], word[live]
-        lo, hi = self.pointers[o - 1].get(a), self.pointers[o - 1].get(a + 1)
+        lo, hi = self.pointers.get(a), self.pointers.get(a + 1)
         full = np.flatnonzero(lo < hi)
         live, a, w, lo, hi = live[full], a[full], w[full], lo[full], hi[full]
-        i = self.words[o].successor(a * self.size + w, lo, hi)
+        i = self.values.successor(a * self.size + w, lo, hi)
         inside = np.flatnonzero(i < hi)
-        same = inside[self.words[o].get(i[inside]) == a[inside] * self.size + w[inside]]
+        same = inside[self.values.get(i[inside]) == a[inside] * self.size + w[inside]]
         out[live[same]] = i[same]
         return out
 
-    def probability(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """p(word | history); ``history`` (n, order - 1), nearest word last, -1 where there is none."""
-        p = self.unigram[word].astype(np.float64)
-        for o in range(2, self.order + 1):
-            at = history[:, self.order - o]
-            for depth in range(2, o):  # down from the oldest word of the context
-                nxt = history[:, self.order - o + depth - 1]
-                at = np.where(nxt >= 0, self.child(depth, at, np.maximum(nxt, 0)), -1)
-            live = at >= 0
-            g = self.gamma[o - 1][np.maximum(at, 0)]
-            i = self.child(o, at, word)
-            share = self.books[o][self.codes[o][np.maximum(i, 0)]] if self.words[o].n else 0.0
-            p = np.where(live, np.where(i >= 0, share, 0) + g * p, p)
-        return p
-
-
-def _index(known: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
-    """Row of each context among the sorted n-grams one order below."""
-    if known.shape[1] == 1:
-        return words[:, 0]
-    key = lambda x: np.ascontiguousarray(x.astype(">i8")).view(f"S{8 * x.shape[1]}").ravel()
-    return np.searchsorted(key(known), key(words))
-
-
-def quantised(share: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """A codebook of at most ``levels`` values by quantiles and each share's code; rounds down, so shares still sum to at most 1."""
+
+def quantised(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codebook of at most 2**16 values, 16-bit code of each share).
+
+    Shares are ratios of small counts, so a level's distinct values often fit as they are; otherwise their
+    mantissas are cut to as many bits as do, rounding down, so that shares still sum to at most one.
+    """
+    for bits in (52, 24, 20, 18, 16, 15, 14, 13, 12, 11):
+        cut = (share.view(np.int64) >> (52 - bits) << (52 - bits)).view(np.float64)
+        book = np.unique(np.where(cut < 2.0 ** -31, 0, cut))
+        if len(book) <= 1 << 16:
+            break
     if not len(share):
         return np.zeros(1), np.empty(0, np.uint16)
-    book = np.unique(np.quantile(share, np.linspace(0, 1, levels), method="lower"))
-    return book, (np.searchsorted(book, share, side="right") - 1).astype(np.uint16)
+    return book, (np.searchsorted(book, np.where(cut < 2.0 ** -31, 0, cut))).astype(np.uint16)
+
+
+class Trie:
+    """N-grams in a trie of contexts, nearest word first; every context has its successors.
+
+    Level j (1 to order - 1) holds the contexts of j words, the children of their first j - 1; under each
+    context lie the words seen after it, with the quantised discounted probability they take there, and
+    ``gamma`` is what the context leaves to the next shorter one.  So p = share + gamma * p(shorter) sums to
+    one over the words after any context.  Words are 64-bit hashes; ``names`` are those of this trie.
+    """
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.names, self.order = arrays["names"], int(arrays["order"][0])
+        size = max(1, len(self.names))
+        self.contexts = [Children(arrays, f"c{j}.", size) for j in range(1, self.order)]
+        self.words = [Children(arrays, f"w{j}.", size) for j in range(1, self.order)]
+        self.codes = [arrays[f"code{j}"] for j in range(1, self.order)]
+        self.books = [arrays[f"book{j}"] for j in range(1, self.order)]
+        self.gamma = [arrays[f"gamma{j}"] for j in range(1, self.order)]
+
+    @staticmethod
+    def build(words: list[np.ndarray], n: np.ndarray, discounts: list[float], none: int, passed=None) -> dict[str, np.ndarray]:
+        """``words``: the last word of each n-gram, then those before it, nearest first (``none``: no further word);
+        ``n``: their counts.  ``passed(level, contexts)`` marks contexts that only lead to longer ones here."""
+        names = np.unique(np.concatenate(words))
+        names = names[names != none]
+        size = max(1, len(names))
+        at = [np.where(w == none, -1, np.searchsorted(names, w)) for w in words]
+        out = {"names": names, "order": np.array([len(words)])}
+        node, live, parents = np.zeros(len(n), np.int64), np.arange(len(n)), 1
+        hashed = np.zeros(1, np.uint64)
+        for j, d in enumerate(discounts, 1):
+            live = live[at[j][live] >= 0]
+            values, of = np.unique(node[live] * size + at[j][live], return_inverse=True)
+            node[live] = of
+            out |= Children.build(values, parents, size, f"c{j}.")
+            parents = len(values)
+            hashed = context_hash(hashed[values // size], names[values % size], j)
+            lead = passed(j, hashed) if passed is not None and parents else np.zeros(parents, bool)
+            own = live[~lead[node[live]]]
+            pairs, of = np.unique(node[own] * size + at[0][own], return_inverse=True)
+            count = np.bincount(of, n[own], len(pairs))
+            context = pairs // size
+            total = np.bincount(context, count, parents)
+            book, codes = quantised(np.maximum(count - d, 0) / np.maximum(total[context], 1))
+            out |= Children.build(pairs, parents, size, f"w{j}.") | {f"code{j}": codes, f"book{j}": book, f"gamma{j}": np.where(
+                lead, 1.0, 1 - np.bincount(context, book[codes], parents)).astype(np.float32)}
+        return out
+
+    def number(self, word: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.full(len(word), -1)
+        i = np.minimum(np.searchsorted(self.names, word), len(self.names) - 1)
+        return np.where(self.names[i] == word, i, -1)
+
+    def search(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(share, gamma) of each n-gram, words as for ``build``: its probability is share + gamma * p(last word)."""
+        last = self.number(words[0])
+        share, gamma = np.zeros(len(last)), np.ones(len(last))
+        at = np.zeros(len(last), np.int64)
+        for j in range(1, self.order):
+            at = self.contexts[j - 1].find(at, self.number(words[j]))
+            live = np.flatnonzero(at >= 0)
+            if not len(live):
+                break
+            g = self.gamma[j - 1][at[live]].astype(np.float64)
+            i = self.words[j - 1].find(at[live], last[live])
+            here = np.where(i >= 0, self.books[j - 1][self.codes[j - 1][np.maximum(i, 0)]], 0) if len(self.codes[j - 1]) else 0.0
+            share[live] = here + g * share[live]
+            gamma[live] *= g
+        return share, gamma
+
+
+def context_hash(before: np.ndarray, word: np.ndarray, level: int) -> np.ndarray:
+    """64-bit name of a context: that of its nearer words, and the next word."""
+    return mix64(before ^ mix64(word.view(np.uint64), 1), level)
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
@@ -186,22 +221,17 @@ def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
-def mapped(blob: bytes) -> dict[str, np.ndarray]:
-    """The arrays as views of a memory-mapped scratch file, which has no name any more and goes with the process."""
-    fd, path = tempfile.mkstemp(prefix="levels-")
-    try:
-        with os.fdopen(fd, "wb") as f:
-            f.write(blob)
-        flat = np.memmap(path, np.uint8, "r")
-    finally:
-        os.unlink(path)
-    n = int.from_bytes(blob[:8], "little")
+def mapped(blob) -> dict[str, np.ndarray]:
+    """The arrays as views into the bytes, which may be a record batch's own memory: nothing is copied."""
+    flat = np.frombuffer(blob, np.uint8)
+    n = int.from_bytes(flat[:8].tobytes(), "little")
     at, out = 8 + n, {}
-    for line in blob[8:8 + n].decode().split("\n"):
+    for line in flat[8:8 + n].tobytes().decode().split("\n"):
         name, kind, shape = line.split("|")
         at += -at % 8
         dims = tuple(int(x) for x in shape.split(",") if x)
         size = int(np.prod(dims)) * np.dtype(kind).itemsize
-        out[name] = flat[at:at + size].view(kind).reshape(dims)
+        part = flat[at:at + size]
+        out[name] = (part if part.ctypes.data % 8 == 0 else part.copy()).view(kind).reshape(dims)
         at += size
     return out

@@ -1,26 +1,36 @@
-"""Operator 9: language-model scores from a sharded, compact Elias-Fano n-gram trie.
+"""Operator 9: language-model scores from sharded Elias-Fano n-gram tries.
 
 The model.  Every n-gram of the training texts is stored, at every corpus size:
 p(w | context) = (count - d) / total + gamma * p(w | shorter context), with one
 absolute discount an order, down to (count of w + 1) / (tokens + words + 1).
 What the contexts lose by the discount is what gamma hands on, so probabilities
-sum to one.  ``gram_share`` and ``word_share`` prune (0, the default, keeps all).
-
-The jobs.  (1) Word counts, pre-aggregated per batch, then summed by key.
-(2) Each slice of texts sends its distinct n-grams and their training counts to
-shards by a hash of the last word, so an n-gram and its shorter forms share a
-shard; words that are frequent enough to unbalance it are dealt by the word
-before as well.  (3) A shard counts and keeps a trie, last word first, in
-Elias-Fano sequences; contexts, which lie in many shards, are summed by sharded
-blocks and sent back.  (4) A shard answers each slice's requests, and the slice
-adds them up per text.  Nothing that grows with the input is broadcast.
+sum to one.
+
+The tries (``eliasfano.Trie``).  A shard's trie has its contexts nearest word
+first: monotone pointers lead from a context to its longer ones and to the words
+seen after it, both Elias-Fano sequences, and every word there has the 16-bit
+code of its discounted probability.  An n-gram is looked up by a successor search among
+the children of each context on its path, and nowhere else.
+
+The jobs.  (1) Contexts that hold a large share of all n-grams are found in a
+sample of the texts; that steers routing only, not results.  (2) Each slice of texts sends its
+distinct n-grams, with their training counts, to shards by the nearest word, so
+a context, its totals and its successors share a shard.  A context that is too
+large for one is passed on: its longer contexts are dealt by the next word, and
+its own successors by (context, word), with the totals summed over shards.  Word
+counts are dealt by word.  (3) A shard sums the counts; the sums give the discounts; (4) each shard's trie
+is built once and written to the shared folder.  (5) The slices' n-grams meet the
+tries, are searched, and go back as share and gamma; the slice adds up its texts.
+Rows are blocks of n-grams and never more than n-grams; the only broadcast is the
+list of large contexts, at most ``LARGE`` at any size.
 
 Words, and contexts of several, are known by 64-bit hashes: two of ten million
 collide with probability 3e-6, two of a billion contexts with 0.03.
 
 Defined cases: a null or empty text is its end token alone; with no training
 tokens base_score and score of a text are those of the formulas with zero
-counts; repeated rows give repeated scores.
+counts; repeated rows give repeated scores; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +47,14 @@ from pyspark.sql import functions as F
 
 from rosterline.llm.common import batch_of, crc_bucket, map_arrow, materialize, mix64, runs_of
 from rosterline.llm.common import _arrow_schema as arrow_schema
-from rosterline.llm.eliasfano import EliasFano, mapped, to_bytes
+from rosterline.llm.eliasfano import Children, Trie, context_hash, mapped, quantised, to_bytes
 
 __all__ = ["tokens_of", "score_texts"]
 
 END = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"")).astype(np.int64))
 NONE = np.iinfo(np.int64).min  # stands before the end token that stands before a text
+#: Large contexts at most; tokens of a shard, about; share of the texts that are looked through for large contexts.
+LARGE, SHARD_TOKENS, SAMPLE = 1_000_000, 4_000_000, 16
 
 
 def tokens_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,34 +80,38 @@ def parts_of(b: pa.RecordBatch, size: int = 6_000_000):
         yield b.take(pa.array(np.arange(part.start, part.stop)))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c, a): training count and count over all texts of each word."""
-
-    def run(batch: pa.RecordBatch):
-        for b in parts_of(batch):
-            hashes, code, doc = tokens_of(b.column("_text"))
-            train = np.asarray(b.column("_train"))[doc]
-            a = np.bincount(code, minlength=len(hashes))
-            seen = a > 0
-            yield {"h": hashes[seen], "c": np.bincount(code[train], minlength=len(hashes))[seen], "a": a[seen]}
-
-    rows = map_arrow(docs, ["_text", "_train"], run, "h bigint, c bigint, a bigint")
-    return materialize(rows.groupBy("h").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "word-counts")
-
-
 def histories(cls: np.ndarray, doc: np.ndarray, end: int, order: int) -> np.ndarray:
-    """Classes of the order - 1 tokens before each token, nearest last; before a text stands one end token, then -1."""
-    out = np.full((len(cls), order - 1), -1, np.int64)
+    """Classes of the order - 1 tokens before each token, nearest first; before a text stands one end token, then -1."""
+    out = np.full((order - 1, len(cls)), -1, np.int64)
     first = np.searchsorted(doc, doc)  # position of the first token of the same text
     at = np.arange(len(cls))
     for back in range(1, order):
         src = at - back
-        out[:, order - 1 - back] = np.where(src >= first, cls[np.maximum(src, 0)], np.where(src == first - 1, end, -1))
+        out[back - 1] = np.where(src >= first, cls[np.maximum(src, 0)], np.where(src == first - 1, end, -1))
+    return out
+
+
+def distinct_grams(hashes: np.ndarray, code: np.ndarray, doc: np.ndarray, order: int):
+    """(words of the distinct n-grams, last first; number of the n-gram of each token; last word's class of each)."""
+    past = histories(code, doc, len(hashes) - 1, order)
+    _, one, of = np.unique(code, return_index=True, return_inverse=True)
+    for p in past:
+        _, one, of = np.unique(of * (len(hashes) + 1) + p + 1, return_index=True, return_inverse=True)
+    named = np.append(hashes, NONE)
+    return [named[code[one]]] + [named[p[one]] for p in past], of, code[one]
+
+
+def contexts_of(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Names of the contexts of 1, 2, ... words of each n-gram; 0 where it has no such context."""
+    out, at = [], np.zeros(len(words[0]), np.uint64)
+    for j, w in enumerate(words[1:], 1):
+        at = np.where(w == NONE, np.uint64(0), context_hash(at, w, j))
+        out.append(at)
     return out
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Small non-negative integers, byte planes apart, deflated."""
+    """Integers, byte planes apart, deflated."""
     return zlib.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
@@ -103,9 +119,20 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def words_block(words: list[np.ndarray]) -> list[bytes]:
+    """Words of n-grams as places in a list of the distinct ones."""
+    names, of = np.unique(np.concatenate(words), return_inverse=True)
+    return [packed(np.diff(names, prepend=0))] + [packed(x) for x in np.split(of, len(words))]
+
+
+def words_of_block(block: list[bytes]) -> list[np.ndarray]:
+    names = np.cumsum(unpacked(block[0]))
+    return [names[unpacked(x)] for x in block[1:]]
+
+
 def cat(column, read=unpacked) -> np.ndarray:
     """The arrays of a column of blocks, one after the other."""
-    parts = [read(x) for x in column.to_pylist()]
+    parts = [read(x) for x in column.to_pylist() if x is not None]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
@@ -113,8 +140,46 @@ def sums(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(of, n, size).astype(np.int64)
 
 
-def requests(docs: DataFrame, order: int, shards: int, hot) -> DataFrame:
-    """Per slice of texts one row of shard -1 (its texts and the n-gram of each token), and its distinct n-grams by shard."""
+def large_contexts(docs: DataFrame, order: int, shards: int) -> list[np.ndarray]:
+    """Names, per level, of the contexts that hold over 1 / (8 shards) of the distinct n-grams of slices; a context counts
+    as large only if the one it extends is."""
+    least = max(1 / (8 * shards), 2 / LARGE)
+
+    def run(batch: pa.RecordBatch):
+        for b in parts_of(batch):
+            words, _, _ = distinct_grams(*tokens_of(b.column("_text")), order)
+            out = [(0, 0, len(words[0]))]
+            for j, c in enumerate(contexts_of(words), 1):
+                names, n = np.unique(c[c != 0], return_counts=True)
+                big = n >= least / 2 * len(words[0])
+                out += [(j, int(x), int(k)) for x, k in zip(names[big].view(np.int64), n[big])]
+            level, name, n = zip(*out)
+            yield {"level": level, "name": name, "n": n}
+
+    some = docs.where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLE)) == 0)
+    found = map_arrow(some, ["_text"], run, "level int, name bigint, n bigint").groupBy("level", "name").agg(F.sum("n").alias("n"))
+    found = materialize(found, "large-contexts")
+    total = found.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = found.where((F.col("level") > 0) & (F.col("n") >= least * total)).orderBy(F.desc("n")).limit(LARGE).toArrow()
+    level, name = np.asarray(rows.column("level")), np.asarray(rows.column("name"), np.int64).view(np.uint64)
+    return [np.sort(name[level == j]) for j in range(1, order)]
+
+
+def routes(words: list[np.ndarray], large: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(context that each n-gram is routed by, 0 if all its contexts are large; contexts; which of them are large)."""
+    ctx, lead, by = contexts_of(words), [], np.zeros(len(words[0]), np.uint64)
+    open_ = np.ones(len(by), bool)
+    for c, names in zip(ctx, large):
+        big = open_ & (c != 0) & np.isin(c, names)
+        by = np.where(open_ & ~big, c, by)
+        open_ &= big
+        lead.append(big)
+    return by, ctx, lead
+
+
+def requests(docs: DataFrame, order: int, shards: int, large) -> DataFrame:
+    """Per slice of texts one row of shard -1 (its texts, the n-gram of each token), and what it asks of each shard:
+    whole n-grams, successors of large contexts, and words, each with its training count."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     state: dict = {}
 
@@ -125,205 +190,221 @@ def requests(docs: DataFrame, order: int, shards: int, hot) -> DataFrame:
             number = state[task] = state.get(task, -1) + 1
             yield from slice_of(b, (ctx.partitionId() << 32) + number)
 
+    def home(key: np.ndarray) -> np.ndarray:
+        return (mix64(key, 7) % np.uint64(shards)).astype(np.int64)
+
     def slice_of(b: pa.RecordBatch, number: int):
         hashes, code, doc = tokens_of(b.column("_text"))
-        past = histories(code, doc, len(hashes) - 1, order)
-        of, one = code, None
-        for back in range(1, order):
-            _, one, of = np.unique(of * (len(hashes) + 1) + past[:, order - 1 - back] + 1, return_index=True, return_inverse=True)
-        if one is None:
-            _, one, of = np.unique(code, return_index=True, return_inverse=True)
-        n = sums(of, np.asarray(b.column("_train"))[doc], len(one))
-        named = np.append(hashes, NONE)
-        words = [named[code[one]]] + [named[past[one, order - 1 - back]] for back in range(1, order)]
-        key = words[0].view(np.uint64)
-        if order > 1:
-            key = np.where(np.isin(words[0], hot.value[0]), mix64(words[1].view(np.uint64), 3) ^ key, key)
-        shard = (mix64(key, 7) % np.uint64(shards)).astype(np.int64)
-        by = np.lexsort([*words[::-1], shard])
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        blank = {k: [None] for k in ("doc_id", "train", "sizes", "codes")}
-        ends = np.array([0, b.num_rows], np.int32)
-        yield {"slice": [number], "shard": [-1], "words": [None], "counts": [None],
-               "doc_id": pa.ListArray.from_arrays(pa.array(ends), b.column("doc_id")),
-               "train": pa.ListArray.from_arrays(pa.array(ends), b.column("_train")),
-               "sizes": [packed(np.bincount(doc, minlength=b.num_rows))], "codes": [packed(place[of])]}
-        cut = np.searchsorted(shard[by], np.arange(shards + 1))
-        for s in np.flatnonzero(cut[1:] > cut[:-1]):
-            rows = by[cut[s]:cut[s + 1]]
-            yield blank | {"slice": [number], "shard": [s], "words": [[packed(np.diff(w[rows], prepend=0)) for w in words]],
-                           "counts": [packed(n[rows])]}
+        words, of, last = distinct_grams(hashes, code, doc, order)
+        n = sums(of, np.asarray(b.column("_train"))[doc], len(last))
+        by, ctx, lead = routes(words, large.value)
+        # Whole n-grams, by shard; those without one come last.  This is the order of n-grams from here on.
+        shard = np.where(by == 0, shards, home(by))
+        order_ = np.lexsort([*words[::-1], shard])
+        place = np.empty(len(order_), np.int64)
+        place[order_] = np.arange(len(order_))
+        words, n, last, shard = [w[order_] for w in words], n[order_], last[order_], shard[order_]
+        one, at = np.unique(last, return_inverse=True)
+        blocks = [(shard, words, n), _by_shard(home(hashes[one].view(np.uint64)), [hashes[one]], sums(at, n, len(one)))]
+        uni = _place(home(hashes[one].view(np.uint64)))[at]
+        split = []
+        for j, (c, big) in enumerate(zip(ctx, lead), 1):
+            c, big = c[order_], big[order_]
+            where = np.full(len(n), -1)
+            names, i = np.unique(c[big], return_inverse=True)
+            pair, first, i = np.unique(i * (len(hashes) + 1) + last[big], return_index=True, return_inverse=True)
+            cw, ww = c[big][first], words[0][big][first]
+            to = home(cw ^ mix64(ww.view(np.uint64), 5))
+            where[big] = _place(to)[i]
+            split.append(where)
+            blocks.append(_by_shard(to, [ww, cw.view(np.int64)], sums(i, n[big], len(pair))))
+        ends = pa.array(np.array([0, b.num_rows], np.int32))
+        yield {"slice": [number], "shard": [-1], "asks": [None], "counts": [None],
+               "doc_id": pa.ListArray.from_arrays(ends, b.column("doc_id")),
+               "train": pa.ListArray.from_arrays(ends, b.column("_train")), "sizes": [packed(np.bincount(doc, minlength=b.num_rows))],
+               "codes": [packed(place[of])], "grams": [[packed(uni)] + [packed(x) for x in split]]}
+        blank = {k: [None] for k in ("doc_id", "train", "sizes", "codes", "grams")}
+        cuts = [np.searchsorted(s, np.arange(shards + 1)) for s, _, _ in blocks]
+        for s in range(shards):
+            spans = [slice(c[s], c[s + 1]) for c in cuts]
+            if any(x.stop > x.start for x in spans):
+                yield blank | {"slice": [number], "shard": [s], "asks": [[words_block([w[x] for w in ws]) for x, (_, ws, _) in zip(spans, blocks)]],
+                               "counts": [[packed(k[x]) for x, (_, _, k) in zip(spans, blocks)]]}
 
     return materialize(map_arrow(docs, docs.columns, run, (
-        f"slice bigint, shard int, words array<binary>, counts binary, doc_id array<{id_type}>, train array<boolean>, "
-        "sizes binary, codes binary")), "requests")
-
-
-class Shard:
-    """A shard's trie, last word first: level o holds the n-grams of order o by (index of the n-gram without its
-    first word, that word), an Elias-Fano sequence of rising values index * names + word."""
-
-    def __init__(self, arrays: dict[str, np.ndarray], hot, order: int):
-        part = lambda p: EliasFano({k.removeprefix(p): v for k, v in arrays.items() if k.startswith(p)})
-        self.names, self.n = arrays["names"], [arrays[f"n{o}"] for o in range(1, order + 1)]
-        every = [(lambda e: e.get(np.arange(e.n)) if e.n else np.empty(0, np.int64))(part(f"v{o}.")) for o in range(1, order + 1)]
-        words, size = self.names[every[0]], len(self.names)
-        self.count = self.n[0].copy()  # a frequent word lies in several shards
-        at = np.minimum(np.searchsorted(hot[0], words), len(hot[0]) - 1)
-        self.count = np.where(hot[0][at] == words, hot[1][at], self.count)
-        self.up, self.root, self.context = [None], [np.arange(len(words))], [np.zeros(len(words), np.uint64)]
-        for o, v in enumerate(every[1:], 2):
-            up = v // max(1, size)
-            self.up.append(up)
-            self.root.append(self.root[-1][up])
-            self.context.append(mix64(self.context[-1][up] ^ mix64(self.names[v % max(1, size)].view(np.uint64), 1), o))
-
-    def stored(self, least: int, least_word: float) -> list[np.ndarray]:
-        out = [np.ones(len(self.count), bool)]
-        for n, up, root in zip(self.n[1:], self.up[1:], self.root[1:]):
-            out.append((n >= least) & (self.count[root] >= least_word) & out[-1][up])
-        return out
-
-    def contexts(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context keys by their shard, the ends of the shards, place of the context of each n-gram of order 2 up)."""
-        keys, of = np.unique(np.concatenate([*self.context[1:], np.empty(0, np.uint64)]), return_inverse=True)
-        home = (mix64(keys, 11) % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(home, kind="stable")
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        return keys[by].view(np.int64), np.searchsorted(home[by], np.arange(shards + 1)), place[of]
-
-
-def levels_of(words: list[np.ndarray], n: np.ndarray) -> tuple[dict, np.ndarray]:
-    """(arrays of a ``Shard``, number of the longest n-gram of each row, counted through all levels)."""
-    names = np.unique(np.concatenate(words))
-    size, out = len(names), {"names": names}
-    node, deepest, before = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), 0
-    live = np.arange(len(n))
-    for o, w in enumerate(words, 1):
-        live = live[w[live] != NONE]
-        values, of = np.unique(node[live] * size + np.searchsorted(names, w[live]), return_inverse=True)
-        node[live] = of
-        deepest[live] = before + of
-        before += len(values)
-        universe = int(values[-1]) + 1 if len(values) else 1
-        out |= {f"n{o}": sums(of, n[live], len(values))} | {f"v{o}.{k}": v for k, v in EliasFano.build(values, universe).items()}
-    return out, deepest
+        f"slice bigint, shard int, asks array<array<binary>>, counts array<binary>, doc_id array<{id_type}>, train array<boolean>, "
+        "sizes binary, codes binary, grams array<binary>")), "requests")
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2,
-                order: int = 3, word_share: float = 0.0, gram_share: float = 0.0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+def _place(shard: np.ndarray) -> np.ndarray:
+    """Place of each item when items are sorted by shard."""
+    by = np.argsort(shard, kind="stable")
+    out = np.empty(len(by), np.int64)
+    out[by] = np.arange(len(by))
+    return out
+
+
+def _by_shard(shard: np.ndarray, words: list[np.ndarray], n: np.ndarray):
+    by = np.argsort(shard, kind="stable")
+    return shard[by], [w[by] for w in words], n[by]
+
+
+def unique_rows(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows and the sums of their counts, those never counted left out."""
+    by = np.lexsort(words[::-1])
+    words, n = [w[by] for w in words], n[by]
+    new = np.ones(len(n), bool)
+    new[1:] = np.any([w[1:] != w[:-1] for w in words], axis=0)
+    total = np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
+    return [w[new][total > 0] for w in words], total[total > 0]
 
-    ``gram_share``: n-grams below this share of the training tokens are not stored, nor are those that
-    end in a word below ``word_share``; 0 stores all.
-    """
+
+def level_counts(words: list[np.ndarray], n: np.ndarray, large: list[np.ndarray], j: int) -> np.ndarray:
+    """Counts of the distinct n-grams of order j + 1 whose context of j words is served whole here."""
+    _, ctx, lead = routes(words, large)
+    own = (ctx[j - 1] != 0) & ~lead[j - 1]
+    return unique_rows([ctx[j - 1][own].view(np.int64), words[0][own]], n[own])[1]
+
+
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2,
+                order: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     if order < 1:
         raise ValueError("order must be at least 1")
     id_type = docs.schema[doc_id].dataType.simpleString()
     fold = crc_bucket(doc_id, folds)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), (fold != held_out).alias("_train"))
     spark = docs.sparkSession
-    counts = word_counts(docs)
-    n, v, total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)),
-                             F.coalesce(F.sum("a"), F.lit(0))).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 4_000_000))
-    often = counts.where((F.col("a") * (4 * shards) >= total) | (F.col("h") == int(END))).toArrow()  # at most 4 * shards + 1 rows
-    h, c = (np.asarray(often.column(k), np.int64) for k in ("h", "c"))
-    by = np.argsort(h)
-    hot = spark.sparkContext.broadcast((h[by], c[by]) if len(h) else (np.array([END]), np.array([0])))
-    least, least_word = max(1, int(np.ceil(gram_share * n))), word_share * n
-    sent = requests(docs, order, shards, hot)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * SHARD_TOKENS)))
+    large = spark.sparkContext.broadcast(large_contexts(docs, order, shards))
+    sent = requests(docs, order, shards, large)
 
     counted_schema = arrow_schema(spark, counted := (
-        "shard int, home int, keys binary, total binary, kept binary, followers binary, trie binary, asks binary, "
-        "slices array<bigint>, sizes array<bigint>, once array<bigint>, twice array<bigint>"))
+        "shard int, counts binary, tokens bigint, words bigint, once array<bigint>, twice array<bigint>, level array<int>, "
+        "name array<bigint>, total array<bigint>, followers array<bigint>"))
 
     def count(key, t):
-        """A shard's state (home -1), and the sums of its contexts for their shards."""
-        lists = t.column("words").to_pylist()
-        words = [np.concatenate([np.cumsum(unpacked(x[k])) for x in lists]) for k in range(order)]
-        arrays, deepest = levels_of(words, cat(t.column("counts")))
-        trie = Shard(arrays, hot.value, order)
-        keys, cut, of = trie.contexts(shards)
-        grams = np.concatenate([*trie.n[1:], np.empty(0, np.int64)])
-        stored = np.concatenate([*trie.stored(least, least_word)[1:], np.empty(0, bool)])
-        planes = {"keys": keys, "total": sums(of, grams, len(keys)), "kept": sums(of, grams * stored, len(keys)),
-                  "followers": sums(of, stored, len(keys))}
-        homes = np.flatnonzero(cut[1:] > cut[:-1])
-        me, rows = key[0].as_py(), len(homes)
-        out = {name: [None] + [packed(np.diff(x[cut[s]:cut[s + 1]], prepend=0) if name == "keys" else x[cut[s]:cut[s + 1]])
-                               for s in homes] for name, x in planes.items()}
-        lengths = [len(unpacked(x)) for x in t.column("counts").to_pylist()]
-        state = {"trie": zlib.compress(to_bytes(arrays), 1), "asks": packed(deepest), "slices": t.column("slice").to_pylist(),
-                 "sizes": lengths, "once": [int((x == 1).sum()) for x in trie.n], "twice": [int((x == 2).sum()) for x in trie.n]}
-        out |= {"shard": [me] * (rows + 1), "home": [-1, *homes]} | {k: [x] + [None] * rows for k, x in state.items()}
-        return pa.Table.from_batches([batch_of(out, counted_schema)])
-
-    found = materialize(sent.where("shard >= 0").select("slice", "shard", "words", "counts").groupBy("shard")
-                        .applyInArrow(count, counted), "counted")
-    seen = found.where("home = -1").agg(*[F.sum(F.col(k)[o]) for o in range(1, order) for k in ("once", "twice")]).first() if order > 1 else []
-    seen = [x or 0 for x in seen]
-    discount = [x / (x + 2 * y) if x + y else 0.5 for x, y in zip(seen[::2], seen[1::2])]
-
-    summed_schema = arrow_schema(spark, summed := "shard int, home int, total binary, kept binary, followers binary")
-
-    def add(key, t):
-        """Sums of the contexts of one home, for each shard that has them."""
-        blocks = [np.cumsum(unpacked(x)) for x in t.column("keys").to_pylist()]
-        keys, of = np.unique(np.concatenate(blocks), return_inverse=True)
-        ends = np.cumsum([len(x) for x in blocks])[:-1]
-        out = {k: [packed(x) for x in np.split(sums(of, cat(t.column(k)), len(keys))[of], ends)]
-               for k in ("total", "kept", "followers")}
-        return pa.Table.from_batches([batch_of(out | {"shard": t.column("shard"), "home": t.column("home")}, summed_schema)])
-
-    replies = (found.where("home >= 0").select("shard", "home", "keys", "total", "kept", "followers").groupBy("home")
-               .applyInArrow(add, summed))
-    answer_schema = arrow_schema(spark, answered := "slice bigint, shard int, logp binary, known binary")
-
-    def answer(key, t, sums_):
-        me = t.to_pylist()[0]
-        trie = Shard(mapped(zlib.decompress(me["trie"])), hot.value, order)
-        _, _, of = trie.contexts(shards)
-        sums_ = sums_.sort_by("home")
-        whole, kept, followers = (cat(sums_.column(k))[of] for k in ("total", "kept", "followers"))
-        p, logs, at = (trie.count + 1) / (n + v + 1), [], 0
-        logs.append(np.log10(p))
-        stored = trie.stored(least, least_word)
-        for o in range(2, order + 1):
-            x, up, d = trie.n[o - 1], trie.up[o - 1], discount[o - 2]
-            mine = slice(at, at + len(x))
-            at += len(x)
-            share = np.where(stored[o - 1], x - d, 0) / np.maximum(whole[mine], 1)
-            gamma = 1 - (kept[mine] - d * followers[mine]) / np.maximum(whole[mine], 1)
-            p = share + gamma * p[up]
-            logs.append(np.log10(p))
-        asks, ends = unpacked(me["asks"]), np.cumsum(me["sizes"])[:-1]
-        logp = np.concatenate(logs)[asks].astype("<f4")
-        known = np.concatenate([trie.count[r] for r in trie.root])[asks]
-        out = {"slice": me["slices"], "shard": [me["shard"]] * len(me["slices"]), "logp": [x.tobytes() for x in np.split(logp, ends)],
-               "known": [packed(x) for x in np.split(known, ends)]}
-        return pa.Table.from_batches([batch_of(out, answer_schema)])
-
-    answers = (found.where("home = -1").select("shard", "trie", "asks", "slices", "sizes").groupBy("shard")
-               .cogroup(replies.groupBy("shard")).applyInArrow(answer, answered))
+        """Sums of a shard: its n-grams, the successors of large contexts, its words."""
+        asks, counts = t.column("asks").to_pylist(), t.column("counts").to_pylist()
+        out, arrays = {"once": [], "twice": [], "level": [], "name": [], "total": [], "followers": []}, {}
+        for i in range(order + 1):
+            parts = [words_of_block(a[i]) for a in asks]
+            words, n = unique_rows([np.concatenate(x) for x in zip(*parts)], np.concatenate([unpacked(c[i]) for c in counts]))
+            arrays |= {f"{i}.n": n} | {f"{i}.{k}": w for k, w in enumerate(words)}
+            if i == 0:
+                grams = words, n
+            elif i == 1:
+                out |= {"tokens": int(n.sum()), "words": len(n)}
+            else:
+                whole = level_counts(*grams, large.value, i - 1)
+                out["once"].append(int((n == 1).sum() + (whole == 1).sum()))
+                out["twice"].append(int((n == 2).sum() + (whole == 2).sum()))
+                names, of = np.unique(words[1], return_inverse=True)
+                out["level"] += [i - 1] * len(names)
+                out["name"] += names.tolist()
+                out["total"] += sums(of, n, len(names)).tolist()
+                out["followers"] += np.bincount(of, minlength=len(names)).tolist()
+        row = {k: [v] for k, v in out.items()} | {"shard": [key[0].as_py()], "counts": [zlib.compress(to_bytes(arrays), 1)]}
+        return pa.Table.from_batches([batch_of(row, counted_schema)])
+
+    asked = sent.where("shard >= 0").select("slice", "shard", "asks", "counts")
+    found = materialize(asked.groupBy("shard").applyInArrow(count, counted), "counted")
+    n, v, *seen = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)),
+                            *[F.coalesce(F.sum(F.col(k)[o]), F.lit(0)) for o in range(order - 1) for k in ("once", "twice")]).first()
+    discounts = [x / (x + 2 * y) if x + y else 0.5 for x, y in zip(seen[::2], seen[1::2])]
+    spread = (found.select(F.explode(F.arrays_zip("level", "name", "total", "followers")).alias("x")).groupBy("x.level", "x.name")
+              .agg(F.sum("x.total").alias("total"), F.sum("x.followers").alias("followers")).toArrow())   # a row for each large context
+    of_large = spark.sparkContext.broadcast(tuple(np.asarray(spread.column(k), np.int64)[np.argsort(np.asarray(spread.column("name"), np.int64))]
+                                                  for k in ("name", "level", "total", "followers")))
+
+    def build(b: pa.RecordBatch):
+        """A shard's trie, its successors of large contexts (a trie of one level, the context as its word), its words."""
+        for blob in b.column("counts"):
+            held = mapped(zlib.decompress(blob.as_py()))
+            rows = lambda i, k: [held[f"{i}.{x}"] for x in range(k)]
+            lead = lambda j, c: np.isin(c, large.value[j - 1])
+            out = {f"t.{k}": x for k, x in Trie.build(rows(0, order), held["0.n"], discounts, NONE, lead).items()}
+            name, level, total, followers = of_large.value
+            ctx, word, k = (np.concatenate([held[f"{i}.{x}"] for i in range(2, order + 1)] or [np.empty(0, np.int64)]) for x in (1, 0, "n"))
+            at = np.searchsorted(name, ctx)
+            names = np.unique(word)
+            pair = np.unique(at * max(1, len(names)) + np.searchsorted(names, word), return_index=True)
+            d = np.array([0.0, *discounts])[level[at]]
+            book, codes = quantised(((k - d) / total[at])[pair[1]]) if len(k) else quantised(np.empty(0))
+            out |= {"s.names": names, "s.codes": codes, "s.book": book} | {f"s.{x}": y for x, y in Children.build(
+                pair[0], len(name), max(1, len(names)), "w.").items()}
+            out |= {"u.names": held["1.0"], "u.n": held["1.n"]}
+            yield {"shard": b.column("shard"), "trie": [to_bytes(out)]}
+
+    def one_by_one(b: pa.RecordBatch):
+        for i in range(b.num_rows):
+            yield from build(b.slice(i, 1))
+
+    tries = materialize(map_arrow(found, ["shard", "counts"], one_by_one, "shard int, trie binary"), "tries")
+    answer_schema = arrow_schema(spark, answered := "slice bigint, shard int, share array<binary>, gamma array<binary>, known binary")
+
+    def answer(key, t, tries_):
+        held = mapped(tries_.column("trie").chunk(0)[0].as_buffer())
+        part = lambda p: {k.removeprefix(p): x for k, x in held.items() if k.startswith(p)}
+        trie, s = Trie(part("t.")), part("s.")
+        after = Children(s, "w.", max(1, len(s["names"])))
+        name, level, total, followers = of_large.value
+        weight = np.array([0.0, *discounts])[level] * followers / np.maximum(total, 1)
+        out = {k: [] for k in ("share", "gamma", "known")}
+        for asks in t.column("asks").to_pylist():
+            got = [trie.search(words_of_block(asks[0]))]
+            for block in asks[2:]:
+                word, ctx = words_of_block(block)
+                at = np.minimum(np.searchsorted(name, ctx), max(0, len(name) - 1))
+                met = (name[at] == ctx) if len(name) else np.zeros(len(ctx), bool)
+                w = np.minimum(np.searchsorted(s["names"], word), max(0, len(s["names"]) - 1))
+                w = np.where(s["names"][w] == word, w, -1) if len(s["names"]) else np.full(len(word), -1)
+                i = after.find(np.where(met, at, -1), w)
+                share = np.where(i >= 0, s["book"][s["codes"][np.maximum(i, 0)]], 0) if len(s["codes"]) else np.zeros(len(i))
+                got.append((share, np.where(met, weight[at], 1.0) if len(name) else np.ones(len(i))))
+            [word] = words_of_block(asks[1])
+            i = np.minimum(np.searchsorted(held["u.names"], word), max(0, len(held["u.names"]) - 1))
+            known = np.where(held["u.names"][i] == word, held["u.n"][i], 0) if len(held["u.names"]) else np.zeros(len(word), np.int64)
+            out["share"].append([near_one(x).tobytes() for x, _ in got])
+            out["gamma"].append([x.astype("<f4").tobytes() for _, x in got])
+            out["known"].append(packed(known))
+        return pa.Table.from_batches([batch_of(out | {"slice": t.column("slice"), "shard": t.column("shard")}, answer_schema)])
+
+    answers = asked.groupBy("shard").cogroup(tries.groupBy("shard")).applyInArrow(answer, answered)
     scored = (f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
               "base_score double, score double")
     scored_schema = arrow_schema(spark, scored)
 
     def add_up(key, t, got):
         got = got.sort_by("shard")
-        of = cat(t.column("codes"))
-        logp = cat(got.column("logp"), lambda x: np.frombuffer(x, "<f4")).astype(np.float64)[of]
-        known = cat(got.column("known"))[of]
-        size = cat(t.column("sizes"))
+        grams = [unpacked(x) for x in t.column("grams").to_pylist()[0]]
+        floats = lambda c, i: np.concatenate([np.frombuffer(x[i], "<f4") for x in c.to_pylist()])
+        known = cat(got.column("known"))[grams[0]]
+        p = (known + 1) / (n + v + 1)
+        for i, where in enumerate(grams[1:], 1):     # large contexts, shortest first
+            if (where >= 0).any():
+                hit = where >= 0
+                share, gamma = from_near_one(floats(got.column("share"), i)), floats(got.column("gamma"), i).astype(np.float64)
+                p[hit] = share[where[hit]] + gamma[where[hit]] * p[hit]
+        share, gamma = from_near_one(floats(got.column("share"), 0)), floats(got.column("gamma"), 0).astype(np.float64)
+        p[:len(share)] = share + gamma * p[:len(share)]
+        of, size = cat(t.column("codes")), cat(t.column("sizes"))
         doc = np.repeat(np.arange(len(size)), size)
         out = {"doc_id": t.column("doc_id").combine_chunks().flatten(), "held_out": pc.invert(t.column("train").combine_chunks().flatten()),
-               "n_tokens": size, "n_known": sums(doc, known > 0, len(size)), "train_tokens": np.full(len(size), n),
-               "base_score": np.bincount(doc, np.log10(known + 1.0), len(size)) - size * float(np.log10(n + v + 1)),
-               "score": np.bincount(doc, logp, len(size))}
+               "n_tokens": size, "n_known": sums(doc, known[of] > 0, len(size)), "train_tokens": np.full(len(size), n),
+               "base_score": np.bincount(doc, np.log10(known + 1.0)[of], len(size)) - size * float(np.log10(n + v + 1)),
+               "score": np.bincount(doc, np.log10(p)[of], len(size))}
         return pa.Table.from_batches([batch_of(out, scored_schema)])
 
-    return (sent.where("shard = -1").select("slice", "doc_id", "train", "sizes", "codes").groupBy("slice")
+    return (sent.where("shard = -1").select("slice", "doc_id", "train", "sizes", "codes", "grams").groupBy("slice")
             .cogroup(answers.groupBy("slice")).applyInArrow(add_up, scored))
+
+
+def near_one(share: np.ndarray) -> np.ndarray:
+    """Four bytes a share; above one half, what it lacks to one, with a minus sign, so that it stays exact there."""
+    return np.where(share > 0.5, -(1 - share), share).astype("<f4")
+
+
+def from_near_one(x: np.ndarray) -> np.ndarray:
+    return np.where(np.signbit(x), 1 + x.astype(np.float64), x)
