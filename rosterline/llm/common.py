@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.session import materialize, read_table
+from rosterline.session import materialize, read_table, scratch_dir
 
-__all__ = ["materialize", "read_table", "bound_batches", "map_arrow", "texts_of", "raw_of", "batch_of", "crc_bucket",
+__all__ = ["materialize", "bucketed", "discard", "read_table", "bound_batches", "map_arrow", "texts_of", "raw_of", "batch_of", "crc_bucket",
            "mix64", "runs_of"]
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,6 +29,25 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(WORD_BYTES).split()
 
 
+def bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
+    """Like ``materialize``, as a table bucketed by ``column``: a later grouping or cogrouping by it does not
+    shuffle these rows again.  Files and name are this run's own."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").option("path", os.path.join(scratch_dir(spark), name)).bucketBy(n, column).saveAsTable(name))
+    return spark.table(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a frame that ``materialize`` gave, once all that reads it has been written."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of a record batch between Spark and Python, about; texts differ in length, so a count of rows bounds nothing.
 BATCH_BYTES = 8 << 20
 

@@ -35,17 +35,16 @@ are ignored.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import batch_of, crc_bucket, map_arrow, materialize, mix64, runs_of
+from rosterline.llm.common import batch_of, bucketed, crc_bucket, map_arrow, materialize, mix64, runs_of
 from rosterline.llm.common import _arrow_schema as arrow_schema
 from rosterline.llm.eliasfano import Children, Trie, context_hash, mapped, quantised, to_bytes
 
@@ -110,13 +109,21 @@ def contexts_of(words: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Integers, byte planes apart, deflated."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def packed(x: np.ndarray, level: int = 3) -> bytes:
+    """Integers, byte planes apart, compressed."""
+    return squeezed(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), level)
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return np.ascontiguousarray(np.frombuffer(restored(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def squeezed(x: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x)
+
+
+def restored(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
 
 
 def words_block(words: list[np.ndarray]) -> list[bytes]:
@@ -231,9 +238,9 @@ def requests(docs: DataFrame, order: int, shards: int, large) -> DataFrame:
                 yield blank | {"slice": [number], "shard": [s], "asks": [[words_block([w[x] for w in ws]) for x, (_, ws, _) in zip(spans, blocks)]],
                                "counts": [[packed(k[x]) for x, (_, _, k) in zip(spans, blocks)]]}
 
-    return materialize(map_arrow(docs, docs.columns, run, (
+    return bucketed(map_arrow(docs, docs.columns, run, (
         f"slice bigint, shard int, asks array<array<binary>>, counts array<binary>, doc_id array<{id_type}>, train array<boolean>, "
-        "sizes binary, codes binary, grams array<binary>")), "requests")
+        "sizes binary, codes binary, grams array<binary>")), "ngrams", "slice")
 
 
 def _place(shard: np.ndarray) -> np.ndarray:
@@ -305,7 +312,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
                 out["name"] += names.tolist()
                 out["total"] += sums(of, n, len(names)).tolist()
                 out["followers"] += np.bincount(of, minlength=len(names)).tolist()
-        row = {k: [v] for k, v in out.items()} | {"shard": [key[0].as_py()], "counts": [zlib.compress(to_bytes(arrays), 1)]}
+        row = {k: [v] for k, v in out.items()} | {"shard": [key[0].as_py()], "counts": [squeezed(to_bytes(arrays))]}
         return pa.Table.from_batches([batch_of(row, counted_schema)])
 
     asked = sent.where("shard >= 0").select("slice", "shard", "asks", "counts")
@@ -321,7 +328,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     def build(b: pa.RecordBatch):
         """A shard's trie, its successors of large contexts (a trie of one level, the context as its word), its words."""
         for blob in b.column("counts"):
-            held = mapped(zlib.decompress(blob.as_py()))
+            held = mapped(restored(blob.as_py()))
             rows = lambda i, k: [held[f"{i}.{x}"] for x in range(k)]
             lead = lambda j, c: np.isin(c, large.value[j - 1])
             out = {f"t.{k}": x for k, x in Trie.build(rows(0, order), held["0.n"], discounts, NONE, lead).items()}

@@ -11,7 +11,14 @@ Every n-gram of the trusted text is kept at every size.  A slice of documents
 sends its distinct n-grams to shards; the distinct ones of all slices are joined
 to the probability tables, those that are missing to the weights of their
 contexts and to their shorter forms; the shards send each slice its answers.
-Nothing that grows with the input is broadcast.
+The texts themselves are written once, as slices bucketed by their number, and never
+shuffled: which of them are trusted is a join of ids, whose places in the slices, and
+later the answers, are sent to the slices.
+
+A key has 12 bits a character: code points below 2048 are themselves (digits and
+white space as one each), those above share 2047 codes by remainder, so that some
+ideographs look alike to the model.  A text is cut into pieces of ``SLICE``
+characters, which overlap by an n-gram, so texts of any length are read whole.
 
 Defined cases: a null or empty text has no perplexity and is not kept; without
 trusted text every perplexity is null and documents with text are kept; a null
@@ -22,7 +29,6 @@ label says so.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.llm.common import _arrow_schema as arrow_schema
-from rosterline.llm.common import batch_of, map_arrow, materialize, mix64, runs_of, texts_of
-from rosterline.llm.lm import cat, packed, unpacked
+from rosterline.llm.common import batch_of, bucketed, discard, map_arrow, materialize, mix64, runs_of, texts_of
+from rosterline.llm.lm import cat, packed, restored, squeezed, unpacked
 
 __all__ = ["fit", "perplexities", "rate"]
 
 BITS = 12  # of a character in an n-gram key
 BOS, EOS = 0, 1
 SLICE = 2_000_000
+#: Bytes of text for each shard of n-grams, about.
+SHARD_BYTES = 64_000_000
 
 
 def _fold() -> np.ndarray:
@@ -86,10 +94,55 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
             code, distinct = pd.factorize(keys)
             yield {"gram": distinct, "c": np.bincount(code)}
 
-    rows = map_arrow(docs, ["_text"], run, "gram bigint, c bigint")
+    return _summed(map_arrow(docs, ["_text"], run, "gram bigint, c bigint"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("gram").agg(F.sum("c").alias("c")), "grams")
 
 
+def slices_of(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The texts in slices: slice, sizes, texts (compressed) and, as arrays ``_x0`` and on, the columns ``keep``."""
+    named = [F.col(c).alias(f"_x{i}") for i, c in enumerate(keep)]
+    types = [docs.schema[c].dataType.simpleString() for c in keep]
+    state: dict = {}
+
+    def run(b: pa.RecordBatch):
+        texts = texts_of(b.column("_text"))
+        for part in runs_of([len(t) for t in texts], 3 * SLICE):
+            ctx = TaskContext.get()
+            task = (ctx.stageId(), ctx.partitionId(), ctx.taskAttemptId())
+            state[task] = state.get(task, -1) + 1
+            mine, ends = texts[part], pa.array([0, part.stop - part.start], pa.int32())
+            yield {"slice": [(ctx.partitionId() << 32) + state[task]], "sizes": [packed(np.array([len(t) for t in mine], np.int64))],
+                   "texts": [squeezed("".join(mine).encode("utf-8", "surrogatepass"), 12)]} | {
+                f"_x{i}": pa.ListArray.from_arrays(ends, b.column(f"_x{i}").take(pa.array(np.arange(part.start, part.stop))))
+                for i in range(len(keep))}
+
+    return bucketed(map_arrow(docs, [*named, F.col(text).alias("_text")], run, "slice bigint, sizes binary, texts binary"
+                              + "".join(f", _x{i} array<{t}>" for i, t in enumerate(types))), "texts", "slice")
+
+
+def texts_in(sizes: bytes, texts: bytes) -> list[str]:
+    whole, cut = restored(texts).decode("utf-8", "surrogatepass"), np.concatenate([[0], np.cumsum(unpacked(sizes))])
+    return [whole[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def counted_in(slices: DataFrame, good: DataFrame, order: int) -> DataFrame:
+    """(gram, c) over the texts of ``slices`` whose ``_x0`` is among ``good``."""
+    places = (slices.select(F.col("slice").alias("at"), F.posexplode("_x0").alias("pos", "_x"))
+              .join(good, F.col("_x") == F.col("_id"), "left_semi").select("at", "pos"))
+    schema = arrow_schema(slices.sparkSession, "gram bigint, c bigint")
+
+    def count(key, t, at):
+        mine = texts_in(t.column("sizes")[0].as_py(), t.column("texts")[0].as_py()) if t.num_rows and at.num_rows else []
+        parts = [pd.factorize(keys) for keys, _ in grams([mine[i] for i in at.column("pos").to_pylist()] if mine else [], order)]
+        return pa.Table.from_batches([batch_of({"gram": distinct, "c": np.bincount(code)}, schema) for code, distinct in parts], schema)
+
+    return _summed(slices.select("slice", "sizes", "texts").groupBy("slice").cogroup(places.groupBy("at"))
+                   .applyInArrow(count, "gram bigint, c bigint"))
+
+
 def _short(o: int):
     """The n-gram without its first character."""
     return F.col("gram").bitwiseAND(F.lit((1 << (BITS * (o - 1))) - 1))
@@ -106,7 +159,12 @@ def fit(trusted: DataFrame, order: int = 5, share: float = 0.0) -> dict | None:
 
     Longest n-grams below ``share`` of all counts are left out, their mass goes to the weights; 0 keeps all.
     """
-    tables = {order: counted(trusted, order)}
+    return fit_counts(counted(trusted, order), order, share)
+
+
+def fit_counts(longest: DataFrame, order: int, share: float = 0.0) -> dict | None:
+    """``fit`` from the summed counts of the longest order."""
+    tables = {order: longest}
     for o in range(order - 1, 0, -1):  # continuation counts: in how many longer n-grams
         tables[o] = materialize(tables[o + 1].select(_short(o + 1).alias("gram")).groupBy("gram")
                                 .agg(F.count(F.lit(1)).alias("c")), f"grams{o}")
@@ -132,6 +190,7 @@ def fit(trusted: DataFrame, order: int = 5, share: float = 0.0) -> dict | None:
         lower = p.select(F.col("gram").alias("short"), F.col("p").alias("below"))
         model[f"p{o}"] = p.select("gram", F.log10("p").alias("lp"))
         model[f"g{o}"] = materialize(ctx.select("ctx", F.log10("gamma").alias("lg")), f"g{o}")
+        discard(tables[o])
     model["unknown"] = float(model["g1"].first()["lg"] - np.log10(model["p1"].count() + 1))
     return model
 
@@ -167,44 +226,37 @@ def distinct_grams(texts: list[str], order: int, shards: int) -> tuple[np.ndarra
 
 def perplexities(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``n_chars_scored``, ``perplexity`` of every row."""
-    spark = docs.sparkSession
-    named = [F.col(c).alias(f"_x{i}") for i, c in enumerate(keep)]
-    types = [docs.schema[c].dataType.simpleString() for c in keep]
-    kinds = "".join(f"_x{i} {t}, " for i, t in enumerate(types)) + "n_chars_scored bigint, perplexity double"
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return _scored(slices_of(docs, keep, text), model, keep, size)
+
+
+def _scored(slices: DataFrame, model: dict | None, keep: list[str], size: int) -> DataFrame:
+    """``perplexities`` of the texts of ``slices``, ``size`` bytes in all."""
+    spark = slices.sparkSession
     names = [f"_x{i}" for i in range(len(keep))]
+    types = [slices.schema[x].dataType.elementType.simpleString() for x in names]
+    kinds = "".join(f"{x} {t}, " for x, t in zip(names, types)) + "n_chars_scored bigint, perplexity double"
     last = [*[F.col(x).alias(c) for x, c in zip(names, keep)], "n_chars_scored", "perplexity"]
     scored = np.vectorize(lambda n: n + (n > 0), otypes=[np.int64])
 
     if model is None:
         def unscored(b: pa.RecordBatch):
-            n = scored([len(t) for t in texts_of(b.column("_text"))])
-            yield {x: b.column(x) for x in names} | {"n_chars_scored": n, "perplexity": [None] * len(n)}
+            for i in range(b.num_rows):
+                n = scored(unpacked(b.column("sizes")[i].as_py()))
+                yield {x: b.column(x).slice(i, 1).flatten() for x in names} | {"n_chars_scored": n, "perplexity": [None] * len(n)}
 
-        return map_arrow(docs, [*named, F.col(text).alias("_text")], unscored, kinds).select(*last)
+        return map_arrow(slices, ["sizes", *names], unscored, kinds).select(*last)
 
-    order, shards = model["order"], int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state: dict = {}
+    order, shards = model["order"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
 
     def run(b: pa.RecordBatch):
-        texts = texts_of(b.column("_text"))
-        for part in runs_of([len(t) for t in texts], 3 * SLICE):
-            ctx = TaskContext.get()
-            task = (ctx.stageId(), ctx.partitionId(), ctx.taskAttemptId())
-            state[task] = state.get(task, -1) + 1
-            number, mine = (ctx.partitionId() << 32) + state[task], texts[part]
-            ends = pa.array([0, len(mine)], pa.int32())
-            yield {"slice": [number], "shard": [-1], "keys": [None], "sizes": [packed(np.array([len(t) for t in mine], np.int64))],
-                   "texts": [zlib.compress("".join(mine).encode("utf-8", "surrogatepass"), 1)]} | {
-                x: pa.ListArray.from_arrays(ends, b.column(x).take(pa.array(np.arange(part.start, part.stop)))) for x in names}
-            keys, by, cut = distinct_grams(mine, order, shards)
+        for i in range(b.num_rows):
+            keys, by, cut = distinct_grams(texts_in(b.column("sizes")[i].as_py(), b.column("texts")[i].as_py()), order, shards)
             at = np.flatnonzero(cut[1:] > cut[:-1])
-            none = [None] * len(at)
-            yield {"slice": [number] * len(at), "shard": at, "sizes": none, "texts": none} | {x: none for x in names} | {
-                "keys": [packed(np.diff(keys[by[cut[s]:cut[s + 1]]], prepend=0)) for s in at]}
+            yield {"slice": [b.column("slice")[i].as_py()] * len(at), "shard": at,
+                   "keys": [packed(np.diff(keys[by[cut[s]:cut[s + 1]]], prepend=0), 9) for s in at]}
 
-    sent = materialize(map_arrow(docs, [*named, F.col(text).alias("_text")], run, "slice bigint, shard int, keys binary, sizes binary, "
-                                 "texts binary" + "".join(f", _x{i} array<{t}>" for i, t in enumerate(types))), "requests")
-    asked = sent.where("shard >= 0").select("slice", "shard", "keys")
+    asked = materialize(map_arrow(slices, ["slice", "sizes", "texts"], run, "slice bigint, shard int, keys binary"), "requests")
     wanted_schema = arrow_schema(spark, "gram bigint, shard int")
     answer_schema = arrow_schema(spark, "slice bigint, shard int, lp binary")
     out_schema = arrow_schema(spark, kinds)
@@ -223,8 +275,7 @@ def perplexities(docs: DataFrame, model: dict | None, keep: list[str], text: str
 
     def add_up(key, t, got):
         size = cat(t.column("sizes"))
-        whole, cut = zlib.decompress(t.column("texts")[0].as_py()).decode("utf-8", "surrogatepass"), np.concatenate([[0], np.cumsum(size)])
-        texts = [whole[a:b] for a, b in zip(cut, cut[1:])]
+        texts = texts_in(t.column("sizes")[0].as_py(), t.column("texts")[0].as_py())
         full = [i for i, t in enumerate(texts) if t]
         keys, by, _ = distinct_grams(texts, order, shards)
         lp, total = np.empty(len(keys)), np.zeros(len(full))
@@ -241,7 +292,7 @@ def perplexities(docs: DataFrame, model: dict | None, keep: list[str], text: str
 
     lp = log_probabilities(model, asked.groupBy("shard").applyInArrow(distinct, "gram bigint, shard int"))
     answers = asked.groupBy("shard").cogroup(lp.groupBy("shard")).applyInArrow(answer, "slice bigint, shard int, lp binary")
-    return (sent.where("shard = -1").select("slice", "sizes", "texts", *names).groupBy("slice")
+    return (slices.groupBy("slice")
             .cogroup(answers.groupBy("slice")).applyInArrow(add_up, kinds).select(*last))
 
 
@@ -252,10 +303,10 @@ def rate(docs: DataFrame, labels: DataFrame, order: int = 5, share: float = 0.0,
             .agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_good"))
             .where("_good").select("_id"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("_text"))
-    # The texts are shuffled once to meet their labels, by the same plan at every size.
-    trusted_text = source.select("doc_id", "_text").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    model = fit(trusted_text, order, share)
-    scored = materialize(perplexities(source, model, ["doc_id", "lang"], "_text"), "perplexities")
+    size = source.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    slices = slices_of(source, ["doc_id", "lang"], "_text")
+    model = fit_counts(counted_in(slices, good, order), order, share)
+    scored = materialize(_scored(slices, model, ["doc_id", "lang"], size), "perplexities")
     trusted = scored.join(good, F.col("doc_id") == F.col("_id"), "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = trusted.groupBy(F.col("lang").alias("_lang")).agg((cut * margin).alias("_own"))  # one row per language
