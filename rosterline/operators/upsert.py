@@ -355,6 +355,7 @@ def upsert_companies(existing: DataFrame | None, incoming: DataFrame, now, base:
     if existing is None:
         new = folded.withColumns(stamp).select(*names, "_n_new").unionByName(
             free.withColumns({"created_at": stamp["created_at"], "updated_at": now}).select(*names, "_n_new"))
+        new = materialize(new, "companies-fold")     # read twice for the ids: the fold runs once
         return assign_ids_by_position(new.drop("id"), "ord", "list_id", base).withColumn("_status", F.lit("inserted")).select(*cols)
 
     ex = conform(existing, COMPANY_SCHEMA).select(*names)
