@@ -244,7 +244,9 @@ def test_kneser_ney_matches_brute_force(spark):
     model = quality.fit(docs, order=3, share=0.0)
     p = brute_kneser_ney(texts, 3)
     probe = [words(5, 99, 0), "zz abq", "abc"]
-    for t, row in zip(probe, quality.perplexities(spark.createDataFrame([(t,) for t in probe], "text string"), model, ["text"]).collect()):
+    rows = {r.text: r for r in quality.perplexities(spark.createDataFrame([(t,) for t in probe], "text string"), model, ["text"]).collect()}
+    assert len(rows) == len(set(probe))
+    for t, row in ((t, rows[t]) for t in probe):     # rows of a frame have no order
         c = [0, 0] + [int(quality.FOLD[ord(x)]) for x in t] + [1]
         want = sum(math.log10(p(tuple(c[i - 2:i + 1]))) for i in range(2, len(c)))
         assert math.isclose(row.perplexity, 10 ** (-want / (len(t) + 1)), rel_tol=1e-4)
