@@ -21,6 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +91,7 @@ def checked(kind: int, s: str) -> bool:
         return bool(re.fullmatch(r"[0-9]+(\s?[\[(]?[.,][\])]?\s?[0-9]+){3}", s)) and all(
             map(_byte, _DIGITS.findall(s)))
     if kind == 2:
-        return 14 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9](\W?[0-9])+", s))
+        return 14 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9]([\W_]{0,2}[0-9])+", s))
     return 10 <= len(d) <= 15 and bool(re.fullmatch(r"(\+|00|\(|0)[0-9](\W{0,3}[0-9])+", s))
 
 
@@ -299,8 +302,8 @@ def labelled(windows: list[tuple[str, list]], seed: int = 3) -> tuple[np.ndarray
 def _windows(b: pa.RecordBatch):
     """Windows around up to three spans of each text, and some without; no span is cut by a window's ends."""
     text, spans = [], []
-    for i, t in enumerate(texts_of(b.column("_text"))):
-        found = base_spans(t)
+    for t in texts_of(b.column("_text")):
+        i, found = zlib.crc32(t.encode("utf-8", "surrogatepass")), base_spans(t)     # the text alone places its windows
         for a, _, _ in found[:: max(1, len(found) // 3)] or [(min(len(t), 37 * i % 400), 0, 0)] * (i % 4 == 0):
             at = max([0, a - 5 - 29 * i % 40, *(y for _, _, y in found if y <= a)])
             end = at + TRAIN_WIDTH - 12
@@ -316,7 +319,9 @@ def fit_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
     total = docs.count()
     share = int((1 << 30) * min(1.0, 40 * sample / max(1, total))) + 1
     rows = rows.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) < share)
-    got = map_arrow(rows, [F.col(text).alias("_text")], _windows, "text string, spans array<string>").limit(sample).collect()
+    got = map_arrow(rows, [F.col(text).alias("_text")], _windows, "text string, spans array<string>")
+    # The least by a hash: the same windows however the table is cut into files and partitions.
+    got = got.orderBy(F.xxhash64("text", "spans"), "text").limit(sample).collect()
     windows = [(r[0], [tuple(map(int, s.split(":"))) for s in r[1]]) for r in got]
     if not any(s for _, s in windows):
         return None
@@ -374,12 +379,18 @@ def joined(t: str, cores: dict[int, np.ndarray], base: list[tuple[int, int, int]
             open_kind, start, end = kind, at, at + 1
     if open_kind is not None:
         found.append((start, open_kind, end))
-    out = list(base)
+    out, starts = list(base), sorted(x for x, _, _ in base)
+    reach = list(accumulate((y for _, _, y in sorted(base)), max))     # the furthest end of the spans up to each start
+
+    def taken(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i > 0 and reach[i - 1] > a
+
     for a, k, b in found:
         s = t[a:b]
         a, b = a + len(s) - len(s.lstrip()), b - len(s) + len(s.rstrip())
         s = t[a:b]
-        if 0 < len(s) <= CORE and _SIGN.search(s) and checked(k, s) and not any(x < b and a < y for x, _, y in base):
+        if 0 < len(s) <= CORE and _SIGN.search(s) and checked(k, s) and not taken(a, b):
             out.append((a, k, b))
     return sorted(out)
 

@@ -70,3 +70,68 @@ def test_snippets_that_reach_the_driver_are_bounded(spark):
     finally:
         langid.train = real
     assert seen and seen[0] <= 20
+
+
+def test_private_windows_do_not_depend_on_partitions(spark):
+    """The windows a tagger learns from are the same however the table is cut; spans are merged, not compared all with all."""
+    from rosterline.llm import pii
+
+    texts = [f"{words(20, i)} mail u{i}@mail.example or 10.0.{i % 250}.1, call +1 743 555 {1000 + i}" for i in range(60)]
+    seen = []
+    real = pii.train
+    pii.train = lambda ids, labels, **kw: seen.append((ids.tolist(), labels.tolist())) or {}
+    try:
+        for parts in (2, 9):
+            pii.fit_from(docs_of(spark, list(enumerate(texts))).repartition(parts), sample=40)
+    finally:
+        pii.train = real
+    assert seen[0] == seen[1] and len(seen[0][0]) == 40
+
+
+def test_licence_rules_by_brute_force():
+    """Rules over random identifier sequences, by trying every rule at every place, longest rule first."""
+    import random
+
+    from rosterline.llm import licences
+
+    r = random.Random(6)
+    ids = sorted({x for _, _, rule in licences.RULES for x in rule})
+    rules = sorted(licences.RULES, key=lambda rule: -len(rule[2]))
+    for _ in range(400):
+        names = []
+        while len(names) < r.randint(1, 14):
+            rule = r.choice(licences.RULES)[2]
+            names += rule if r.random() < 0.6 else rule[:r.randint(0, len(rule))] if r.random() < 0.5 else [r.choice(ids)]
+        free, want = set(range(len(names))), []
+        for licence, kind, rule in rules:
+            for i in range(len(names)):
+                place = set(range(i, i + len(rule)))
+                if list(names[i:i + len(rule)]) == list(rule) and place <= free:
+                    free -= place
+                    want.append((i, licence, kind))
+        assert licences.recognise(names) == sorted(want), names
+
+
+def test_licence_sentences_by_brute_force():
+    """Known sentences in a text of lines, told by comparing normalised words with every known sentence."""
+    import random
+
+    from rosterline.llm import licences
+
+    r = random.Random(8)
+    known = {licences.normalise(s): k for k, s in licences.SENTENCES.items()} if isinstance(licences.SENTENCES, dict) else {}
+    plain = [(s, k) for k, s in licences.SENTENCES.items() if licences.identify(s) == k]
+    assert len(plain) > 10 and known
+    for _ in range(60):
+        lines, want, at = [], [], 0
+        for _ in range(r.randint(1, 12)):
+            if r.random() < 0.5:
+                s, name = r.choice(plain)
+                s = s if r.random() < 0.5 else s.upper()
+                want.append((at, name))
+            else:
+                s = words(r.randint(1, 9), r.randrange(10 ** 6))
+            lines.append(s)
+            at += len(s) + 1
+        got = [(i, n) for i, n in licences.identified("\n\n".join(lines).replace("\n\n", "\n"))]
+        assert [x for x in got if x in want] == want
