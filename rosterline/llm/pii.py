@@ -8,10 +8,10 @@ windows; a character's label is taken from the window whose middle holds it, and
 labels are joined across windows over the whole text.  A span the network finds
 is added if an exact check of its kind holds and no base span overlaps it.
 
-A kept span has at most ``CORE`` characters and holds a digit or ``@``.  So a
-window whose middle and whose neighbours' middles have neither can't take part
-in a kept span, and is not decoded; this loses nothing (tested against decoding
-every window).
+A kept span holds a digit or ``@``, so decoding starts at the windows whose middles
+hold one, and goes on to the next window wherever a label reaches the end of a middle,
+as far as it takes.  Spans may have any length; windows that are not decoded can't take
+part in one (tested against decoding every window).
 
 Defined cases: a null or empty text has no spans; with no labelled windows at
 all the base spans stand alone; repeated documents give repeated rows.
@@ -333,35 +333,35 @@ def fit_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
 def decode_cores(m: dict, texts: list[str], every: bool = False, batch: int = 1024) -> list[dict[int, np.ndarray]]:
     """Labels of the decoded windows' middles, per text and window number."""
     out: list[dict[int, np.ndarray]] = [{} for _ in texts]
-    todo: list[tuple[int, int, np.ndarray]] = []
-
-    def flush():
-        if todo:
-            ids = np.stack([x for _, _, x in todo])
-            y = viterbi(emissions(m, ids), m["trans"])
-            for (i, w, _), row in zip(todo, y):
-                out[i][w] = row[SIDE:SIDE + CORE]
-            todo.clear()
-
-    for i, t in enumerate(texts):
-        last = (len(t) - 1) // CORE
-        if every:
-            wanted = range(last + 1)
-        else:
-            signs = {x.start() // CORE for x in _SIGN.finditer(t)}
-            wanted = sorted({w + d for w in signs for d in (-1, 0, 1) if 0 <= w + d <= last})
-        for w in wanted:
-            at = w * CORE - SIDE
-            row = np.full(CORE + 2 * SIDE, PAD, np.int16)
-            piece = char_ids(t[max(0, at):at + CORE + 2 * SIDE])
-            row[max(0, -at):max(0, -at) + len(piece)] = piece
-            todo.append((i, w, row))
-            if len(todo) == batch:
-                flush()
-    flush()
+    last = [(len(t) - 1) // CORE for t in texts]
+    if every:
+        wanted = [(i, w) for i in range(len(texts)) for w in range(last[i] + 1)]
+    else:
+        wanted = [(i, w) for i, t in enumerate(texts) for w in sorted({x.start() // CORE for x in _SIGN.finditer(t)})]
+    while wanted:
+        more = set()
+        for some in range(0, len(wanted), batch):
+            part = wanted[some:some + batch]
+            y = viterbi(emissions(m, np.stack([_window(texts[i], w) for i, w in part])), m["trans"])
+            for (i, w), row in zip(part, y):
+                core = out[i][w] = row[SIDE:SIDE + CORE]
+                if core[0] and core[0] % 2 == 0:    # inside a span: it may begin in the window before
+                    more.add((i, w - 1))
+                if core[-1]:
+                    more.add((i, w + 1))
+        wanted = sorted((i, w) for i, w in more if 0 <= w <= last[i] and w not in out[i])
     return out
 
 
+def _window(t: str, w: int) -> np.ndarray:
+    """Character classes of window ``w``: its middle and ``SIDE`` characters on either side."""
+    at = w * CORE - SIDE
+    row = np.full(CORE + 2 * SIDE, PAD, np.int16)
+    piece = char_ids(t[max(0, at):at + CORE + 2 * SIDE])
+    row[max(0, -at):max(0, -at) + len(piece)] = piece
+    return row
+
+
 def joined(t: str, cores: dict[int, np.ndarray], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans plus the checked spans of the labels, reconciled over the whole text."""
     found, open_kind, start, end = [], None, 0, -1
@@ -390,7 +390,7 @@ def joined(t: str, cores: dict[int, np.ndarray], base: list[tuple[int, int, int]
         s = t[a:b]
         a, b = a + len(s) - len(s.lstrip()), b - len(s) + len(s.rstrip())
         s = t[a:b]
-        if 0 < len(s) <= CORE and _SIGN.search(s) and checked(k, s) and not taken(a, b):
+        if s and _SIGN.search(s) and checked(k, s) and not taken(a, b):
             out.append((a, k, b))
     return sorted(out)
 

@@ -141,6 +141,25 @@ def test_skipped_windows_lose_nothing(tagger):
     assert pii.find_spans(tagger, texts) == pii.find_spans(tagger, texts, every=True)
 
 
+def test_spans_of_any_length_are_kept(monkeypatch):
+    """A tagger that marks every line as an e-mail: the span reaches many windows to both sides of its only sign."""
+    line = pii.char_ids("\n")[0]
+
+    def lines(em, _):
+        inside = (em != line) & (em != pii.PAD)
+        first = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+        return np.where(first, 1, np.where(inside, 2, 0)).astype(np.int8)
+
+    monkeypatch.setattr(pii, "emissions", lambda m, ids: ids)
+    monkeypatch.setattr(pii, "viterbi", lines)
+    for before, after in ((300, 500), (5, 1000), (1000, 5), (40, 39), (39, 41)):
+        t = "plain words\n" * 30 + "a" * before + " @ " + "b" * after + ".com" + "\nplain words" * 30
+        span = (360, 0, 360 + before + 3 + after + 4)
+        model = {"trans": None}
+        assert pii.find_spans(model, [t, "", "no sign"]) == [([], [span]), ([], []), ([], [])]
+        assert pii.find_spans(model, [t], every=True) == [([], [span])]
+
+
 def test_pii_edges_and_masking(spark):
     got = by_id(pii.find_pii(edge_docs(spark)))
     assert {i: len(r) for i, r in got.items()}[6] == 2 and len(got) == 13
