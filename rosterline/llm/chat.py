@@ -57,6 +57,14 @@ def canonical(parsed: Column) -> Column:
     return F.to_json(parsed)
 
 
+def _left(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Left join; rows with a null among ``on``, which match nothing, are not sent to one task for it."""
+    whole = F.lit(True)
+    for c in on:
+        whole = whole & F.col(c).isNotNull()
+    return rows.where(whole).join(known, on, "left").unionByName(rows.where(~whole), allowMissingColumns=True)
+
+
 def _errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Adds ``arguments_json`` (canonical) and ``errors`` (sorted)."""
     parsed = calls.withColumn("_v", F.try_parse_json("arguments"))
@@ -85,8 +93,8 @@ def depths(calls: DataFrame) -> DataFrame:
     calls that still point somewhere become fewer in each round unless they stand behind a cycle.
     """
     mine = calls.select(*KEY, "after")
-    target = calls.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"))
-    known = mine.join(target, (F.col("conv_id") == F.col("_c")) & (F.col("after") == F.col("_i")), "left")
+    target = calls.select("conv_id", F.col("call_id").alias("after"), F.col("call_id").alias("_i"))
+    known = _left(mine, target, ["conv_id", "after"])
     step = materialize(known.select(
         *KEY, F.col("_i").alias("to"), F.when(F.col("_i").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
         F.when(F.col("after").isNotNull() & F.col("_i").isNull(), "unknown_dependency").alias("mark")), "depths")
@@ -119,9 +127,9 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> tuple[
     one = materialize(alike.where(keyed).groupBy(*KEY).agg(F.min(first).alias("_f"), (F.sum("_n") - 1).alias("n_same")), "first-calls")
     answers = results.where(keyed).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_results"))
     d = depths(one.select(*KEY, "_f.after"))
-    known = one.join(answers, KEY, "left").join(d, KEY, "left")
+    known = one.join(answers, KEY, "left").join(d, KEY, "left")     # whole keys only
     # One row for each call: of those equal in every column, the first one alone links.
-    every = (_errors(alike, tools).join(known, KEY, "left")
+    every = (_left(_errors(alike, tools), known, KEY)
              .withColumn("_first", F.coalesce(first.eqNullSafe(F.col("_f")), F.lit(False)))
              .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))))
     same = F.coalesce("n_same", F.lit(0)).cast("bigint")
@@ -134,7 +142,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> tuple[
         F.when(F.col("mark").eqNullSafe("cycle"), F.lit(None)).otherwise(F.coalesce("depth", F.lit(0))).alias("depth"))
     linked = materialize(linked, "linked")
     asked = linked.where(keyed & ~F.col("mark").eqNullSafe("duplicate")).select(*KEY, F.col("depth").alias("_depth"), F.lit(True).alias("_known"))
-    back = results.join(asked, KEY, "left").select(
+    back = _left(results, asked, KEY).select(
         "conv_id", "turn", "call_id", "content", F.col("_depth").alias("depth"),
         F.when(F.col("_known").isNull(), "orphan").alias("mark"))
     return linked, back
@@ -150,8 +158,8 @@ def chat_records(messages: DataFrame, calls: DataFrame, results: DataFrame, tool
     linked, back = link_calls(calls, results, tools)
     # Messages carry no call: their depth is that of the conversation so far, which the turn tells.
     no = F.lit(None)
-    turns = linked.groupBy("conv_id", "turn").agg(F.min("depth").alias("depth"))
-    message = (messages.join(turns, ["conv_id", "turn"], "left").select(
+    turns = linked.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("depth").alias("depth"))
+    message = (_left(messages, turns, ["conv_id", "turn"]).select(
         "conv_id", "depth", "turn", F.lit(0).alias("kind"), no.cast("string").alias("call_id"), F.lit(True).alias("valid"),
         no.cast("string").alias("mark"), no.cast("string").alias("errors"),
         F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"}).alias("json"), no.cast("bigint").alias("n_same")))
@@ -214,15 +222,16 @@ linked AS (SELECT k.*, w.depth,
 turns AS (SELECT conv_id, turn, min(depth) AS depth FROM linked GROUP BY conv_id, turn)
 SELECT c.conv_id, CAST(t.depth AS BIGINT) AS depth, c.turn, 0 AS kind, CAST(NULL AS VARCHAR) AS call_id, true AS valid,
     CAST(NULL AS VARCHAR) AS mark, CAST(NULL AS VARCHAR) AS errors,
-    '{"content":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(c.role) AS VARCHAR), 'null') || '}' AS json
+    '{"content":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(c.role) AS VARCHAR), 'null') || '}' AS json,
+    CAST(NULL AS BIGINT) AS n_same
 FROM c LEFT JOIN turns t ON t.conv_id = c.conv_id AND t.turn = c.turn
 UNION ALL
 SELECT conv_id, CAST(depth AS BIGINT), turn, 1, call_id, true, mark, '',
     '{"content":null,"role":"assistant","tool_calls":[{"function":{"arguments":' || CAST(to_json(arguments_json) AS VARCHAR)
-    || ',"name":"' || name || '"},"id":"' || call_id || '","type":"function"}]}' FROM linked
+    || ',"name":"' || name || '"},"id":"' || call_id || '","type":"function"}]}', CAST(n - 1 AS BIGINT) FROM linked
 UNION ALL
 SELECT r.conv_id, CAST(l.depth AS BIGINT), r.turn, 2, r.call_id, l.call_id IS NOT NULL,
     CASE WHEN l.call_id IS NULL THEN 'orphan' END, CAST(NULL AS VARCHAR),
-    '{"content":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || ',"role":"tool","tool_call_id":"' || r.call_id || '"}'
+    '{"content":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || ',"role":"tool","tool_call_id":"' || r.call_id || '"}', CAST(NULL AS BIGINT)
 FROM res r LEFT JOIN linked l ON l.conv_id = r.conv_id AND l.call_id = r.call_id
 """

@@ -406,6 +406,22 @@ def test_no_call_is_lost(spark):
     assert [(r.call_id, r.mark, r.depth) for r in rows if r.kind == 2 and r.call_id == "a"] == [("a", None, 0)]
 
 
+def test_rows_without_a_key_meet_in_no_join(spark):
+    """Half of all rows have no conversation: they keep their rows, link to nothing, and spread over the tasks."""
+    n = 4000
+    null = F.when(F.col("id") % 2 == 0, F.col("id")).cast("bigint").alias("conv_id")
+    m = spark.range(0, n, 1, 8).select(null, F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
+    calls = spark.range(0, n, 1, 8).select(null, F.lit(0).cast("bigint").alias("turn"), F.lit("c").alias("call_id"), F.lit("lookup").alias("name"),
+                                           F.concat(F.lit('{"query":"'), "id", F.lit('","limit":1}')).alias("arguments"), F.lit(None).cast("string").alias("after"))
+    results = spark.range(0, n, 1, 8).select(null, F.lit(1).cast("bigint").alias("turn"), F.lit("c").alias("call_id"), F.lit("r").alias("content"))
+    out = chat.chat_records(m, calls, results, chat.tools_frame(spark))
+    rows = collections.Counter((r.conv_id is None, r.kind, r.mark, r.depth) for r in out.collect())
+    assert rows == {(False, 0, None, 0): n // 2, (True, 0, None, None): n // 2, (False, 1, None, 0): n // 2,
+                    (True, 1, "unanswered", 0): n // 2, (False, 2, None, 0): n // 2, (True, 2, "orphan", None): n // 2}
+    most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < n
+
+
 def test_long_chains_and_empty_conversations(spark):
     calls = spark.range(300).select(F.lit(7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("c"), "id").alias("call_id"),
                                     F.lit("lookup").alias("name"), F.lit("{}").alias("arguments"),
