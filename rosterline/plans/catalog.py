@@ -30,6 +30,7 @@ from rosterline.operators.upsert import (advance_stage, create_lists, first_per_
 from rosterline.functions.normalize import is_member_id, is_vanity, normalize_linkedin_url
 from rosterline.session import materialize, scratch_dir
 from rosterline.sources.files import write_bucketed_snapshot
+from rosterline.schema import COMPANY_SCHEMA, EXPORT_COLUMNS
 from rosterline.sources.bindings import (BATCH_SPLIT, NOW, STAGE_FROM_SCORE, V_HITS, duck, hits)
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -185,9 +186,7 @@ def q_f3(spark, d):
 EXPORT_SQL_COLS = ", ".join(
     f"CAST(NULL AS VARCHAR) AS {c}" if c not in ("first_name", "last_name", "company_name", "company_domain",
                                                   "linkedin_url", "source", "qualification_score") else c
-    for c in ["first_name", "last_name", "full_name", "title", "seniority", "company_name", "company_domain",
-              "linkedin_url", "country", "location", "email", "phone", "phone_type", "source",
-              "matched_persona", "qualification_score"])
+    for c in EXPORT_COLUMNS)
 
 
 @register("o1_export", f"""WITH {CONTACTS_CTE}
@@ -405,7 +404,6 @@ def q_n21(spark, d):
 import os as _os  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
-from rosterline.schema import COMPANY_SCHEMA, EXPORT_COLUMNS  # noqa: E402
 from rosterline.session import scratch_dir  # noqa: E402
 from rosterline.sources.files import (read_companies_csv, read_export_csv, read_jsonl, read_snapshot,  # noqa: E402
                                       to_json_rows, write_export_csv, write_snapshot)

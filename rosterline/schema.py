@@ -87,17 +87,6 @@ COMPANY_SCHEMA = T.StructType([
     T.StructField("updated_at", T.TimestampNTZType()),
 ])
 
-LIST_SCHEMA = T.StructType([
-    T.StructField("list_id", T.LongType()),
-    T.StructField("list_name", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("created_by", T.StringType()),
-    T.StructField("search_criteria", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("updated_at", T.TimestampNTZType()),
-])
-
 MASTER_SCHEMA = T.StructType([
     T.StructField("contact_id", T.LongType()),
     T.StructField("linkedin_url", T.StringType()),
