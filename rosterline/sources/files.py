@@ -7,11 +7,14 @@ are built per bounded page of rows, never per whole list.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline.functions.normalize import blank_to_null
 from rosterline.schema import EXPORT_COLUMNS
+from rosterline.session import materialize
 
 __all__ = ["read_companies_csv", "read_jsonl", "write_export_csv", "read_export_csv",
            "write_snapshot", "read_snapshot", "write_bucketed_snapshot", "to_json_rows", "to_json_pages", "to_json_map",
@@ -37,40 +40,81 @@ def read_companies_csv(spark: SparkSession, path: str, multi_line: bool = True,
     BOM-safe; quoted multi-line fields.  Output uses the canonical names ``company_name`` /
     ``company_domain`` (D19).  A file with more than ``max_columns`` columns raises.
 
+    The headers are read first, a row per file (one small job, at the call): where each field stands
+    follows from the header alone.  Then the files are read by their own number of columns, once,
+    as the parser raises inside for every cell that a row lacks.
+
     ``multiLine`` parsing reads each file in one task; account lists are
     usually many small files, and ``multi_line=False`` makes big single files
     splittable when no quoted field spans lines.
     """
-    names = [f"_c{i}" for i in range(max_columns + 1)]
-    raw = (spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", "false")
-           .option("multiLine", str(multi_line).lower()).option("escape", '"').option("encoding", "UTF-8").csv(path)
-           .select(F.array(*names).alias("_v"), F.col("_metadata.file_path").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n")))
-    wide = F.raise_error(F.lit("a file has more columns than max_columns"))
-    clean = F.transform("_v", lambda x: F.lower(F.trim(F.regexp_replace(x, "^\ufeff", ""))))
-    # The header is the first row of a file's first block: one row per file.
-    head = (raw.where(F.col("_at") == 0).groupBy("_file").agg(F.min_by("_v", "_n").alias("_v"), F.min("_n").alias("_first"))
-            .select("_file", "_first", F.when(F.element_at("_v", -1).isNull(), clean).otherwise(wide).alias("_h")))
-    cells = F.filter(F.arrays_zip("_h", "_v"), lambda x: blank_to_null(x["_h"]).isNotNull() & blank_to_null(x["_v"]).isNotNull())
-    rows = raw.join(head, "_file").where(F.col("_n") != F.col("_first")).select("_file", cells.alias("_cells"))
-
-    def first(of):
-        """The first non-blank cell under a header."""
-        return F.try_element_at(F.filter("_cells", lambda x: x["_h"] == of), F.lit(1))["_v"]
-
-    def pick(aliases):
-        return F.coalesce(*[blank_to_null(first(F.lit(a))) for a in aliases])
-
-    known = F.array(*[F.lit(x) for x in (*NAME_COLS, *DOMAIN_COLS, *LINKEDIN_COLS)])
-    extra = F.array_except(F.transform("_cells", lambda x: x["_h"]), known)
-    extras = F.map_from_arrays(extra, F.transform(extra, lambda n: blank_to_null(first(n))))
-    out = rows.select(pick(NAME_COLS).alias("company_name"), pick(DOMAIN_COLS).alias("company_domain"),
-                      pick(LINKEDIN_COLS).alias("linkedin_url"), extras.alias("extras"), "_file")
+    options = {"multiLine": str(multi_line).lower(), "escape": '"', "encoding": "UTF-8"}
+    head = materialize(_headers(spark, path, options, max_columns), "csv-headers")
+    widths = [r["_width"] for r in head.select("_width").distinct().orderBy("_width").collect()]
+
+    def read(width):
+        """Cells of the files with that many columns, below the header."""
+        names = [f"_c{i}" for i in range(width)]
+        rows = (spark.read.schema(", ".join(f"{n} string" for n in names)).options(header="true", **options).csv(path)
+                .select(F.array(*names).alias("_v"), F.col("_metadata.file_path").alias("_file")))
+        own = head.where(F.col("_width") == width)
+        if len(widths) > 1:     # paths, as the driver's own listing holds them: other files are not opened
+            rows = rows.where(F.col("_file").isin([r["_file"] for r in own.select("_file").collect()]))
+        return rows.join(F.broadcast(own), "_file")
+
+    rows = reduce(DataFrame.unionAll, [read(w) for w in widths or [1]])
+
+    def pick(places):
+        """The first non-blank cell of some places."""
+        cells = F.transform(places, lambda i: blank_to_null(F.get("_v", i)))
+        return F.try_element_at(F.filter(cells, lambda x: x.isNotNull()), F.lit(1))
+
+    cells = F.filter(F.transform("_extra", lambda x: F.struct(x["h"].alias("h"), blank_to_null(F.get("_v", x["i"])).alias("v"))),
+                     lambda x: x["v"].isNotNull())
+    names = F.transform("_cells", lambda x: x["h"])
+    once = F.filter("_cells", lambda x, i: F.array_position(names, x["h"]) == i + 1)
+    out = (rows.select(pick("_name").alias("company_name"), pick("_domain").alias("company_domain"),
+                       pick("_linkedin").alias("linkedin_url"), cells.alias("_cells"), "_twice", "_file")
+           .select("company_name", "company_domain", "linkedin_url",
+                   F.map_from_entries(F.when(F.col("_twice"), once).otherwise(F.col("_cells"))).alias("extras"), "_file"))
     keep = F.col("company_name").isNotNull() | F.col("company_domain").isNotNull()
     skipped = out.where(~keep).groupBy("_file").agg(F.count(F.lit(1)).alias("skipped"))
     return out.where(keep).drop("_file"), skipped
 
 
+def _headers(spark: SparkSession, path: str, options: dict[str, str], max_columns: int) -> DataFrame:
+    """Per file: number of columns up to the last named one, places (from 0) of name, domain, LinkedIn
+    and extra columns, whether an extra header stands twice."""
+    # Records stay text here (the corrupt-record column; a single cell is no corrupt record): only headers are split.
+    raw = (spark.read.schema("_c0 string, _record string").options(header="false", columnNameOfCorruptRecord="_record", **options)
+           .csv(path).select("_c0", "_record", F.col("_metadata.file_path").alias("_file"),
+                             F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n")))
+    # The header is the first row of a file's first block.
+    first = raw.where(F.col("_at") == 0).groupBy("_file").agg(F.min("_n").alias("_n"))
+    names = [f"_c{i}" for i in range(max_columns + 1)]
+    split = F.from_csv("_record", ", ".join(f"{n} string" for n in names), options)
+    cells = F.when(F.col("_record").isNull(), F.array("_c0")).otherwise(F.array(*[F.col("_s")[n] for n in names]))
+    wide = F.raise_error(F.lit("a file has more columns than max_columns"))
+    clean = F.transform("_v", lambda x: F.lower(F.trim(F.regexp_replace(x, "^\ufeff", ""))))
+    head = (raw.join(first, ["_file", "_n"]).withColumn("_s", split).select("_file", cells.alias("_v"))
+            .select("_file", F.when(F.try_element_at("_v", F.lit(max_columns + 1)).isNull(), clean).otherwise(wide).alias("_h"))
+            .select("_file", F.filter(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))),
+                                      lambda x: blank_to_null(x["h"]).isNotNull()).alias("_h")))
+
+    def under(name):
+        return F.transform(F.filter("_h", lambda x: x["h"] == name), lambda x: x["i"])
+
+    def places(aliases):
+        """Of the columns under some headers, those under the first header first."""
+        return F.flatten(F.array(*[under(a) for a in aliases]))
+
+    extra = F.filter("_h", lambda x: ~x["h"].isin(*NAME_COLS, *DOMAIN_COLS, *LINKEDIN_COLS))
+    extra_names = F.transform(extra, lambda x: x["h"])
+    return head.select("_file", F.greatest(F.lit(1), F.array_max(F.transform("_h", lambda x: x["i"])) + 1).alias("_width"),
+                       places(NAME_COLS).alias("_name"), places(DOMAIN_COLS).alias("_domain"), places(LINKEDIN_COLS).alias("_linkedin"),
+                       extra.alias("_extra"), (F.size(F.array_distinct(extra_names)) < F.size(extra_names)).alias("_twice"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON Lines with a fixed schema; blank lines are skipped, a broken line raises."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -3,6 +3,7 @@
 import datetime as dt
 import decimal
 import os
+import re
 import uuid
 
 import pytest
@@ -177,6 +178,19 @@ def test_company_csv(spark, tmp_path):
         read_companies_csv(spark, str(tmp_path / "b.csv"), max_columns=3)[0].collect()
 
 
+def _csv_columns(df):
+    """Numbers of the CSV columns that a plan names."""
+    return {int(n) for n in re.findall(r"\b_c(\d+)#", df._jdf.queryExecution().optimizedPlan().toString())}
+
+
+def test_company_csv_skipped_reads_own_columns(spark, tmp_path):
+    """Rows are parsed into as many columns as their file has: each cell that a row lacks is an exception in the parser."""
+    (tmp_path / "a.csv").write_text("name,url,segment\nLarch,larch.example,x\n,,y\n , ,z\n")
+    _, skipped = read_companies_csv(spark, str(tmp_path))
+    assert [r["skipped"] for r in skipped.collect()] == [2]
+    assert _csv_columns(skipped) == {0, 1, 2}
+
+
 def test_broken_json_line_raises(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     assert read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").count() == 2
