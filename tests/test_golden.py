@@ -191,6 +191,19 @@ def test_company_csv_skipped_reads_own_columns(spark, tmp_path):
     assert _csv_columns(skipped) == {0, 1, 2}
 
 
+def test_companies_csv_of_different_widths(spark, tmp_path):
+    """Files with more and with fewer columns in one folder: each is read by its own number of columns."""
+    (tmp_path / "a.csv").write_text("name,site\nLarch,larch.example\n")
+    (tmp_path / "b.csv").write_text("\nTier,x,,Tier,LinkedIn,NAME,,\n ,1,no,gold,l,Birch,no,no\nsilver,,,gold\n")
+    (tmp_path / "c.csv").write_text("account\nOak\n")
+    (tmp_path / "d.csv").write_text("")
+    comp, skipped = read_companies_csv(spark, str(tmp_path))
+    assert {r["company_name"]: (r["company_domain"], r["linkedin_url"], r["extras"]) for r in comp.collect()} == {
+        "Larch": ("larch.example", None, {}), "Birch": (None, "l", {"x": "1", "tier": "gold"}), "Oak": (None, None, {})}
+    assert [r["skipped"] for r in skipped.collect()] == [1]
+    assert _csv_columns(comp) == set(range(6))
+
+
 def test_broken_json_line_raises(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     assert read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").count() == 2
