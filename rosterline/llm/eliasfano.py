@@ -73,19 +73,43 @@ class EliasFano:
 
     def successor(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Index of the first element >= v within [lo, hi); hi if there is none."""
+        return self._search(v, lo, hi)[0]
+
+    def find(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Index of an element equal to v within [lo, hi), by the search for its successor; -1 if there is none."""
+        i, last = self._search(v, lo, hi)
+        # Below ``last``, an element has the high part of v.
+        inside = np.flatnonzero(i < last)
+        same = inside[self._low(i[inside]) == (np.asarray(v, np.int64)[inside] & ((1 << self.bits) - 1)).astype(np.uint64)]
+        out = np.full(len(i), -1)
+        out[same] = i[same]
+        return out
+
+    def _search(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(successor of v within [lo, hi); end of the elements there that have its high part)."""
         v = np.asarray(v, np.int64)
         top = v >> self.bits
         # Elements whose high part is that of v lie between two zeros of the unary part.
         first = np.where(top > 0, _select(self.high, self.zeros, np.maximum(top - 1, 0), True) - top + 1, 0)
         last = _select(self.high, self.zeros, top, True) - top
         a, b = np.clip(first, lo, hi), np.clip(last, lo, hi)
+        end = b.copy()
         low = (v & ((1 << self.bits) - 1)).astype(np.uint64)
-        while (a < b).any():
-            mid = (a + b) >> 1
-            less = (a < b) & (self._low(np.minimum(mid, max(0, self.n - 1))) < low)
-            b = np.where((a < b) & ~less, mid, b)
-            a = np.where(less, mid + 1, a)
-        return a
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
+            mid = (a[open_] + b[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+            open_ = open_[a[open_] < b[open_]]
+        return a, end
+
+
+def _runs(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each run of equal neighbours; run of each item)."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 class Children:
@@ -108,13 +132,14 @@ class Children:
         if not len(live) or not self.values.n:
             return out
         a, w = at[live], word[live]
-        lo, hi = self.pointers.get(a), self.pointers.get(a + 1)
+        new, of = _runs(a, w)   # equal neighbours are looked up once, and so are the pointers of a parent
+        a, w = a[new], w[new]
+        parent, back = _runs(a)
+        lo, hi = self.pointers.get(a[parent])[back], self.pointers.get(a[parent] + 1)[back]
+        found = np.full(len(a), -1)
         full = np.flatnonzero(lo < hi)
-        live, a, w, lo, hi = live[full], a[full], w[full], lo[full], hi[full]
-        i = self.values.successor(a * self.size + w, lo, hi)
-        inside = np.flatnonzero(i < hi)
-        same = inside[self.values.get(i[inside]) == a[inside] * self.size + w[inside]]
-        out[live[same]] = i[same]
+        found[full] = self.values.find(a[full] * self.size + w[full], lo[full], hi[full])
+        out[live] = found[of]
         return out
 
 
@@ -158,9 +183,13 @@ class Trie:
         ``n``: their counts.  ``passed(level, contexts)`` marks contexts that only lead to longer ones here."""
         names = np.unique(np.concatenate(words))
         names = names[names != none]
+        return Trie.build_numbered(names, [np.where(w == none, -1, np.searchsorted(names, w)) for w in words], n, discounts, passed)
+
+    @staticmethod
+    def build_numbered(names: np.ndarray, at: list[np.ndarray], n: np.ndarray, discounts: list[float], passed=None) -> dict[str, np.ndarray]:
+        """``build`` from the distinct names, rising, and the words as numbers among them (-1: no further word)."""
         size = max(1, len(names))
-        at = [np.where(w == none, -1, np.searchsorted(names, w)) for w in words]
-        out = {"names": names, "order": np.array([len(words)])}
+        out = {"names": names, "order": np.array([len(at)])}
         node, live, parents = np.zeros(len(n), np.int64), np.arange(len(n)), 1
         hashed = np.zeros(1, np.uint64)
         for j, d in enumerate(discounts, 1):
@@ -189,11 +218,15 @@ class Trie:
 
     def search(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(share, gamma) of each n-gram, words as for ``build``: its probability is share + gamma * p(last word)."""
-        last = self.number(words[0])
+        return self.search_numbered([self.number(w) for w in words])
+
+    def search_numbered(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` for words that ``number`` has numbered."""
+        last = words[0]
         share, gamma = np.zeros(len(last)), np.ones(len(last))
         at = np.zeros(len(last), np.int64)
         for j in range(1, self.order):
-            at = self.contexts[j - 1].find(at, self.number(words[j]))
+            at = self.contexts[j - 1].find(at, words[j])
             live = np.flatnonzero(at >= 0)
             if not len(live):
                 break

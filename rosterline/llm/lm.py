@@ -35,6 +35,8 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +56,8 @@ END = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"")).astype(np.int64))
 NONE = np.iinfo(np.int64).min  # stands before the end token that stands before a text
 #: Large contexts at most; tokens of a shard, about; share of the texts that are looked through for large contexts.
 LARGE, SHARD_TOKENS, SAMPLE = 1_000_000, 4_000_000, 16
+#: Turns in which the n-grams are sent; the files of one are deleted before the next.
+ROUNDS = 4
 
 
 def tokens_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,27 +83,33 @@ def parts_of(b: pa.RecordBatch, size: int = 6_000_000):
         yield b.take(pa.array(np.arange(part.start, part.stop)))
 
 
-def histories(cls: np.ndarray, doc: np.ndarray, end: int, order: int) -> np.ndarray:
-    """Classes of the order - 1 tokens before each token, nearest first; before a text stands one end token, then -1."""
-    out = np.full((order - 1, len(cls)), -1, np.int64)
-    first = np.searchsorted(doc, doc)  # position of the first token of the same text
-    at = np.arange(len(cls))
+def distinct(cols: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(an index of each distinct row, rows in order of the columns; number of the distinct row of each row); values are below ``size``."""
+    key = None
+    if max(1, size) ** len(cols) < 2 ** 63:
+        key = np.zeros(len(cols[0]), np.int64)
+        for c in cols:
+            key = key * size + c
+    by = np.lexsort(cols[::-1]) if key is None else np.argsort(key)
+    new = np.ones(len(by), bool)
+    for i, c in enumerate(cols if key is None else [key]):
+        c = c[by]
+        new[1:] = c[1:] != c[:-1] if i == 0 else new[1:] | (c[1:] != c[:-1])
+    of = np.empty(len(by), np.int64)
+    of[by] = np.cumsum(new) - 1
+    return by[new], of
+
+
+def histories(code: np.ndarray, size: np.ndarray, end: int, order: int) -> list[np.ndarray]:
+    """Codes of each token and of the order - 1 before it, nearest first; before a text stands one end token, then 0."""
+    out, first = [code], np.cumsum(size) - size
     for back in range(1, order):
-        src = at - back
-        out[back - 1] = np.where(src >= first, cls[np.maximum(src, 0)], np.where(src == first - 1, end, -1))
+        p = np.roll(out[-1], 1)
+        p[first] = end if back == 1 else 0
+        out.append(p)
     return out
 
 
-def distinct_grams(hashes: np.ndarray, code: np.ndarray, doc: np.ndarray, order: int):
-    """(words of the distinct n-grams, last first; number of the n-gram of each token; last word's class of each)."""
-    past = histories(code, doc, len(hashes) - 1, order)
-    _, one, of = np.unique(code, return_index=True, return_inverse=True)
-    for p in past:
-        _, one, of = np.unique(of * (len(hashes) + 1) + p + 1, return_index=True, return_inverse=True)
-    named = np.append(hashes, NONE)
-    return [named[code[one]]] + [named[p[one]] for p in past], of, code[one]
-
-
 def contexts_of(words: list[np.ndarray]) -> list[np.ndarray]:
     """Names of the contexts of 1, 2, ... words of each n-gram; 0 where it has no such context."""
     out, at = [], np.zeros(len(words[0]), np.uint64)
@@ -126,15 +136,33 @@ def restored(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
-def words_block(words: list[np.ndarray]) -> list[bytes]:
-    """Words of n-grams as places in a list of the distinct ones."""
-    names, of = np.unique(np.concatenate(words), return_inverse=True)
-    return [packed(np.diff(names, prepend=0))] + [packed(x) for x in np.split(of, len(words))]
-
-
-def words_of_block(block: list[bytes]) -> list[np.ndarray]:
-    names = np.cumsum(unpacked(block[0]))
-    return [names[unpacked(x)] for x in block[1:]]
+def words_block(cols: list[np.ndarray], names: np.ndarray) -> list[bytes]:
+    """Rows of codes into ``names`` (rising), last word first, as places in a list of the names they have.  Rows are in order of
+    the nearest word, those before it, and the last; so the first of these columns, and the second below it, are gaps."""
+    all_ = np.concatenate(cols)
+    if 4 * len(all_) < len(names):
+        used, of = np.unique(all_, return_inverse=True)
+    else:
+        has = np.zeros(len(names), bool)
+        has[all_] = True
+        used, of = np.flatnonzero(has), (np.cumsum(has) - 1)[all_]
+    last, *past = np.split(of, len(cols))
+    past = [*past, last]
+    out = [packed(np.diff(names[used], prepend=0)), packed(np.diff(past[0], prepend=0))]
+    if len(past) > 1:
+        new = np.diff(past[0], prepend=-1) != 0
+        out.append(packed(np.where(new, past[1], np.diff(past[1], prepend=0))))
+    return out + [packed(x) for x in past[2:]]
+
+
+def words_of_block(block: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(names, rows of codes) of ``words_block``."""
+    names, past = np.cumsum(unpacked(block[0])), [np.cumsum(unpacked(block[1]))] + [unpacked(x) for x in block[2:]]
+    if len(past) > 1 and len(past[0]):
+        first = np.flatnonzero(np.diff(past[0], prepend=-1) != 0)
+        total = np.cumsum(past[1])
+        past[1] = total - np.repeat(total[first] - past[1][first], np.diff(first, append=len(total)))
+    return names, [x.astype(np.int32) for x in (past[-1], *past[:-1])]
 
 
 def cat(column, read=unpacked) -> np.ndarray:
@@ -154,12 +182,14 @@ def large_contexts(docs: DataFrame, order: int, shards: int) -> list[np.ndarray]
 
     def run(batch: pa.RecordBatch):
         for b in parts_of(batch):
-            words, _, _ = distinct_grams(*tokens_of(b.column("_text")), order)
-            out = [(0, 0, len(words[0]))]
-            for j, c in enumerate(contexts_of(words), 1):
-                names, n = np.unique(c[c != 0], return_counts=True)
-                big = n >= least / 2 * len(words[0])
-                out += [(j, int(x), int(k)) for x, k in zip(names[big].view(np.int64), n[big])]
+            names, code, size = slice_of(b)
+            past = histories(code, size, int(np.searchsorted(names, END, side="right")), order)
+            one, _ = distinct(past[1:] + past[:1], len(names) + 1)
+            out = [(0, 0, len(one))]
+            for j, c in enumerate(contexts_of([np.append(NONE, names)[p[one]] for p in past]), 1):
+                found, n = np.unique(c[c != 0], return_counts=True)
+                big = n >= least / 2 * len(one)
+                out += [(j, int(x), int(k)) for x, k in zip(found[big].view(np.int64), n[big])]
             level, name, n = zip(*out)
             yield {"level": level, "name": name, "n": n}
 
@@ -184,9 +214,15 @@ def routes(words: list[np.ndarray], large: list[np.ndarray]) -> tuple[np.ndarray
     return by, ctx, lead
 
 
-def requests(docs: DataFrame, order: int, shards: int, large) -> DataFrame:
-    """Per slice of texts one row of shard -1 (its texts, the n-gram of each token), and what it asks of each shard:
-    whole n-grams, successors of large contexts, and words, each with its training count."""
+def slice_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names of the words, rising; code of each token, the place of its word from 1; tokens of each text)."""
+    hashes, code, doc = tokens_of(b.column("_text"))
+    names, rank = np.unique(hashes, return_inverse=True)
+    return names, rank[code] + 1, np.bincount(doc, minlength=b.num_rows)
+
+
+def slices(docs: DataFrame) -> DataFrame:
+    """A row per slice of texts: its words, and its texts as codes.  All n-grams are derived from these rows."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     state: dict = {}
 
@@ -195,82 +231,90 @@ def requests(docs: DataFrame, order: int, shards: int, large) -> DataFrame:
             ctx = TaskContext.get()
             task = (ctx.stageId(), ctx.partitionId(), ctx.taskAttemptId())
             number = state[task] = state.get(task, -1) + 1
-            yield from slice_of(b, (ctx.partitionId() << 32) + number)
-
-    def home(key: np.ndarray) -> np.ndarray:
-        return (mix64(key, 7) % np.uint64(shards)).astype(np.int64)
+            names, code, size = slice_of(b)
+            ends = pa.array(np.array([0, b.num_rows], np.int32))
+            yield {"slice": [(ctx.partitionId() << 32) + number], "doc_id": pa.ListArray.from_arrays(ends, b.column("doc_id")),
+                   "train": pa.ListArray.from_arrays(ends, b.column("_train")), "sizes": [packed(size)],
+                   "names": [packed(np.diff(names, prepend=0))], "codes": [packed(code)]}
 
-    def slice_of(b: pa.RecordBatch, number: int):
-        hashes, code, doc = tokens_of(b.column("_text"))
-        words, of, last = distinct_grams(hashes, code, doc, order)
-        n = sums(of, np.asarray(b.column("_train"))[doc], len(last))
-        by, ctx, lead = routes(words, large.value)
+    return bucketed(map_arrow(docs, docs.columns, run, (
+        f"slice bigint, doc_id array<{id_type}>, train array<boolean>, sizes binary, names binary, codes binary")), "slices", "slice")
+
+
+class Asked:
+    """What a slice asks in one turn, always in the same order: ``blocks`` are the whole n-grams, the words and, per level, the
+    successors of large contexts, each as (shard, codes, names, training counts) in order of shards."""
+
+    def __init__(self, names, code, size, train, order: int, turn: int, deal: int, large):
+        home = lambda key: (mix64(key, 7) % np.uint64(deal)).astype(np.int64)
+        named = np.append(NONE, names)
+        # All n-grams with the same nearest word have the same turn, so their contexts are whole there.
+        mine = mix64(context_hash(np.zeros(len(named), np.uint64), named, 1), 11) % np.uint64(ROUNDS) == turn
+        past = histories(code, size, int(np.searchsorted(names, END, side="right")), order)
+        taught = np.repeat(train, size)
+        self.tokens = np.flatnonzero(mine[past[min(1, order - 1)]])
+        cols = [p[self.tokens] for p in past]
+        one, of = distinct(cols[1:] + cols[:1], len(named))
+        n, grams = sums(of, taught[self.tokens], len(one)), [c[one] for c in cols]
+        by, ctx, lead = routes([named[g] for g in grams], large)
         # Whole n-grams, by shard; those without one come last.  This is the order of n-grams from here on.
-        shard = np.where(by == 0, shards, home(by))
-        order_ = np.lexsort([*words[::-1], shard])
-        place = np.empty(len(order_), np.int64)
-        place[order_] = np.arange(len(order_))
-        words, n, last, shard = [w[order_] for w in words], n[order_], last[order_], shard[order_]
-        one, at = np.unique(last, return_inverse=True)
-        blocks = [(shard, words, n), _by_shard(home(hashes[one].view(np.uint64)), [hashes[one]], sums(at, n, len(one)))]
-        uni = _place(home(hashes[one].view(np.uint64)))[at]
-        split = []
-        for j, (c, big) in enumerate(zip(ctx, lead), 1):
-            c, big = c[order_], big[order_]
-            where = np.full(len(n), -1)
-            names, i = np.unique(c[big], return_inverse=True)
-            pair, first, i = np.unique(i * (len(hashes) + 1) + last[big], return_index=True, return_inverse=True)
-            cw, ww = c[big][first], words[0][big][first]
+        shard = np.where(by == 0, deal, home(by))
+        at = np.argsort(shard, kind="stable")
+        place = np.empty(len(at), np.int64)
+        place[at] = np.arange(len(at))
+        self.of, grams, n = place[of], [g[at] for g in grams], n[at]
+        self.last = grams[0] - 1
+        words = np.flatnonzero(mine[1:])
+        to = home(names[words].view(np.uint64))
+        self.words = words[np.argsort(to, kind="stable")]
+        self.blocks = [(shard[at], grams, named, n),
+                       (np.sort(to), [self.words], names, sums(code - 1, taught, len(names))[self.words])]
+        self.split = []
+        for c, big in zip(ctx, lead):
+            c, big = c[at], big[at]
+            found, i = np.unique(c[big].view(np.int64), return_inverse=True)
+            first, i = distinct([i, grams[0][big]], max(len(found), len(named)))
+            ww, cw = named[grams[0][big][first]], c[big][first]
             to = home(cw ^ mix64(ww.view(np.uint64), 5))
-            where[big] = _place(to)[i]
-            split.append(where)
-            blocks.append(_by_shard(to, [ww, cw.view(np.int64)], sums(i, n[big], len(pair))))
-        ends = pa.array(np.array([0, b.num_rows], np.int32))
-        yield {"slice": [number], "shard": [-1], "asks": [None], "counts": [None],
-               "doc_id": pa.ListArray.from_arrays(ends, b.column("doc_id")),
-               "train": pa.ListArray.from_arrays(ends, b.column("_train")), "sizes": [packed(np.bincount(doc, minlength=b.num_rows))],
-               "codes": [packed(place[of])], "grams": [[packed(uni)] + [packed(x) for x in split]]}
-        blank = {k: [None] for k in ("doc_id", "train", "sizes", "codes", "grams")}
-        cuts = [np.searchsorted(s, np.arange(shards + 1)) for s, _, _ in blocks]
-        for s in range(shards):
-            spans = [slice(c[s], c[s + 1]) for c in cuts]
-            if any(x.stop > x.start for x in spans):
-                yield blank | {"slice": [number], "shard": [s], "asks": [[words_block([w[x] for w in ws]) for x, (_, ws, _) in zip(spans, blocks)]],
-                               "counts": [[packed(k[x]) for x, (_, _, k) in zip(spans, blocks)]]}
-
-    return bucketed(map_arrow(docs, docs.columns, run, (
-        f"slice bigint, shard int, asks array<array<binary>>, counts array<binary>, doc_id array<{id_type}>, train array<boolean>, "
-        "sizes binary, codes binary, grams array<binary>")), "ngrams", "slice")
+            at_ = np.argsort(to, kind="stable")
+            where, back = np.full(len(n), -1), np.empty(len(at_), np.int64)
+            back[at_] = np.arange(len(at_))
+            where[big] = back[i]
+            self.split.append(where)
+            both, codes = np.unique(np.concatenate([ww[at_], cw[at_].view(np.int64)]), return_inverse=True)
+            self.blocks.append((to[at_], np.split(codes, 2), both, sums(i, n[big], len(first))[at_]))
 
 
-def _place(shard: np.ndarray) -> np.ndarray:
-    """Place of each item when items are sorted by shard."""
-    by = np.argsort(shard, kind="stable")
-    out = np.empty(len(by), np.int64)
-    out[by] = np.arange(len(by))
-    return out
-
+def slice_columns(t, i: int):
+    """Names, codes, sizes and training marks of row ``i`` of ``slices``."""
+    return (np.cumsum(unpacked(t.column("names")[i].as_py())), unpacked(t.column("codes")[i].as_py()),
+            unpacked(t.column("sizes")[i].as_py()), np.array(t.column("train")[i].as_py(), bool))
 
-def _by_shard(shard: np.ndarray, words: list[np.ndarray], n: np.ndarray):
-    by = np.argsort(shard, kind="stable")
-    return shard[by], [w[by] for w in words], n[by]
 
+def requests(texts: DataFrame, order: int, turn: int, deal: int, large) -> DataFrame:
+    """What each slice asks of each shard in one turn: whole n-grams, words, and successors of large contexts, each with its
+    training count."""
+    def run(batch: pa.RecordBatch):
+        for i in range(batch.num_rows):
+            blocks = Asked(*slice_columns(batch, i), order, turn, deal, large.value).blocks
+            cuts = [np.searchsorted(b[0], np.arange(deal + 1)) for b in blocks]
+            for s in range(deal):
+                spans = [slice(c[s], c[s + 1]) for c in cuts]
+                if any(x.stop > x.start for x in spans):
+                    yield {"slice": batch.column("slice").slice(i, 1), "shard": [s],
+                           "asks": [[words_block([c[x] for c in cols], names) for x, (_, cols, names, _) in zip(spans, blocks)]],
+                           "counts": [[packed(n[x]) for x, (_, _, _, n) in zip(spans, blocks)]]}
 
-def unique_rows(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows and the sums of their counts, those never counted left out."""
-    by = np.lexsort(words[::-1])
-    words, n = [w[by] for w in words], n[by]
-    new = np.ones(len(n), bool)
-    new[1:] = np.any([w[1:] != w[:-1] for w in words], axis=0)
-    total = np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
-    return [w[new][total > 0] for w in words], total[total > 0]
+    return map_arrow(texts, ["slice", "train", "sizes", "names", "codes"], run,
+                     "slice bigint, shard int, asks array<array<binary>>, counts array<binary>")
 
 
-def level_counts(words: list[np.ndarray], n: np.ndarray, large: list[np.ndarray], j: int) -> np.ndarray:
+def level_counts(cols: list[np.ndarray], names: np.ndarray, n: np.ndarray, large: list[np.ndarray], j: int) -> np.ndarray:
     """Counts of the distinct n-grams of order j + 1 whose context of j words is served whole here."""
-    _, ctx, lead = routes(words, large)
-    own = (ctx[j - 1] != 0) & ~lead[j - 1]
-    return unique_rows([ctx[j - 1][own].view(np.int64), words[0][own]], n[own])[1]
+    _, ctx, lead = routes([names[c] for c in cols], large)
+    own = np.flatnonzero((ctx[j - 1] != 0) & ~lead[j - 1])
+    one, of = distinct([c[own] for c in (*cols[1:j + 1], cols[0])], len(names))
+    return sums(of, n[own], len(one))
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2,
@@ -278,45 +322,62 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     if order < 1:
         raise ValueError("order must be at least 1")
-    id_type = docs.schema[doc_id].dataType.simpleString()
     fold = crc_bucket(doc_id, folds)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), (fold != held_out).alias("_train"))
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * SHARD_TOKENS)))
+    deal = max(-(-2 * shards // ROUNDS), min(shards, spark.sparkContext.defaultParallelism))    # shards of a turn
     large = spark.sparkContext.broadcast(large_contexts(docs, order, shards))
-    sent = requests(docs, order, shards, large)
+    texts = slices(docs)
 
     counted_schema = arrow_schema(spark, counted := (
-        "shard int, counts binary, tokens bigint, words bigint, once array<bigint>, twice array<bigint>, level array<int>, "
+        "turn int, shard int, rows array<array<binary>>, counts array<binary>, slices array<bigint>, places array<array<binary>>, "
+        "tokens bigint, words bigint, once array<bigint>, twice array<bigint>, level array<int>, "
         "name array<bigint>, total array<bigint>, followers array<bigint>"))
 
-    def count(key, t):
-        """Sums of a shard: its n-grams, the successors of large contexts, its words."""
-        asks, counts = t.column("asks").to_pylist(), t.column("counts").to_pylist()
-        out, arrays = {"once": [], "twice": [], "level": [], "name": [], "total": [], "followers": []}, {}
-        for i in range(order + 1):
-            parts = [words_of_block(a[i]) for a in asks]
-            words, n = unique_rows([np.concatenate(x) for x in zip(*parts)], np.concatenate([unpacked(c[i]) for c in counts]))
-            arrays |= {f"{i}.n": n} | {f"{i}.{k}": w for k, w in enumerate(words)}
-            if i == 0:
-                grams = words, n
-            elif i == 1:
-                out |= {"tokens": int(n.sum()), "words": len(n)}
-            else:
-                whole = level_counts(*grams, large.value, i - 1)
-                out["once"].append(int((n == 1).sum() + (whole == 1).sum()))
-                out["twice"].append(int((n == 2).sum() + (whole == 2).sum()))
-                names, of = np.unique(words[1], return_inverse=True)
-                out["level"] += [i - 1] * len(names)
-                out["name"] += names.tolist()
-                out["total"] += sums(of, n, len(names)).tolist()
-                out["followers"] += np.bincount(of, minlength=len(names)).tolist()
-        row = {k: [v] for k, v in out.items()} | {"shard": [key[0].as_py()], "counts": [squeezed(to_bytes(arrays))]}
-        return pa.Table.from_batches([batch_of(row, counted_schema)])
-
-    asked = sent.where("shard >= 0").select("slice", "shard", "asks", "counts")
-    found = materialize(asked.groupBy("shard").applyInArrow(count, counted), "counted")
+    def count(turn):
+        def run(key, t):
+            """Sums of a shard: its n-grams, its words, the successors of large contexts; and which of them each slice asks for."""
+            asks, counts = t.column("asks").to_pylist(), t.column("counts").to_pylist()
+            out = {k: [] for k in ("rows", "counts", "once", "twice", "level", "name", "total", "followers")}
+            places = []
+            for i in range(order + 1):
+                parts = [words_of_block(a[i]) for a in asks]
+                names = np.unique(np.concatenate([x for x, _ in parts]))
+                ends = np.cumsum([0] + [len(x[0]) for _, x in parts])
+                for own, cols in parts:
+                    here = np.searchsorted(names, own).astype(np.int32)
+                    cols[:] = [here[c] for c in cols]
+                cols = [np.concatenate(x) for x in zip(*[x for _, x in parts])]
+                del parts
+                one, of = distinct(cols[1:] + cols[:1], len(names))
+                places.append([packed(np.diff(of[a:b], prepend=0)) for a, b in zip(ends, ends[1:])])
+                cols, n = [c[one] for c in cols], sums(of, np.concatenate([unpacked(c[i]) for c in counts]), len(one))
+                out["rows"].append(words_block(cols, names))
+                out["counts"].append(packed(n))
+                cols, n = [c[n > 0] for c in cols], n[n > 0]
+                if i == 0:
+                    grams = cols, names, n
+                elif i == 1:
+                    out |= {"tokens": int(n.sum()), "words": len(n)}
+                else:
+                    whole = level_counts(*grams, large.value, i - 1)
+                    out["once"].append(int((n == 1).sum() + (whole == 1).sum()))
+                    out["twice"].append(int((n == 2).sum() + (whole == 2).sum()))
+                    ctx, of = np.unique(names[cols[1]], return_inverse=True)
+                    out["level"] += [i - 1] * len(ctx)
+                    out["name"] += ctx.tolist()
+                    out["total"] += sums(of, n, len(ctx)).tolist()
+                    out["followers"] += np.bincount(of, minlength=len(ctx)).tolist()
+            row = {k: [v] for k, v in out.items()} | {"turn": [turn], "shard": [key[0].as_py()], "places": [list(zip(*places))],
+                                                      "slices": [t.column("slice").to_pylist()]}
+            return pa.Table.from_batches([batch_of(row, counted_schema)])
+        return run
+
+    found = reduce(DataFrame.unionAll, [
+        once_shuffled(requests(texts, order, turn, deal, large).groupBy("shard").applyInArrow(count(turn), counted), "counted")
+        for turn in range(ROUNDS)])
     n, v, *seen = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)),
                             *[F.coalesce(F.sum(F.col(k)[o]), F.lit(0)) for o in range(order - 1) for k in ("once", "twice")]).first()
     discounts = [x / (x + 2 * y) if x + y else 0.5 for x, y in zip(seen[::2], seen[1::2])]
@@ -325,44 +386,44 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     of_large = spark.sparkContext.broadcast(tuple(np.asarray(spread.column(k), np.int64)[np.argsort(np.asarray(spread.column("name"), np.int64))]
                                                   for k in ("name", "level", "total", "followers")))
 
-    def build(b: pa.RecordBatch):
+    def build(blocks, counts):
         """A shard's trie, its successors of large contexts (a trie of one level, the context as its word), its words."""
-        for blob in b.column("counts"):
-            held = mapped(restored(blob.as_py()))
-            rows = lambda i, k: [held[f"{i}.{x}"] for x in range(k)]
-            lead = lambda j, c: np.isin(c, large.value[j - 1])
-            out = {f"t.{k}": x for k, x in Trie.build(rows(0, order), held["0.n"], discounts, NONE, lead).items()}
-            name, level, total, followers = of_large.value
-            ctx, word, k = (np.concatenate([held[f"{i}.{x}"] for i in range(2, order + 1)] or [np.empty(0, np.int64)]) for x in (1, 0, "n"))
-            at = np.searchsorted(name, ctx)
-            names = np.unique(word)
-            pair = np.unique(at * max(1, len(names)) + np.searchsorted(names, word), return_index=True)
-            d = np.array([0.0, *discounts])[level[at]]
-            book, codes = quantised(((k - d) / total[at])[pair[1]]) if len(k) else quantised(np.empty(0))
-            out |= {"s.names": names, "s.codes": codes, "s.book": book} | {f"s.{x}": y for x, y in Children.build(
-                pair[0], len(name), max(1, len(names)), "w.").items()}
-            out |= {"u.names": held["1.0"], "u.n": held["1.n"]}
-            yield {"shard": b.column("shard"), "trie": [to_bytes(out)]}
-
-    def one_by_one(b: pa.RecordBatch):
-        for i in range(b.num_rows):
-            yield from build(b.slice(i, 1))
-
-    tries = materialize(map_arrow(found, ["shard", "counts"], one_by_one, "shard int, trie binary"), "tries")
-    answer_schema = arrow_schema(spark, answered := "slice bigint, shard int, share array<binary>, gamma array<binary>, known binary")
-
-    def answer(key, t, tries_):
-        held = mapped(tries_.column("trie").chunk(0)[0].as_buffer())
-        part = lambda p: {k.removeprefix(p): x for k, x in held.items() if k.startswith(p)}
-        trie, s = Trie(part("t.")), part("s.")
-        after = Children(s, "w.", max(1, len(s["names"])))
+        (names, cols), n_ = blocks[0], counts[0]
+        cols, n_ = [c[n_ > 0] for c in cols], n_[n_ > 0]
+        has = np.zeros(len(names), bool)
+        for c in cols:
+            has[c] = True
+        has &= names != NONE
+        number = np.where(has, np.cumsum(has) - 1, -1)
+        lead = lambda j, c: np.isin(c, large.value[j - 1])
+        out = {f"t.{k}": x for k, x in Trie.build_numbered(names[has], [number[c] for c in cols], n_, discounts, lead).items()}
         name, level, total, followers = of_large.value
-        weight = np.array([0.0, *discounts])[level] * followers / np.maximum(total, 1)
-        out = {k: [] for k in ("share", "gamma", "known")}
-        for asks in t.column("asks").to_pylist():
-            got = [trie.search(words_of_block(asks[0]))]
-            for block in asks[2:]:
-                word, ctx = words_of_block(block)
+        held = [(*(names[c[k > 0]] for c in cols), k[k > 0]) for (names, cols), k in zip(blocks[2:], counts[2:])]
+        word, ctx, k = (np.concatenate(x) for x in zip(*held)) if held else [np.empty(0, np.int64)] * 3
+        at = np.searchsorted(name, ctx)
+        names = np.unique(word)
+        pair = np.unique(at * max(1, len(names)) + np.searchsorted(names, word), return_index=True)
+        d = np.array([0.0, *discounts])[level[at]]
+        book, codes = quantised(((k - d) / total[at])[pair[1]]) if len(k) else quantised(np.empty(0))
+        out |= {"s.names": names, "s.codes": codes, "s.book": book} | {f"s.{x}": y for x, y in Children.build(
+            pair[0], len(name), max(1, len(names)), "w.").items()}
+        return mapped(to_bytes(out))
+
+    def answer(b: pa.RecordBatch):
+        """Builds the trie of a shard, searches every n-gram that a slice asks for, once, and answers each slice."""
+        for r in range(b.num_rows):
+            blocks = [words_of_block(x) for x in b.column("rows")[r].as_py()]
+            counts = [unpacked(x) for x in b.column("counts")[r].as_py()]
+            held = build(blocks, counts)
+            part = lambda p: {k.removeprefix(p): x for k, x in held.items() if k.startswith(p)}
+            trie, s = Trie(part("t.")), part("s.")
+            after = Children(s, "w.", max(1, len(s["names"])))
+            name, level, total, followers = of_large.value
+            weight = np.array([0.0, *discounts])[level] * followers / np.maximum(total, 1)
+            number = trie.number(blocks[0][0])
+            got = [trie.search_numbered([number[c] for c in blocks[0][1]])]
+            for names, cols in blocks[2:]:
+                word, ctx = (names[c] for c in cols)
                 at = np.minimum(np.searchsorted(name, ctx), max(0, len(name) - 1))
                 met = (name[at] == ctx) if len(name) else np.zeros(len(ctx), bool)
                 w = np.minimum(np.searchsorted(s["names"], word), max(0, len(s["names"]) - 1))
@@ -370,42 +431,70 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
                 i = after.find(np.where(met, at, -1), w)
                 share = np.where(i >= 0, s["book"][s["codes"][np.maximum(i, 0)]], 0) if len(s["codes"]) else np.zeros(len(i))
                 got.append((share, np.where(met, weight[at], 1.0) if len(name) else np.ones(len(i))))
-            [word] = words_of_block(asks[1])
-            i = np.minimum(np.searchsorted(held["u.names"], word), max(0, len(held["u.names"]) - 1))
-            known = np.where(held["u.names"][i] == word, held["u.n"][i], 0) if len(held["u.names"]) else np.zeros(len(word), np.int64)
-            out["share"].append([near_one(x).tobytes() for x, _ in got])
-            out["gamma"].append([x.astype("<f4").tobytes() for _, x in got])
-            out["known"].append(packed(known))
-        return pa.Table.from_batches([batch_of(out | {"slice": t.column("slice"), "shard": t.column("shard")}, answer_schema)])
-
-    answers = asked.groupBy("shard").cogroup(tries.groupBy("shard")).applyInArrow(answer, answered)
+            got = [(near_one(x), y.astype("<f4")) for x, y in got]
+            asked = b.column("slices")[r].as_py()
+            for i, places in zip(asked, b.column("places")[r].as_py()):
+                whole, words, *more = [np.cumsum(unpacked(x)) for x in places]
+                yield {"slice": [i], "turn": b.column("turn").slice(r, 1), "shard": b.column("shard").slice(r, 1),
+                       "share": [[floats(x[at]) for at, (x, _) in zip((whole, *more), got)]],
+                       "gamma": [[floats(x[at]) for at, (_, x) in zip((whole, *more), got)]], "known": [packed(counts[1][words])]}
+
+    answers = map_arrow(found, ["turn", "shard", "rows", "counts", "slices", "places"], answer,
+                        "slice bigint, turn int, shard int, share array<binary>, gamma array<binary>, known binary")
+    id_type = texts.schema["doc_id"].dataType.elementType.simpleString()
     scored = (f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
               "base_score double, score double")
     scored_schema = arrow_schema(spark, scored)
 
     def add_up(key, t, got):
-        got = got.sort_by("shard")
-        grams = [unpacked(x) for x in t.column("grams").to_pylist()[0]]
-        floats = lambda c, i: np.concatenate([np.frombuffer(x[i], "<f4") for x in c.to_pylist()])
-        known = cat(got.column("known"))[grams[0]]
-        p = (known + 1) / (n + v + 1)
-        for i, where in enumerate(grams[1:], 1):     # large contexts, shortest first
-            if (where >= 0).any():
-                hit = where >= 0
-                share, gamma = from_near_one(floats(got.column("share"), i)), floats(got.column("gamma"), i).astype(np.float64)
-                p[hit] = share[where[hit]] + gamma[where[hit]] * p[hit]
-        share, gamma = from_near_one(floats(got.column("share"), 0)), floats(got.column("gamma"), 0).astype(np.float64)
-        p[:len(share)] = share + gamma * p[:len(share)]
-        of, size = cat(t.column("codes")), cat(t.column("sizes"))
+        got = got.sort_by([("turn", "ascending"), ("shard", "ascending")])
+        turns = np.asarray(got.column("turn"))
+        got = [got.slice(a, b - a) for a, b in zip(*(np.searchsorted(turns, np.arange(ROUNDS), side=x) for x in ("left", "right")))]
+        names, code, size, train = slice_columns(t, 0)
+        asked = [Asked(names, code, size, train, order, turn, deal, large.value) for turn in range(ROUNDS)]
+        known = np.zeros(len(names), np.int64)
+        for a, g in zip(asked, got):
+            known[a.words] = cat(g.column("known"))
+        logs = np.empty(len(code))
+        for a, g in zip(asked, got):
+            values = lambda c, i: cat(g.column(c), lambda x: floats_of(x[i]))  # noqa: B023, E731
+            p = (known[a.last] + 1) / (n + v + 1)
+            for i, where in enumerate(a.split, 1):     # large contexts, shortest first
+                if (where >= 0).any():
+                    hit = where >= 0
+                    share, gamma = from_near_one(values("share", i)), values("gamma", i).astype(np.float64)
+                    p[hit] = share[where[hit]] + gamma[where[hit]] * p[hit]
+            share, gamma = from_near_one(values("share", 0)), values("gamma", 0).astype(np.float64)
+            p[:len(share)] = share + gamma * p[:len(share)]
+            logs[a.tokens] = np.log10(p)[a.of]
         doc = np.repeat(np.arange(len(size)), size)
         out = {"doc_id": t.column("doc_id").combine_chunks().flatten(), "held_out": pc.invert(t.column("train").combine_chunks().flatten()),
-               "n_tokens": size, "n_known": sums(doc, known[of] > 0, len(size)), "train_tokens": np.full(len(size), n),
-               "base_score": np.bincount(doc, np.log10(known + 1.0)[of], len(size)) - size * float(np.log10(n + v + 1)),
-               "score": np.bincount(doc, np.log10(p)[of], len(size))}
+               "n_tokens": size, "n_known": sums(doc, known[code - 1] > 0, len(size)), "train_tokens": np.full(len(size), n),
+               "base_score": np.bincount(doc, np.log10(known + 1.0)[code - 1], len(size)) - size * float(np.log10(n + v + 1)),
+               "score": np.bincount(doc, logs, len(size))}
         return pa.Table.from_batches([batch_of(out, scored_schema)])
 
-    return (sent.where("shard = -1").select("slice", "doc_id", "train", "sizes", "codes", "grams").groupBy("slice")
-            .cogroup(answers.groupBy("slice")).applyInArrow(add_up, scored))
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(add_up, scored)
+
+
+def once_shuffled(df: DataFrame, tag: str) -> DataFrame:
+    """Like ``materialize``; the files of the job's shuffles are deleted when it ends, not when the driver collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return materialize(df, tag)
+    finally:
+        conf.set(name, before)
+
+
+def floats(x: np.ndarray) -> bytes:
+    """Floats of four bytes, byte planes apart, compressed."""
+    return squeezed(np.ascontiguousarray(x.astype("<f4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def floats_of(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(restored(x), np.uint8).reshape(4, -1).T).view("<f4").ravel()
 
 
 def near_one(share: np.ndarray) -> np.ndarray:

@@ -344,6 +344,45 @@ def test_scores_keep_every_ngram(spark, order, sample, monkeypatch):
         assert math.isclose(r.score, sum(k * math.log10(p(g)) for g, k in grams.items()), rel_tol=1e-6), i
 
 
+def test_scores_store_no_ngrams_of_slices(spark, monkeypatch):
+    """N-grams are derived from the slices in every turn, never stored with them, and each turn sends its own share of them once."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, words(400, i, 3000)) for i in range(60)], "doc_id bigint, text string").repartition(3)
+    sent, stored = [], []
+    requests, bucketed = lm.requests, lm.bucketed
+    monkeypatch.setattr(lm, "requests", lambda *a: sent.append(requests(*a)) or sent[-1])
+    monkeypatch.setattr(lm, "bucketed", lambda *a: stored.append(bucketed(*a)) or stored[-1])
+    assert lm.score_texts(docs).count() == 60
+    [texts] = stored
+    assert len(sent) == lm.ROUNDS and texts.columns == ["slice", "doc_id", "train", "sizes", "names", "codes"]
+    kept = sum(pq.read_metadata(f.removeprefix("file://").removeprefix("file:")).row_group(0).total_byte_size for f in texts.inputFiles())
+    size = lambda df: sum(len(x) for r in df.collect() for a in r.asks for x in a)
+    turns = [size(df) for df in sent]
+    assert kept < sum(turns) / 2 and max(turns) < sum(turns) / 2
+    n = collections.Counter()
+    for df in sent:
+        for r in df.collect():
+            names, cols = lm.words_of_block(r.asks[0])
+            n.update((r.slice, *(int(names[c]) for c in row)) for row in zip(*cols))
+    assert n and set(n.values()) == {1}
+
+
+def test_blocks_of_words_are_read_back():
+    r = np.random.default_rng(2)
+    names = np.unique(r.integers(-2 ** 63, 2 ** 63 - 1, 5000))
+    for n, width in ((0, 3), (1, 1), (3000, 1), (3000, 2), (3000, 3), (40, 4)):
+        cols = [r.integers(0, 60, n) for _ in range(width)]
+        one, of = lm.distinct(cols[1:] + cols[:1], 60)
+        rows = [tuple(x) for x in np.array(cols).T]
+        assert sorted({x[1:] + x[:1] for x in rows}) == [rows[i][1:] + rows[i][:1] for i in one]
+        assert [rows[i] for i in one[of]] == rows
+        long, back = lm.distinct(cols[1:] + cols[:1], 2 ** 62)     # too large for one number a row
+        assert [rows[i] for i in long] == [rows[i] for i in one] and (back == of).all()
+        got, places = lm.words_of_block(lm.words_block([c[one] * 80 for c in cols], names))
+        assert all((got[p] == names[c[one] * 80]).all() for p, c in zip(places, cols))
+
+
 def test_registered_scores_use_two_words_of_context(spark):
     docs = spark.createDataFrame([(i, f"a b {'c' if i % 2 else 'd'} b {'d' if i % 2 else 'c'}") for i in range(30)], "doc_id bigint, text string")
     scores = [{r.doc_id: r.score for r in df.collect()} for df in (
