@@ -108,10 +108,23 @@ class EliasFano:
 def _runs(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first place of each run of equal neighbours; run of each item)."""
     new = np.ones(len(cols[0]), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    for i, c in enumerate(cols):
+        new[1:] = c[1:] != c[:-1] if i == 0 else new[1:] | (c[1:] != c[:-1])
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, rising, and the place of each item's; items in order are not sorted again."""
+    if (x[1:] < x[:-1]).any():
+        by = np.argsort(x)
+        first, run = _runs(x[by])
+        of = np.empty(len(x), np.int64)
+        of[by] = run
+        return x[by[first]], of
+    first, of = _runs(x)
+    return x[first], of
+
+
 class Children:
     """The children of one level: for every parent a rising run of ``parent * size + word``, found through its pointer."""
 
@@ -135,10 +148,19 @@ class Children:
         new, of = _runs(a, w)   # equal neighbours are looked up once, and so are the pointers of a parent
         a, w = a[new], w[new]
         parent, back = _runs(a)
-        lo, hi = self.pointers.get(a[parent])[back], self.pointers.get(a[parent] + 1)[back]
+        parent = a[parent]
+        end, begin = self.pointers.get(parent + 1), np.empty(len(parent), np.int64)
+        after = np.flatnonzero(parent[1:] == parent[:-1] + 1) + 1   # begins where the one before ends
+        begin[after] = end[after - 1]
+        other = np.ones(len(parent), bool)
+        other[after] = False
+        begin[other] = self.pointers.get(parent[other])
+        lo, hi = begin[back], end[back]
         found = np.full(len(a), -1)
-        full = np.flatnonzero(lo < hi)
-        found[full] = self.values.find(a[full] * self.size + w[full], lo[full], hi[full])
+        one, more = np.flatnonzero(lo + 1 == hi), np.flatnonzero(lo + 1 < hi)
+        same = one[self.values.get(lo[one]) == a[one] * self.size + w[one]]    # an only child
+        found[same] = lo[same]
+        found[more] = self.values.find(a[more] * self.size + w[more], lo[more], hi[more])
         out[live] = found[of]
         return out
 
@@ -194,14 +216,14 @@ class Trie:
         hashed = np.zeros(1, np.uint64)
         for j, d in enumerate(discounts, 1):
             live = live[at[j][live] >= 0]
-            values, of = np.unique(node[live] * size + at[j][live], return_inverse=True)
+            values, of = _distinct(node[live] * size + at[j][live])
             node[live] = of
             out |= Children.build(values, parents, size, f"c{j}.")
             parents = len(values)
             hashed = context_hash(hashed[values // size], names[values % size], j)
             lead = passed(j, hashed) if passed is not None and parents else np.zeros(parents, bool)
             own = live[~lead[node[live]]]
-            pairs, of = np.unique(node[own] * size + at[0][own], return_inverse=True)
+            pairs, of = _distinct(node[own] * size + at[0][own])
             count = np.bincount(of, n[own], len(pairs))
             context = pairs // size
             total = np.bincount(context, count, parents)

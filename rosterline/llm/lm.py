@@ -255,7 +255,7 @@ class Asked:
         self.tokens = np.flatnonzero(mine[past[min(1, order - 1)]])
         cols = [p[self.tokens] for p in past]
         one, of = distinct(cols[1:] + cols[:1], len(named))
-        n, grams = sums(of, taught[self.tokens], len(one)), [c[one] for c in cols]
+        n, grams = np.bincount(of[taught[self.tokens]], minlength=len(one)), [c[one] for c in cols]
         by, ctx, lead = routes([named[g] for g in grams], large)
         # Whole n-grams, by shard; those without one come last.  This is the order of n-grams from here on.
         shard = np.where(by == 0, deal, home(by))
@@ -268,7 +268,7 @@ class Asked:
         to = home(names[words].view(np.uint64))
         self.words = words[np.argsort(to, kind="stable")]
         self.blocks = [(shard[at], grams, named, n),
-                       (np.sort(to), [self.words], names, sums(code - 1, taught, len(names))[self.words])]
+                       (np.sort(to), [self.words], names, np.bincount(code[taught], minlength=len(named))[1:][self.words])]
         self.split = []
         for c, big in zip(ctx, lead):
             c, big = c[at], big[at]
@@ -437,7 +437,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
                 whole, words, *more = [np.cumsum(unpacked(x)) for x in places]
                 yield {"slice": [i], "turn": b.column("turn").slice(r, 1), "shard": b.column("shard").slice(r, 1),
                        "share": [[floats(x[at]) for at, (x, _) in zip((whole, *more), got)]],
-                       "gamma": [[floats(x[at]) for at, (_, x) in zip((whole, *more), got)]], "known": [packed(counts[1][words])]}
+                       "gamma": [[floats(x[at], gaps=True) for at, (_, x) in zip((whole, *more), got)]], "known": [packed(counts[1][words])]}
 
     answers = map_arrow(found, ["turn", "shard", "rows", "counts", "slices", "places"], answer,
                         "slice bigint, turn int, shard int, share array<binary>, gamma array<binary>, known binary")
@@ -457,7 +457,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
             known[a.words] = cat(g.column("known"))
         logs = np.empty(len(code))
         for a, g in zip(asked, got):
-            values = lambda c, i: cat(g.column(c), lambda x: floats_of(x[i]))  # noqa: B023, E731
+            values = lambda c, i: cat(g.column(c), lambda x: floats_of(x[i], c == "gamma"))  # noqa: B023, E731
             p = (known[a.last] + 1) / (n + v + 1)
             for i, where in enumerate(a.split, 1):     # large contexts, shortest first
                 if (where >= 0).any():
@@ -488,13 +488,17 @@ def once_shuffled(df: DataFrame, tag: str) -> DataFrame:
         conf.set(name, before)
 
 
-def floats(x: np.ndarray) -> bytes:
-    """Floats of four bytes, byte planes apart, compressed."""
-    return squeezed(np.ascontiguousarray(x.astype("<f4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def floats(x: np.ndarray, gaps: bool = False) -> bytes:
+    """Floats of four bytes, byte planes apart, compressed; with ``gaps`` each as the bits that differ from the one before."""
+    bits = x.astype("<f4").view("<u4")
+    if gaps:
+        bits = bits ^ np.append(np.uint32(0), bits[:-1])[:len(bits)]
+    return squeezed(np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def floats_of(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(restored(x), np.uint8).reshape(4, -1).T).view("<f4").ravel()
+def floats_of(x: bytes, gaps: bool = False) -> np.ndarray:
+    bits = np.ascontiguousarray(np.frombuffer(restored(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return (np.bitwise_xor.accumulate(bits) if gaps else bits).view("<f4")
 
 
 def near_one(share: np.ndarray) -> np.ndarray:
