@@ -13,16 +13,15 @@ code of its discounted probability.  An n-gram is looked up by a successor searc
 the children of each context on its path, and nowhere else.
 
 The jobs.  (1) Contexts that hold a large share of all n-grams are found in a
-sample of the texts; that steers routing only, not results.  (2) Each slice of texts sends its
-distinct n-grams, with their training counts, to shards by the nearest word, so
-a context, its totals and its successors share a shard.  A context that is too
-large for one is passed on: its longer contexts are dealt by the next word, and
-its own successors by (context, word), with the totals summed over shards.  Word
-counts are dealt by word.  (3) A shard sums the counts; the sums give the discounts; (4) each shard's trie
-is built once and written to the shared folder.  (5) The slices' n-grams meet the
-tries, are searched, and go back as share and gamma; the slice adds up its texts.
-Rows are blocks of n-grams and never more than n-grams; the only broadcast is the
-list of large contexts, at most ``LARGE`` at any size.
+sample of the texts; that steers routing only, not results.  (2) Slices of texts are stored as codes of their words.
+(3) In each of ``ROUNDS`` turns, every slice derives the distinct n-grams of a share of the nearest words, with their
+training counts, and sends them to shards by the nearest word, so a context, its totals and its successors share a shard.  A context
+that is too large for one is passed on: its longer contexts are dealt by the next word, and its own successors by (context, word),
+with the totals summed over shards.  Word counts are dealt by word.  A shard sums the counts and stores each distinct n-gram once, with
+the places that every slice asks for; the shuffle's files go before the next turn.  (4) The sums give the discounts.  (5) A shard's
+trie is built from what it stored, every n-gram asked for is searched once, and share and gamma go back to the
+slices, which derive their n-grams again, in the same order, and add up their texts.  Rows are blocks of n-grams
+and never more than n-grams; the only broadcast is the list of large contexts, at most ``LARGE`` at any size.
 
 Words, and contexts of several, are known by 64-bit hashes: two of ten million
 collide with probability 3e-6, two of a billion contexts with 0.03.
