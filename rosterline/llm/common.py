@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rosterline.session import materialize, read_table, scratch_dir
 
 __all__ = ["materialize", "bucketed", "discard", "read_table", "bound_batches", "map_arrow", "texts_of", "raw_of", "batch_of", "crc_bucket",
-           "mix64", "runs_of"]
+           "mix64", "rising", "runs_of"]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -118,6 +118,12 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def rising(x: np.ndarray) -> np.ndarray:
+    """The distinct values, in order, by sorting; ``np.unique`` hashes integers, which takes far longer when most differ."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[:len(x)]]
+
+
 def runs_of(sizes, limit: int) -> Iterator[slice]:
     """Consecutive slices whose sizes sum to at most ``limit`` (one item may exceed it)."""
     at, total = 0, 0

@@ -6,11 +6,15 @@ import io
 
 import numpy as np
 
-from rosterline.llm.common import mix64
+from rosterline.llm.common import mix64, rising
 
 __all__ = ["EliasFano", "Children", "Trie", "context_hash", "quantised", "to_bytes", "mapped"]
 
 
+#: N-grams that are searched at a time, so that what is made on the way stays in the processor's cache.
+CHUNK = 1 << 15
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, zeros: bool) -> np.ndarray:
     """Position of the k-th (from 0) one, or zero, of a bit vector; ``before`` counts them before each word."""
     w = np.searchsorted(before, k, side="right") - 1
@@ -35,6 +39,17 @@ class EliasFano:
         self.n, self.bits = (int(x) for x in arrays["head"])
         self.low, self.high = arrays["low"], arrays["high"]
         self.ones, self.zeros = arrays["ones"], arrays["zeros"]
+        self.asked, self.listed = [0, 0], [None, None]
+
+    def _at(self, k: np.ndarray, zeros: bool) -> np.ndarray:
+        """``_select`` in the high bits; after many questions the positions of all ones, or zeros, are listed, word after word."""
+        self.asked[zeros] += len(k)
+        if 4 * self.asked[zeros] <= len(self.high):
+            return _select(self.high, self.zeros if zeros else self.ones, k, zeros)
+        if self.listed[zeros] is None:
+            flags = np.unpackbits((~self.high if zeros else self.high).view(np.uint8), bitorder="little").view(bool)
+            self.listed[zeros] = np.flatnonzero(flags).astype(np.int32 if len(flags) < 2 ** 31 else np.int64)
+        return self.listed[zeros][k].astype(np.int64)
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -46,12 +61,13 @@ class EliasFano:
             part = v & np.uint64((1 << bits) - 1)
             at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
             w, s = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            np.bitwise_or.at(low, w, part << s)
-            over = s + np.uint64(bits) > 64
-            np.bitwise_or.at(low, w[over] + 1, part[over] >> (np.uint64(64) - s[over]))
-        at = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((n + (universe >> bits) + 2 + 63) // 64, np.uint64)
-        np.bitwise_or.at(high, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            first = np.flatnonzero(np.diff(w, prepend=-1))      # of each word
+            low[w[first]] = np.bitwise_or.reduceat(part << s, first) if n else 0
+            over = np.flatnonzero(s + np.uint64(bits) > 64)     # at most the last of each word
+            low[w[over] + 1] |= part[over] >> (np.uint64(64) - s[over])
+        flags = np.zeros((n + (universe >> bits) + 2 + 63) // 64 * 64, np.uint8)
+        flags[(v >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
+        high = np.packbits(flags, bitorder="little").view(np.uint64)
         count = np.bitwise_count(high).astype(np.int64)
         ones = np.concatenate([[0], np.cumsum(count)[:-1]])
         return {"head": np.array([n, bits]), "low": low, "high": high, "ones": ones,
@@ -62,13 +78,12 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         at = i.astype(np.uint64) * np.uint64(self.bits)
         w, s = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        x = self.low[w] >> s
-        more = np.where(s > 0, self.low[w + 1] << (np.uint64(64) - np.maximum(s, np.uint64(1))), np.uint64(0))
-        return (x | more) & np.uint64((1 << self.bits) - 1)
+        more = self.low[w + 1] << np.uint64(1) << (np.uint64(63) - s)   # none if s is 0
+        return (self.low[w] >> s | more) & np.uint64((1 << self.bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        high = _select(self.high, self.ones, i, False) - i
+        high = self._at(i, False) - i
         return (high.astype(np.uint64) << np.uint64(self.bits) | self._low(i)).astype(np.int64)
 
     def successor(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -90,19 +105,19 @@ class EliasFano:
         v = np.asarray(v, np.int64)
         top = v >> self.bits
         # Elements whose high part is that of v lie between two zeros of the unary part.
-        first = np.where(top > 0, _select(self.high, self.zeros, np.maximum(top - 1, 0), True) - top + 1, 0)
-        last = _select(self.high, self.zeros, top, True) - top
+        first = np.where(top > 0, self._at(np.maximum(top - 1, 0), True) - top + 1, 0)
+        last = self._at(top, True) - top
         a, b = np.clip(first, lo, hi), np.clip(last, lo, hi)
-        end = b.copy()
-        low = (v & ((1 << self.bits) - 1)).astype(np.uint64)
         open_ = np.flatnonzero(a < b)
+        x, y, low = a[open_], b[open_], (v[open_] & ((1 << self.bits) - 1)).astype(np.uint64)
         while len(open_):
-            mid = (a[open_] + b[open_]) >> 1
-            less = self._low(mid) < low[open_]
-            a[open_[less]] = mid[less] + 1
-            b[open_[~less]] = mid[~less]
-            open_ = open_[a[open_] < b[open_]]
-        return a, end
+            mid = (x + y) >> 1
+            less = self._low(mid) < low
+            x, y = np.where(less, mid + 1, x), np.where(less, y, mid)
+            a[open_] = x
+            more = np.flatnonzero(x < y)
+            open_, x, y, low = open_[more], x[more], y[more], low[more]
+        return a, b
 
 
 def _runs(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +188,7 @@ def quantised(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     for bits in (52, 24, 20, 18, 16, 15, 14, 13, 12, 11):
         cut = (share.view(np.int64) >> (52 - bits) << (52 - bits)).view(np.float64)
-        book = np.unique(np.where(cut < 2.0 ** -31, 0, cut))
+        book = rising(np.where(cut < 2.0 ** -31, 0, cut))
         if len(book) <= 1 << 16:
             break
     if not len(share):
@@ -243,7 +258,10 @@ class Trie:
         return self.search_numbered([self.number(w) for w in words])
 
     def search_numbered(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """``search`` for words that ``number`` has numbered."""
+        """``search`` for words that ``number`` has numbered, ``CHUNK`` n-grams at a time."""
+        if len(words[0]) > CHUNK:
+            parts = [self.search_numbered([w[a:a + CHUNK] for w in words]) for a in range(0, len(words[0]), CHUNK)]
+            return np.concatenate([s for s, _ in parts]), np.concatenate([g for _, g in parts])
         last = words[0]
         share, gamma = np.zeros(len(last)), np.ones(len(last))
         at = np.zeros(len(last), np.int64)

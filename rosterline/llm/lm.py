@@ -34,7 +34,7 @@ are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import batch_of, bucketed, crc_bucket, map_arrow, materialize, mix64, runs_of
+from rosterline.llm.common import batch_of, bucketed, crc_bucket, map_arrow, materialize, mix64, rising, runs_of
 from rosterline.llm.common import _arrow_schema as arrow_schema
 from rosterline.llm.eliasfano import Children, Trie, context_hash, mapped, quantised, to_bytes
 
@@ -66,7 +66,7 @@ def tokens_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat, doc = pc.list_flatten(lists), np.asarray(pc.list_parent_indices(lists), np.int64)
     real = np.asarray(pc.greater(pc.binary_length(flat), 0))
     coded = flat.dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = byte_strings(coded.dictionary)
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words] + [xxhash.xxh3_64_intdigest(b"")], np.uint64).view(np.int64)
     code, doc = np.asarray(coded.indices, np.int64)[real], doc[real]
     n = len(col)
@@ -74,6 +74,15 @@ def tokens_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.insert(code, ends, len(words)), np.insert(doc, ends, np.arange(n))
 
 
+def byte_strings(col: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of strings without nulls; ``to_pylist`` makes a scalar of each."""
+    col = col.cast(pa.large_string())
+    _, ends, raw = col.buffers()
+    ends = np.frombuffer(ends, np.int64)[col.offset:col.offset + len(col) + 1].tolist() if len(col) else [0]
+    raw = raw.to_pybytes() if raw is not None else b""
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def parts_of(b: pa.RecordBatch, size: int = 6_000_000):
     """Slices of a batch with about ``size`` bytes of text each, which bounds a worker's memory."""
     lengths = pc.binary_length(b.column("_text")).fill_null(0).to_pylist()
@@ -89,7 +98,10 @@ def distinct(cols: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]
         key = np.zeros(len(cols[0]), np.int64)
         for c in cols:
             key = key * size + c
-    by = np.lexsort(cols[::-1]) if key is None else np.argsort(key)
+    if key is None:
+        by = np.lexsort(cols[::-1])
+    else:   # rows in order are not sorted again
+        by = np.argsort(key) if (key[1:] < key[:-1]).any() else np.arange(len(key))
     new = np.ones(len(by), bool)
     for i, c in enumerate(cols if key is None else [key]):
         c = c[by]
@@ -109,15 +121,24 @@ def histories(code: np.ndarray, size: np.ndarray, end: int, order: int) -> list[
     return out
 
 
-def contexts_of(words: list[np.ndarray]) -> list[np.ndarray]:
-    """Names of the contexts of 1, 2, ... words of each n-gram; 0 where it has no such context."""
-    out, at = [], np.zeros(len(words[0]), np.uint64)
-    for j, w in enumerate(words[1:], 1):
-        at = np.where(w == NONE, np.uint64(0), context_hash(at, w, j))
-        out.append(at)
+def contexts_of(cols: list[np.ndarray], names: np.ndarray) -> list[np.ndarray]:
+    """Names of the contexts of 1, 2, ... words of each n-gram, a row of codes into ``names``; 0 where it has no such context."""
+    out, real = [], names != NONE
+    for j, c in enumerate(cols[1:], 1):
+        if j == 1:      # a name of one word is that word's, whatever follows it
+            out.append(np.where(real, context_hash(np.zeros(len(names), np.uint64), names, j), np.uint64(0))[c])
+        else:
+            out.append(np.where(real[c], context_hash(out[-1], names[c], j), np.uint64(0)))
     return out
 
 
+def among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which items are in ``some``, whose values rise."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+
+
 def packed(x: np.ndarray, level: int = 3) -> bytes:
     """Integers, byte planes apart, compressed."""
     return squeezed(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), level)
@@ -127,19 +148,29 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(restored(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+@cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeezed(x: bytes, level: int = 3) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(x)
+    return _compressor(level).compress(x)
 
 
 def restored(x: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x)
+    return _decompressor().decompress(x)
 
 
 def words_block(cols: list[np.ndarray], names: np.ndarray) -> list[bytes]:
     """Rows of codes into ``names`` (rising), last word first, as places in a list of the names they have.  Rows are in order of
     the nearest word, those before it, and the last; so the first of these columns, and the second below it, are gaps."""
     all_ = np.concatenate(cols)
-    if 4 * len(all_) < len(names):
+    if 64 * len(all_) < len(names):
         used, of = np.unique(all_, return_inverse=True)
     else:
         has = np.zeros(len(names), bool)
@@ -185,7 +216,7 @@ def large_contexts(docs: DataFrame, order: int, shards: int) -> list[np.ndarray]
             past = histories(code, size, int(np.searchsorted(names, END, side="right")), order)
             one, _ = distinct(past[1:] + past[:1], len(names) + 1)
             out = [(0, 0, len(one))]
-            for j, c in enumerate(contexts_of([np.append(NONE, names)[p[one]] for p in past]), 1):
+            for j, c in enumerate(contexts_of([p[one] for p in past], np.append(NONE, names)), 1):
                 found, n = np.unique(c[c != 0], return_counts=True)
                 big = n >= least / 2 * len(one)
                 out += [(j, int(x), int(k)) for x, k in zip(found[big].view(np.int64), n[big])]
@@ -201,12 +232,12 @@ def large_contexts(docs: DataFrame, order: int, shards: int) -> list[np.ndarray]
     return [np.sort(name[level == j]) for j in range(1, order)]
 
 
-def routes(words: list[np.ndarray], large: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def routes(cols: list[np.ndarray], names: np.ndarray, large: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(context that each n-gram is routed by, 0 if all its contexts are large; contexts; which of them are large)."""
-    ctx, lead, by = contexts_of(words), [], np.zeros(len(words[0]), np.uint64)
+    ctx, lead, by = contexts_of(cols, names), [], np.zeros(len(cols[0]), np.uint64)
     open_ = np.ones(len(by), bool)
-    for c, names in zip(ctx, large):
-        big = open_ & (c != 0) & np.isin(c, names)
+    for c, some in zip(ctx, large):
+        big = open_ & (c != 0) & among(c, some)
         by = np.where(open_ & ~big, c, by)
         open_ &= big
         lead.append(big)
@@ -245,7 +276,8 @@ class Asked:
     successors of large contexts, each as (shard, codes, names, training counts) in order of shards."""
 
     def __init__(self, names, code, size, train, order: int, turn: int, deal: int, large):
-        home = lambda key: (mix64(key, 7) % np.uint64(deal)).astype(np.int64)
+        small = np.uint16 if deal < 2 ** 16 else np.int64   # sorted by radix
+        home = lambda key: (mix64(key, 7) % np.uint64(deal)).astype(small)
         named = np.append(NONE, names)
         # All n-grams with the same nearest word have the same turn, so their contexts are whole there.
         mine = mix64(context_hash(np.zeros(len(named), np.uint64), named, 1), 11) % np.uint64(ROUNDS) == turn
@@ -255,7 +287,7 @@ class Asked:
         cols = [p[self.tokens] for p in past]
         one, of = distinct(cols[1:] + cols[:1], len(named))
         n, grams = np.bincount(of[taught[self.tokens]], minlength=len(one)), [c[one] for c in cols]
-        by, ctx, lead = routes([named[g] for g in grams], large)
+        by, ctx, lead = routes(grams, named, large)
         # Whole n-grams, by shard; those without one come last.  This is the order of n-grams from here on.
         shard = np.where(by == 0, deal, home(by))
         at = np.argsort(shard, kind="stable")
@@ -308,12 +340,14 @@ def requests(texts: DataFrame, order: int, turn: int, deal: int, large) -> DataF
                      "slice bigint, shard int, asks array<array<binary>>, counts array<binary>")
 
 
-def level_counts(cols: list[np.ndarray], names: np.ndarray, n: np.ndarray, large: list[np.ndarray], j: int) -> np.ndarray:
-    """Counts of the distinct n-grams of order j + 1 whose context of j words is served whole here."""
-    _, ctx, lead = routes([names[c] for c in cols], large)
-    own = np.flatnonzero((ctx[j - 1] != 0) & ~lead[j - 1])
-    one, of = distinct([c[own] for c in (*cols[1:j + 1], cols[0])], len(names))
-    return sums(of, n[own], len(one))
+def level_counts(cols: list[np.ndarray], names: np.ndarray, n: np.ndarray, large: list[np.ndarray]) -> list[np.ndarray]:
+    """Per j from 1, counts of the distinct n-grams of order j + 1 whose context of j words is served whole here."""
+    out = []
+    for j, (c, big) in enumerate(zip(*routes(cols, names, large)[1:]), 1):
+        own = np.flatnonzero((c != 0) & ~big)
+        one, of = distinct([x[own] for x in (*cols[1:j + 1], cols[0])], len(names))
+        out.append(sums(of, n[own], len(one)))
+    return out
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2,
@@ -343,7 +377,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
             places = []
             for i in range(order + 1):
                 parts = [words_of_block(a[i]) for a in asks]
-                names = np.unique(np.concatenate([x for x, _ in parts]))
+                names = rising(np.concatenate([x for x, _ in parts]))
                 ends = np.cumsum([0] + [len(x[0]) for _, x in parts])
                 for own, cols in parts:
                     here = np.searchsorted(names, own).astype(np.int32)
@@ -357,11 +391,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
                 out["counts"].append(packed(n))
                 cols, n = [c[n > 0] for c in cols], n[n > 0]
                 if i == 0:
-                    grams = cols, names, n
+                    wholes = level_counts(cols, names, n, large.value)
                 elif i == 1:
                     out |= {"tokens": int(n.sum()), "words": len(n)}
                 else:
-                    whole = level_counts(*grams, large.value, i - 1)
+                    whole = wholes[i - 2]
                     out["once"].append(int((n == 1).sum() + (whole == 1).sum()))
                     out["twice"].append(int((n == 2).sum() + (whole == 2).sum()))
                     ctx, of = np.unique(names[cols[1]], return_inverse=True)
@@ -394,13 +428,13 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
             has[c] = True
         has &= names != NONE
         number = np.where(has, np.cumsum(has) - 1, -1)
-        lead = lambda j, c: np.isin(c, large.value[j - 1])
+        lead = lambda j, c: among(c, large.value[j - 1])
         out = {f"t.{k}": x for k, x in Trie.build_numbered(names[has], [number[c] for c in cols], n_, discounts, lead).items()}
         name, level, total, followers = of_large.value
         held = [(*(names[c[k > 0]] for c in cols), k[k > 0]) for (names, cols), k in zip(blocks[2:], counts[2:])]
         word, ctx, k = (np.concatenate(x) for x in zip(*held)) if held else [np.empty(0, np.int64)] * 3
         at = np.searchsorted(name, ctx)
-        names = np.unique(word)
+        names = rising(word)
         pair = np.unique(at * max(1, len(names)) + np.searchsorted(names, word), return_index=True)
         d = np.array([0.0, *discounts])[level[at]]
         book, codes = quantised(((k - d) / total[at])[pair[1]]) if len(k) else quantised(np.empty(0))

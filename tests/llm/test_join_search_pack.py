@@ -368,6 +368,36 @@ def test_scores_store_no_ngrams_of_slices(spark, monkeypatch):
     assert n and set(n.values()) == {1}
 
 
+def test_search_of_many_lists_positions_once(monkeypatch):
+    """Searching all n-grams selects in the bit vectors by lists that are made once, in chunks, and finds what single searches find."""
+    from rosterline.llm import eliasfano
+
+    r = np.random.default_rng(5)
+    cols = [x.astype(np.int64) for x in np.unique(r.zipf(1.3, (200_000, 3)) % 3000, axis=0).T]
+    cols = [cols[2], cols[0], cols[1]]
+    made = Trie.build(cols, np.arange(len(cols[0])) % 4 + 1, [0.5, 0.5], -1)
+    picked = r.permutation(len(cols[0]))[:200]
+    one = [Trie(mapped(to_bytes(made))).search([c[i:i + 1] for c in cols]) for i in picked]
+    asked, real = [], eliasfano._select
+    monkeypatch.setattr(eliasfano, "_select", lambda words, before, k, zeros: asked.append(len(k)) or real(words, before, k, zeros))
+    share, gamma = Trie(mapped(to_bytes(made))).search(cols)
+    assert len(cols[0]) > eliasfano.CHUNK and sum(asked) < len(cols[0]) / 10
+    assert [(s[0], g[0]) for s, g in one] == list(zip(share[picked], gamma[picked]))
+
+
+def test_distinct_values_rise():
+    from rosterline.llm.common import rising
+
+    for x in ([], [3], [2, 2, 1], [5, -1, 5, 0]):
+        assert rising(np.array(x, np.int64)).tolist() == sorted(set(x))
+    assert lm.among(np.array([4, 1, 9, 2]), np.array([1, 4])).tolist() == [True, True, False, False]
+    assert lm.among(np.array([4]), np.array([], np.int64)).tolist() == [False]
+    import pyarrow as pa
+
+    assert lm.byte_strings(pa.array(["x", "a", "", "é\0"]).slice(1)) == [b"a", b"", "é\0".encode()]
+    assert lm.byte_strings(pa.array([], pa.string())) == []
+
+
 def test_blocks_of_words_are_read_back():
     r = np.random.default_rng(2)
     names = np.unique(r.integers(-2 ** 63, 2 ** 63 - 1, 5000))
