@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.llm.common import _arrow_schema as arrow_schema
-from rosterline.llm.common import batch_of, bucketed, discard, map_arrow, materialize, mix64, runs_of, texts_of
+from rosterline.llm.common import batch_of, bucketed, discard, map_arrow, materialize, mix64, rising, runs_of, texts_of
 from rosterline.llm.lm import cat, packed, restored, squeezed, unpacked
 
 __all__ = ["fit", "perplexities", "rate"]
@@ -63,27 +63,51 @@ def _fold() -> np.ndarray:
 FOLD = _fold()
 
 
+def folded(text: str) -> np.ndarray:
+    """The code of each character in an n-gram key."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = FOLD[np.minimum(c, 2047)]
+    other = np.flatnonzero(c >= 2048)
+    out[other] = 2048 + c[other] % 2047
+    return out.astype(np.uint16)
+
+
 def grams(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, text numbers) of the n-grams that end at each character and at the end of each text."""
-    pieces = []
-    for i, t in enumerate(texts):
-        for at in range(0, len(t), SLICE):
-            head = t[max(0, at - order + 1):at]
-            pieces.append((i, order - 1 - len(head), head + t[at:at + SLICE], at + SLICE >= len(t)))
-    for part in runs_of([len(p[2]) for p in pieces], SLICE):
-        ids, owner, at_head = [], [], []
-        for i, pad, s, last in pieces[part]:
-            c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            c = np.where(c < 2048, FOLD[np.minimum(c, 2047)], 2048 + c % 2047)
-            c = np.concatenate([np.full(pad, BOS), c, np.full(int(last), EOS)])
-            ids.append(c)
-            owner.append(np.full(len(c), i))
-            at_head.append(np.arange(len(c)) < order - 1)
-        ids, owner, head = np.concatenate(ids), np.concatenate(owner), np.concatenate(at_head)
+    return grams_of(folded("".join(texts)), np.array([len(t) for t in texts], np.int64), order)
+
+
+def grams_of(codes: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``grams`` of the texts with ``sizes``, one after the other in ``codes``."""
+    pieces, first = [], (np.cumsum(sizes) - sizes).tolist()
+    for i, n in enumerate(sizes.tolist()):
+        for at in range(0, n, SLICE):
+            head = min(at, order - 1)
+            pieces.append((i, order - 1 - head, first[i] + at - head, first[i] + min(n, at + SLICE), at + SLICE >= n))
+    for part in runs_of([p[3] - p[2] for p in pieces], SLICE):
+        number, pad, begin, end, last = (np.array(x, np.int64) for x in zip(*pieces[part]))
+        size = pad + end - begin + last     # of a piece: what stands before a text, its characters, its end
+        start = np.cumsum(size) - size
+        ids, real = np.full(size.sum(), BOS, np.int64), np.ones(size.sum(), bool)
+        for k in range(order - 1):
+            real[start[pad > k] + k] = False
+        ends = (start + size - 1)[last == 1]
+        real[ends] = False
+        # Characters that two pieces share are in two parts, as a piece that is not the last fills its own.
+        ids[real], ids[ends] = codes[begin[0]:end[-1]], EOS
         key = ids.copy()
         for back in range(1, order):
             key[back:] += ids[:-back] << (BITS * back)
-        yield key[~head], owner[~head]
+        whole = np.ones(len(ids), bool)
+        for k in range(order - 1):
+            whole[start + k] = False
+        yield key[whole], np.repeat(number, size - order + 1)
+
+
+def spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The places from each ``begin`` to its ``end``."""
+    size = end - begin
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def counted(docs: DataFrame, order: int) -> DataFrame:
@@ -102,7 +126,7 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 def slices_of(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """The texts in slices: slice, sizes, texts (compressed) and, as arrays ``_x0`` and on, the columns ``keep``."""
+    """The texts in slices: slice, sizes, texts (their codes, compressed) and, as arrays ``_x0`` and on, the columns ``keep``."""
     named = [F.col(c).alias(f"_x{i}") for i, c in enumerate(keep)]
     types = [docs.schema[c].dataType.simpleString() for c in keep]
     state: dict = {}
@@ -115,7 +139,7 @@ def slices_of(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             state[task] = state.get(task, -1) + 1
             mine, ends = texts[part], pa.array([0, part.stop - part.start], pa.int32())
             yield {"slice": [(ctx.partitionId() << 32) + state[task]], "sizes": [packed(np.array([len(t) for t in mine], np.int64))],
-                   "texts": [squeezed("".join(mine).encode("utf-8", "surrogatepass"), 12)]} | {
+                   "texts": [squeezed(as_text(folded("".join(mine))), 12)]} | {
                 f"_x{i}": pa.ListArray.from_arrays(ends, b.column(f"_x{i}").take(pa.array(np.arange(part.start, part.stop))))
                 for i in range(len(keep))}
 
@@ -123,9 +147,14 @@ def slices_of(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
                               + "".join(f", _x{i} array<{t}>" for i, t in enumerate(types))), "texts", "slice")
 
 
-def texts_in(sizes: bytes, texts: bytes) -> list[str]:
-    whole, cut = restored(texts).decode("utf-8", "surrogatepass"), np.concatenate([[0], np.cumsum(unpacked(sizes))])
-    return [whole[a:b] for a, b in zip(cut, cut[1:])]
+def as_text(codes: np.ndarray) -> bytes:
+    """Codes of characters as UTF-8; none is a surrogate."""
+    return codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+
+
+def codes_in(texts: bytes) -> np.ndarray:
+    """The codes of a slice's characters, its texts one after the other."""
+    return np.frombuffer(restored(texts).decode().encode("utf-32-le"), "<u4").astype(np.uint16)
 
 
 def counted_in(slices: DataFrame, good: DataFrame, order: int) -> DataFrame:
@@ -135,8 +164,11 @@ def counted_in(slices: DataFrame, good: DataFrame, order: int) -> DataFrame:
     schema = arrow_schema(slices.sparkSession, "gram bigint, c bigint")
 
     def count(key, t, at):
-        mine = texts_in(t.column("sizes")[0].as_py(), t.column("texts")[0].as_py()) if t.num_rows and at.num_rows else []
-        parts = [pd.factorize(keys) for keys, _ in grams([mine[i] for i in at.column("pos").to_pylist()] if mine else [], order)]
+        if not t.num_rows or not at.num_rows:
+            return pa.Table.from_batches([], schema)
+        size, pos = unpacked(t.column("sizes")[0].as_py()), np.asarray(at.column("pos"))
+        codes = codes_in(t.column("texts")[0].as_py())[spans((np.cumsum(size) - size)[pos], np.cumsum(size)[pos])]
+        parts = [pd.factorize(keys) for keys, _ in grams_of(codes, size[pos], order)]
         return pa.Table.from_batches([batch_of({"gram": distinct, "c": np.bincount(code)}, schema) for code, distinct in parts], schema)
 
     return _summed(slices.select("slice", "sizes", "texts").groupBy("slice").cogroup(places.groupBy("at"))
@@ -215,13 +247,11 @@ def log_probabilities(model: dict, wanted: DataFrame) -> DataFrame:
     return out
 
 
-def distinct_grams(texts: list[str], order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the distinct n-grams, sorted; their order by shard; the ends of the shards in that order)."""
-    parts = [np.unique(keys) for keys, _ in grams([t for t in texts if t], order)]
-    keys = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
-    shard = (mix64(keys.view(np.uint64), 5) % np.uint64(shards)).astype(np.int64)
+def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of distinct n-grams by shard; the ends of the shards in that order)."""
+    shard = (mix64(keys.view(np.uint64), 5) % np.uint64(shards)).astype(np.uint16 if shards < 2 ** 16 else np.int64)
     by = np.argsort(shard, kind="stable")
-    return keys, by, np.searchsorted(shard[by], np.arange(shards + 1))
+    return by, np.searchsorted(shard[by], np.arange(shards + 1))
 
 
 def perplexities(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:
@@ -251,7 +281,9 @@ def _scored(slices: DataFrame, model: dict | None, keep: list[str], size: int) -
 
     def run(b: pa.RecordBatch):
         for i in range(b.num_rows):
-            keys, by, cut = distinct_grams(texts_in(b.column("sizes")[i].as_py(), b.column("texts")[i].as_py()), order, shards)
+            parts = grams_of(codes_in(b.column("texts")[i].as_py()), unpacked(b.column("sizes")[i].as_py()), order)
+            keys = rising(np.concatenate([np.empty(0, np.int64), *(rising(k) for k, _ in parts)]))
+            by, cut = by_shard(keys, shards)
             at = np.flatnonzero(cut[1:] > cut[:-1])
             yield {"slice": [b.column("slice")[i].as_py()] * len(at), "shard": at,
                    "keys": [packed(np.diff(keys[by[cut[s]:cut[s + 1]]], prepend=0), 9) for s in at]}
@@ -263,30 +295,29 @@ def _scored(slices: DataFrame, model: dict | None, keep: list[str], size: int) -
     sums = lambda x: np.cumsum(unpacked(x))
 
     def distinct(key, t):
-        keys = np.unique(cat(t.column("keys"), sums))
+        keys = rising(cat(t.column("keys"), sums))
         return pa.Table.from_batches([batch_of({"gram": keys, "shard": np.full(len(keys), key[0].as_py())}, wanted_schema)])
 
     def answer(key, t, rows):
         gram, lp = np.asarray(rows.column("gram")), np.asarray(rows.column("lp"))
         by = np.argsort(gram)
         gram, lp = gram[by], lp[by].astype("<f4")
-        out = [lp[np.searchsorted(gram, sums(x))].tobytes() for x in t.column("keys").to_pylist()]
+        out = [squeezed(lp[np.searchsorted(gram, sums(x))].tobytes(), 9) for x in t.column("keys").to_pylist()]
         return pa.Table.from_batches([batch_of({"slice": t.column("slice"), "shard": t.column("shard"), "lp": out}, answer_schema)])
 
     def add_up(key, t, got):
         size = cat(t.column("sizes"))
-        texts = texts_in(t.column("sizes")[0].as_py(), t.column("texts")[0].as_py())
-        full = [i for i, t in enumerate(texts) if t]
-        keys, by, _ = distinct_grams(texts, order, shards)
-        lp, total = np.empty(len(keys)), np.zeros(len(full))
-        lp[by] = cat(got.sort_by("shard").column("lp"), lambda x: np.frombuffer(x, "<f4"))
-        for k, owner in grams([texts[i] for i in full], order):
+        parts = []      # n-grams by number: in 4 bytes each, with the distinct ones of a part
+        for k, owner in grams_of(codes_in(t.column("texts")[0].as_py()), size, order):
             code, some = pd.factorize(k)
-            total += np.bincount(owner, lp[np.searchsorted(keys, some)][code], len(full))
+            parts.append((code.astype(np.int32), some, owner.astype(np.int32)))
+        keys = rising(np.concatenate([np.empty(0, np.int64), *(some for _, some, _ in parts)]))
+        lp, total = np.empty(len(keys)), np.zeros(len(size))
+        lp[by_shard(keys, shards)[0]] = cat(got.sort_by("shard").column("lp"), lambda x: np.frombuffer(restored(x), "<f4"))
+        for code, some, owner in parts:
+            total += np.bincount(owner, lp[np.searchsorted(keys, some)][code], len(size))
         n = scored(size) if len(size) else size
-        ppl = [None] * len(texts)
-        for i, x in zip(full, total):
-            ppl[i] = float(10 ** (-x / n[i]))
+        ppl = [float(10 ** (-x / k)) if k else None for x, k in zip(total, n)]
         out = {x: t.column(x).combine_chunks().flatten() for x in names} | {"n_chars_scored": n, "perplexity": ppl}
         return pa.Table.from_batches([batch_of(out, out_schema)])
 

@@ -288,6 +288,25 @@ def test_quality_keeps_rare_ngrams_of_large_text(spark):
         assert math.isclose(got[t], 10 ** (-want / (len(t) + 1)), rel_tol=1e-5)
 
 
+def test_quality_cuts_slices_into_ngrams_at_once(spark, monkeypatch):
+    """Slices hold codes, and n-grams come from whole slices: once a job, and no text is decoded by itself."""
+    texts = ["", "a", "x\U00010fffy 12", "日本語 5 \t٣", "z" * 30, ""]
+    codes, size = quality.folded("".join(texts)), np.array([len(t) for t in texts])
+    assert (quality.codes_in(quality.squeezed(quality.as_text(codes))) == codes).all()
+    ids = lambda t: [int(quality.FOLD[ord(c)]) if ord(c) < 2048 else 2048 + ord(c) % 2047 for c in t]
+    for cut in (4, 7, 2_000_000):
+        monkeypatch.setattr(quality, "SLICE", cut)
+        for order in (1, 2, 3, 5):
+            want = []
+            for i, t in enumerate(texts):
+                c = [0] * (order - 1) + ids(t) + [1]
+                want += [(sum(x << (12 * j) for j, x in enumerate(c[k:k + order][::-1])), i) for k in range(len(t) + 1) if t]
+            for got in (quality.grams(texts, order), quality.grams_of(codes, size, order)):
+                assert [(int(k), int(i)) for keys, of in got for k, i in zip(keys, of)] == want
+    by, ends = quality.by_shard(np.arange(1000), 7)
+    assert sorted(by) == list(range(1000)) and len(ends) == 8 and (ends[0], ends[-1]) == (0, 1000)
+
+
 def test_quality_separates_and_edges(spark):
     rows = [(i, words(60, i, 0), "en" if i % 2 else None) for i in range(200)] + [
         (1000 + i, words(60, 500 + i, 0).upper().replace(" ", "!! "), "en") for i in range(10)] + [(2000, None, "en"), (2001, "", "de")]
