@@ -13,7 +13,9 @@ to the probability tables, those that are missing to the weights of their
 contexts and to their shorter forms; the shards send each slice its answers.
 The texts themselves are written once, as slices bucketed by their number, and never
 shuffled: which of them are trusted is a join of ids, whose places in the slices, and
-later the answers, are sent to the slices.
+later the answers, are sent to the slices.  Requests are dealt to shards once and stored,
+bucketed by shard.  The n-grams of a context go to one shard, so that a slice's rising
+n-grams have small gaps; a context has at most 4,096.
 
 A key has 12 bits a character: code points below 2048 are themselves (digits and
 white space as one each), those above share 2047 codes by remainder, so that some
@@ -248,8 +250,8 @@ def log_probabilities(model: dict, wanted: DataFrame) -> DataFrame:
 
 
 def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of distinct n-grams by shard; the ends of the shards in that order)."""
-    shard = (mix64(keys.view(np.uint64), 5) % np.uint64(shards)).astype(np.uint16 if shards < 2 ** 16 else np.int64)
+    """(order of distinct n-grams by shard, which their context gives; the ends of the shards in that order)."""
+    shard = (mix64((keys >> BITS).view(np.uint64), 5) % np.uint64(shards)).astype(np.uint16 if shards < 2 ** 16 else np.int64)
     by = np.argsort(shard, kind="stable")
     return by, np.searchsorted(shard[by], np.arange(shards + 1))
 
@@ -288,7 +290,8 @@ def _scored(slices: DataFrame, model: dict | None, keep: list[str], size: int) -
             yield {"slice": [b.column("slice")[i].as_py()] * len(at), "shard": at,
                    "keys": [packed(np.diff(keys[by[cut[s]:cut[s + 1]]], prepend=0), 9) for s in at]}
 
-    asked = materialize(map_arrow(slices, ["slice", "sizes", "texts"], run, "slice bigint, shard int, keys binary"), "requests")
+    asked = bucketed(map_arrow(slices, ["slice", "sizes", "texts"], run, "slice bigint, shard int, keys binary").repartition("shard"),
+                     "requests", "shard")
     wanted_schema = arrow_schema(spark, "gram bigint, shard int")
     answer_schema = arrow_schema(spark, "slice bigint, shard int, lp binary")
     out_schema = arrow_schema(spark, kinds)

@@ -307,6 +307,29 @@ def test_quality_cuts_slices_into_ngrams_at_once(spark, monkeypatch):
     assert sorted(by) == list(range(1000)) and len(ends) == 8 and (ends[0], ends[-1]) == (0, 1000)
 
 
+def test_quality_deals_requests_once(spark, monkeypatch, capsys):
+    """Requests are stored by shard and no later step shuffles them; n-grams of a context meet in one shard, so their gaps are small."""
+    texts = [words(60, i, 0) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, _text string").repartition(3)
+    model, frames, ask = quality.fit(docs, order=3), [], quality.log_probabilities
+    monkeypatch.setattr(quality, "log_probabilities", lambda m, wanted: frames.append(wanted) or ask(m, wanted))
+    frames.append(quality.perplexities(docs, model, ["doc_id"], "_text"))
+    assert frames[1].count() == 40
+    capsys.readouterr()
+    for df in frames:
+        df.explain("formatted")
+        plan = capsys.readouterr().out
+        assert "keys#" in plan
+        assert not re.search(r"\) Exchange\nInput \[\d+\]: \[[^]]*(keys|texts)#", plan)
+    keys = np.unique(np.concatenate([k for k, _ in quality.grams(texts, 5)]))
+    by, ends = quality.by_shard(keys, 50)
+    assert (np.sort(by) == np.arange(len(keys))).all() and (np.diff(ends) > 0).sum() > 40
+    shard = np.empty(len(keys), int)
+    shard[by] = np.repeat(np.arange(50), np.diff(ends))
+    same = keys[1:] >> quality.BITS == keys[:-1] >> quality.BITS
+    assert same.any() and (shard[1:][same] == shard[:-1][same]).all()
+
+
 def test_quality_separates_and_edges(spark):
     rows = [(i, words(60, i, 0), "en" if i % 2 else None) for i in range(200)] + [
         (1000 + i, words(60, 500 + i, 0).upper().replace(" ", "!! "), "en") for i in range(10)] + [(2000, None, "en"), (2001, "", "de")]
