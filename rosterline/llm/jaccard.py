@@ -8,13 +8,18 @@ node of each.  Sets of similarity t choose a common token with probability
 1 - exp(-fanout * t * (chance of the level below)), about 0.89 a run for 0.8;
 four runs miss about 2 pairs in 10,000 (``expected_recall``).  A node of at most
 ``leaf`` classes is compared by brute force.  A larger node is split once more;
-what is still large then consists of sets that agree nearly everywhere, and is
-compared in block pairs of at most ``block`` classes a side: exact, spread over
-many tasks, and without cap.
+what is still large then consists of sets that agree nearly everywhere, or that
+share a line which a part of all texts has.  It is compared in block pairs of at
+most ``block`` classes a side: exact, spread over many tasks, and without cap.
+Blocks hold sets of like sizes (bands), as sizes that differ by more than the
+threshold allows can't be similar: a block meets those of its own band and of
+the bands beside it.
 
 In a node, pairs are first filtered by their chosen tokens (a fixed-size
 sketch), then verified exactly on the full sets, which travel only for classes
-that have a candidate.  A pair that meets in several nodes is counted by the
+that have a candidate.  Common values are counted by a matrix product, or over
+lists of the rows that hold a value where those are short: the same counts, but
+a group whose members have little in common costs about what it holds.  A pair that meets in several nodes is counted by the
 node of the smallest id.  Pairs never become rows: a block gives, per class, its
 number of links and a root within the block, and the roots are joined to
 connected components.
@@ -41,13 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import batch_of, map_arrow, materialize, mix64, raw_of, words_of
+from rosterline.llm.common import batch_of, map_arrow, materialize, mix64, raw_of, rising, words_of
 
 __all__ = ["similar_documents", "drop_near_duplicates", "shingles", "expected_recall"]
 
 RUNS, FANOUT, DEPTH, LEAF, BLOCK = 4, 3.0, 2, 64, 4096
 #: Least number of commonly chosen tokens of a candidate pair; a pair at 0.8 has 19 on average.
 LEAST_COMMON = 5
+#: What a listed holder of a value and a row cost, in cells of a matrix product; see ``common``.
+LISTED, LISTED_ROW = 100, 1_000_000
 
 
 def expected_recall(t: float, runs: int = RUNS, fanout: float = FANOUT, depth: int = DEPTH) -> float:
@@ -74,7 +81,7 @@ def shingles(raw: bytes, size: int = 5) -> np.ndarray:
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - k + 1 + i]
-    return np.unique(mix64(out))
+    return rising(mix64(out))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -127,14 +134,34 @@ def members_of(classes: DataFrame) -> DataFrame:
     return leaves.unionByName(deeper.join(sizes, "node").select("node", "sig", "size"))
 
 
-def in_blocks(members: DataFrame) -> DataFrame:
-    """Deals a node of more than ``LEAF`` classes to block pairs; each class goes to all pairs of its block."""
-    blocks = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("sig"), F.col("_blocks").cast("bigint")).cast("int")
-    return (members.withColumn("_blocks", blocks).withColumn("_own", own)
-            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-            .select("*", F.least("_own", "_other").alias("part_a"), F.greatest("_own", "_other").alias("part_b"))
-            .drop("_blocks", "_other"))
+def in_blocks(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Deals a node of more than ``BLOCK`` classes to pairs of blocks; each class goes to the pairs of its block.
+
+    A band of sizes is as wide as sizes of similar sets may differ (a bit more, for rounding), so a block is paired with
+    those of its own band and of the two beside it only.  A part is a block: its band, and its number in the band.
+    """
+    width = 1.0001 * math.log(1 / min(max(threshold, 1e-6), 0.999))
+    large = (members.where(F.col("size") > BLOCK).join(classes.select("sig", "n"), "sig")
+             .withColumn("_band", F.floor(F.log("n") / F.lit(width)).cast("int")))
+    bands = large.groupBy("node", "_band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("_blocks"))
+    bands = bands.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("_band", "_blocks"))).alias("_bands"))
+
+    def part(band, block):
+        return F.shiftleft(band.cast("bigint"), 32) + block
+
+    def parts_of(band):
+        n = F.coalesce(F.try_element_at("_bands", band), F.lit(0).cast("bigint"))
+        return F.transform(F.filter(F.sequence(F.lit(0).cast("bigint"), n), lambda i: i < n), lambda i: part(band, i))
+
+    band = F.col("_band")
+    own = F.pmod(F.xxhash64("sig"), F.element_at("_bands", band))
+    spread = (large.join(bands, "node").withColumn("_own", part(band, own))
+              .withColumn("_other", F.explode(F.concat(parts_of(band - 1), parts_of(band), parts_of(band + 1)))))
+    zero = F.lit(0).cast("bigint")
+    return (members.where(F.col("size") <= BLOCK)
+            .select(*members.columns, zero.alias("_own"), zero.alias("part_a"), zero.alias("part_b"))
+            .unionByName(spread.select(*members.columns, "_own", F.least("_own", "_other").alias("part_a"),
+                                       F.greatest("_own", "_other").alias("part_b"))))
 
 
 def rows_of(b: pa.RecordBatch) -> list[dict]:
@@ -165,38 +192,66 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def common(a: list, b: list) -> np.ndarray:
-    """Number of common values for each pair of one list's arrays with the other's."""
-    flat = np.concatenate([*a, *b])
-    values, ids, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    col = np.cumsum(counts > 1) - 1
-    shared = counts[ids] > 1
-    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])[shared]
-    cols = col[ids[shared]]
+def common(a: list, b: list, same: bool = False) -> np.ndarray:
+    """Number of common values for each pair of one list's arrays with the other's; an array's values are distinct.
+
+    With ``same`` the lists are one, and what an array has in common with itself isn't told.
+    """
+    lists = a if same else [*a, *b]
+    sizes = np.array([len(x) for x in lists])
+    flat = np.concatenate(lists)
+    values, ids = np.unique(flat, return_inverse=True)
+    end = len(flat) if same else sizes[:len(a)].sum()
+    held = np.bincount(ids[:end], minlength=len(values))
+    useful = held > 1 if same else (held > 0) & (np.bincount(ids[end:], minlength=len(values)) > 0)
+    rows, cols = np.repeat(np.arange(len(lists)), sizes)[useful[ids]], (np.cumsum(useful) - 1)[ids[useful[ids]]]
     out = np.zeros((len(a), len(b)), np.float32)
+    n = int(useful.sum())
+    if not n:
+        return out
+    mine = slice(0, len(rows) if same else np.searchsorted(rows, len(a)))
+    theirs = mine if same else slice(mine.stop, len(rows))
+    holders = np.bincount(cols[theirs], minlength=n)
+    if int(holders[cols[mine]].sum()) * LISTED + len(a) * LISTED_ROW < len(a) * len(b) * n:
+        order = np.argsort(cols[theirs], kind="stable")
+        listed, start = (rows[theirs] - (0 if same else len(a)))[order], np.cumsum(holders) - holders
+        at = np.searchsorted(rows[mine], np.arange(len(a) + 1))
+        for i in np.flatnonzero(np.diff(at)):
+            c = cols[at[i]:at[i + 1]]
+            k = holders[c]
+            found = np.repeat(start[c] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            out[i] = np.bincount(listed[found], minlength=len(b))
+        return out
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
     wide = 1024
-    for at in range(0, int(cols[-1]) + 1 if len(cols) else 0, wide):
+    for at in range(0, n, wide):
         lo, hi = np.searchsorted(cols, [at, at + wide])
-        m = np.zeros((len(a) + len(b), min(wide, int(cols[-1]) + 1 - at)), np.float32)
+        m = np.zeros((len(lists), min(wide, n - at)), np.float32)
         m[rows[lo:hi], cols[lo:hi] - at] = 1
-        out += m[:len(a)] @ m[len(a):].T
+        out += m @ m.T if same else m[:len(a)] @ m[len(a):].T
     return out
 
 
+def in_pairs(ok: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the rows and of the columns with a pair; alike for both where the sides are one."""
+    i, j = ok.any(1), ok.any(0)
+    return (np.flatnonzero(i | j),) * 2 if same else (np.flatnonzero(i), np.flatnonzero(j))
+
+
 def candidates(a: list[dict], b: list[dict], same: bool, threshold: float) -> np.ndarray:
     """Pairs of the group to verify: similar sketches and sizes, and no smaller node in common."""
     na, nb = np.array([r["n"] for r in a]), np.array([r["n"] for r in b])
-    ok = np.minimum(na[:, None], nb) >= threshold * np.maximum(na[:, None], nb) - 1e-9
+    ok = (na[:, None] >= threshold * nb - 1e-9) & (nb >= (threshold * na - 1e-9)[:, None])
     if same:
-        ok &= np.triu(np.ones(ok.shape, bool), 1)
-    if ok.any():
-        ok &= common([r["picks"] for r in a], [r["picks"] for r in b]) >= LEAST_COMMON
+        ok = np.triu(ok, 1)
     if ok.any():
+        ok &= common([r["picks"] for r in a], [r["picks"] for r in b], same) >= LEAST_COMMON
+    i, j = in_pairs(ok, same)
+    if len(i):
         node = a[0]["node"]
-        less = [[r["nodes"][r["nodes"] < node] for r in side] for side in (a, b)]
-        ok &= common(*less) == 0
+        less = [[side[k]["nodes"][side[k]["nodes"] < node] for k in at] for side, at in ((a, i), (b, j))]
+        ok[np.ix_(i, j)] &= common(*less, same) == 0
     return ok
 
 
@@ -254,9 +309,11 @@ def _verify(threshold: float, schema: pa.Schema):
             if not a or not b or len(g) < 2:
                 continue
             ok = candidates(a, b, same, threshold)
-            if not ok.any():
+            i, j = in_pairs(ok, same)
+            if not len(i):
                 continue
-            inter = common([r["toks"] for r in a], [r["toks"] for r in b])
+            a, b, ok = [a[k] for k in i], [b[k] for k in j], ok[np.ix_(i, j)]
+            inter = common([r["toks"] for r in a], [r["toks"] for r in b], same)
             total = np.array([r["n"] for r in a])[:, None] + np.array([r["n"] for r in b])
             ok &= inter * (1 + threshold) >= threshold * total - 1e-6
             out += linked(a, b, ok, same)
@@ -310,7 +367,7 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> tuple
     known = (classes.select("sig", "n", F.flatten(F.concat("p1", "p2")).alias("picks")).join(lists, "sig"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["node", "part_a", "part_b"]
-    dealt = (in_blocks(members).join(known, "sig").repartition(parts, *order).sortWithinPartitions(*order)
+    dealt = (in_blocks(members, classes, threshold).join(known, "sig").repartition(parts, *order).sortWithinPartitions(*order)
              .select("node", "part_a", "part_b", "_own", "sig", "n", "picks", "nodes"))
     kept = materialize(dealt.mapInArrow(_filter(threshold, _schema(dealt)), dealt.schema), "candidates")
     needed = kept.select("sig").distinct().join(classes.select("sig", "copy"), "sig").select(

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -84,6 +85,59 @@ def test_similarity_edges(spark):
     assert jaccard.expected_recall(0.8) > 0.9995
 
 
+@pytest.mark.parametrize("listed", [0, 1 << 60])
+@pytest.mark.parametrize("same", [False, True])
+def test_common_values_by_lists_and_by_product(monkeypatch, listed, same):
+    monkeypatch.setattr(jaccard, "LISTED", listed)
+    monkeypatch.setattr(jaccard, "LISTED_ROW", 0)
+    r = np.random.default_rng(3)
+    a, b = ([np.unique(r.integers(-hi, hi, r.integers(0, 40))) for _ in range(n)] for n, hi in ((50, 60), (33, 90)))
+    b = a if same else b
+    got = jaccard.common(a, b, same)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            assert got[i, j] == len({*x.tolist()} & {*y.tolist()}) or same and i == j
+    assert jaccard.common(a, [np.array([500 + i]) for i in range(4)]).sum() == 0
+    assert jaccard.common([x[:0] for x in a], b).sum() == 0
+
+
+def sketches(n, r, shared=4, own=20):
+    return [{"n": int(np.exp(r.uniform(2, 8))), "nodes": np.array([7], np.int64), "node": 7, "sig": b"%d" % i,
+             "picks": np.concatenate([np.arange(shared), r.integers(1 << 40, 1 << 60, own)])} for i in range(n)]
+
+
+def test_a_group_that_shares_a_line_costs_about_what_it_holds():
+    """3,000 sets with a line in common and nothing else; a product over all values took more than 10 seconds."""
+    group = sketches(3000, np.random.default_rng(5))
+    group[2000] = {**group[10], "n": group[10]["n"] + 1, "sig": b"copy"}
+    began = time.process_time()
+    ok = jaccard.candidates(group, group, True, 0.8)
+    assert np.argwhere(ok).tolist() == [[10, 2000]]
+    assert time.process_time() - began < 3
+
+
+def test_blocks_of_large_nodes_hold_like_sizes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(4)
+    n = [1, 4, 5, 5, *(int(math.exp(r.uniform(0, 8))) for _ in range(300)), *[40] * 70]
+    sig = [b"%04d" % i for i in range(len(n))]
+    classes = spark.createDataFrame(list(zip(sig, n)), "sig binary, n int")
+    members = spark.createDataFrame([(1, x, len(n)) for x in sig] + [(2, x, 16) for x in sig[:16]], "node bigint, sig binary, size bigint")
+    rows = jaccard.in_blocks(members, classes, 0.8).collect()
+    assert {(x["part_a"], x["part_b"], x["_own"]) for x in rows if x["node"] == 2} == {(0, 0, 0)}
+    groups, met, size = {}, collections.Counter(), dict(zip(sig, n))
+    for x in rows:
+        if x["node"] == 1:
+            groups.setdefault((x["part_a"], x["part_b"]), []).append({"sig": bytes(x["sig"]), **{k: x[k] for k in ("part_a", "part_b", "_own")}})
+    for g in groups.values():
+        a, b, same = jaccard.sides(g)
+        assert max(len(a), len(b)) < 64
+        met.update(frozenset((x["sig"], y["sig"])) for i, x in enumerate(a) for y in (b[i + 1:] if same else b))
+    pairs = [frozenset((x, y)) for i, x in enumerate(sig) for y in sig[:i]]
+    assert all(met[p] == 1 for p in pairs if min(map(size.get, p)) >= 0.8 * max(map(size.get, p)))
+    assert max(met.values()) == 1 and len(met) < len(pairs) / 3
+
+
 # --- 5 ---------------------------------------------------------------
 
 def brute_nearest(ids, x, queries, k):
